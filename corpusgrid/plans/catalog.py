@@ -13,7 +13,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgrid.operators import corpus, entities, specificity
+from corpusgrid.operators import corpus, entities, negatives, specificity
 from corpusgrid.sources.tables import read_table, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,37 @@ def q_split_tail_swapped(spark, sf_dir):
 @register("split_tail_overlap")
 def q_split_tail_overlap(spark, sf_dir):
     return _tail(spark, sf_dir, 0.7, False)
+
+
+# ---------------------------------------------------------------- W15, W17
+def _texts(spark, sf_dir):
+    """(doc_id, sentence, label): text with its source as the label."""
+    return read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"]).select(
+        "doc_id", F.col("text").alias("sentence"), F.col("source").alias("label"))
+
+
+@register("type_frequencies")
+def q_type_frequencies(spark, sf_dir):
+    t = negatives.type_frequencies(_mentions(spark, sf_dir))
+    return t.select("type", "n_texts", r6("frequency").alias("frequency"))
+
+
+def _negatives(spark, sf_dir, ratio):
+    return negatives.negative_pairs(_texts(spark, sf_dir), _mentions(spark, sf_dir), ratio=ratio, seed=42)
+
+
+@register("negative_pairs")
+def q_negative_pairs(spark, sf_dir):
+    return _negatives(spark, sf_dir, 1.0)
+
+
+@register("negative_pairs_ratio2")
+def q_negative_pairs_ratio2(spark, sf_dir):
+    return _negatives(spark, sf_dir, 2.0)
+
+
+@register("two_tower_pairs")
+def q_two_tower_pairs(spark, sf_dir):
+    pairs = negatives.two_tower_pairs(_texts(spark, sf_dir), _negatives(spark, sf_dir, 1.0))
+    return pairs.select("doc_id", "label", "source_doc_id", "is_positive",
+                        F.array_join("target", ",").alias("target"))

@@ -78,3 +78,43 @@ UNION ALL SELECT doc_id, source, score, '{bottom}' AS split FROM k WHERE rk < cu
 SQL["split_tail"] = _tail_sql(0.5, False)
 SQL["split_tail_swapped"] = _tail_sql(0.5, True)
 SQL["split_tail_overlap"] = _tail_sql(0.7, False)
+
+
+# ---------------------------------------------------------------- W15, W17
+def _draw(salt: str, seed=42) -> str:
+    return f"('0x' || substr(md5('{seed}:{salt}:' || CAST(k AS VARCHAR)), 1, 12))::BIGINT"
+
+
+def negatives_sql(ratio: float, draws: int, seed=42) -> str:
+    return f"""WITH m AS ({mentions_sql()}),
+inc AS (SELECT DISTINCT type, doc_id FROM m),
+r AS (SELECT type, doc_id, row_number() OVER (ORDER BY type, doc_id) - 1 AS g FROM inc),
+st AS (SELECT type, min(g) AS t_start, count(*) AS n_t FROM r GROUP BY type),
+inc2 AS (SELECT r.g, r.doc_id, st.t_start, st.n_t FROM r JOIN st USING (type)),
+tot AS (SELECT count(*) AS n_inc FROM inc),
+draws AS (SELECT k, {_draw("a", seed)} AS r1, {_draw("b", seed)} AS r2 FROM range(0, {draws}) t(k)),
+d1 AS (SELECT d.k, i.doc_id AS doc1,
+              i.t_start + (i.g - i.t_start + 1 + d.r2 % (i.n_t - 1)) % i.n_t AS g2
+       FROM draws d CROSS JOIN tot JOIN inc2 i ON i.g = d.r1 % tot.n_inc WHERE i.n_t >= 2),
+d2 AS (SELECT d1.k, d1.doc1, i.doc_id AS doc2 FROM d1 JOIN inc2 i ON i.g = d1.g2),
+p AS (SELECT least(doc1, doc2) AS a, greatest(doc1, doc2) AS b, min(k) AS k FROM d2 GROUP BY 1, 2),
+lab AS (SELECT p.a, p.b, p.k, da.source AS label_a, db.source AS label_b
+        FROM p JOIN documents da ON da.doc_id = p.a JOIN documents db ON db.doc_id = p.b
+        WHERE da.source <> db.source),
+pr AS (SELECT *, row_number() OVER (ORDER BY k) - 1 AS pr FROM lab),
+n AS (SELECT CAST(floor({ratio} * count(*)) AS BIGINT) AS target FROM documents),
+rw AS (SELECT a AS doc_id, label_b AS label, b AS source_doc_id, 2 * pr AS neg_index FROM pr
+       UNION ALL SELECT b, label_a, a, 2 * pr + 1 FROM pr)
+SELECT rw.doc_id, d.text AS sentence, rw.label, rw.source_doc_id, rw.neg_index
+FROM rw CROSS JOIN n JOIN documents d ON d.doc_id = rw.doc_id WHERE rw.neg_index < n.target"""
+
+
+SQL["type_frequencies"] = f"""WITH m AS ({mentions_sql()}),
+per AS (SELECT type, count(DISTINCT doc_id) AS n_texts FROM m GROUP BY type)
+SELECT type, n_texts, round(n_texts / sum(n_texts) OVER (), 6) AS frequency FROM per"""
+# draws: enough that the first ceil(target/2) accepted pairs exist (draws only append)
+SQL["negative_pairs"] = negatives_sql(1.0, 20000)
+SQL["negative_pairs_ratio2"] = negatives_sql(2.0, 40000)
+SQL["two_tower_pairs"] = f"""WITH neg AS ({negatives_sql(1.0, 20000)})
+SELECT doc_id, source AS label, doc_id AS source_doc_id, 1 AS is_positive, '0,1' AS target FROM documents
+UNION ALL SELECT doc_id, label, source_doc_id, 0 AS is_positive, '1,0' AS target FROM neg"""
