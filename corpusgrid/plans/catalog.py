@@ -13,7 +13,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgrid.operators import corpus, entities, negatives, specificity
+from corpusgrid.operators import corpus, entities, negatives, sequences, specificity
 from corpusgrid.sources.tables import read_table, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +150,38 @@ def q_two_tower_pairs(spark, sf_dir):
     pairs = negatives.two_tower_pairs(_texts(spark, sf_dir), _negatives(spark, sf_dir, 1.0))
     return pairs.select("doc_id", "label", "source_doc_id", "is_positive",
                         F.array_join("target", ",").alias("target"))
+
+
+# ---------------------------------------------------------------- W18, W12
+VOCAB_SIZE = 2000
+SEQ_LEN = 128
+
+
+def _vocab(spark, sf_dir):
+    return sequences.build_vocabulary(_docs(spark, sf_dir), size=VOCAB_SIZE)
+
+
+@register("vocabulary")
+def q_vocabulary(spark, sf_dir):
+    return _vocab(spark, sf_dir)
+
+
+@register("encode_sequences")
+def q_encode_sequences(spark, sf_dir):
+    enc = sequences.encode_sequences(_docs(spark, sf_dir), _vocab(spark, sf_dir), max_seq_length=SEQ_LEN)
+    return enc.select("doc_id", "n_pieces", F.array_join("input_ids", ",").alias("input_ids"))
+
+
+@register("label_codes")
+def q_label_codes(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents", ["doc_id", "source"])
+    coded, num = sequences.label_codes(d, "source", "label_code")
+    return coded.withColumn("num_classes", F.lit(num))
+
+
+@register("one_hot_labels")
+def q_one_hot_labels(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents", ["doc_id", "source"])
+    coded, num = sequences.label_codes(d, "source", "label_code")
+    oh = sequences.one_hot_labels(coded, "label_code", num)
+    return oh.select("doc_id", F.array_join("label_onehot", ",").alias("label_onehot"))

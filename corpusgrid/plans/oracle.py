@@ -6,7 +6,8 @@ are imported, not repeated, so both sides always use the same constants.
 
 from __future__ import annotations
 
-from corpusgrid.functions.text import DEFAULT_ENTITY_RULES
+from corpusgrid.functions.text import ACCENTED, DEFAULT_ENTITY_RULES, MAX_CHARS_PER_WORD, UNACCENTED, WORD_PATTERN
+from corpusgrid.operators.sequences import CONTINUATION, SPECIALS
 
 SQL: dict[str, str] = {}
 
@@ -118,3 +119,62 @@ SQL["negative_pairs_ratio2"] = negatives_sql(2.0, 40000)
 SQL["two_tower_pairs"] = f"""WITH neg AS ({negatives_sql(1.0, 20000)})
 SELECT doc_id, source AS label, doc_id AS source_doc_id, 1 AS is_positive, '0,1' AS target FROM documents
 UNION ALL SELECT doc_id, label, source_doc_id, 0 AS is_positive, '1,0' AS target FROM neg"""
+
+
+# ---------------------------------------------------------------- W18, W12
+def _words_expr(col: str = "text") -> str:
+    return f"regexp_extract_all(translate(lower({col}), {_q(ACCENTED)}, {_q(UNACCENTED)}), {_q(WORD_PATTERN)})"
+
+
+def vocab_sql(size: int) -> str:
+    specials = ", ".join(f"({_q(p)}, {i})" for p, i in SPECIALS)
+    return f"""wc AS (SELECT word, count(*) AS cnt FROM (SELECT UNNEST({_words_expr()}) AS word FROM documents) GROUP BY word),
+top AS (SELECT word AS piece FROM wc ORDER BY cnt DESC, word LIMIT {size}),
+ch AS (SELECT DISTINCT UNNEST(string_split(word, '')) AS c FROM wc),
+pc AS (SELECT piece FROM top UNION SELECT c FROM ch UNION SELECT {_q(CONTINUATION)} || c FROM ch),
+sp AS (SELECT * FROM (VALUES {specials}) t(piece, id)),
+vocab AS (SELECT piece, CAST(id AS INTEGER) AS id FROM sp
+          UNION ALL SELECT piece, CAST({len(SPECIALS) - 1} + row_number() OVER (ORDER BY piece) AS INTEGER)
+          FROM pc WHERE piece NOT IN (SELECT piece FROM sp))"""
+
+
+def encode_sql(size: int, seq_len: int) -> str:
+    # For a vocabulary that holds every character and its continuation form,
+    # greedy longest-match-first = longest vocabulary prefix, then one
+    # continuation piece per remaining character.
+    cls = dict(SPECIALS)["[CLS]"]
+    sep = dict(SPECIALS)["[SEP]"]
+    unk = dict(SPECIALS)["[UNK]"]
+    return f"""WITH {vocab_sql(size)},
+dw AS (SELECT doc_id, UNNEST(ws) AS word, UNNEST(generate_series(1, len(ws))) AS pos
+       FROM (SELECT doc_id, {_words_expr()} AS ws FROM documents)),
+uw AS (SELECT DISTINCT word FROM dw),
+pre AS (SELECT uw.word, max(length(v.piece)) AS plen
+        FROM (SELECT word, UNNEST(generate_series(1, length(word))) AS l FROM uw) uw
+        JOIN vocab v ON v.piece = substr(uw.word, 1, uw.l) GROUP BY uw.word),
+rest AS (SELECT p.word, UNNEST(string_split(substr(p.word, p.plen + 1), '')) AS c,
+                UNNEST(generate_series(1, length(p.word) - p.plen)) AS cpos
+         FROM pre p WHERE length(p.word) > p.plen),
+restid AS (SELECT r.word, list(v.id ORDER BY r.cpos) AS ids FROM rest r
+           JOIN vocab v ON v.piece = {_q(CONTINUATION)} || r.c GROUP BY r.word),
+wp AS (SELECT p.word, CASE WHEN length(p.word) > {MAX_CHARS_PER_WORD} THEN [{unk}]
+              ELSE list_concat([v.id], coalesce(restid.ids, [])) END AS ids
+       FROM pre p JOIN vocab v ON v.piece = substr(p.word, 1, p.plen) LEFT JOIN restid USING (word)),
+per AS (SELECT dw.doc_id, flatten(list(wp.ids ORDER BY dw.pos)) AS ids FROM dw JOIN wp USING (word) GROUP BY dw.doc_id),
+full_ids AS (SELECT d.doc_id, list_concat([{cls}], coalesce(per.ids, []), [{sep}]) AS ids
+             FROM documents d LEFT JOIN per USING (doc_id))
+SELECT doc_id, CAST(len(ids) - 2 AS INTEGER) AS n_pieces,
+       array_to_string(list_resize(ids, {seq_len}, 0), ',') AS input_ids FROM full_ids"""
+
+
+SQL["vocabulary"] = f"WITH {vocab_sql(2000)} SELECT piece, id FROM vocab"
+SQL["encode_sequences"] = encode_sql(2000, 128)
+SQL["label_codes"] = """WITH l AS (SELECT source, CAST(row_number() OVER (ORDER BY source) - 1 AS INTEGER) AS label_code
+                      FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL))
+SELECT d.doc_id, d.source, l.label_code, (SELECT CAST(count(*) AS INTEGER) FROM l) AS num_classes
+FROM documents d JOIN l USING (source)"""
+SQL["one_hot_labels"] = """WITH l AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS code
+                      FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)),
+n AS (SELECT count(*) AS c FROM l)
+SELECT d.doc_id, array_to_string(list_transform(range(0, n.c), lambda i: CAST(i = l.code AS INTEGER)), ',') AS label_onehot
+FROM documents d JOIN l USING (source) CROSS JOIN n"""
