@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from corpusgrid.functions.arrays import one_hot, pad_truncate
 from corpusgrid.functions.text import MAX_CHARS_PER_WORD, words
+from corpusgrid.session import materialize
 
 # --- fixed values: special pieces and their ids in a built vocabulary --------
 SPECIALS = (("[PAD]", 0), ("[UNK]", 1), ("[CLS]", 2), ("[SEP]", 3), ("[MASK]", 4))
@@ -48,15 +49,15 @@ def build_vocabulary(docs: DataFrame, text_col: str = "text", size: int = 30000)
     numbered in piece order.  With every character present, each word has a
     split, so ``[UNK]`` only marks over-long words.
     """
-    counts = word_counts(docs, text_col)
+    # the word table feeds two branches (top words, characters): written once
+    counts = materialize(word_counts(docs, text_col), "word_counts")
     top = counts.orderBy(F.col("count").desc(), F.col("word")).limit(size).select(F.col("word").alias("piece"))
-    chars = (counts.select(F.explode(F.split("word", "")).alias("c")).where(F.col("c") != "").distinct())
-    pieces = (top.unionByName(chars.select(F.col("c").alias("piece")))
-              .unionByName(chars.select(F.concat(F.lit(CONTINUATION), "c").alias("piece")))
-              .distinct())
+    chars = counts.select(F.explode(F.split("word", "")).alias("c")).where(F.col("c") != "").distinct()
+    char_pieces = chars.select(F.explode(F.array("c", F.concat(F.lit(CONTINUATION), "c"))).alias("piece"))
+    special_names = [p for p, _ in SPECIALS]
+    pieces = top.unionByName(char_pieces).distinct().where(~F.col("piece").isin(special_names))
     spark = docs.sparkSession
     specials = spark.createDataFrame(list(SPECIALS), "piece string, id int")
-    pieces = pieces.join(specials.select("piece"), "piece", "left_anti")
     # vocabulary rows are bounded by size + 2 * (distinct characters)
     numbered = pieces.select("piece", (F.row_number().over(Window.orderBy("piece")) + len(SPECIALS) - 1)
                              .cast("int").alias("id"))

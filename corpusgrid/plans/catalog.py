@@ -13,7 +13,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgrid.operators import corpus, entities, negatives, sequences, specificity
+from corpusgrid.operators import corpus, entities, negatives, sequences, specificity, vectors
 from corpusgrid.sources.tables import read_table, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -185,3 +185,24 @@ def q_one_hot_labels(spark, sf_dir):
     coded, num = sequences.label_codes(d, "source", "label_code")
     oh = sequences.one_hot_labels(coded, "label_code", num)
     return oh.select("doc_id", F.array_join("label_onehot", ",").alias("label_onehot"))
+
+
+# ---------------------------------------------------------------- W21, W22
+def _emb(spark, sf_dir):
+    return spread(read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"]))
+
+
+@register("unit_vectors")
+def q_unit_vectors(spark, sf_dir):
+    u = vectors.unit_vectors(_emb(spark, sf_dir), "embedding", "unit")
+    return u.select("vec_id", F.posexplode("unit").alias("dim", "value")).select(
+        "vec_id", "dim", r6("value").alias("value"))
+
+
+@register("nearest_neighbors")
+def q_nearest_neighbors(spark, sf_dir):
+    """Every vector's 10 nearest vectors (itself first), with the neighbour's label."""
+    e = _emb(spark, sf_dir)
+    nn = vectors.nearest_neighbors(e, e, k=10, query_id="vec_id", corpus_id="vec_id")
+    lab = read_table(spark, sf_dir, "embeddings", ["vec_id", "label"]).withColumnRenamed("vec_id", "neighbor_id")
+    return nn.join(lab, "neighbor_id").select("query_id", "rank", "neighbor_id", "similarity", "label")

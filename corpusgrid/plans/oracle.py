@@ -178,3 +178,18 @@ SQL["one_hot_labels"] = """WITH l AS (SELECT source, row_number() OVER (ORDER BY
 n AS (SELECT count(*) AS c FROM l)
 SELECT d.doc_id, array_to_string(list_transform(range(0, n.c), lambda i: CAST(i = l.code AS INTEGER)), ',') AS label_onehot
 FROM documents d JOIN l USING (source) CROSS JOIN n"""
+
+
+# ---------------------------------------------------------------- W21, W22
+_UNIT = """u AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+nrm AS (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda y: y * y))) AS nv FROM u),
+un AS (SELECT vec_id, label, list_transform(e, lambda x: x / nv) AS un FROM nrm WHERE nv > 0)"""
+SQL["unit_vectors"] = f"""WITH {_UNIT}
+SELECT vec_id, CAST(dim AS INTEGER) AS dim, round(value, 6) AS value
+FROM (SELECT vec_id, UNNEST(un) AS value, UNNEST(generate_series(0, len(un) - 1)) AS dim FROM un)"""
+SQL["nearest_neighbors"] = f"""WITH {_UNIT},
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS neighbor_id, c.label,
+             round(list_dot_product(q.un, c.un), 6) AS similarity FROM un q CROSS JOIN un c),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, neighbor_id) AS INTEGER) AS rank
+      FROM s)
+SELECT query_id, rank, neighbor_id, similarity, label FROM r WHERE rank <= 10"""
