@@ -13,7 +13,8 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgrid.operators import corpus, entities, negatives, sequences, specificity, vectors
+from corpusgrid.functions.arrays import argmax
+from corpusgrid.operators import corpus, entities, evaluate, negatives, sequences, specificity, vectors
 from corpusgrid.sources.tables import read_table, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -206,3 +207,72 @@ def q_nearest_neighbors(spark, sf_dir):
     nn = vectors.nearest_neighbors(e, e, k=10, query_id="vec_id", corpus_id="vec_id")
     lab = read_table(spark, sf_dir, "embeddings", ["vec_id", "label"]).withColumnRenamed("vec_id", "neighbor_id")
     return nn.join(lab, "neighbor_id").select("query_id", "rank", "neighbor_id", "similarity", "label")
+
+
+# ---------------------------------------------------------------- W24 - W27
+def _dim(df, vec_col="embedding"):
+    return df.select(F.size(vec_col)).first()[0]
+
+
+def _centroid_predictions(spark, sf_dir):
+    """(vec_id, label, scores, truth one-hot, predicted label) from a nearest-centroid model."""
+    e = _emb(spark, sf_dir)
+    cents = evaluate.class_centroids(e, "embedding", "label", _dim(e))
+    scores, labels = evaluate.nearest_centroid_scores(e, cents, "embedding", "vec_id")
+    coded, num = sequences.label_codes(e.select("vec_id", "label"), "label", "code")
+    truth = sequences.one_hot_labels(coded, "code", num, "truth")
+    lab_arr = F.array(*[F.lit(x) for x in labels])
+    return (scores.join(truth, "vec_id")
+            .withColumn("predicted", F.element_at(lab_arr, (argmax(F.col("scores")) + 1).cast("int"))))
+
+
+@register("accuracy")
+def q_accuracy(spark, sf_dir):
+    acc = evaluate.accuracy(_centroid_predictions(spark, sf_dir), "scores", "truth")
+    return acc.select(r6("accuracy").alias("accuracy"), "n")
+
+
+def _vm(df, a, b):
+    return evaluate.v_measure(df, a, b).select(
+        r6("homogeneity").alias("homogeneity"), r6("completeness").alias("completeness"),
+        r6("v_measure").alias("v_measure"), "n")
+
+
+@register("v_measure")
+def q_v_measure(spark, sf_dir):
+    return _vm(_centroid_predictions(spark, sf_dir), "label", "predicted")
+
+
+@register("v_measure_labels")
+def q_v_measure_labels(spark, sf_dir):
+    return _vm(read_table(spark, sf_dir, "labels", ["quality", "toxic"]), "quality", "toxic")
+
+
+@register("kmeans_clusters")
+def q_kmeans_clusters(spark, sf_dir):
+    return evaluate.kmeans_clusters(_emb(spark, sf_dir), k=40, id_col="vec_id")
+
+
+@register("kmeans_v_measure")
+def q_kmeans_v_measure(spark, sf_dir):
+    e = _emb(spark, sf_dir)
+    cl = evaluate.kmeans_clusters(e, k=40, id_col="vec_id")
+    return _vm(cl.join(e.select("vec_id", "label"), "vec_id"), "label", "cluster")
+
+
+@register("bisecting_clusters")
+def q_bisecting_clusters(spark, sf_dir):
+    return evaluate.bisecting_clusters(_emb(spark, sf_dir), k=40, id_col="vec_id")
+
+
+@register("hierarchical_clusters")
+def q_hierarchical_clusters(spark, sf_dir):
+    e = _emb(spark, sf_dir)
+    return evaluate.ward_clusters(e, k=40, id_col="vec_id", micro=min(1000, e.count()))
+
+
+@register("hierarchical_v_measure")
+def q_hierarchical_v_measure(spark, sf_dir):
+    e = _emb(spark, sf_dir)
+    cl = evaluate.ward_clusters(e, k=40, id_col="vec_id", micro=min(1000, e.count()))
+    return _vm(cl.join(e.select("vec_id", "label"), "vec_id"), "label", "cluster")

@@ -193,3 +193,36 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id AS neighbor_id, c.label,
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, neighbor_id) AS INTEGER) AS rank
       FROM s)
 SELECT query_id, rank, neighbor_id, similarity, label FROM r WHERE rank <= 10"""
+
+
+# ---------------------------------------------------------------- W25, W26
+_PRED = f"""{_UNIT},
+cd AS (SELECT label, dim, avg(val) AS c FROM (
+         SELECT label, UNNEST(un) AS val, UNNEST(generate_series(0, len(un) - 1)) AS dim FROM un) GROUP BY label, dim),
+cen AS (SELECT label, list(c ORDER BY dim) AS centroid FROM cd GROUP BY label),
+sc AS (SELECT un.vec_id, un.label AS truth, cen.label AS cls, list_dot_product(un.un, cen.centroid) AS score
+       FROM un CROSS JOIN cen),
+pr AS (SELECT vec_id, truth, cls, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, cls) AS r FROM sc),
+pred AS (SELECT vec_id, truth, cls FROM pr WHERE r = 1)"""
+
+
+def vmeasure_sql(source: str, a: str, b: str) -> str:
+    return f"""cells AS (SELECT {a} AS a_, {b} AS b_, count(*) AS n FROM {source} GROUP BY 1, 2),
+tn AS (SELECT sum(n) AS tot FROM cells),
+ma AS (SELECT a_, sum(n) AS s FROM cells GROUP BY a_),
+mb AS (SELECT b_, sum(n) AS s FROM cells GROUP BY b_),
+hc AS (SELECT -sum(s / tot * ln(s / tot)) AS hc FROM ma CROSS JOIN tn),
+hk AS (SELECT -sum(s / tot * ln(s / tot)) AS hk FROM mb CROSS JOIN tn),
+hck AS (SELECT -sum(n / tot * ln(n / s)) AS hck FROM cells JOIN mb USING (b_) CROSS JOIN tn),
+hkc AS (SELECT -sum(n / tot * ln(n / s)) AS hkc FROM cells JOIN ma USING (a_) CROSS JOIN tn),
+hm AS (SELECT CASE WHEN hc <= 1e-15 THEN 1.0 ELSE 1 - hck / hc END AS h,
+              CASE WHEN hk <= 1e-15 THEN 1.0 ELSE 1 - hkc / hk END AS c, tot
+       FROM hc CROSS JOIN hk CROSS JOIN hck CROSS JOIN hkc CROSS JOIN tn)
+SELECT round(h, 6) AS homogeneity, round(c, 6) AS completeness,
+       round(CASE WHEN h + c = 0 THEN 0 ELSE 2 * h * c / (h + c) END, 6) AS v_measure, CAST(tot AS BIGINT) AS n FROM hm"""
+
+
+SQL["accuracy"] = f"""WITH {_PRED}
+SELECT round(avg(CASE WHEN cls = truth THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n FROM pred"""
+SQL["v_measure"] = f"WITH {_PRED}, {vmeasure_sql('pred', 'truth', 'cls')}"
+SQL["v_measure_labels"] = f"WITH {vmeasure_sql('labels', 'quality', 'toxic')}"
