@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgrid.functions.arrays import argmax
-from corpusgrid.operators import corpus, entities, evaluate, negatives, sequences, specificity, vectors
+from corpusgrid.operators import corpus, entities, evaluate, models, negatives, sequences, specificity, vectors
+from corpusgrid.sources import store
 from corpusgrid.sources.tables import read_table, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -276,3 +277,54 @@ def q_hierarchical_v_measure(spark, sf_dir):
     e = _emb(spark, sf_dir)
     cl = evaluate.ward_clusters(e, k=40, id_col="vec_id", micro=min(1000, e.count()))
     return _vm(cl.join(e.select("vec_id", "label"), "vec_id"), "label", "cluster")
+
+
+# ---------------------------------------------------------------- W19, W23, W20, W7
+CLF = dict(dense_size=32, num_dense_layers=2, num_features=1024, max_iter=30, seed=42)
+
+
+def _classifier(spark, sf_dir):
+    d = _docs(spark, sf_dir, ("doc_id", "text", "lang"))
+    return d, models.train_classifier(d, "text", "lang", **CLF)
+
+
+@register("train_classifier")
+def q_train_classifier(spark, sf_dir):
+    """Language classifier over all texts; predictions for every text."""
+    d, m = _classifier(spark, sf_dir)
+    return models.predict(m, d).join(d.select("doc_id", "lang"), "doc_id").select("doc_id", "lang", "predicted")
+
+
+@register("batch_embeddings")
+def q_batch_embeddings(spark, sf_dir):
+    d, m = _classifier(spark, sf_dir)
+    return models.batch_embeddings(m, d, "text", "doc_id", batch_size=128)
+
+
+def _two_tower(spark, sf_dir):
+    texts = _texts(spark, sf_dir)
+    pairs = negatives.two_tower_pairs(texts, _negatives(spark, sf_dir, 1.0))
+    return pairs, models.train_two_tower(pairs, dense_size=32, num_features=1024, steps=10, seed=42)
+
+
+@register("train_two_tower")
+def q_train_two_tower(spark, sf_dir):
+    """Two-tower fit on positives + negatives; match probability of every pair."""
+    pairs, m = _two_tower(spark, sf_dir)
+    scored = models.two_tower_scores(m, pairs.select("doc_id", "sentence", "label", "is_positive",
+                                                     "source_doc_id"))
+    return scored
+
+
+@register("two_tower_embeddings")
+def q_two_tower_embeddings(spark, sf_dir):
+    _, m = _two_tower(spark, sf_dir)
+    return models.two_tower_embeddings(m, _docs(spark, sf_dir), "text", "doc_id")
+
+
+@register("export_tsv")
+def q_export_tsv(spark, sf_dir):
+    """Projector export rows: one tab-joined vector line and its label per vector."""
+    e = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"])
+    vec, lab = store.projector_rows(e, "embedding", "vec_id", "label", "vec_id")
+    return vec.join(lab.select("order", "label"), "order")
