@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from corpusgrid.functions.arrays import argmax
 from corpusgrid.operators import corpus, entities, evaluate, models, negatives, sequences, specificity, vectors
-from corpusgrid.sources import store
+from corpusgrid.sources import archive, store
+from corpusgrid.session import checkpoint_root
+from corpusgrid.streaming import ingest, lookup
 from corpusgrid.sources.tables import read_table, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -328,3 +330,104 @@ def q_export_tsv(spark, sf_dir):
     e = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"])
     vec, lab = store.projector_rows(e, "embedding", "vec_id", "label", "vec_id")
     return vec.join(lab.select("order", "label"), "order")
+
+
+# ---------------------------------------------------------------- W1 - W3, W28
+def archive_pages(spark, sf_dir):
+    """Archive pages (JSON text, up to 10 docs each) built from ``documents``,
+    with keys left out or nulled by fixed rules on the source/lang columns:
+    src3 no abstract key (dropped), src5 short pub_date (dropped), src17 no _id
+    (rejected), src9 no section_name ('EMPTY'), src11 null section_name, src13
+    no source key ('EMPTY'), es null abstract, fr null snippet, de no word_count."""
+    d = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source", "n_chars"])
+    src, lang, doc = F.col("source"), F.col("lang"), F.col("doc_id")
+    day = F.date_add(F.to_date(F.lit("2019-01-01")), (doc / 3).cast("int"))
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    clock = F.concat(two(doc % 24), F.lit(":"), two((doc * 7) % 60), F.lit(":"), two((doc * 13) % 60))
+    full_date = F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T"), clock, F.lit("+0000"))
+    pub = F.when(src == "src5", F.date_format(day, "yyyy-MM-dd")).otherwise(full_date)
+    t = F.lit(True)
+    jv = archive.json_value
+    doc_json = archive.doc_json([
+        ("_id", jv(F.concat(F.lit("d"), doc.cast("string"))), src != "src17"),
+        ("abstract", jv(F.when(lang == "es", F.lit(None)).otherwise(F.col("text"))), src != "src3"),
+        ("headline", F.concat(F.lit('{"main":'), jv(F.substring("text", 1, 60)), F.lit("}")), t),
+        ("news_desk", jv(src), t),
+        ("pub_date", jv(pub), t),
+        ("snippet", jv(F.when(lang == "fr", F.lit(None)).otherwise(F.substring("text", 1, 100))), t),
+        ("section_name", jv(F.when(src == "src11", F.lit(None)).otherwise(lang)), src != "src9"),
+        ("source", jv(F.lit("Archive")), src != "src13"),
+        ("type_of_material", jv(F.lit("News")), t),
+        ("word_count", jv((F.col("n_chars") / 5).cast("int")), lang != "de"),
+    ])
+    docs = d.select(F.year(day).alias("year"), F.month(day).alias("month"), (doc / 10).cast("long").alias("page"),
+                    doc_json.alias("j"))
+    return docs.groupBy("year", "month", "page").agg(archive.month_file_json(F.col("j")).alias("value"))
+
+
+ARTICLE_OUT = ("id", "abstract", "headline", "desk", "date", "time", "section", "snippet", "source", "type",
+               "word_count", "pub_date")
+
+
+@register("parse_articles")
+def q_parse_articles(spark, sf_dir):
+    articles, _ = archive.parse_archive(archive_pages(spark, sf_dir))
+    return articles.select(*ARTICLE_OUT)
+
+
+@register("archive_rejects")
+def q_archive_rejects(spark, sf_dir):
+    _, rejects = archive.parse_archive(archive_pages(spark, sf_dir))
+    return rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _orders_dates(spark, sf_dir):
+    return read_table(spark, sf_dir, "orders", ["o_orderkey", "o_orderdate"])
+
+
+@register("month_calendar")
+def q_month_calendar(spark, sf_dir):
+    o = _orders_dates(spark, sf_dir)
+    bounds = o.agg(F.trunc(F.min("o_orderdate"), "year").alias("s"), F.trunc(F.max("o_orderdate"), "month").alias("e"))
+    return archive.month_calendar_of(bounds, "s", "e")
+
+
+@register("month_report")
+def q_month_report(spark, sf_dir):
+    o = _orders_dates(spark, sf_dir)
+    bounds = o.agg(F.trunc(F.min("o_orderdate"), "year").alias("s"), F.trunc(F.max("o_orderdate"), "month").alias("e"))
+    return archive.month_report(archive.month_calendar_of(bounds, "s", "e"), o, "o_orderdate")
+
+
+@register("day_interval")
+def q_day_interval(spark, sf_dir):
+    o = _orders_dates(spark, sf_dir)
+    return o.select("o_orderkey", archive.day_interval(F.col("o_orderdate"), 7).alias("d")).select(
+        "o_orderkey", "d.that_day", "d.day_before")
+
+
+@register("incremental_ingest")
+def q_incremental_ingest(spark, sf_dir):
+    """Pages land as month folders of JSON-lines files; an availableNow stream ingests them."""
+    import uuid
+    base = f"{checkpoint_root(spark)}/ingest-{uuid.uuid4().hex}"
+    archive_pages(spark, sf_dir).select("year", "month", "value").write.partitionBy("year", "month").text(
+        f"{base}/source")
+    q = ingest.start_ingest(spark, f"{base}/source", f"{base}/target", f"{base}/checkpoint",
+                            rejects=f"{base}/rejects", whole_files=False)
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/target").select(*ARTICLE_OUT)
+
+
+@register("stream_neighbors")
+def q_stream_neighbors(spark, sf_dir):
+    """Query vectors arrive as parquet files (several micro-batches); answers per batch."""
+    import uuid
+    base = f"{checkpoint_root(spark)}/lookup-{uuid.uuid4().hex}"
+    e = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
+    e.repartition(4).write.parquet(f"{base}/queries")
+    qs = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/queries")
+    q = lookup.start_lookup(spark, qs, _emb(spark, sf_dir), f"{base}/answers", f"{base}/checkpoint",
+                            k=10, query_id="vec_id", corpus_id="vec_id")
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/answers").select("query_id", "rank", "neighbor_id", "similarity")

@@ -226,3 +226,41 @@ SQL["accuracy"] = f"""WITH {_PRED}
 SELECT round(avg(CASE WHEN cls = truth THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n FROM pred"""
 SQL["v_measure"] = f"WITH {_PRED}, {vmeasure_sql('pred', 'truth', 'cls')}"
 SQL["v_measure_labels"] = f"WITH {vmeasure_sql('labels', 'quality', 'toxic')}"
+
+
+# ---------------------------------------------------------------- W1 - W3, W28
+_EXPECTED_ARTICLES = """SELECT 'd' || CAST(doc_id AS VARCHAR) AS id,
+  CASE WHEN lang = 'es' THEN NULL ELSE text END AS abstract,
+  substr(text, 1, 60) AS headline, source AS desk,
+  strftime(day, '%Y-%m-%d') AS date,
+  lpad(CAST(doc_id % 24 AS VARCHAR), 2, '0') || ':' || lpad(CAST((doc_id * 7) % 60 AS VARCHAR), 2, '0') || ':'
+    || lpad(CAST((doc_id * 13) % 60 AS VARCHAR), 2, '0') AS time,
+  CASE WHEN source = 'src9' THEN 'EMPTY' WHEN source = 'src11' THEN NULL ELSE lang END AS section,
+  CASE WHEN lang = 'fr' THEN NULL ELSE substr(text, 1, 100) END AS snippet,
+  CASE WHEN source = 'src13' THEN 'EMPTY' ELSE 'Archive' END AS source,
+  'News' AS type,
+  CASE WHEN lang = 'de' THEN 0 ELSE CAST(trunc(n_chars / 5) AS INTEGER) END AS word_count,
+  day AS pub_date
+FROM (SELECT *, CAST(DATE '2019-01-01' + CAST(trunc(doc_id / 3) AS INTEGER) AS DATE) AS day FROM documents)
+WHERE source NOT IN ('src3', 'src5', 'src17')"""
+SQL["parse_articles"] = _EXPECTED_ARTICLES
+SQL["incremental_ingest"] = _EXPECTED_ARTICLES
+SQL["archive_rejects"] = """SELECT 'document without _id' AS reason, count(*) AS n FROM documents WHERE source = 'src17'"""
+_BOUNDS = """b AS (SELECT CAST(date_trunc('year', min(o_orderdate)) AS DATE) AS s,
+                CAST(date_trunc('month', max(o_orderdate)) AS DATE) AS e FROM orders),
+cal AS (SELECT CAST(year(m) AS INTEGER) AS year, CAST(month(m) AS INTEGER) AS month
+        FROM (SELECT UNNEST(generate_series(s, e, INTERVAL 1 MONTH)) AS m FROM b))"""
+SQL["month_calendar"] = f"WITH {_BOUNDS} SELECT year, month FROM cal"
+SQL["month_report"] = f"""WITH {_BOUNDS},
+c AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month,
+             count(*) AS n FROM orders GROUP BY 1, 2)
+SELECT cal.year, cal.month, CAST(coalesce(c.n, 0) AS BIGINT) AS n_rows FROM cal LEFT JOIN c USING (year, month)"""
+SQL["day_interval"] = """SELECT o_orderkey,
+  CAST(strftime(CAST(o_orderdate AS DATE) - 7, '%Y%m%d') AS INTEGER) AS that_day,
+  CAST(strftime(CAST(o_orderdate AS DATE) - 8, '%Y%m%d') AS INTEGER) AS day_before FROM orders"""
+SQL["stream_neighbors"] = f"""WITH {_UNIT},
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS neighbor_id,
+             round(list_dot_product(q.un, c.un), 6) AS similarity FROM un q CROSS JOIN un c),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, neighbor_id) AS INTEGER) AS rank
+      FROM s)
+SELECT query_id, rank, neighbor_id, similarity FROM r WHERE rank <= 10"""
