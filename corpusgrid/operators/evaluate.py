@@ -21,7 +21,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans, KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,11 +131,16 @@ def v_measure(df: DataFrame, label_col: str, cluster_col: str, beta: float = 1.0
     return out.select("homogeneity", "completeness", v.alias("v_measure"), "n")
 
 
-def class_centroids(df: DataFrame, vec_col: str, label_col: str, dim: int) -> DataFrame:
-    """(label, centroid array<double>) = mean unit vector per label (partial aggregates)."""
-    u = df.select(F.col(label_col).alias("label"), unit_vector(F.col(vec_col)).alias("u")).where(F.col("u").isNotNull())
-    aggs = [F.avg(F.col("u")[i]).alias(f"_c{i}") for i in range(dim)]
-    return u.groupBy("label").agg(*aggs).select("label", F.array(*[f"_c{i}" for i in range(dim)]).alias("centroid"))
+def class_centroids(df: DataFrame, vec_col: str, label_col: str, dim: int | None = None) -> DataFrame:
+    """(label, centroid array<double>) = mean unit vector per label.
+
+    ``Summarizer.mean`` is one vectorised aggregate with a partial (map-side)
+    phase, so a label holding a third of the rows costs one partial row per task.
+    """
+    u = (df.select(F.col(label_col).alias("label"), unit_vector(F.col(vec_col)).alias("u"))
+         .where(F.col("u").isNotNull())
+         .select("label", array_to_vector("u").alias("u")))
+    return u.groupBy("label").agg(vector_to_array(Summarizer.mean(F.col("u"))).alias("centroid"))
 
 
 def _centroid_scorer(bc, id_col: str):

@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 
 from corpusgrid.functions.draws import hash_number
 from corpusgrid.operators.ranking import global_rank
-from corpusgrid.session import materialize
 
 log = logging.getLogger(__name__)
 
@@ -98,17 +97,16 @@ def negative_pairs(texts: DataFrame, mentions: DataFrame, ratio: float = 1.0, se
         info["shortfall_rows"] = target
         log.warning("negative pairs: no text has an entity; 0 of %d rows", target)
         return (empty, info) if return_info else empty
-    inc = materialize(inc, "incidence_idx")
     labels = t.select("doc_id", "label")
     m = max(64, math.ceil(need * 1.5))
     for rnd in range(max_rounds):
-        acc = materialize(_accepted_pairs(spark, inc, n_inc, labels, m, seed), "neg_pairs")
-        got = acc.count()
+        # written once per round by global_rank; its row count decides the next round
+        ranked, got = global_rank(_accepted_pairs(spark, inc, n_inc, labels, m, seed), ["k"],
+                                  rank_col="pr", label="neg_pairs")
         info.update(draws=m, pairs_accepted=got, rounds=rnd + 1)
         if got >= need:
             break
         m *= 2
-    ranked, _ = global_rank(acc, ["k"], rank_col="pr", label="neg_rank")
     kept = ranked.where(F.col("pr") < need)
     rows = kept.select(F.explode(F.array(
         F.struct(F.col("a").alias("doc_id"), F.col("label_b").alias("label"), F.col("b").alias("source_doc_id"),

@@ -52,12 +52,15 @@ def article_specificity(mentions: DataFrame, token_scores: DataFrame, on_unseen:
     """
     scores = token_scores.select("type", "token", "score")
     j = mentions.join(scores, ["type", "token"], "left")
+    score = F.col("score")
     if on_unseen == "error":
-        j = j.withColumn("_ok", F.assert_true(F.col("token").isNull() | F.col("score").isNotNull(),
-                                              F.lit("mention with no token score")))
+        # assert_true yields null when the check holds; it sits inside the
+        # aggregated value so the optimizer cannot prune it
+        ok = F.assert_true(F.col("token").isNull() | score.isNotNull(), F.lit("mention with no token score"))
+        score = F.coalesce(ok.cast("double"), score)
     elif on_unseen != "null":
         raise ValueError("on_unseen must be 'null' or 'error'")
-    return j.groupBy("doc_id").agg(F.count("token").alias("n_mentions"), F.avg("score").alias("score"))
+    return j.groupBy("doc_id").agg(F.count("token").alias("n_mentions"), F.avg(score).alias("score"))
 
 
 def specificity_scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",

@@ -193,7 +193,9 @@ def q_one_hot_labels(spark, sf_dir):
 
 # ---------------------------------------------------------------- W21, W22
 def _emb(spark, sf_dir):
-    return spread(read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"]))
+    # small fixed-width table: the per-row work is a few dot products, so the
+    # scan is not spread (a round-robin shuffle would cost more than it saves)
+    return read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"])
 
 
 @register("unit_vectors")
@@ -220,7 +222,7 @@ def _dim(df, vec_col="embedding"):
 def _centroid_predictions(spark, sf_dir):
     """(vec_id, label, scores, truth one-hot, predicted label) from a nearest-centroid model."""
     e = _emb(spark, sf_dir)
-    cents = evaluate.class_centroids(e, "embedding", "label", _dim(e))
+    cents = evaluate.class_centroids(e, "embedding", "label")
     scores, labels = evaluate.nearest_centroid_scores(e, cents, "embedding", "vec_id")
     coded, num = sequences.label_codes(e.select("vec_id", "label"), "label", "code")
     truth = sequences.one_hot_labels(coded, "code", num, "truth")

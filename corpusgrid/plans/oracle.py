@@ -6,7 +6,7 @@ are imported, not repeated, so both sides always use the same constants.
 
 from __future__ import annotations
 
-from corpusgrid.functions.text import ACCENTED, DEFAULT_ENTITY_RULES, MAX_CHARS_PER_WORD, UNACCENTED, WORD_PATTERN
+from corpusgrid.functions.text import ACCENTED, DEFAULT_ENTITY_RULES, MAX_CHARS_PER_WORD, UNACCENTED, WORD_PATTERN_POSIX
 from corpusgrid.operators.sequences import CONTINUATION, SPECIALS
 
 SQL: dict[str, str] = {}
@@ -123,7 +123,7 @@ UNION ALL SELECT doc_id, label, source_doc_id, 0 AS is_positive, '1,0' AS target
 
 # ---------------------------------------------------------------- W18, W12
 def _words_expr(col: str = "text") -> str:
-    return f"regexp_extract_all(translate(lower({col}), {_q(ACCENTED)}, {_q(UNACCENTED)}), {_q(WORD_PATTERN)})"
+    return f"regexp_extract_all(translate(lower({col}), {_q(ACCENTED)}, {_q(UNACCENTED)}), {_q(WORD_PATTERN_POSIX)})"
 
 
 def vocab_sql(size: int) -> str:
