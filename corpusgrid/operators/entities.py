@@ -36,9 +36,12 @@ def extract_mentions(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     types = [t for t, _ in rules]
     if len(set(types)) != len(types):
         raise ValueError("one pattern per entity type; join alternatives with '|'")
-    explode = F.inline_outer if keep_empty else F.inline
-    return (docs.select(F.col(id_col).alias("doc_id"), mention_array(F.col(text_col), rules).alias("m"))
-            .select("doc_id", explode("m")))
+    # inline_outer + a null filter, not inline: for an inner generator the
+    # optimizer infers ``size(m) > 0`` and pushes that copy of the whole
+    # extraction below the preceding exchange, running the regexes twice
+    out = (docs.select(F.col(id_col).alias("doc_id"), mention_array(F.col(text_col), rules).alias("m"))
+           .select("doc_id", F.inline_outer("m")))
+    return out if keep_empty else out.where(F.col("type").isNotNull())
 
 
 def extract_with_function(docs: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]],
@@ -67,7 +70,7 @@ def extract_gazetteer(docs: DataFrame, gazetteer: DataFrame, max_n: int = 3,
     grams = [F.transform(F.when(F.size("w") >= n, F.sequence(F.lit(0), F.size("w") - n))
                          .otherwise(F.array().cast("array<int>")), gram_of(n))
              for n in range(1, max_n + 1)]
-    cand = w.where(F.size("w") > 0).select("doc_id", F.inline(F.concat(*grams)))
+    cand = w.select("doc_id", F.inline_outer(F.concat(*grams))).where(F.col("gram").isNotNull())
     phrases = gazetteer.select(F.col("phrase").alias("gram"), "type").dropDuplicates(["gram", "type"])
     hits = cand.join(broadcast_if_small(phrases, broadcast_rows), "gram")
     # pos identifies the mention by word offset and length; no extra shuffle

@@ -37,7 +37,9 @@ MAX_LITERAL_CLASSES = 10_000
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, count) over all texts; partial aggregation collapses hot words map side."""
-    return (docs.select(F.explode(words(F.col(text_col))).alias("word"))
+    # explode_outer + null filter: an inner explode would make the optimizer
+    # push a second copy of the word split below the preceding exchange
+    return (docs.select(F.explode_outer(words(F.col(text_col))).alias("word")).where(F.col("word").isNotNull())
             .groupBy("word").agg(F.count(F.lit(1)).alias("count")))
 
 

@@ -41,7 +41,7 @@ def parse_archive(raw: DataFrame, value_col: str = "value", keep: tuple[str, ...
                         F.from_json(F.col(value_col), ARCHIVE_SCHEMA).alias("_j"))
     bad_files = (parsed.where(F.col("_j.response.docs").isNull())
                  .select(*keep, F.lit("unreadable file").alias("reason"), F.lit(None).cast("string").alias("id")))
-    docs = parsed.select(*keep, F.explode("_j.response.docs").alias("m"))
+    docs = parsed.select(*keep, F.explode_outer("_j.response.docs").alias("m")).where(F.col("m").isNotNull())
     m = F.col("m")
     has_required = F.lit(True)
     for k in REQUIRED_KEYS:
