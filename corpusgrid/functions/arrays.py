@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -26,10 +26,22 @@ def squared_norm(vec: Column) -> Column:
     return F.aggregate(vec, F.lit(0.0).cast("double"), lambda acc, x: acc + x.cast("double") * x.cast("double"))
 
 
-def unit_vector(vec: Column) -> Column:
-    """Vector divided by its L2 norm; a zero (or null) vector gives null."""
-    norm = F.sqrt(squared_norm(vec))
-    return F.when(norm > 0, F.transform(vec, lambda x: x.cast("double") / norm))
+def with_unit_vector(df: DataFrame, vec_col: str, out_col: str, drop_zero: bool = False) -> DataFrame:
+    """Add ``out_col`` = vector / L2 norm (array<double>); zero or null vector -> null
+    (or, with ``drop_zero``, the row is dropped).
+
+    The norm is its own projection: written inline inside the ``transform``
+    lambda it would be re-aggregated for every element (O(d^2) per row).  For
+    the same reason rows are dropped by a filter on the norm, never by a
+    null test on the result (a pushed-down copy of that test would inline it).
+    """
+    tmp = f"_norm_{out_col}"
+    out = df.withColumn(tmp, F.sqrt(squared_norm(F.col(vec_col))))
+    if drop_zero:
+        out = out.where(F.col(tmp) > 0)
+    return (out.withColumn(out_col, F.when(F.col(tmp) > 0,
+                                           F.transform(F.col(vec_col), lambda x: x.cast("double") / F.col(tmp))))
+            .drop(tmp))
 
 
 def dot(a: Column, b: Column) -> Column:

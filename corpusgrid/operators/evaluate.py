@@ -26,7 +26,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusgrid.functions.arrays import argmax, unit_vector
+from corpusgrid.functions.arrays import argmax, with_unit_vector
 
 
 def _features(df: DataFrame, vec_col: str) -> DataFrame:
@@ -137,8 +137,7 @@ def class_centroids(df: DataFrame, vec_col: str, label_col: str, dim: int | None
     ``Summarizer.mean`` is one vectorised aggregate with a partial (map-side)
     phase, so a label holding a third of the rows costs one partial row per task.
     """
-    u = (df.select(F.col(label_col).alias("label"), unit_vector(F.col(vec_col)).alias("u"))
-         .where(F.col("u").isNotNull())
+    u = (with_unit_vector(df.select(F.col(label_col).alias("label"), F.col(vec_col).alias("_v")), "_v", "u", drop_zero=True)
          .select("label", array_to_vector("u").alias("u")))
     return u.groupBy("label").agg(vector_to_array(Summarizer.mean(F.col("u"))).alias("centroid"))
 
@@ -172,6 +171,6 @@ def nearest_centroid_scores(df: DataFrame, centroids: DataFrame, vec_col: str =
     labels = [r["label"] for r in rows]
     cmat = np.array([r["centroid"] for r in rows], dtype=np.float64)
     bc = df.sparkSession.sparkContext.broadcast((labels, cmat))
-    u = df.select(F.col(id_col), unit_vector(F.col(vec_col)).alias("_u")).where(F.col("_u").isNotNull())
+    u = (with_unit_vector(df.select(F.col(id_col), F.col(vec_col).alias("_v")), "_v", "_u", drop_zero=True).select(id_col, "_u"))
     schema = f"{id_col} {dict(df.dtypes)[id_col]}, scores array<double>"
     return u.mapInArrow(_centroid_scorer(bc, id_col), schema), labels

@@ -17,10 +17,8 @@ split once per batch (P7).
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpusgrid.functions.arrays import one_hot, pad_truncate
 from corpusgrid.functions.text import MAX_CHARS_PER_WORD, words
@@ -92,24 +90,45 @@ def _wordpiece(word: str, vocab: dict, unk: int) -> list[int]:
     return out
 
 
-def _piece_udf(bvocab, unk: int, cls: int, sep: int):
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def pieces(ws: pd.Series) -> pd.Series:
+MEMO_LIMIT = 200_000
+
+
+def _encoder(bvocab, unk: int, cls: int, sep: int):
+    """Arrow batches of (doc_id, words joined by one space) -> (doc_id, ids).
+
+    A word never contains a space (white space splits words), so joining by a
+    space and splitting again is exact and moves one string per text instead of
+    an array of strings.  Words found whole in the vocabulary take the fast
+    path; others are split once per task (memo, bounded) by word-piece.
+    """
+    def encode(batches):
+        import pyarrow as pa
         vocab = bvocab.value
+        vget = vocab.get
         memo: dict[str, list[int]] = {}
-        out = []
-        for row in ws:
-            ids = [cls]
-            if row is not None:
-                for w in row:
-                    p = memo.get(w)
-                    if p is None:
-                        p = memo[w] = _wordpiece(w, vocab, unk)
-                    ids.extend(p)
-            ids.append(sep)
-            out.append(ids)
-        return pd.Series(out)
-    return pieces
+        for rb in batches:
+            texts = rb.column("_w").to_pylist()
+            flat: list[int] = []
+            offsets = [0]
+            for s in texts:
+                flat.append(cls)
+                if s:
+                    for w in s.split(" "):
+                        i = vget(w)
+                        if i is not None and len(w) <= MAX_CHARS_PER_WORD:
+                            flat.append(i)
+                            continue
+                        p = memo.get(w)
+                        if p is None:
+                            if len(memo) >= MEMO_LIMIT:
+                                memo.clear()
+                            p = memo[w] = _wordpiece(w, vocab, unk)
+                        flat.extend(p)
+                flat.append(sep)
+                offsets.append(len(flat))
+            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+            yield pa.RecordBatch.from_arrays([rb.column("doc_id"), ids], names=["doc_id", "_ids"])
+    return encode
 
 
 def encode_sequences(docs: DataFrame, vocab: DataFrame, text_col: str = "text", id_col: str = "doc_id",
@@ -125,8 +144,9 @@ def encode_sequences(docs: DataFrame, vocab: DataFrame, text_col: str = "text",
     table = {r["piece"]: int(r["id"]) for r in rows}
     unk, cls, sep = table["[UNK]"], table["[CLS]"], table["[SEP]"]
     bvocab = spark.sparkContext.broadcast(table)
-    udf = _piece_udf(bvocab, unk, cls, sep)
-    full = docs.select(F.col(id_col).alias("doc_id"), udf(words(F.col(text_col))).alias("_ids"))
+    id_type = dict(docs.dtypes)[id_col]
+    joined = docs.select(F.col(id_col).alias("doc_id"), F.array_join(words(F.col(text_col)), " ").alias("_w"))
+    full = joined.mapInArrow(_encoder(bvocab, unk, cls, sep), f"doc_id {id_type}, _ids array<int>")
     ids = F.col("_ids")
     if keep_sep:
         cut = F.when(F.size(ids) > max_seq_length,

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusgrid.functions.arrays import unit_vector
+from corpusgrid.functions.arrays import with_unit_vector
 from corpusgrid.operators.ranking import global_rank
 from corpusgrid.session import materialize
 
@@ -32,7 +32,7 @@ EPS = 2e-6
 
 def unit_vectors(df: DataFrame, vec_col: str = "embedding", out_col: str = "unit") -> DataFrame:
     """Add ``out_col`` = vec / ||vec|| (array<double>); zero vectors -> null."""
-    return df.withColumn(out_col, unit_vector(F.col(vec_col)))
+    return with_unit_vector(df, vec_col, out_col)
 
 
 def _prune(q: np.ndarray, s: np.ndarray, k: int, eps: float) -> np.ndarray:
@@ -86,10 +86,12 @@ def nearest_neighbors(queries: DataFrame, corpus: DataFrame, k: int = 10, query_
     ``digits`` places and ties are broken by the smaller id.
     """
     spark = queries.sparkSession
-    qn = (queries.select(F.col(query_id).cast("long").alias("query_id"), unit_vector(F.col(query_vec)).alias("u"))
-          .where(F.col("u").isNotNull()))
-    cn = (corpus.select(F.col(corpus_id).cast("long").alias("cid"), unit_vector(F.col(corpus_vec)).alias("_u"))
-          .where(F.col("_u").isNotNull()))
+    qn = (with_unit_vector(queries.select(F.col(query_id).cast("long").alias("query_id"),
+                                          F.col(query_vec).alias("_v")), "_v", "u", drop_zero=True)
+         .select("query_id", "u"))
+    cn = (with_unit_vector(corpus.select(F.col(corpus_id).cast("long").alias("cid"),
+                                         F.col(corpus_vec).alias("_v")), "_v", "_u", drop_zero=True)
+         .select("cid", "_u"))
     head = qn.limit(block_size + 1).collect()
     if len(head) <= block_size:
         blocks = [head]
