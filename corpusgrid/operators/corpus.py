@@ -7,8 +7,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusgrid.functions.draws import hash_order
-from corpusgrid.operators.ranking import global_rank
+from corpusgrid.functions.draws import hash_number
+from corpusgrid.operators.ranking import key_ge, key_le, key_table, kth_key
 
 
 def scored_scan(df: DataFrame, score_col: str = "score", id_col: str | None = "doc_id",
@@ -30,45 +30,65 @@ def scored_scan(df: DataFrame, score_col: str = "score", id_col: str | None = "d
     return out.orderBy(F.col(score_col), F.col(id_col))
 
 
+TOPK_LIMIT = 100_000
+
+
 def sample_rows(df: DataFrame, n: int, seed: int = 42, id_col: str = "doc_id") -> DataFrame:
     """Exactly min(n, rows) rows without replacement, reproducible.
 
-    Rows are ordered by a seeded hash of the id and the first n kept; planned
-    as TakeOrderedAndProject (per-partition top-n, one merge of n rows per
-    partition), so n is bounded by the caller, not by the data.
+    Rows are ordered by a seeded 48-bit hash of the id (ties by id) and the first
+    n kept.  Up to ``TOPK_LIMIT`` rows this is ``orderBy().limit()``
+    (TakeOrderedAndProject: per-partition top-n, one merge); above it the exact
+    cut key is found with ``kth_key`` and the sample is a narrow filter.
     """
-    return df.orderBy(hash_order(F.col(id_col), seed), F.col(id_col)).limit(n)
+    h = hash_number(F.col(id_col), "sample", seed)
+    if n <= TOPK_LIMIT:
+        return df.orderBy(h, F.col(id_col)).limit(n)
+    keys, total = key_table(df, h, id_col, "sample_keys")
+    if n >= total:
+        return df
+    cut = kth_key(keys, "_x", id_col, n - 1)
+    return df.withColumn("_h", h).where(key_le("_h", id_col, cut)).drop("_h")
 
 
 def split_random(df: DataFrame, test_fraction: float = 0.25, seed: int = 42,
                  id_col: str = "doc_id", split_col: str = "split") -> DataFrame:
     """Exact split, ceil(test_fraction * n) rows in 'test', rest in 'train'.
 
-    The permutation is a seeded hash of the id; the rank comes from
-    ``global_rank`` (range partitioning), so no task sees more than its range.
+    The permutation is a seeded 48-bit hash of the id (ids must be unique).  The
+    cut is the exact key of rank n_test - 1, found by ``kth_key`` on the written
+    (hash, id) columns alone; the split itself is then a narrow projection --
+    no shuffle and no rewrite of the table.
     """
-    ranked, n = global_rank(df.withColumn("_h", hash_order(F.col(id_col), seed)),
-                            ["_h", id_col], rank_col="_r", label="split_random")
+    h = hash_number(F.col(id_col), "split", seed)
+    keys, n = key_table(df, h, id_col, "split_keys")
     n_test = math.ceil(test_fraction * n)
-    return (ranked.withColumn(split_col, F.when(F.col("_r") < n_test, "test").otherwise("train"))
-            .drop("_h", "_r"))
+    if n_test <= 0:
+        return df.withColumn(split_col, F.lit("train"))
+    cut = kth_key(keys, "_x", id_col, n_test - 1)
+    return (df.withColumn("_h", h)
+            .withColumn(split_col, F.when(key_le("_h", id_col, cut), "test").otherwise("train")).drop("_h"))
 
 
 def split_tail(df: DataFrame, score_col: str = "score", cutoff: float = 0.5, train_tail: bool = False,
                id_col: str = "doc_id", split_col: str = "split") -> DataFrame:
-    """c = int(cutoff * n) over rows in ascending score order.
+    """c = int(cutoff * n) over rows in ascending (score, id) order.
 
     'train' = the c highest-scored rows, 'test' = the c lowest (``train_tail``
     swaps the names).  For cutoff < 0.5 the middle rows are in neither part;
     for cutoff > 0.5 rows in the overlap appear once per part.  A cutoff that
-    gives c = 0 is rejected.
+    gives c = 0 is rejected.  Rows need a non-null, non-NaN score (``scored_scan``).
+    The two cut keys come from ``kth_key`` on the written (score, id) columns;
+    the split is a narrow projection of the input.
     """
-    ranked, n = global_rank(df, [F.col(score_col).asc_nulls_first(), F.col(id_col)], rank_col="_r",
-                            label="split_tail")
+    keys, n = key_table(df, F.col(score_col), id_col, "tail_keys")
     c = int(cutoff * n)
     if c <= 0 or cutoff > 1:
         raise ValueError(f"cutoff {cutoff} gives {c} rows of {n}; need 0 < int(cutoff*n) and cutoff <= 1")
+    low_cut = kth_key(keys, "_x", id_col, c - 1)        # last row of the bottom c
+    high_cut = kth_key(keys, "_x", id_col, n - c)       # first row of the top c
+    in_bottom = key_le(score_col, id_col, low_cut)
+    in_top = key_ge(score_col, id_col, high_cut)
     top, bottom = ("test", "train") if train_tail else ("train", "test")
-    parts = F.array_compact(F.array(F.when(F.col("_r") >= n - c, F.lit(top)),
-                                    F.when(F.col("_r") < c, F.lit(bottom))))
-    return ranked.withColumn(split_col, F.explode(parts)).drop("_r")
+    parts = F.array_compact(F.array(F.when(in_top, F.lit(top)), F.when(in_bottom, F.lit(bottom))))
+    return df.withColumn(split_col, F.explode(parts))

@@ -47,3 +47,75 @@ def global_rank(df: DataFrame, order_cols: list[Column | str], rank_col: str = "
         return ranged.drop("_pid", "_local").withColumn(rank_col, F.lit(0).cast("long")), 0
     off = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col("_pid") + 1)
     return ranged.withColumn(rank_col, off + F.col("_local")).drop("_pid", "_local"), run
+
+
+def kth_key(df: DataFrame, x_col: str, id_col: str, k: int, window_rows: int = 200_000,
+            max_iter: int = 12) -> tuple[float, int]:
+    """Exact key (x, id) of the row with 0-based rank ``k`` in (x, id) order.
+
+    Reads only the two key columns and moves no rows: each round brackets the
+    target rank with ``approxQuantile`` inside the current window, verifies the
+    bracket with exact counts, and narrows the window; a value shared by many
+    rows (a tie group, e.g. a third of all rows) is resolved by continuing on
+    ``id`` inside the group.  Once the window holds at most ``window_rows`` rows
+    they are ordered and the answer is read off (a bounded collect).  ``x``
+    must not be null or NaN and ``id`` must be unique.
+    """
+    x, i = F.col(x_col), F.col(id_col)
+    keys = df.select(x.cast("double").alias("_x"), i.cast("long").alias("_i"))
+    cond = F.lit(True)
+    fixed_x = None          # set once the answer is known to lie in one tie group
+    below = 0               # rows ordered before the window
+    for _ in range(max_iter):
+        win = keys.where(cond)
+        m = win.count()
+        target = k - below
+        if not 0 <= target < m:
+            raise ValueError(f"rank {k} outside the {below + m} rows")
+        if m <= window_rows:
+            rows = win.orderBy("_x", "_i").limit(target + 1).collect()
+            r = rows[target]
+            return float(r["_x"]), int(r["_i"])
+        col = "_i" if fixed_x is not None else "_x"
+        c = F.col(col)
+        f = (target + 0.5) / m
+        delta = window_rows / (4.0 * m)
+        a, b = win.approxQuantile(col, [max(0.0, f - delta), min(1.0, f + delta)], delta / 4)
+        cnt = win.agg(*[F.sum(F.when(cond_, 1).otherwise(0)).alias(name) for name, cond_ in
+                        (("lt_a", c < a), ("le_a", c <= a), ("lt_b", c < b), ("le_b", c <= b))]).collect()[0]
+        lt_a, le_a, lt_b, le_b = (int(cnt[n] or 0) for n in ("lt_a", "le_a", "lt_b", "le_b"))
+        if lt_a <= target < le_a or lt_b <= target < le_b:
+            # the target sits in the tie group of one bracket end: keep only that group
+            v, lt = (a, lt_a) if lt_a <= target < le_a else (b, lt_b)
+            cond = cond & (c == v)
+            if fixed_x is None:
+                fixed_x = v           # order by id inside the group from now on
+            below += lt
+        elif le_a <= target < lt_b:
+            cond = cond & (c > a) & (c < b)
+            below += le_a
+        elif target < lt_a:           # bracket above the target (not expected): keep the lower part
+            cond = cond & (c < a)
+        else:                         # bracket below the target (not expected): keep the upper part
+            cond = cond & (c > b)
+            below += le_b
+    raise RuntimeError("order statistic did not converge")
+
+
+def key_le(x_col: str, id_col: str, key: tuple[float, int]) -> Column:
+    """(x, id) <= key in lexicographic order."""
+    x, i = F.col(x_col).cast("double"), F.col(id_col)
+    return (x < F.lit(key[0])) | ((x == F.lit(key[0])) & (i <= F.lit(key[1])))
+
+
+def key_ge(x_col: str, id_col: str, key: tuple[float, int]) -> Column:
+    """(x, id) >= key in lexicographic order."""
+    x, i = F.col(x_col).cast("double"), F.col(id_col)
+    return (x > F.lit(key[0])) | ((x == F.lit(key[0])) & (i >= F.lit(key[1])))
+
+
+def key_table(df: DataFrame, x: Column, id_col: str, label: str) -> tuple[DataFrame, int]:
+    """Write only (_x, id) once (narrow) so that repeated order-statistic passes
+    do not recompute an expensive input; returns (table, row count)."""
+    keys = materialize(df.select(x.cast("double").alias("_x"), F.col(id_col).cast("long").alias(id_col)), label)
+    return keys, keys.count()

@@ -59,9 +59,11 @@ scan AS (SELECT min(doc_id) AS doc_id, text, source, score FROM j GROUP BY text,
 """
 SQL["scored_scan"] = f"WITH {_SCAN} SELECT doc_id, text, source, score FROM scan"
 SQL["sample_rows"] = """SELECT doc_id, source, n_chars FROM documents
-ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 100"""
+ORDER BY ('0x' || substr(md5('42:sample:' || CAST(doc_id AS VARCHAR)), 1, 12))::BIGINT, doc_id LIMIT 100"""
 SQL["split_random"] = """WITH r AS (
-  SELECT doc_id, source, row_number() OVER (ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS rk,
+  SELECT doc_id, source,
+         row_number() OVER (ORDER BY ('0x' || substr(md5('42:split:' || CAST(doc_id AS VARCHAR)), 1, 12))::BIGINT,
+                                     doc_id) - 1 AS rk,
          count(*) OVER () AS n FROM documents)
 SELECT doc_id, source, CASE WHEN rk < ceil(0.25 * n) THEN 'test' ELSE 'train' END AS split FROM r"""
 

@@ -65,3 +65,21 @@ def test_sample_rows(spark):
     assert len(s) == 7 and len({r["doc_id"] for r in s}) == 7
     assert corpus.sample_rows(df, 100).count() == 20
     assert [r["doc_id"] for r in corpus.sample_rows(df, 7, seed=1).collect()] == [r["doc_id"] for r in s]
+
+
+def test_kth_key_iterative_with_hot_tie(spark):
+    from corpusgrid.operators.ranking import kth_key
+    rows = [(i, 0.5 if i % 3 == 0 else float((i * 7919) % 1013) / 7) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, score double")
+    order = sorted(rows, key=lambda r: (r[1], r[0]))
+    for k in (0, 1, 499, 1000, 1500, 2999):
+        x, i = kth_key(df, "score", "doc_id", k, window_rows=40)
+        assert (i, x) == order[k]
+
+
+def test_large_sample_uses_cut(spark, monkeypatch):
+    df = spark.range(500).withColumnRenamed("id", "doc_id")
+    small = sorted(r["doc_id"] for r in corpus.sample_rows(df, 120, seed=3).collect())
+    monkeypatch.setattr(corpus, "TOPK_LIMIT", 10)
+    big = sorted(r["doc_id"] for r in corpus.sample_rows(df, 120, seed=3).collect())
+    assert small == big and len(big) == 120
