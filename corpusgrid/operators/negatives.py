@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgrid.functions.draws import hash_number
+from corpusgrid.operators.joins import broadcast_if_small
 from corpusgrid.operators.ranking import global_rank
 
 log = logging.getLogger(__name__)
@@ -52,9 +53,10 @@ def type_frequencies(mentions: DataFrame) -> DataFrame:
 
 def _indexed_incidence(mentions: DataFrame) -> tuple[DataFrame, int]:
     ranked, n_inc = global_rank(incidence(mentions), ["type", "doc_id"], rank_col="g", label="incidence")
-    # one row per type: bounded by the extractor's label set
+    # one row per entity type: broadcast once a count has shown it is small
     stats = ranked.groupBy("type").agg(F.min("g").alias("t_start"), F.count(F.lit(1)).alias("n_t"))
-    return ranked.join(F.broadcast(stats), "type").select("g", "doc_id", "type", "t_start", "n_t"), n_inc
+    stats = broadcast_if_small(stats)
+    return ranked.join(stats, "type").select("g", "doc_id", "type", "t_start", "n_t"), n_inc
 
 
 def _accepted_pairs(spark, inc: DataFrame, n_inc: int, labels: DataFrame, m: int, seed) -> DataFrame:

@@ -27,12 +27,13 @@ def token_counts(mentions: DataFrame) -> DataFrame:
             .groupBy("type", "token").agg(F.count(F.lit(1)).alias("count")))
 
 
-def token_specificity(mentions: DataFrame, closed_types: bool = True) -> DataFrame:
+def token_specificity(mentions: DataFrame, closed_types: bool = False) -> DataFrame:
     """(type, token, count, mean_count, score).
 
-    ``closed_types``: the extractor emits a fixed label set (true for rule
-    tables and for recognisers with a fixed tag set), so the per-type mean
-    table is broadcast; otherwise the join is left to the planner/AQE.
+    ``closed_types=True`` states that the types come from a fixed label set
+    (a rule table: one type per rule), which bounds the per-type mean table,
+    so it is broadcast; otherwise the join is left to AQE, which broadcasts it
+    after measuring its size at runtime.
     """
     counts = token_counts(mentions)
     means = counts.groupBy("type").agg(F.avg("count").alias("mean_count"))
@@ -73,7 +74,8 @@ def specificity_scores(docs: DataFrame, text_col: str = "text", id_col: str = "d
     mentions = extract_mentions(docs, text_col, id_col, rules, keep_empty=True)
     if persist_mentions:
         mentions = materialize(mentions, "mentions")
-    return article_specificity(mentions, token_specificity(mentions))
+    # rule tables give one type per rule: the per-type table is bounded
+    return article_specificity(mentions, token_specificity(mentions, closed_types=True))
 
 
 def top_specific(scored: DataFrame, k: int = 20, digits: int = 6, ascending: bool = False) -> DataFrame:

@@ -55,7 +55,7 @@ def q_token_counts(spark, sf_dir):
 
 @register("token_specificity")
 def q_token_specificity(spark, sf_dir):
-    t = specificity.token_specificity(_mentions(spark, sf_dir))
+    t = specificity.token_specificity(_mentions(spark, sf_dir), closed_types=True)
     return t.select("type", "token", "count", r6("mean_count").alias("mean_count"), r6("score").alias("score"))
 
 
