@@ -45,13 +45,16 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the checkpoint folder; set one only when the session has none.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is.
-    The fallback is for local tests only.
+    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
+    is; without it a cluster job fails fast.  The local fallback folder is for
+    local-mode tests only.
     """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None)
+    if not conf and not fallback and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     target = conf or fallback or os.path.join("/tmp", f"corpusgrid-ckpt-{uuid.uuid4().hex[:8]}")
     spark.sparkContext.setCheckpointDir(target)
     return spark.sparkContext.getCheckpointDir() or target
