@@ -190,6 +190,24 @@ def batch_embeddings(model: TextClassifier, df: DataFrame, text_col: str = "text
 
 
 
+def embed_with_function(df: DataFrame, encoder, text_col: str = "text", id_col: str = "doc_id",
+                        dim: int | None = None, batch_size: int = 128) -> DataFrame:
+    """W23 with a user encoder: ``encoder(list[str]) -> np.ndarray (n, dim)`` runs on
+    executors over chunks of ``batch_size`` texts; returns (id, embedding array<float>)."""
+    def run(batches):
+        for rb in batches:
+            texts = rb.column(text_col).to_pylist()
+            for s in range(0, len(texts), batch_size):
+                vecs = np.asarray(encoder(texts[s:s + batch_size]), dtype=np.float32)
+                if dim is not None and vecs.shape[1] != dim:
+                    raise ValueError(f"encoder returned width {vecs.shape[1]}, expected {dim}")
+                yield pa.RecordBatch.from_arrays(
+                    [rb.column(id_col).slice(s, batch_size), pa.array(list(vecs), type=pa.list_(pa.float32()))],
+                    names=[id_col, "embedding"])
+    schema = f"{id_col} {dict(df.dtypes)[id_col]}, embedding array<float>"
+    return df.select(id_col, text_col).mapInArrow(run, schema)
+
+
 # ----------------------------------------------------------------- W20
 LEAK = 0.3  # fixed value: slope of the leaky ReLU for negative inputs (Keras default)
 TT_NAMES = ("t1_w", "t1_b", "t2_w", "t2_b", "l1_w", "l1_b", "l2_w", "l2_b", "h_w", "h_b", "o_w", "o_b")

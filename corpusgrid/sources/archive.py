@@ -34,9 +34,11 @@ def _default(m: Column, key: str) -> Column:
     return F.when(F.map_contains_key(m, key), m[key]).otherwise(F.lit(MISSING))
 
 
-def parse_archive(raw: DataFrame, value_col: str = "value", keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+def parse_archive(raw: DataFrame, value_col: str = "value", keep: tuple[str, ...] = (),
+                  as_bytes: bool = False) -> tuple[DataFrame, DataFrame]:
     """Raw month files (one row per file, JSON text in ``value_col``) ->
-    (articles, rejects).  ``keep`` carries file-level columns (path, year, month)."""
+    (articles, rejects).  ``keep`` carries file-level columns (path, year, month).
+    ``as_bytes`` returns abstract, headline and snippet UTF-8 encoded (binary)."""
     parsed = raw.select(*keep, F.col(value_col).alias("_raw"),
                         F.from_json(F.col(value_col), ARCHIVE_SCHEMA).alias("_j"))
     bad_files = (parsed.where(F.col("_j.response.docs").isNull())
@@ -71,6 +73,9 @@ def parse_archive(raw: DataFrame, value_col: str = "value", keep: tuple[str, ...
         F.expr("try_to_timestamp(concat(substring(m['pub_date'], 1, 10), ' ', substring(m['pub_date'], 12, 8)))")
         .alias("pub_ts"),
     )
+    if as_bytes:
+        for c in ("abstract", "headline", "snippet"):
+            articles = articles.withColumn(c, F.encode(F.col(c), "UTF-8"))
     return articles, bad_files.unionByName(no_id)
 
 

@@ -22,13 +22,18 @@ def fingerprint(config: dict) -> str:
 
 
 def materialize_or_reuse(spark: SparkSession, path: str, build: Callable[[], DataFrame],
-                         partition_by: list[str] | None = None) -> DataFrame:
+                         partition_by: list[str] | None = None, config: dict | None = None) -> DataFrame:
     """Read the finished parquet dataset at ``path`` if there is one, else
-    build it, write it (atomic job commit writes ``_SUCCESS`` last) and read it."""
+    build it, write it (atomic job commit writes ``_SUCCESS`` last) and read it.
+    With ``config`` the dataset lives under ``path/<fingerprint(config)>``, so a
+    changed configuration never reuses a stale result."""
+    if config is not None:
+        path = f"{path.rstrip('/')}/{fingerprint(config)}"
     try:
+        spark.read.text(f"{path.rstrip('/')}/_SUCCESS")   # raises when the marker is missing
         return spark.read.parquet(path)
     except AnalysisException:
-        pass
+        pass                                              # absent or unfinished: rebuild
     w = build().write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)

@@ -16,8 +16,13 @@ from corpusgrid.operators.vectors import nearest_neighbors
 def start_lookup(spark: SparkSession, queries: DataFrame, corpus: DataFrame, sink: str, checkpoint: str,
                  k: int = 10, query_id: str = "query_id", corpus_id: str = "doc_id",
                  query_vec: str = "embedding", corpus_vec: str = "embedding",
-                 available_now: bool = True) -> StreamingQuery:
+                 available_now: bool = True, embed=None) -> StreamingQuery:
+    """``embed``: optional ``DataFrame -> DataFrame`` applied to each micro-batch
+    first (e.g. ``lambda b: batch_embeddings(model, b, id_col='query_id')`` for
+    arriving texts), so the stream can carry texts instead of vectors."""
     def each(batch: DataFrame, batch_id: int) -> None:
+        if embed is not None:
+            batch = embed(batch)
         nn = nearest_neighbors(batch, corpus, k=k, query_id=query_id, corpus_id=corpus_id,
                                query_vec=query_vec, corpus_vec=corpus_vec)
         nn.write.mode("overwrite").parquet(

@@ -106,3 +106,21 @@ def test_stream_lookup(spark, tmp_dir):
     q.awaitTermination()
     got = [(r["rank"], r["neighbor_id"]) for r in spark.read.parquet(f"{tmp_dir}/ans").orderBy("rank").collect()]
     assert got == [(1, 1), (2, 3)]
+
+
+def test_stream_lookup_of_texts(spark, tmp_dir):
+    corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "doc_id long, embedding array<double>")
+    qpath = f"{tmp_dir}/texts"
+    spark.createDataFrame([(7, "aaaa"), (8, "b")], "query_id long, text string").write.parquet(qpath)
+    qs = spark.readStream.schema("query_id long, text string").parquet(qpath)
+    embed = lambda b: b.select("query_id", F.array(F.length("text").cast("double"), F.lit(1.0)).alias("embedding"))
+    q = lookup.start_lookup(spark, qs, corpus, f"{tmp_dir}/ans3", f"{tmp_dir}/ck3", k=1, embed=embed)
+    q.awaitTermination()
+    got = {r["query_id"]: r["neighbor_id"] for r in spark.read.parquet(f"{tmp_dir}/ans3").collect()}
+    assert got == {7: 1, 8: 1}
+
+
+def test_parse_as_bytes(spark):
+    raw = spark.createDataFrame([(_month([_doc(_id="u", abstract="é")]),)], "value string")
+    art, _ = archive.parse_archive(raw, as_bytes=True)
+    assert bytes(art.collect()[0]["abstract"]) == "é".encode("utf8")

@@ -88,3 +88,22 @@ def test_store_reuse_and_export(spark, tmp_dir):
     paths2 = store.write_experiment(f"{tmp_dir}/exp", {"sentences": df.withColumn("split", F.lit("train"))},
                                     history=[{"step": 1, "loss": 0.5}])
     assert spark.read.parquet(paths2["sentences"]).count() == 2
+
+
+def test_user_encoder_and_config_keyed_reuse(spark, docs, tmp_dir):
+    def enc(texts):
+        return np.array([[len(t), t.count(" ")] for t in texts], dtype=float)
+    out = models.embed_with_function(docs, enc, dim=2, batch_size=16).collect()
+    assert len(out) == docs.count() and all(len(r["embedding"]) == 2 for r in out)
+    a = store.materialize_or_reuse(spark, f"{tmp_dir}/r", lambda: spark.range(3), config={"v": 1})
+    b = store.materialize_or_reuse(spark, f"{tmp_dir}/r", lambda: spark.range(5), config={"v": 2})
+    assert a.count() == 3 and b.count() == 5
+
+
+def test_unfinished_write_is_rebuilt(spark, tmp_dir):
+    import os
+    p = f"{tmp_dir}/half"
+    spark.range(2).write.parquet(p)
+    os.remove(f"{p}/_SUCCESS")              # as if the job died before committing
+    out = store.materialize_or_reuse(spark, p, lambda: spark.range(7))
+    assert out.count() == 7
