@@ -5,12 +5,14 @@ Plan for W22 (P4), never materialising queries x corpus:
 * both sides are unit-normalised with JVM array expressions; zero vectors
   become null and never match (nor ask);
 * queries are cut into blocks of at most ``block_size`` rows (checked with a
-  ``limit(block_size + 1)``; more queries are numbered with ``global_rank``
-  and fetched block by block), and one block at a time is shipped to the
-  executors as a broadcast matrix -- bounded by ``block_size x dim``;
-* ``mapInArrow`` over the corpus computes one matrix product per chunk of an
-  Arrow batch and keeps, per query, the rows within ``eps`` of the partition's
-  k-th best similarity (so ties and rounding cannot lose a true top-k row);
+  ``limit(block_size + 1)``, and capped so that block x dim stays under
+  ``MAX_BLOCK_VALUES``; more queries are numbered with ``global_rank`` and
+  fetched block by block); one block per corpus pass is shipped to the
+  executors as a broadcast matrix;
+* ``mapInArrow`` over the corpus computes one matrix product per
+  (corpus chunk x query chunk) and keeps, per query, the rows within ``eps`` of
+  the k-th best similarity seen so far, pruning after every Arrow batch (task
+  memory O(block x (k + ties)); ties and rounding cannot lose a true top-k row);
 * a final ``row_number`` per query over at most partitions x (k + ties)
   candidates orders by similarity rounded to ``digits`` and then by id.
 """
@@ -26,8 +28,10 @@ from corpusgrid.functions.arrays import with_unit_vector
 from corpusgrid.operators.ranking import global_rank
 from corpusgrid.session import materialize
 
-CHUNK_ROWS = 2048
+CHUNK_ROWS = 2048          # corpus rows per matrix product
+CHUNK_QUERIES = 4096       # queries per matrix product
 EPS = 2e-6
+MAX_BLOCK_VALUES = 16_000_000   # broadcast query block bound: rows x dim doubles (128 MB)
 
 
 def unit_vectors(df: DataFrame, vec_col: str = "embedding", out_col: str = "unit") -> DataFrame:
@@ -49,37 +53,41 @@ def _prune(q: np.ndarray, s: np.ndarray, k: int, eps: float) -> np.ndarray:
 def _scorer(bq, k: int, id_col: str, eps: float):
     def score(batches):
         qids, qmat = bq.value
-        cq, cc, cs = [], [], []
+        held_q = np.zeros(0, np.int64)
+        held_c = np.zeros(0, np.int64)
+        held_s = np.zeros(0, np.float64)
         for rb in batches:
             n = rb.num_rows
             if n == 0:
                 continue
             ids = rb.column(id_col).to_numpy(zero_copy_only=False)
-            vec = rb.column("_u")
-            flat = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+            flat = rb.column("_u").flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
             x = flat.reshape(n, -1)
-            for s in range(0, n, CHUNK_ROWS):
-                sims = x[s:s + CHUNK_ROWS] @ qmat.T
-                b = sims.shape[0]
-                kk = min(k, b)
-                kth = np.partition(sims, b - kk, axis=0)[b - kk]
-                r, c = np.nonzero(sims >= kth - eps)
-                cq.append(c)
-                cc.append(ids[s:s + CHUNK_ROWS][r])
-                cs.append(sims[r, c])
-        if not cq:
-            return
-        q, c, s = np.concatenate(cq), np.concatenate(cc), np.concatenate(cs)
-        keep = _prune(q, s, k, eps)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(qids[q[keep]]), pa.array(c[keep]), pa.array(s[keep])],
-            names=["query_id", "neighbor_id", "similarity"])
+            cq, cc, cs = [held_q], [held_c], [held_s]
+            for r0 in range(0, n, CHUNK_ROWS):
+                xr = x[r0:r0 + CHUNK_ROWS]
+                for q0 in range(0, len(qids), CHUNK_QUERIES):
+                    sims = xr @ qmat[q0:q0 + CHUNK_QUERIES].T
+                    b = sims.shape[0]
+                    kk = min(k, b)
+                    kth = np.partition(sims, b - kk, axis=0)[b - kk]
+                    r, c = np.nonzero(sims >= kth - eps)
+                    cq.append(c + q0)
+                    cc.append(ids[r0:r0 + CHUNK_ROWS][r])
+                    cs.append(sims[r, c])
+            q, c, sv = np.concatenate(cq), np.concatenate(cc), np.concatenate(cs)
+            keep = _prune(q, sv, k, eps)            # memory stays O(queries x (k + ties))
+            held_q, held_c, held_s = q[keep], c[keep], sv[keep]
+        if len(held_q):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(qids[held_q]), pa.array(held_c), pa.array(held_s)],
+                names=["query_id", "neighbor_id", "similarity"])
     return score
 
 
 def nearest_neighbors(queries: DataFrame, corpus: DataFrame, k: int = 10, query_id: str = "query_id",
                       corpus_id: str = "doc_id", query_vec: str = "embedding", corpus_vec: str = "embedding",
-                      block_size: int = 4096, digits: int = 6) -> DataFrame:
+                      block_size: int = 65536, digits: int = 6) -> DataFrame:
     """(query_id, rank, neighbor_id, similarity) with rank 1 = most similar.
 
     Fewer than k corpus rows -> all of them.  ``similarity`` is rounded to
@@ -92,6 +100,9 @@ def nearest_neighbors(queries: DataFrame, corpus: DataFrame, k: int = 10, query_
     cn = (with_unit_vector(corpus.select(F.col(corpus_id).cast("long").alias("cid"),
                                          F.col(corpus_vec).alias("_v")), "_v", "_u", drop_zero=True)
          .select("cid", "_u"))
+    first = qn.select("u").first()
+    dim = len(first["u"]) if first else 1
+    block_size = max(1, min(block_size, MAX_BLOCK_VALUES // max(dim, 1)))
     head = qn.limit(block_size + 1).collect()
     if len(head) <= block_size:
         blocks = [head]

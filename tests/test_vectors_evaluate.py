@@ -106,3 +106,18 @@ def test_clusterings_cover_all_rows(spark):
     truth = spark.createDataFrame([(i, i % 3) for i in range(120)], "doc_id long, label int")
     vm = evaluate.v_measure(w.join(truth, "doc_id"), "label", "cluster").collect()[0]
     assert w.count() == 120 and vm["v_measure"] > 0.99
+
+
+def test_neighbors_small_chunks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CHUNK_QUERIES", 3)
+    monkeypatch.setattr(vectors, "CHUNK_ROWS", 16)
+    rng = np.random.default_rng(11)
+    corpus = {i: rng.normal(size=5) for i in range(200)}
+    queries = {1000 + i: rng.normal(size=5) for i in range(25)}
+    cdf = spark.createDataFrame([(k, v.tolist()) for k, v in corpus.items()], "doc_id long, embedding array<double>").repartition(3)
+    qdf = spark.createDataFrame([(k, v.tolist()) for k, v in queries.items()], "query_id long, embedding array<double>")
+    nn = vectors.nearest_neighbors(qdf, cdf, k=7).collect()
+    got = {}
+    for r in sorted(nn, key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append(r["neighbor_id"])
+    assert got == _brute(queries, corpus, 7)
