@@ -210,7 +210,6 @@ def embed_with_function(df: DataFrame, encoder, text_col: str = "text", id_col:
 
 # ----------------------------------------------------------------- W20
 LEAK = 0.3  # fixed value: slope of the leaky ReLU for negative inputs (Keras default)
-TT_NAMES = ("t1_w", "t1_b", "t2_w", "t2_b", "l1_w", "l1_b", "l2_w", "l2_b", "h_w", "h_b", "o_w", "o_b")
 
 
 def _leaky(z):
@@ -221,37 +220,60 @@ def _dleaky(z):
     return np.where(z > 0, 1.0, LEAK)
 
 
+def _layers(p, prefix):
+    n = sum(1 for k in p if k.startswith(prefix) and k.endswith("_w"))
+    return [(p[f"{prefix}{i}_w"], p[f"{prefix}{i}_b"]) for i in range(1, n + 1)]
+
+
 def init_two_tower(n_features: int, n_classes: int, dense_size: int = 64, hidden: int = 128,
-                   seed: int = 42) -> dict[str, np.ndarray]:
+                   seed: int = 42, num_dense_layers: int = 2) -> dict[str, np.ndarray]:
+    """Weights: text tower t1..tL (first from the features), label tower l1..lL
+    (first from the one-hot label), head h (2*dense -> hidden), output o (hidden -> 2)."""
     rng = np.random.default_rng(seed)
 
     def glorot(a, b):
         lim = np.sqrt(6.0 / (a + b))
         return rng.uniform(-lim, lim, (a, b))
-    d = dense_size
-    return {"t1_w": glorot(n_features, d), "t1_b": np.zeros(d), "t2_w": glorot(d, d), "t2_b": np.zeros(d),
-            "l1_w": glorot(n_classes, d), "l1_b": np.zeros(d), "l2_w": glorot(d, d), "l2_b": np.zeros(d),
-            "h_w": glorot(2 * d, hidden), "h_b": np.zeros(hidden), "o_w": glorot(hidden, 2), "o_b": np.zeros(2)}
+    d, p = dense_size, {}
+    for i in range(1, num_dense_layers + 1):
+        p[f"t{i}_w"], p[f"t{i}_b"] = glorot(n_features if i == 1 else d, d), np.zeros(d)
+    for i in range(1, num_dense_layers + 1):
+        p[f"l{i}_w"], p[f"l{i}_b"] = glorot(n_classes if i == 1 else d, d), np.zeros(d)
+    p["h_w"], p["h_b"] = glorot(2 * d, hidden), np.zeros(hidden)
+    p["o_w"], p["o_b"] = glorot(hidden, 2), np.zeros(2)
+    return p
+
+
+def text_tower(p, parts, n, dropout=0.0, rng=None):
+    """Text tower; returns (pre-activations, dropped outputs, masks) per layer."""
+    pre, outs, masks = [], [], []
+    h = None
+    for i, (w, b) in enumerate(_layers(p, "t")):
+        a = (sparse_matmul(parts, n, w) if i == 0 else h @ w) + b
+        h = _leaky(a)
+        m = (rng.random(h.shape) >= dropout) / (1 - dropout) if dropout and rng is not None else None
+        if m is not None:
+            h = h * m
+        pre.append(a)
+        outs.append(h)
+        masks.append(m)
+    return pre, outs, masks
 
 
 def two_tower_forward(p, parts, n, codes, dropout=0.0, rng=None):
-    a1 = sparse_matmul(parts, n, p["t1_w"]) + p["t1_b"]
-    h1 = _leaky(a1)
-    m1 = (rng.random(h1.shape) >= dropout) / (1 - dropout) if dropout and rng is not None else None
-    h1d = h1 * m1 if m1 is not None else h1
-    a2 = h1d @ p["t2_w"] + p["t2_b"]
-    h2 = _leaky(a2)
-    m2 = (rng.random(h2.shape) >= dropout) / (1 - dropout) if dropout and rng is not None else None
-    h2d = h2 * m2 if m2 is not None else h2
-    l1 = p["l1_w"][codes] + p["l1_b"]
-    g1 = _leaky(l1)
-    l2 = g1 @ p["l2_w"] + p["l2_b"]
-    g2 = _leaky(l2)
-    c = np.concatenate([h2d, g2], axis=1)
+    t_pre, t_out, t_mask = text_tower(p, parts, n, dropout, rng)
+    l_pre, l_out = [], []
+    g = None
+    for i, (w, b) in enumerate(_layers(p, "l")):
+        a = (w[codes] if i == 0 else g @ w) + b
+        g = _leaky(a)
+        l_pre.append(a)
+        l_out.append(g)
+    c = np.concatenate([t_out[-1], l_out[-1]], axis=1)
     a3 = c @ p["h_w"] + p["h_b"]
     h3 = _leaky(a3)
     z = h3 @ p["o_w"] + p["o_b"]
-    return dict(a1=a1, h1d=h1d, m1=m1, a2=a2, m2=m2, l1=l1, g1=g1, l2=l2, c=c, a3=a3, h3=h3, z=z)
+    return dict(t_pre=t_pre, t_out=t_out, t_mask=t_mask, l_pre=l_pre, l_out=l_out, c=c, a3=a3, h3=h3, z=z)
 
 
 def two_tower_grad(p, parts, n, codes, y, dropout, rng):
@@ -266,36 +288,46 @@ def two_tower_grad(p, parts, n, codes, y, dropout, rng):
     da3 = (dz @ p["o_w"].T) * _dleaky(f["a3"])
     g["h_w"], g["h_b"] = f["c"].T @ da3, da3.sum(0)
     dc = da3 @ p["h_w"].T
-    d = p["t2_b"].shape[0]
-    dh2, dg2 = dc[:, :d], dc[:, d:]
-    if f["m2"] is not None:
-        dh2 = dh2 * f["m2"]
-    da2 = dh2 * _dleaky(f["a2"])
-    g["t2_w"], g["t2_b"] = f["h1d"].T @ da2, da2.sum(0)
-    dh1 = da2 @ p["t2_w"].T
-    if f["m1"] is not None:
-        dh1 = dh1 * f["m1"]
-    da1 = dh1 * _dleaky(f["a1"])
-    g["t1_w"], g["t1_b"] = sparse_tmatmul(parts, da1, p["t1_w"].shape[0]), da1.sum(0)
-    dl2 = dg2 * _dleaky(f["l2"])
-    g["l2_w"], g["l2_b"] = f["g1"].T @ dl2, dl2.sum(0)
-    dl1 = (dl2 @ p["l2_w"].T) * _dleaky(f["l1"])
-    gl1 = np.zeros_like(p["l1_w"])
-    np.add.at(gl1, codes, dl1)
-    g["l1_w"], g["l1_b"] = gl1, dl1.sum(0)
+    d = p["t1_b"].shape[0]
+    # text tower, last layer first
+    tl = _layers(p, "t")
+    dh = dc[:, :d]
+    for i in range(len(tl), 0, -1):
+        if f["t_mask"][i - 1] is not None:
+            dh = dh * f["t_mask"][i - 1]
+        da = dh * _dleaky(f["t_pre"][i - 1])
+        if i == 1:
+            g["t1_w"] = sparse_tmatmul(parts, da, tl[0][0].shape[0])
+        else:
+            g[f"t{i}_w"] = f["t_out"][i - 2].T @ da
+            dh = da @ tl[i - 1][0].T
+        g[f"t{i}_b"] = da.sum(0)
+    # label tower
+    ll = _layers(p, "l")
+    dg = dc[:, d:]
+    for i in range(len(ll), 0, -1):
+        da = dg * _dleaky(f["l_pre"][i - 1])
+        if i == 1:
+            gl = np.zeros_like(ll[0][0])
+            np.add.at(gl, codes, da)
+            g["l1_w"] = gl
+        else:
+            g[f"l{i}_w"] = f["l_out"][i - 2].T @ da
+            dg = da @ ll[i - 1][0].T
+        g[f"l{i}_b"] = da.sum(0)
     return g, loss
 
 
-def _flatten(p):
-    return np.concatenate([p[k].ravel() for k in TT_NAMES])
+def _flatten(g, like):
+    """Concatenate in the key order of ``like`` (the parameter dict)."""
+    return np.concatenate([g[k].ravel() for k in like])
 
 
 def _unflatten(flat, like):
     out, off = {}, 0
-    for k in TT_NAMES:
-        size = like[k].size
-        out[k] = flat[off:off + size].reshape(like[k].shape)
-        off += size
+    for k, v in like.items():
+        out[k] = flat[off:off + v.size].reshape(v.shape)
+        off += v.size
     return out
 
 
@@ -305,7 +337,7 @@ def _grad_fn(bp, dropout: float, step: int, seed: int):
         p = bp.value
         part = TaskContext.get().partitionId()
         rng = np.random.default_rng([seed, step, part])
-        total = np.zeros(sum(p[k].size for k in TT_NAMES))
+        total = np.zeros(sum(v.size for v in p.values()))
         loss, rows = 0.0, 0
         for rb in batches:
             n = rb.num_rows
@@ -315,7 +347,7 @@ def _grad_fn(bp, dropout: float, step: int, seed: int):
             codes = rb.column("_code").to_numpy(zero_copy_only=False).astype(np.int64)
             y = rb.column("_y").to_numpy(zero_copy_only=False).astype(np.float64)
             g, lsum = two_tower_grad(p, parts, n, codes, y, dropout, rng)
-            total += _flatten(g)
+            total += _flatten(g, p)
             loss += lsum
             rows += n
         yield pa.RecordBatch.from_arrays(
@@ -335,7 +367,7 @@ class TwoTower:
 def train_two_tower(pairs: DataFrame, text_col: str = "sentence", label_col: str = "label",
                     target_col: str = "is_positive", dense_size: int = 64, num_features: int = 4096,
                     steps: int = 30, learning_rate: float = 1e-2, dropout: float = 0.5, seed: int = 42,
-                    features: PipelineModel | None = None) -> TwoTower:
+                    features: PipelineModel | None = None, num_dense_layers: int = 2) -> TwoTower:
     """Full-batch data-parallel Adam on the pair table (cached for the steps)."""
     spark = pairs.sparkSession
     coded, n_classes = label_codes(pairs, label_col, "_code")
@@ -347,7 +379,7 @@ def train_two_tower(pairs: DataFrame, text_col: str = "sentence", label_col: str
                 .select("_features", F.col("_code").cast("int").alias("_code"),
                         F.col(target_col).cast("double").alias("_y"))
                 .persist())
-    p = init_two_tower(n_features, n_classes, dense_size, 128, seed)
+    p = init_two_tower(n_features, n_classes, dense_size, 128, seed, num_dense_layers)
     m = {k: np.zeros_like(v) for k, v in p.items()}
     v2 = {k: np.zeros_like(v) for k, v in p.items()}
     b1, b2, eps = 0.9, 0.999, 1e-7
@@ -362,7 +394,7 @@ def train_two_tower(pairs: DataFrame, text_col: str = "sentence", label_col: str
             bp.unpersist()
             g = _unflatten(total / max(rows, 1), p)
             history.append({"step": step, "loss": loss / max(rows, 1), "rows": rows})
-            for k in TT_NAMES:
+            for k in p:
                 m[k] = b1 * m[k] + (1 - b1) * g[k]
                 v2[k] = b2 * v2[k] + (1 - b2) * g[k] ** 2
                 mh = m[k] / (1 - b1 ** step)
@@ -382,7 +414,7 @@ def _tt_apply(bp, id_col: str, mode: str):
                 continue
             parts = sparse_parts(rb.column("_features"))
             if mode == "embed":
-                h = _leaky(sparse_matmul(parts, n, p["t1_w"]) + p["t1_b"]) @ p["t2_w"] + p["t2_b"]
+                h = text_tower(p, parts, n)[0][-1]   # last text-tower layer, before its activation
                 col = pa.array(list(h.astype(np.float32)), type=pa.list_(pa.float32()))
                 yield pa.RecordBatch.from_arrays([rb.column(id_col), col], names=[id_col, "embedding"])
             else:
@@ -395,7 +427,7 @@ def _tt_apply(bp, id_col: str, mode: str):
 
 
 def two_tower_embeddings(model: TwoTower, df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """W23 for the two-tower model: text tower up to its second dense layer, before the activation."""
+    """W23 for the two-tower model: text tower up to its last dense layer, before the activation."""
     bp = df.sparkSession.sparkContext.broadcast(model.params)
     x = text_features(model.features, df.select(id_col, text_col), text_col).select(id_col, "_features")
     return x.mapInArrow(_tt_apply(bp, id_col, "embed"), f"{id_col} {dict(df.dtypes)[id_col]}, embedding array<float>")

@@ -47,7 +47,7 @@ def test_embeddings_width_and_round_trip(spark, clf, docs, tmp_dir):
 
 def test_two_tower_gradients_and_training(spark, docs):
     rng = np.random.default_rng(0)
-    p = models.init_two_tower(20, 3, 8, 16, seed=1)
+    p = models.init_two_tower(20, 3, 8, 16, seed=1, num_dense_layers=3)
     n = 6
     rows = np.repeat(np.arange(n), 3)
     cols = rng.integers(0, 20, 18)
@@ -55,7 +55,7 @@ def test_two_tower_gradients_and_training(spark, docs):
     codes = rng.integers(0, 3, n)
     y = rng.integers(0, 2, n).astype(float)
     g, loss = models.two_tower_grad(p, (rows, cols, vals), n, codes, y, 0.0, None)
-    for k in ("t1_w", "t2_w", "l1_w", "l2_b", "h_w", "o_w"):
+    for k in ("t1_w", "t2_w", "t3_w", "t3_b", "l1_w", "l2_b", "l3_w", "h_w", "o_w"):
         idx = tuple(int(rng.integers(0, s)) for s in p[k].shape)
         q = {kk: v.copy() for kk, v in p.items()}
         q[k][idx] += 1e-6
