@@ -226,9 +226,10 @@ def _layers(p, prefix):
 
 
 def init_two_tower(n_features: int, n_classes: int, dense_size: int = 64, hidden: int = 128,
-                   seed: int = 42, num_dense_layers: int = 2) -> dict[str, np.ndarray]:
+                   seed: int = 42, num_dense_layers: int = 2, use_batch_norm: bool = False) -> dict[str, np.ndarray]:
     """Weights: text tower t1..tL (first from the features), label tower l1..lL
-    (first from the one-hot label), head h (2*dense -> hidden), output o (hidden -> 2)."""
+    (first from the one-hot label), head h (2*dense -> hidden), output o (hidden -> 2);
+    with ``use_batch_norm`` a scale/shift pair bn1..bnL after each text-tower dense layer."""
     rng = np.random.default_rng(seed)
 
     def glorot(a, b):
@@ -241,27 +242,59 @@ def init_two_tower(n_features: int, n_classes: int, dense_size: int = 64, hidden
         p[f"l{i}_w"], p[f"l{i}_b"] = glorot(n_classes if i == 1 else d, d), np.zeros(d)
     p["h_w"], p["h_b"] = glorot(2 * d, hidden), np.zeros(hidden)
     p["o_w"], p["o_b"] = glorot(hidden, 2), np.zeros(2)
+    if use_batch_norm:
+        for i in range(1, num_dense_layers + 1):
+            p[f"bn{i}_gamma"], p[f"bn{i}_beta"] = np.ones(d), np.zeros(d)
     return p
 
 
-def text_tower(p, parts, n, dropout=0.0, rng=None):
-    """Text tower; returns (pre-activations, dropped outputs, masks) per layer."""
-    pre, outs, masks = [], [], []
+def init_bn_state(p) -> dict[str, np.ndarray]:
+    """Moving statistics used at inference (Keras starts them at mean 0, variance 1)."""
+    n = sum(1 for k in p if k.startswith("bn") and k.endswith("_gamma"))
+    d = p["t1_b"].shape[0]
+    return {**{f"bn{i}_mean": np.zeros(d) for i in range(1, n + 1)},
+            **{f"bn{i}_var": np.ones(d) for i in range(1, n + 1)}}
+
+
+BN_EPS = 1e-3        # fixed value: Keras BatchNormalization epsilon
+BN_MOMENTUM = 0.99   # fixed value: Keras BatchNormalization momentum
+
+
+def text_tower(p, parts, n, dropout=0.0, rng=None, state=None):
+    """Text tower.  With batch-norm weights in ``p`` each dense output is
+    normalised by the batch statistics (training, ``state=None``) or by the
+    moving statistics in ``state`` (inference)."""
+    bn = "bn1_gamma" in p
+    t = dict(pre=[], xhat=[], inv=[], y=[], out=[], mask=[], stats=[])
     h = None
-    for i, (w, b) in enumerate(_layers(p, "t")):
-        a = (sparse_matmul(parts, n, w) if i == 0 else h @ w) + b
-        h = _leaky(a)
+    for i, (w, b) in enumerate(_layers(p, "t"), start=1):
+        a = (sparse_matmul(parts, n, w) if i == 1 else h @ w) + b
+        if bn:
+            if state is None:
+                mu, var = a.mean(0), a.var(0)
+            else:
+                mu, var = state[f"bn{i}_mean"], state[f"bn{i}_var"]
+            inv = 1.0 / np.sqrt(var + BN_EPS)
+            xh = (a - mu) * inv
+            y = p[f"bn{i}_gamma"] * xh + p[f"bn{i}_beta"]
+            t["xhat"].append(xh)
+            t["inv"].append(inv)
+            t["stats"].append((mu, var))
+        else:
+            y = a
+        h = _leaky(y)
         m = (rng.random(h.shape) >= dropout) / (1 - dropout) if dropout and rng is not None else None
         if m is not None:
             h = h * m
-        pre.append(a)
-        outs.append(h)
-        masks.append(m)
-    return pre, outs, masks
+        t["pre"].append(a)
+        t["y"].append(y)
+        t["out"].append(h)
+        t["mask"].append(m)
+    return t
 
 
-def two_tower_forward(p, parts, n, codes, dropout=0.0, rng=None):
-    t_pre, t_out, t_mask = text_tower(p, parts, n, dropout, rng)
+def two_tower_forward(p, parts, n, codes, dropout=0.0, rng=None, state=None):
+    tt = text_tower(p, parts, n, dropout, rng, state)
     l_pre, l_out = [], []
     g = None
     for i, (w, b) in enumerate(_layers(p, "l")):
@@ -269,11 +302,11 @@ def two_tower_forward(p, parts, n, codes, dropout=0.0, rng=None):
         g = _leaky(a)
         l_pre.append(a)
         l_out.append(g)
-    c = np.concatenate([t_out[-1], l_out[-1]], axis=1)
+    c = np.concatenate([tt["out"][-1], l_out[-1]], axis=1)
     a3 = c @ p["h_w"] + p["h_b"]
     h3 = _leaky(a3)
     z = h3 @ p["o_w"] + p["o_b"]
-    return dict(t_pre=t_pre, t_out=t_out, t_mask=t_mask, l_pre=l_pre, l_out=l_out, c=c, a3=a3, h3=h3, z=z)
+    return dict(tt=tt, l_pre=l_pre, l_out=l_out, c=c, a3=a3, h3=h3, z=z)
 
 
 def two_tower_grad(p, parts, n, codes, y, dropout, rng):
@@ -291,15 +324,24 @@ def two_tower_grad(p, parts, n, codes, y, dropout, rng):
     d = p["t1_b"].shape[0]
     # text tower, last layer first
     tl = _layers(p, "t")
+    tt = f["tt"]
+    bn = "bn1_gamma" in p
     dh = dc[:, :d]
     for i in range(len(tl), 0, -1):
-        if f["t_mask"][i - 1] is not None:
-            dh = dh * f["t_mask"][i - 1]
-        da = dh * _dleaky(f["t_pre"][i - 1])
+        if tt["mask"][i - 1] is not None:
+            dh = dh * tt["mask"][i - 1]
+        dy = dh * _dleaky(tt["y"][i - 1])
+        if bn:
+            xh, inv = tt["xhat"][i - 1], tt["inv"][i - 1]
+            g[f"bn{i}_gamma"], g[f"bn{i}_beta"] = (dy * xh).sum(0), dy.sum(0)
+            dx = dy * p[f"bn{i}_gamma"]
+            da = inv * (dx - dx.mean(0) - xh * (dx * xh).mean(0))
+        else:
+            da = dy
         if i == 1:
             g["t1_w"] = sparse_tmatmul(parts, da, tl[0][0].shape[0])
         else:
-            g[f"t{i}_w"] = f["t_out"][i - 2].T @ da
+            g[f"t{i}_w"] = tt["out"][i - 2].T @ da
             dh = da @ tl[i - 1][0].T
         g[f"t{i}_b"] = da.sum(0)
     # label tower
@@ -315,6 +357,7 @@ def two_tower_grad(p, parts, n, codes, y, dropout, rng):
             g[f"l{i}_w"] = f["l_out"][i - 2].T @ da
             dg = da @ ll[i - 1][0].T
         g[f"l{i}_b"] = da.sum(0)
+    g["_stats"] = tt["stats"]
     return g, loss
 
 
@@ -338,6 +381,9 @@ def _grad_fn(bp, dropout: float, step: int, seed: int):
         part = TaskContext.get().partitionId()
         rng = np.random.default_rng([seed, step, part])
         total = np.zeros(sum(v.size for v in p.values()))
+        n_bn = sum(1 for k in p if k.startswith("bn") and k.endswith("_gamma"))
+        d = p["t1_b"].shape[0]
+        stat_sum = np.zeros(2 * n_bn * d)
         loss, rows = 0.0, 0
         for rb in batches:
             n = rb.num_rows
@@ -348,11 +394,14 @@ def _grad_fn(bp, dropout: float, step: int, seed: int):
             y = rb.column("_y").to_numpy(zero_copy_only=False).astype(np.float64)
             g, lsum = two_tower_grad(p, parts, n, codes, y, dropout, rng)
             total += _flatten(g, p)
+            if n_bn:
+                stat_sum += n * np.concatenate([np.concatenate([mu, var]) for mu, var in g["_stats"]])
             loss += lsum
             rows += n
         yield pa.RecordBatch.from_arrays(
-            [pa.array([total.tobytes()], pa.binary()), pa.array([loss]), pa.array([rows], pa.int64())],
-            names=["g", "loss", "n"])
+            [pa.array([total.tobytes()], pa.binary()), pa.array([stat_sum.tobytes()], pa.binary()),
+             pa.array([loss]), pa.array([rows], pa.int64())],
+            names=["g", "s", "loss", "n"])
     return grad
 
 
@@ -362,13 +411,19 @@ class TwoTower:
     labels: list
     params: dict
     history: list = field(default_factory=list)
+    state: dict = field(default_factory=dict)   # batch-norm moving statistics
 
 
 def train_two_tower(pairs: DataFrame, text_col: str = "sentence", label_col: str = "label",
                     target_col: str = "is_positive", dense_size: int = 64, num_features: int = 4096,
                     steps: int = 30, learning_rate: float = 1e-2, dropout: float = 0.5, seed: int = 42,
-                    features: PipelineModel | None = None, num_dense_layers: int = 2) -> TwoTower:
-    """Full-batch data-parallel Adam on the pair table (cached for the steps)."""
+                    features: PipelineModel | None = None, num_dense_layers: int = 2,
+                    use_batch_norm: bool = True) -> TwoTower:
+    """Full-batch data-parallel Adam on the pair table (persisted for the steps).
+
+    Batch normalisation follows data-parallel practice: statistics of each
+    task's batch (as each replica computes its own), gradients summed over
+    tasks, moving statistics (momentum 0.99) kept for inference."""
     spark = pairs.sparkSession
     coded, n_classes = label_codes(pairs, label_col, "_code")
     labels = [r[0] for r in pairs.select(label_col).where(F.col(label_col).isNotNull()).distinct()
@@ -379,7 +434,8 @@ def train_two_tower(pairs: DataFrame, text_col: str = "sentence", label_col: str
                 .select("_features", F.col("_code").cast("int").alias("_code"),
                         F.col(target_col).cast("double").alias("_y"))
                 .persist())
-    p = init_two_tower(n_features, n_classes, dense_size, 128, seed, num_dense_layers)
+    p = init_two_tower(n_features, n_classes, dense_size, 128, seed, num_dense_layers, use_batch_norm)
+    state = init_bn_state(p)
     m = {k: np.zeros_like(v) for k, v in p.items()}
     v2 = {k: np.zeros_like(v) for k, v in p.items()}
     b1, b2, eps = 0.9, 0.999, 1e-7
@@ -387,11 +443,18 @@ def train_two_tower(pairs: DataFrame, text_col: str = "sentence", label_col: str
     try:
         for step in range(1, steps + 1):
             bp = spark.sparkContext.broadcast(p)
-            out = prepared.mapInArrow(_grad_fn(bp, dropout, step, seed), "g binary, loss double, n long")
-            total, loss, rows = out.rdd.map(
-                lambda r: (np.frombuffer(r["g"], dtype=np.float64), r["loss"], r["n"])).treeReduce(
-                lambda a, b: (a[0] + b[0], a[1] + b[1], a[2] + b[2]), depth=2)
+            out = prepared.mapInArrow(_grad_fn(bp, dropout, step, seed), "g binary, s binary, loss double, n long")
+            total, ssum, loss, rows = out.rdd.map(
+                lambda r: (np.frombuffer(r["g"], dtype=np.float64), np.frombuffer(r["s"], dtype=np.float64),
+                           r["loss"], r["n"])).treeReduce(
+                lambda a, b: (a[0] + b[0], a[1] + b[1], a[2] + b[2], a[3] + b[3]), depth=2)
             bp.unpersist()
+            if state and rows:
+                d = p["t1_b"].shape[0]
+                batch = (ssum / rows).reshape(-1, 2, d)
+                for i, (mu, var) in enumerate(batch, start=1):
+                    state[f"bn{i}_mean"] = BN_MOMENTUM * state[f"bn{i}_mean"] + (1 - BN_MOMENTUM) * mu
+                    state[f"bn{i}_var"] = BN_MOMENTUM * state[f"bn{i}_var"] + (1 - BN_MOMENTUM) * var
             g = _unflatten(total / max(rows, 1), p)
             history.append({"step": step, "loss": loss / max(rows, 1), "rows": rows})
             for k in p:
@@ -402,24 +465,24 @@ def train_two_tower(pairs: DataFrame, text_col: str = "sentence", label_col: str
                 p[k] = p[k] - learning_rate * mh / (np.sqrt(vh) + eps)
     finally:
         prepared.unpersist()
-    return TwoTower(feats, labels, p, history)
+    return TwoTower(feats, labels, p, history, state)
 
 
 def _tt_apply(bp, id_col: str, mode: str):
     def run(batches):
-        p = bp.value
+        p, state = bp.value
         for rb in batches:
             n = rb.num_rows
             if n == 0:
                 continue
             parts = sparse_parts(rb.column("_features"))
             if mode == "embed":
-                h = text_tower(p, parts, n)[0][-1]   # last text-tower layer, before its activation
+                h = text_tower(p, parts, n, state=state)["y"][-1]   # last dense (+ norm), before activation
                 col = pa.array(list(h.astype(np.float32)), type=pa.list_(pa.float32()))
                 yield pa.RecordBatch.from_arrays([rb.column(id_col), col], names=[id_col, "embedding"])
             else:
                 codes = rb.column("_code").to_numpy(zero_copy_only=False).astype(np.int64)
-                prob = _sigmoid(two_tower_forward(p, parts, n, codes)["z"])
+                prob = _sigmoid(two_tower_forward(p, parts, n, codes, state=state)["z"])
                 yield pa.RecordBatch.from_arrays(
                     [rb.column(id_col), rb.column("_label"), pa.array(prob[:, 1])],
                     names=[id_col, "label", "p_match"])
@@ -428,7 +491,7 @@ def _tt_apply(bp, id_col: str, mode: str):
 
 def two_tower_embeddings(model: TwoTower, df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """W23 for the two-tower model: text tower up to its last dense layer, before the activation."""
-    bp = df.sparkSession.sparkContext.broadcast(model.params)
+    bp = df.sparkSession.sparkContext.broadcast((model.params, model.state or None))
     x = text_features(model.features, df.select(id_col, text_col), text_col).select(id_col, "_features")
     return x.mapInArrow(_tt_apply(bp, id_col, "embed"), f"{id_col} {dict(df.dtypes)[id_col]}, embedding array<float>")
 
@@ -436,7 +499,7 @@ def two_tower_embeddings(model: TwoTower, df: DataFrame, text_col: str = "text",
 def two_tower_scores(model: TwoTower, df: DataFrame, text_col: str = "sentence", label_col: str = "label",
                      id_col: str = "doc_id") -> DataFrame:
     """(id, label, p_match): probability that the label belongs to the text."""
-    bp = df.sparkSession.sparkContext.broadcast(model.params)
+    bp = df.sparkSession.sparkContext.broadcast((model.params, model.state or None))
     lab = F.create_map(*[x for i, v in enumerate(model.labels) for x in (F.lit(v), F.lit(i))])
     x = (text_features(model.features, df.select(id_col, text_col, label_col), text_col)
          .select(id_col, "_features", F.col(label_col).cast("string").alias("_label"),

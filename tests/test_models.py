@@ -45,9 +45,10 @@ def test_embeddings_width_and_round_trip(spark, clf, docs, tmp_dir):
     assert {r["predicted"] for r in p} <= set(clf.labels)
 
 
-def test_two_tower_gradients_and_training(spark, docs):
+@pytest.mark.parametrize("bn", [False, True])
+def test_two_tower_gradients_and_training(spark, docs, bn):
     rng = np.random.default_rng(0)
-    p = models.init_two_tower(20, 3, 8, 16, seed=1, num_dense_layers=3)
+    p = models.init_two_tower(20, 3, 8, 16, seed=1, num_dense_layers=3, use_batch_norm=bn)
     n = 6
     rows = np.repeat(np.arange(n), 3)
     cols = rng.integers(0, 20, 18)
@@ -55,7 +56,10 @@ def test_two_tower_gradients_and_training(spark, docs):
     codes = rng.integers(0, 3, n)
     y = rng.integers(0, 2, n).astype(float)
     g, loss = models.two_tower_grad(p, (rows, cols, vals), n, codes, y, 0.0, None)
-    for k in ("t1_w", "t2_w", "t3_w", "t3_b", "l1_w", "l2_b", "l3_w", "h_w", "o_w"):
+    names = ["t1_w", "t2_w", "t3_w", "t3_b", "l1_w", "l2_b", "l3_w", "h_w", "o_w"]
+    if bn:
+        names += ["bn1_gamma", "bn2_beta", "bn3_gamma", "t1_b"]
+    for k in names:
         idx = tuple(int(rng.integers(0, s)) for s in p[k].shape)
         q = {kk: v.copy() for kk, v in p.items()}
         q[k][idx] += 1e-6
@@ -63,7 +67,9 @@ def test_two_tower_gradients_and_training(spark, docs):
         assert abs(g[k][idx] - (loss2 - loss) / 1e-6) < 1e-4
     pairs = docs.select("doc_id", F.col("text").alias("sentence"), F.col("lang").alias("label"),
                         (F.col("doc_id") % 2).cast("int").alias("is_positive"))
-    m = models.train_two_tower(pairs, dense_size=8, num_features=128, steps=8, learning_rate=3e-2, dropout=0.0)
+    m = models.train_two_tower(pairs, dense_size=8, num_features=128, steps=8, learning_rate=3e-2, dropout=0.0,
+                               use_batch_norm=bn)
+    assert bool(m.state) == bn
     losses = [h["loss"] for h in m.history]
     assert losses[-1] < losses[0]
     emb = models.two_tower_embeddings(m, docs).collect()
