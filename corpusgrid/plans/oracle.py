@@ -42,6 +42,21 @@ a AS (SELECT d.doc_id, CAST(count(m.token) AS BIGINT) AS n_mentions, round(avg(s
 """
 
 SQL["entity_mentions"] = mentions_sql()
+
+
+def _gazetteer_sql() -> str:
+    words = ("regexp_extract_all(translate(lower(text), " + _q(ACCENTED) + ", " + _q(UNACCENTED) + "), "
+             + _q(WORD_PATTERN_POSIX) + ")")
+    return f"""WITH m AS ({mentions_sql()}),
+top AS (SELECT token, count(*) AS cnt FROM m WHERE type = 'CAP' GROUP BY token ORDER BY cnt DESC, token LIMIT 100),
+gaz AS (SELECT DISTINCT lower(token) AS phrase FROM top),
+w AS (SELECT doc_id, UNNEST(ws) AS word, UNNEST(generate_series(0, len(ws) - 1)) AS start
+      FROM (SELECT doc_id, {words} AS ws FROM documents))
+SELECT w.doc_id, 'KNOWN' AS type, CAST(w.start * 2 AS INTEGER) AS pos, w.word AS token
+FROM w JOIN gaz ON w.word = gaz.phrase"""
+
+
+SQL["gazetteer_mentions"] = _gazetteer_sql()
 SQL["token_counts"] = f"SELECT type, token, CAST(count(*) AS BIGINT) AS count FROM ({mentions_sql()}) GROUP BY type, token"
 SQL["token_specificity"] = f"""WITH {_SCORES}
 SELECT type, token, cnt AS count, round(mean_count, 6) AS mean_count, round(score, 6) AS score FROM s"""

@@ -121,3 +121,17 @@ def test_neighbors_small_chunks(spark, monkeypatch):
     for r in sorted(nn, key=lambda r: (r["query_id"], r["rank"])):
         got.setdefault(r["query_id"], []).append(r["neighbor_id"])
     assert got == _brute(queries, corpus, 7)
+
+
+def test_accuracy_matches_spark_ml_evaluator(spark):
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(300):
+        p = rng.random(4).tolist()
+        t = int(rng.integers(0, 4))
+        rows.append((p, [int(j == t) for j in range(4)], float(int(np.argmax(p))), float(t)))
+    df = spark.createDataFrame(rows, "p array<double>, t array<int>, prediction double, label double")
+    ours = evaluate.accuracy(df, "p", "t").collect()[0]["accuracy"]
+    ml = MulticlassClassificationEvaluator(metricName="accuracy").evaluate(df)
+    assert abs(ours - ml) < 1e-12
