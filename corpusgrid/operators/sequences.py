@@ -71,12 +71,23 @@ def load_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("piece", F.col("id").cast("int").alias("id"))
 
 
-def _wordpiece(word: str, vocab: dict, unk: int) -> list[int]:
+def piece_limits(vocab: dict) -> tuple[int, int]:
+    """Longest word-initial piece and longest continuation piece (without '##')."""
+    first = max((len(p) for p in vocab if not p.startswith(CONTINUATION)), default=0)
+    cont = max((len(p) - len(CONTINUATION) for p in vocab if p.startswith(CONTINUATION)), default=0)
+    return first, cont
+
+
+def _wordpiece(word: str, vocab: dict, unk: int, limits: tuple[int, int] | None = None) -> list[int]:
+    """Greedy longest-match-first split; candidates longer than the longest
+    vocabulary piece are skipped (they cannot match), which keeps the split
+    linear in the word length for character-level continuation pieces."""
     if len(word) > MAX_CHARS_PER_WORD:
         return [unk]
+    first, cont = limits if limits is not None else (len(word), len(word))
     out, start, n = [], 0, len(word)
     while start < n:
-        end, found = n, None
+        end, found = min(n, start + (first if start == 0 else cont)), None
         while start < end:
             sub = word[start:end] if start == 0 else CONTINUATION + word[start:end]
             found = vocab.get(sub)
@@ -97,36 +108,64 @@ def _encoder(bvocab, unk: int, cls: int, sep: int):
     """Arrow batches of (doc_id, words joined by one space) -> (doc_id, ids).
 
     A word never contains a space (white space splits words), so joining by a
-    space and splitting again is exact and moves one string per text instead of
-    an array of strings.  Words found whole in the vocabulary take the fast
-    path; others are split once per task (memo, bounded) by word-piece.
+    space and splitting again is exact.  Whole-word vocabulary hits are found
+    with Arrow's hash lookup (``index_in``, vectorised); only the remaining
+    words (not in the vocabulary, or too long) go through the word-piece
+    helper, once per distinct word per task (bounded memo).  The output lists
+    are assembled from offsets with numpy.
     """
     def encode(batches):
+        import numpy as np
         import pyarrow as pa
-        vocab = bvocab.value
-        vget = vocab.get
+        import pyarrow.compute as pc
+        table = bvocab.value
+        limits = piece_limits(table)
+        keys = pa.array(list(table.keys()), pa.string())
+        vals = np.fromiter(table.values(), dtype=np.int32, count=len(table))
         memo: dict[str, list[int]] = {}
         for rb in batches:
-            texts = rb.column("_w").to_pylist()
-            flat: list[int] = []
-            offsets = [0]
-            for s in texts:
-                flat.append(cls)
-                if s:
-                    for w in s.split(" "):
-                        i = vget(w)
-                        if i is not None and len(w) <= MAX_CHARS_PER_WORD:
-                            flat.append(i)
-                            continue
-                        p = memo.get(w)
-                        if p is None:
-                            if len(memo) >= MEMO_LIMIT:
-                                memo.clear()
-                            p = memo[w] = _wordpiece(w, vocab, unk)
-                        flat.extend(p)
-                flat.append(sep)
-                offsets.append(len(flat))
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+            n = rb.num_rows
+            texts = rb.column("_w")
+            lists = pc.split_pattern(pc.if_else(pc.equal(texts, ""), None, texts), pattern=" ")
+            counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = lists.flatten()
+            hit = pc.index_in(flat, value_set=keys).fill_null(-1).to_numpy(zero_copy_only=False)
+            too_long = pc.greater(pc.utf8_length(flat), MAX_CHARS_PER_WORD).fill_null(False)
+            slow = np.flatnonzero((hit < 0) | too_long.to_numpy(zero_copy_only=False))
+            width = np.ones(len(hit), dtype=np.int64)
+            pieces = []
+            if len(slow):
+                for w in flat.take(pa.array(slow)).to_pylist():
+                    pc_ = memo.get(w)
+                    if pc_ is None:
+                        if len(memo) >= MEMO_LIMIT:
+                            memo.clear()
+                        pc_ = memo[w] = _wordpiece(w, table, unk, limits)
+                    pieces.append(pc_)
+                width[slow] = [len(x) for x in pieces]
+            word_ids = np.where(hit >= 0, vals[np.maximum(hit, 0)], 0).astype(np.int32)
+            # per-row lengths: [CLS] + pieces + [SEP]
+            row_of_word = np.repeat(np.arange(n), counts)
+            row_len = np.bincount(row_of_word, weights=width, minlength=n).astype(np.int64) + 2
+            offsets = np.zeros(n + 1, dtype=np.int64)
+            np.cumsum(row_len, out=offsets[1:])
+            out = np.empty(offsets[-1], dtype=np.int32)
+            out[offsets[:-1]] = cls
+            out[offsets[1:] - 1] = sep
+            # start of each word = row start + 1 + pieces of earlier words in the row
+            csum = np.cumsum(width) - width
+            row_first = np.zeros(n, dtype=np.int64)
+            word_starts = np.zeros(n + 1, dtype=np.int64)
+            np.cumsum(counts, out=word_starts[1:])
+            has = counts > 0
+            row_first[has] = csum[word_starts[:-1][has]]
+            start = offsets[:-1][row_of_word] + 1 + (csum - row_first[row_of_word])
+            single = np.ones(len(hit), dtype=bool)
+            single[slow] = False
+            out[start[single]] = word_ids[single]
+            for j, wpos in enumerate(slow):
+                out[start[wpos]:start[wpos] + width[wpos]] = pieces[j]
+            ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(out))
             yield pa.RecordBatch.from_arrays([rb.column("doc_id"), ids], names=["doc_id", "_ids"])
     return encode
 

@@ -64,3 +64,13 @@ def test_label_codes(spark):
     assert n == 2 and {r["doc_id"]: r["code"] for r in coded.collect()} == {0: 1, 1: 0, 3: 1}
     kept, n2 = sequences.label_codes(df, "label", "code", handle_null="keep")
     assert n2 == 3 and {r["doc_id"]: r["code"] for r in kept.collect()}[2] == 2
+
+
+def test_piece_length_limit_keeps_results():
+    import random
+    vocab = {p: i for i, p in enumerate(PIECES + ["unaff", "##ab", "##le", "ha", "##ee"])}
+    limits = sequences.piece_limits(vocab)
+    rnd = random.Random(3)
+    for _ in range(2000):
+        w = "".join(rnd.choice("unafblehx!") for _ in range(rnd.randint(1, 12)))
+        assert sequences._wordpiece(w, vocab, 1, limits) == sequences._wordpiece(w, vocab, 1)
