@@ -4,7 +4,10 @@ New month files land in a folder; a file-source stream hands each micro-batch
 of raw files to ``foreachBatch``, which parses them with the W1 transform,
 keeps one row per article id (the smallest row by (path, content), found with a
 partially-aggregated ``min`` so a hot duplicated id never sits in one task),
-drops ids already in the target (left-anti join) and appends.  Re-running a
+drops ids already in the target and appends.  The target check reads only the
+target's id column and uses the micro-batch's ids as the broadcast side of a
+semi-join (when a count shows they are small), so the growing target is never
+shuffled per batch.  Re-running a
 batch after a failure appends nothing twice, and back-filled months are
 accepted (a watermark would drop them).
 """
@@ -16,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from corpusgrid.operators.joins import broadcast_if_small
+from corpusgrid.session import materialize
 from corpusgrid.sources.archive import ARTICLE_COLUMNS, parse_archive
 
 
@@ -35,10 +40,15 @@ def _target_ids(spark: SparkSession, target: str) -> DataFrame | None:
 def upsert_batch(spark: SparkSession, raw: DataFrame, target: str, rejects: str | None = None) -> None:
     """Parse one batch of raw files and append the unseen articles to ``target``."""
     articles, bad = parse_archive(raw, keep=("path",))
-    fresh = dedupe_articles(articles.select("path", *ARTICLE_COLUMNS))
-    seen = _target_ids(spark, target)
-    if seen is not None:
-        fresh = fresh.join(seen, "id", "left_anti")
+    fresh = materialize(dedupe_articles(articles.select("path", *ARTICLE_COLUMNS)), "ingest_batch")
+    target_ids = _target_ids(spark, target)
+    if target_ids is not None:
+        # probe the (growing) target with the batch's ids as the hash-table side
+        # (size checked), so the target is scanned by column but never shuffled;
+        # the ids found are at most the batch size
+        batch_ids = broadcast_if_small(fresh.select("id"))
+        seen = target_ids.join(batch_ids, "id", "left_semi")
+        fresh = fresh.join(broadcast_if_small(seen), "id", "left_anti")
     fresh.write.mode("append").parquet(target)
     if rejects:
         bad.write.mode("append").parquet(rejects)
