@@ -83,3 +83,18 @@ def test_large_sample_uses_cut(spark, monkeypatch):
     monkeypatch.setattr(corpus, "TOPK_LIMIT", 10)
     big = sorted(r["doc_id"] for r in corpus.sample_rows(df, 120, seed=3).collect())
     assert small == big and len(big) == 120
+
+
+def test_specificity_and_tail_split_independent_of_partitions(spark):
+    from corpusgrid.operators import specificity
+    from corpusgrid.sources.tables import read_table
+    docs = read_table(spark, "/root/testdata/sf0.001", "documents", ["doc_id", "text"])
+    results = []
+    for parts in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        s = specificity.specificity_scores(docs.repartition(int(parts)))
+        scored = s.where(F.col("score").isNotNull()).select("doc_id", F.round("score", 9).alias("score"))
+        tail = corpus.split_tail(scored, "score", cutoff=0.3)
+        results.append((sorted(map(tuple, scored.collect())), sorted(map(tuple, tail.collect()))))
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert results[0] == results[1]
