@@ -7,8 +7,11 @@ by writing parquet into the shared folder named by ``spark.checkpoint.dir``
 
 from __future__ import annotations
 
+import hashlib
 import os
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,9 +42,47 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: dict[int, str] = {}
+
+
+def ship_package(spark: SparkSession) -> str:
+    """Make ``corpusgrid`` importable in executor Python workers (as --py-files does).
+
+    The package's .py files are zipped next to the package (or in a driver
+    temp folder when that is read-only) and added with ``addPyFile``; Spark
+    distributes the archive to every executor.  Done once per SparkContext.
+    """
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return _SHIPPED[key]
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    files = sorted(os.path.join(d, f) for d, _, fs in os.walk(pkg) for f in fs if f.endswith(".py"))
+    digest = hashlib.sha1(b"".join(open(f, "rb").read() for f in files)).hexdigest()[:12]
+    out_dir = os.path.join(os.path.dirname(pkg), "build")
+    try:
+        os.makedirs(out_dir, exist_ok=True)
+    except OSError:
+        out_dir = tempfile.mkdtemp(prefix="corpusgrid-")
+    path = os.path.join(out_dir, f"corpusgrid-{digest}.zip")
+    if not os.path.exists(path):
+        tmp = f"{path}.{uuid.uuid4().hex}"
+        with zipfile.ZipFile(tmp, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in files:
+                z.write(f, os.path.relpath(f, os.path.dirname(pkg)))
+        os.replace(tmp, path)
+    try:
+        sc.addPyFile(path)
+    except Exception:  # noqa: BLE001 - already registered by an earlier call
+        pass
+    _SHIPPED[key] = path
+    return path
+
+
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the checkpoint folder; set one only when the session has none.
 

@@ -13,7 +13,7 @@ SF001 = "/root/testdata/sf0.01"
 def spark():
     from pyspark.sql import SparkSession
 
-    from corpusgrid.session import ensure_checkpoint_dir
+    from corpusgrid.session import ensure_checkpoint_dir, ship_package
     s = (SparkSession.builder.master("local[*]")
          .config("spark.sql.shuffle.partitions", "8")
          .config("spark.ui.enabled", "false")
@@ -23,6 +23,7 @@ def spark():
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(s)  # sets a folder only when the session names none
+    ship_package(s)
     yield s
 
 
