@@ -79,15 +79,20 @@ def parse_archive(raw: DataFrame, value_col: str = "value", keep: tuple[str, ...
     return articles, bad_files.unionByName(no_id)
 
 
-def read_month_files(spark: SparkSession, base: str) -> DataFrame:
-    """Month files under ``base/year=YYYY/month=MM/`` -> (path, year, month, value), one row per file."""
-    raw = spark.read.text(base, wholetext=True)
+def read_month_files(spark: SparkSession, base: str, whole_files: bool = True) -> DataFrame:
+    """Month files under ``base/year=YYYY/month=MM/`` -> (path, year, month, value).
+
+    ``whole_files``: one JSON document per file (one row, one task per file --
+    a single JSON document cannot be split); otherwise JSON lines, one page of
+    documents per line, which Spark splits across tasks however large a month is.
+    """
+    raw = spark.read.text(base, wholetext=True) if whole_files else spark.read.text(base)
     return raw.select(F.col("_metadata.file_path").alias("path"), "year", "month", "value")
 
 
-def bulk_load(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+def bulk_load(spark: SparkSession, base: str, whole_files: bool = True) -> tuple[DataFrame, DataFrame]:
     """All month files in one read -> (articles with year/month, rejects)."""
-    return parse_archive(read_month_files(spark, base), keep=("path", "year", "month"))
+    return parse_archive(read_month_files(spark, base, whole_files), keep=("path", "year", "month"))
 
 
 def month_calendar(spark: SparkSession, start: Column | str, end: Column | str) -> DataFrame:

@@ -124,3 +124,10 @@ def test_parse_as_bytes(spark):
     raw = spark.createDataFrame([(_month([_doc(_id="u", abstract="é")]),)], "value string")
     art, _ = archive.parse_archive(raw, as_bytes=True)
     assert bytes(art.collect()[0]["abstract"]) == "é".encode("utf8")
+
+
+def test_bulk_load_json_lines(spark, tmp_dir):
+    base = f"{tmp_dir}/jl"
+    _write(base, 2021, 5, "m.jsonl", _month([_doc(_id="j1")]) + "\n" + _month([_doc(_id="j2"), _doc(_id="j3")]) + "\n")
+    articles, rejects = archive.bulk_load(spark, base, whole_files=False)
+    assert sorted(r["id"] for r in articles.collect()) == ["j1", "j2", "j3"] and rejects.count() == 0
