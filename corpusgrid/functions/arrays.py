@@ -42,8 +42,3 @@ def with_unit_vector(df: DataFrame, vec_col: str, out_col: str, drop_zero: bool
     return (out.withColumn(out_col, F.when(F.col(tmp) > 0,
                                            F.transform(F.col(vec_col), lambda x: x.cast("double") / F.col(tmp))))
             .drop(tmp))
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")),
-                       F.lit(0.0).cast("double"), lambda acc, x: acc + x)

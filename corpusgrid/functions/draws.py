@@ -16,8 +16,3 @@ def hash_number(key: Column, salt: str, seed: int | str = 42) -> Column:
     """Uniform integer in [0, 2^48) from ``key`` (cast to string)."""
     digest = F.md5(F.concat(F.lit(f"{seed}:{salt}:"), key.cast("string")))
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint")
-
-
-def hash_order(key: Column, seed: int | str = 42) -> Column:
-    """A string sort key giving a seeded random permutation of the keys."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))

@@ -225,10 +225,6 @@ def q_nearest_neighbors(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- W24 - W27
-def _dim(df, vec_col="embedding"):
-    return df.select(F.size(vec_col)).first()[0]
-
-
 def _centroid_predictions(spark, sf_dir):
     """(vec_id, label, scores, truth one-hot, predicted label) from a nearest-centroid model."""
     e = _emb(spark, sf_dir)
