@@ -104,8 +104,11 @@ def _wordpiece(word: str, vocab: dict, unk: int, limits: tuple[int, int] | None
 MEMO_LIMIT = 200_000
 
 
-def _encoder(bvocab, unk: int, cls: int, sep: int):
-    """Arrow batches of (doc_id, words joined by one space) -> (doc_id, ids).
+def _encoder(bvocab, unk: int, cls: int, sep: int, max_len: int, keep_sep: bool):
+    """Arrow batches of (doc_id, words joined by one space) -> (doc_id, n_pieces, ids).
+
+    ``ids`` is already cut to ``max_len`` (a cut drops the closing marker unless
+    ``keep_sep``); ``n_pieces`` counts every piece of the whole text.
 
     A word never contains a space (white space splits words), so joining by a
     space and splitting again is exact.  Whole-word vocabulary hits are found
@@ -165,8 +168,20 @@ def _encoder(bvocab, unk: int, cls: int, sep: int):
             out[start[single]] = word_ids[single]
             for j, wpos in enumerate(slow):
                 out[start[wpos]:start[wpos] + width[wpos]] = pieces[j]
-            ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(out))
-            yield pa.RecordBatch.from_arrays([rb.column("doc_id"), ids], names=["doc_id", "_ids"])
+            # cut each row to max_len in the task: only max_len ids per text go back to the JVM
+            cut_len = np.minimum(row_len, max_len)
+            take = np.concatenate([np.arange(a, a + c) for a, c in zip(offsets[:-1], cut_len)]) \
+                if n else np.zeros(0, np.int64)
+            cut = out[take]
+            new_off = np.zeros(n + 1, dtype=np.int64)
+            np.cumsum(cut_len, out=new_off[1:])
+            if keep_sep:
+                over = np.flatnonzero(row_len > max_len)
+                cut[new_off[1:][over] - 1] = sep
+            ids = pa.ListArray.from_arrays(pa.array(new_off.astype(np.int32)), pa.array(cut))
+            n_pieces = pa.array((row_len - 2).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([rb.column("doc_id"), n_pieces, ids],
+                                             names=["doc_id", "n_pieces", "_ids"])
     return encode
 
 
@@ -185,15 +200,9 @@ def encode_sequences(docs: DataFrame, vocab: DataFrame, text_col: str = "text",
     bvocab = spark.sparkContext.broadcast(table)
     id_type = dict(docs.dtypes)[id_col]
     joined = docs.select(F.col(id_col).alias("doc_id"), F.array_join(words(F.col(text_col)), " ").alias("_w"))
-    full = joined.mapInArrow(_encoder(bvocab, unk, cls, sep), f"doc_id {id_type}, _ids array<int>")
-    ids = F.col("_ids")
-    if keep_sep:
-        cut = F.when(F.size(ids) > max_seq_length,
-                     F.concat(F.slice(ids, 1, max_seq_length - 1), F.array(F.lit(sep)))).otherwise(ids)
-    else:
-        cut = ids
-    return full.select("doc_id", (F.size(ids) - 2).alias("n_pieces"),
-                       pad_truncate(cut, max_seq_length).alias("input_ids"))
+    full = joined.mapInArrow(_encoder(bvocab, unk, cls, sep, max_seq_length, keep_sep),
+                             f"doc_id {id_type}, n_pieces int, _ids array<int>")
+    return full.select("doc_id", "n_pieces", pad_truncate(F.col("_ids"), max_seq_length).alias("input_ids"))
 
 
 def label_codes(df: DataFrame, label_col: str = "label", code_col: str = "label_code",
