@@ -30,7 +30,7 @@ CONTINUATION = "##"
 # -----------------------------------------------------------------------------
 
 MAX_VOCAB_ROWS = 5_000_000
-MAX_LITERAL_CLASSES = 10_000
+MAX_LITERAL_CLASSES = 256   # a literal map lookup scans its keys; above this a join is used
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:

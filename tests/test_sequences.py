@@ -74,3 +74,12 @@ def test_piece_length_limit_keeps_results():
     for _ in range(2000):
         w = "".join(rnd.choice("unafblehx!") for _ in range(rnd.randint(1, 12)))
         assert sequences._wordpiece(w, vocab, 1, limits) == sequences._wordpiece(w, vocab, 1)
+
+
+def test_label_codes_join_path(spark, monkeypatch):
+    monkeypatch.setattr(sequences, "MAX_LITERAL_CLASSES", 1)
+    df = spark.createDataFrame([(0, "b"), (1, "a"), (2, None), (3, "c")], "doc_id long, label string")
+    coded, n = sequences.label_codes(df, "label", "code")
+    assert n == 3 and {r["doc_id"]: r["code"] for r in coded.collect()} == {0: 1, 1: 0, 3: 2}
+    kept, n2 = sequences.label_codes(df, "label", "code", handle_null="keep")
+    assert n2 == 4 and {r["doc_id"]: r["code"] for r in kept.collect()}[2] == 3
