@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -49,20 +50,42 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 _SHIPPED: dict[int, str] = {}
 
 
+def _workers_import(spark: SparkSession) -> bool:
+    """One tiny task: can an executor Python worker import ``corpusgrid`` already?"""
+    def probe(batches):
+        import importlib.util
+
+        import pyarrow as pa
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_pydict({"ok": [importlib.util.find_spec("corpusgrid") is not None]})
+    try:
+        rows = spark.range(1, numPartitions=1).mapInArrow(probe, "ok boolean").collect()
+        return bool(rows) and all(r["ok"] for r in rows)
+    except Exception:  # noqa: BLE001 - treat any failure as "not importable"
+        return False
+
+
 def ship_package(spark: SparkSession) -> str:
     """Make ``corpusgrid`` importable in executor Python workers (as --py-files does).
 
-    The package's .py files are zipped next to the package (or in a driver
-    temp folder when that is read-only) and added with ``addPyFile``; Spark
-    distributes the archive to every executor.  Done once per SparkContext.
+    Skipped when a probe task shows the workers can already import it.
+
+    The package is zipped as compiled modules next to the package (or in a
+    driver temp folder when that is read-only) and added with ``addPyFile``;
+    Spark distributes the archive to every executor.  Done once per SparkContext.
     """
     sc = spark.sparkContext
     key = id(sc._jsc)
     if key in _SHIPPED:
         return _SHIPPED[key]
+    if _workers_import(spark):
+        _SHIPPED[key] = ""          # already importable on the workers (e.g. installed)
+        return ""
     pkg = os.path.dirname(os.path.abspath(__file__))
     files = sorted(os.path.join(d, f) for d, _, fs in os.walk(pkg) for f in fs if f.endswith(".py"))
     digest = hashlib.sha1(b"".join(open(f, "rb").read() for f in files)).hexdigest()[:12]
+    digest += f"-py{sys.version_info[0]}{sys.version_info[1]}"
     out_dir = os.path.join(os.path.dirname(pkg), "build")
     try:
         os.makedirs(out_dir, exist_ok=True)
@@ -71,9 +94,10 @@ def ship_package(spark: SparkSession) -> str:
     path = os.path.join(out_dir, f"corpusgrid-{digest}.zip")
     if not os.path.exists(path):
         tmp = f"{path}.{uuid.uuid4().hex}"
-        with zipfile.ZipFile(tmp, "w", zipfile.ZIP_DEFLATED) as z:
-            for f in files:
-                z.write(f, os.path.relpath(f, os.path.dirname(pkg)))
+        # compiled modules (PyZipFile.writepy): workers import without recompiling
+        # the sources; PySpark already requires the same Python on driver and workers
+        with zipfile.PyZipFile(tmp, "w", zipfile.ZIP_DEFLATED, optimize=0) as z:
+            z.writepy(pkg)
         os.replace(tmp, path)
     try:
         sc.addPyFile(path)
