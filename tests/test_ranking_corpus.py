@@ -98,3 +98,22 @@ def test_specificity_and_tail_split_independent_of_partitions(spark):
         results.append((sorted(map(tuple, scored.collect())), sorted(map(tuple, tail.collect()))))
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert results[0] == results[1]
+
+
+def test_kth_key_property(spark):
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    from corpusgrid.operators.ranking import kth_key
+
+    @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.lists(st.integers(min_value=0, max_value=4), min_size=1, max_size=300), st.data())
+    def check(values, data):
+        rows = [(i, float(v)) for i, v in enumerate(values)]
+        df = spark.createDataFrame(rows, "doc_id long, score double")
+        order = sorted(rows, key=lambda r: (r[1], r[0]))
+        k = data.draw(st.integers(min_value=0, max_value=len(rows) - 1))
+        x, i = kth_key(df, "score", "doc_id", k, window_rows=8)
+        assert (i, x) == order[k]
+
+    check()
