@@ -73,3 +73,31 @@ def test_two_tower_pairs(spark):
     pairs = negatives.two_tower_pairs(texts, negatives.negative_pairs(texts, mentions)).collect()
     assert len(pairs) == 4
     assert all(r["target"] == ([0, 1] if r["is_positive"] else [1, 0]) for r in pairs)
+
+
+def test_negative_pairs_properties(spark):
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.lists(st.tuples(st.sampled_from(["l1", "l2", "l3"]),
+                              st.sets(st.sampled_from(["A", "B", "C"]), max_size=2)), min_size=2, max_size=40),
+           st.sampled_from([0.5, 1.0, 2.0]))
+    def check(docs, ratio):
+        texts = spark.createDataFrame([(i, f"s{i}", lab) for i, (lab, _) in enumerate(docs)],
+                                      "doc_id long, sentence string, label string")
+        ment = [(i, t, 0, "x") for i, (_, ts) in enumerate(docs) for t in ts]
+        mentions = spark.createDataFrame(ment, "doc_id long, type string, pos int, token string")
+        out, info = negatives.negative_pairs(texts, mentions, ratio=ratio, max_rounds=4, return_info=True)
+        rows = out.collect()
+        target = int(ratio * len(docs))
+        assert len(rows) == target - info.get("shortfall_rows", 0)
+        own = {i: lab for i, (lab, _) in enumerate(docs)}
+        types = {i: ts for i, (_, ts) in enumerate(docs)}
+        for r in rows:
+            assert r["label"] != own[r["doc_id"]] and r["label"] == own[r["source_doc_id"]]
+            assert types[r["doc_id"]] & types[r["source_doc_id"]]
+        pairs = [tuple(sorted((r["doc_id"], r["source_doc_id"]))) for r in rows]
+        assert all(pairs.count(p) <= 2 for p in set(pairs))
+
+    check()
