@@ -83,3 +83,40 @@ def test_label_codes_join_path(spark, monkeypatch):
     assert n == 3 and {r["doc_id"]: r["code"] for r in coded.collect()} == {0: 1, 1: 0, 3: 2}
     kept, n2 = sequences.label_codes(df, "label", "code", handle_null="keep")
     assert n2 == 4 and {r["doc_id"]: r["code"] for r in kept.collect()}[2] == 3
+
+
+def test_encoder_matches_plain_python(spark):
+    import re
+
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    from corpusgrid.functions.text import ACCENTED, UNACCENTED
+    vocab = {p: i for i, p in enumerate(PIECES + ["ab", "##b", "##a", "a", "b", "x", "##x", "é"])}
+    punct = re.escape("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+    word_re = re.compile(f"[^ \\t\\n\\r{punct}]+|[{punct}]")
+    fold = str.maketrans(ACCENTED, UNACCENTED)
+
+    def expected(text, length, keep_sep):
+        ids = [2]
+        for w in word_re.findall(text.lower().translate(fold)):
+            ids += sequences._wordpiece(w, vocab, 1)
+        ids.append(3)
+        n = len(ids) - 2
+        if len(ids) > length:
+            ids = ids[:length]
+            if keep_sep:
+                ids[-1] = 3
+        return n, ids + [0] * (length - len(ids))
+
+    @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.lists(st.text(alphabet="abXÉé ,.!q", max_size=30), min_size=1, max_size=25),
+           st.integers(min_value=3, max_value=16), st.booleans())
+    def check(texts, length, keep_sep):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {r["doc_id"]: (r["n_pieces"], r["input_ids"]) for r in
+               sequences.encode_sequences(docs, _vocab(spark, list(vocab)), max_seq_length=length,
+                                          keep_sep=keep_sep).collect()}
+        assert got == {i: expected(t, length, keep_sep) for i, t in enumerate(texts)}
+
+    check()
