@@ -118,6 +118,16 @@ class TextClassifier:
             out.append((w, b))
         return out
 
+    def history(self) -> list[dict]:
+        """Training history: the optimiser's objective (loss) per iteration."""
+        mlp = self.mlp.stages[-1]
+        try:
+            summary = mlp.summary() if callable(mlp.summary) else mlp.summary
+            objective = list(summary.objectiveHistory)
+        except Exception:  # noqa: BLE001 - a loaded model carries no training summary
+            objective = []
+        return [{"iteration": i, "loss": float(v)} for i, v in enumerate(objective)]
+
     def save(self, spark: SparkSession, path: str) -> None:
         self.features.write().overwrite().save(f"{path}/features")
         self.mlp.write().overwrite().save(f"{path}/mlp")
@@ -149,6 +159,15 @@ def train_classifier(df: DataFrame, text_col: str = "text", label_col: str = "la
     return TextClassifier(feats, model, labels, layers)
 
 
+def validation_accuracy(model: TextClassifier, df: DataFrame, text_col: str = "text",
+                        label_col: str = "label", id_col: str = "doc_id") -> float:
+    """Share of rows whose predicted label equals the true label (one aggregate)."""
+    pred = predict(model, df.select(id_col, text_col), text_col, id_col)
+    joined = pred.join(df.select(id_col, label_col), id_col)
+    row = joined.agg(F.avg((F.col("predicted") == F.col(label_col).cast("string")).cast("double")).alias("a")).first()
+    return float(row["a"]) if row and row["a"] is not None else float("nan")
+
+
 def predict(model: TextClassifier, df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, predicted label, probability array<double>)."""
     x = text_features(model.features, df.select(id_col, text_col), text_col)

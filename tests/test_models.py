@@ -113,3 +113,10 @@ def test_unfinished_write_is_rebuilt(spark, tmp_dir):
     os.remove(f"{p}/_SUCCESS")              # as if the job died before committing
     out = store.materialize_or_reuse(spark, p, lambda: spark.range(7))
     assert out.count() == 7
+
+
+def test_classifier_history_and_validation(clf, docs):
+    h = clf.history()
+    assert len(h) >= 2 and h[-1]["loss"] <= h[0]["loss"]
+    acc = models.validation_accuracy(clf, docs, "text", "lang")
+    assert 0.0 <= acc <= 1.0
