@@ -424,6 +424,25 @@ def _grad_fn(bp, dropout: float, step: int, seed: int):
     return grad
 
 
+def _loss_fn(bp):
+    def run(batches):
+        p, state = bp.value
+        loss, rows = 0.0, 0
+        for rb in batches:
+            n = rb.num_rows
+            if n == 0:
+                continue
+            parts = sparse_parts(rb.column("_features"))
+            codes = rb.column("_code").to_numpy(zero_copy_only=False).astype(np.int64)
+            y = rb.column("_y").to_numpy(zero_copy_only=False).astype(np.float64)
+            prob = np.clip(_sigmoid(two_tower_forward(p, parts, n, codes, state=state)["z"]), 1e-7, 1 - 1e-7)
+            t = np.stack([1 - y, y], axis=1)
+            loss += float(-(t * np.log(prob) + (1 - t) * np.log(1 - prob)).mean(axis=1).sum())
+            rows += n
+        yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([rows], pa.int64())], names=["loss", "n"])
+    return run
+
+
 @dataclass
 class TwoTower:
     features: PipelineModel
@@ -437,12 +456,13 @@ def train_two_tower(pairs: DataFrame, text_col: str = "sentence", label_col: str
                     target_col: str = "is_positive", dense_size: int = 64, num_features: int = 4096,
                     steps: int = 30, learning_rate: float = 1e-2, dropout: float = 0.5, seed: int = 42,
                     features: PipelineModel | None = None, num_dense_layers: int = 2,
-                    use_batch_norm: bool = True) -> TwoTower:
+                    use_batch_norm: bool = True, valid: DataFrame | None = None) -> TwoTower:
     """Full-batch data-parallel Adam on the pair table (persisted for the steps).
 
     Batch normalisation follows data-parallel practice: statistics of each
     task's batch (as each replica computes its own), gradients summed over
-    tasks, moving statistics (momentum 0.99) kept for inference."""
+    tasks, moving statistics (momentum 0.99) kept for inference.  With ``valid``
+    (same columns) the validation loss is recorded after every step."""
     spark = pairs.sparkSession
     coded, n_classes = label_codes(pairs, label_col, "_code")
     labels = [r[0] for r in pairs.select(label_col).where(F.col(label_col).isNotNull()).distinct()
@@ -453,6 +473,13 @@ def train_two_tower(pairs: DataFrame, text_col: str = "sentence", label_col: str
                 .select("_features", F.col("_code").cast("int").alias("_code"),
                         F.col(target_col).cast("double").alias("_y"))
                 .persist())
+    prepared_valid = None
+    if valid is not None:
+        lab = F.create_map(*[x for i, v in enumerate(labels) for x in (F.lit(v), F.lit(i))])
+        prepared_valid = (text_features(feats, valid, text_col)
+                          .select("_features", F.element_at(lab, F.col(label_col).cast("string")).alias("_code"),
+                                  F.col(target_col).cast("double").alias("_y"))
+                          .where(F.col("_code").isNotNull()).persist())
     p = init_two_tower(n_features, n_classes, dense_size, 128, seed, num_dense_layers, use_batch_norm)
     state = init_bn_state(p)
     m = {k: np.zeros_like(v) for k, v in p.items()}
@@ -482,8 +509,16 @@ def train_two_tower(pairs: DataFrame, text_col: str = "sentence", label_col: str
                 mh = m[k] / (1 - b1 ** step)
                 vh = v2[k] / (1 - b2 ** step)
                 p[k] = p[k] - learning_rate * mh / (np.sqrt(vh) + eps)
+            if prepared_valid is not None:
+                bv = spark.sparkContext.broadcast((p, state or None))
+                vl = prepared_valid.mapInArrow(_loss_fn(bv), "loss double, n long").agg(
+                    F.sum("loss").alias("l"), F.sum("n").alias("n")).first()
+                bv.unpersist()
+                history[-1]["valid_loss"] = float(vl["l"]) / max(int(vl["n"] or 0), 1)
     finally:
         prepared.unpersist()
+        if prepared_valid is not None:
+            prepared_valid.unpersist()
     return TwoTower(feats, labels, p, history, state)
 
 

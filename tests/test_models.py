@@ -120,3 +120,11 @@ def test_classifier_history_and_validation(clf, docs):
     assert len(h) >= 2 and h[-1]["loss"] <= h[0]["loss"]
     acc = models.validation_accuracy(clf, docs, "text", "lang")
     assert 0.0 <= acc <= 1.0
+
+
+def test_two_tower_validation_history(spark, docs):
+    pairs = docs.select("doc_id", F.col("text").alias("sentence"), F.col("lang").alias("label"),
+                        (F.col("doc_id") % 2).cast("int").alias("is_positive"))
+    train, valid = pairs.where(F.col("doc_id") < 150), pairs.where(F.col("doc_id") >= 150)
+    m = models.train_two_tower(train, dense_size=8, num_features=128, steps=3, dropout=0.0, valid=valid)
+    assert all("valid_loss" in h and h["valid_loss"] > 0 for h in m.history)
