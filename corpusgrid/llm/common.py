@@ -76,43 +76,53 @@ def id_column(ids: np.ndarray) -> pa.Array:
     return pa.array(ids, pa.int64(), mask=ids == NO_ID)
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zstandard
-    from pyspark import TaskContext
-    squeeze = zstandard.ZstdCompressor(level=1)
-    task, made = TaskContext.get().partitionId(), 0
+def gather(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, bytes]]:
+    """Rows (id, text) as (ids, ends, body) of about ``limit`` bytes: the texts joined by \n, in
+    ascending id order; ends has the offset of each text's end."""
     ids: list[int] = []
     texts: list[bytes] = []
     size = 0
 
-    def row():
+    def made():
         order = sorted(range(len(ids)), key=lambda i: ids[i])
-        body = b"\n".join(texts[i] for i in order)
         ends = np.cumsum([len(texts[i]) + 1 for i in order], dtype=np.int64) - 1
-        return pa.RecordBatch.from_pydict({
-            "block": pa.array([task << 32 | made], pa.int64()), "n_bytes": pa.array([len(body)], pa.int64()),
-            "ids": [np.array([ids[i] for i in order], np.int64).tobytes()], "ends": [ends.tobytes()],
-            "text": [squeeze.compress(body)]})
+        return np.array([ids[i] for i in order], np.int64), ends, b"\n".join(texts[i] for i in order)
 
     for batch in batches:
         for i, x in zip(id_array(batch.column(0)).tolist(), text_bytes(batch.column(1)), strict=True):
             ids.append(i)
             texts.append(x)
             size += len(x) + 1
-            if size >= BLOCK_BYTES:
-                yield row()
-                made, size = made + 1, 0
-                ids, texts = [], []
+            if size >= limit:
+                yield made()
+                ids, texts, size = [], [], 0
     if ids:
-        yield row()
+        yield made()
+
+
+def starts_of(ends: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], ends[:-1] + 1]).astype(np.int64)
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import zstandard
+    from pyspark import TaskContext
+    squeeze, task = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId()
+    for made, (ids, ends, body) in enumerate(gather(batches)):
+        yield pa.RecordBatch.from_pydict({
+            "block": pa.array([task << 32 | made], pa.int64()), "n_bytes": pa.array([len(body)], pa.int64()),
+            "ids": [ids.tobytes()], "ends": [ends.tobytes()], "text": [squeeze.compress(body)]})
 
 
 def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Written blocks of about 4 MB of text each: ids (int64, ascending inside the block),
     ends (int64 offset of each text's end; texts are joined by one \\n) and the zstd text."""
     ready(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return kept(rows.mapInArrow(_pack, BLOCK_SCHEMA), "blocks")
+    return kept(id_text(docs, id_col, text_col).mapInArrow(_pack, BLOCK_SCHEMA), "blocks")
+
+
+def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
 class Block:
@@ -122,7 +132,7 @@ class Block:
         import zstandard
         self.ids = np.frombuffer(ids, np.int64)
         self.ends = np.frombuffer(ends, np.int64)
-        self.starts = np.concatenate([[0], self.ends[:-1] + 1]).astype(np.int64)
+        self.starts = starts_of(self.ends)
         self.text = np.frombuffer(zstandard.ZstdDecompressor().decompress(text), np.uint8)
 
 

@@ -17,3 +17,13 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, sum(gone::INT)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+SQL["op7_exact_dedup"] = r"""
+WITH norm AS (
+  SELECT doc_id, length(coalesce(text, '')) AS points,
+         regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents),
+groups AS (
+  SELECT body, count(*)::BIGINT AS group_size, first(doc_id ORDER BY points DESC, doc_id) AS keep_id FROM norm GROUP BY body)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256
+FROM norm JOIN groups USING (body)
+"""
