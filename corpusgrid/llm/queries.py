@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgrid.llm import exact_dedup, line_dedup, mixing, ngram_join, packing, quality
+from corpusgrid.llm import exact_dedup, line_dedup, mixing, ngram_join, packing, quality, suffix_dedup
 from corpusgrid.llm.common import ready, text_or_empty
 
 
@@ -14,6 +14,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    out = suffix_dedup.repeated_spans(_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_line_dedup(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = line_dedup.dedup_lines(docs)
@@ -44,4 +51,4 @@ def op10_quality_rules(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op5_ngram_jaccard_join, op6_best_fit_packing, op7_exact_dedup, op9_mixing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op5_ngram_jaccard_join, op6_best_fit_packing, op7_exact_dedup, op9_mixing, op10_quality_rules)}
