@@ -26,6 +26,7 @@ SMOOTHING = 0.5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
 
 
 def words_of(text: Column) -> Column:
@@ -112,8 +113,10 @@ def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_co
     d = base_measures(docs, text_or_empty(text_col)).withColumn("__ratios", ratios.scalar())
     total = F.aggregate(grams_of(F.col("__words")), F.lit(0.0), lambda a, g: a + F.get(F.col("__ratios"), g))
     d = d.withColumn("llr", F.when(F.col("n_words") > 0, total / (2 * F.col("n_words"))))
-    return (d.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("llr"), F.lit(0.0)) >= threshold))
-            .drop("__text", "__words", "__ratios"))
+    d = d.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("llr"), F.lit(0.0)) >= threshold))
+    # the results leave through a generator, so that a filter on one of them does not pull the
+    # whole nested expression, copied many times, below the projections
+    return d.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in RESULTS], F.inline(F.array(F.struct(*RESULTS))))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:

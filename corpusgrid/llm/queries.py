@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgrid.llm import exact_dedup, line_dedup, mixing, ngram_join, packing, quality, suffix_dedup
+from corpusgrid.llm import exact_dedup, line_dedup, mixing, ngram_join, packing, pii, quality, suffix_dedup
 from corpusgrid.llm.common import ready, text_or_empty
 
 
@@ -27,6 +27,16 @@ def op2_line_dedup(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(text_or_empty("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+#: Key of the registered query only; a real run passes its own secret.
+PII_KEY = "registered-query"
+
+
+def op3_pii(spark, sf_dir):
+    """doc_id, counts by kind and the pseudonymised whole text of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, PII_KEY)
+
+
 def op5_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.jaccard_classes(_table(spark, sf_dir, "documents"))
 
@@ -51,4 +61,4 @@ def op10_quality_rules(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op5_ngram_jaccard_join, op6_best_fit_packing, op7_exact_dedup, op9_mixing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op3_pii, op5_ngram_jaccard_join, op6_best_fit_packing, op7_exact_dedup, op9_mixing, op10_quality_rules)}

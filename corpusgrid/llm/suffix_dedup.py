@@ -36,7 +36,7 @@ _IN_COVER[list(COVER)] = True
 _ENTRY = np.dtype([("h2", "<u4"), ("id", "<i8")])
 #: Bytes that a suffix takes on its way to its bucket, and bytes a pass may move for each byte of text.
 SUFFIX_BYTES = 6 + _ENTRY.itemsize
-PASS_SHARE = 0.6
+PASS_SHARE = 1.0
 REGIONS = "block long, n_suffixes long, ids binary, ends binary, text binary, rows binary, bases binary"
 ROWS = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
 
@@ -214,12 +214,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, ids, ends, text, rows, bases, got in B.rows_of(batches, "block", "ids", "ends", "text", "rows", "bases", "got"):
             r, rows, bases = Block(ids, ends, text), np.frombuffer(rows, np.int64), np.frombuffer(bases, np.int64)
-            at = []
-            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
-                here = _Sorted(r, rows, m, low, high, length).repeated([x for x in got or [] if low <= x["bucket"] < high])
-                region = np.searchsorted(r.ends, here)
-                at.append(bases[region] + here - r.starts[region])
-            a, z = _runs(np.sort(np.concatenate(at)), length)
+            here = _Sorted(r, rows, m, 0, m, length).repeated(got or [])
+            region = np.searchsorted(r.ends, here)
+            a, z = _runs(np.sort(bases[region] + here - r.starts[region]), length)
             yield pa.RecordBatch.from_pydict({"block": pa.array([number]), "a": [a.tobytes()], "z": [z.tobytes()]})
 
     spans = kept(_with_answers(regions, ties).select("block", "ids", "ends", "text", "rows", "bases", "got")
