@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgrid.llm import exact_dedup, line_dedup, mixing, ngram_join, packing, pii, quality, suffix_dedup
+from corpusgrid.llm import exact_dedup, line_dedup, mixing, ngram_join, packing, pii, quality, suffix_dedup, toxicity
 from corpusgrid.llm.common import ready, text_or_empty
 
 
@@ -49,6 +49,18 @@ def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+TOXIC_FROM = 0.7
+
+
+def op8_toxicity(spark, sf_dir):
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").where(~held_out).select("doc_id", "toxic")
+    out = toxicity.score(docs, toxicity.fit(docs, labels))
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"),
+                      F.size("spans").cast("long").alias("n_spans"))
+
+
 def op9_mixing(spark, sf_dir):
     plan = mixing.mix_plan(_table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -61,4 +73,4 @@ def op10_quality_rules(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op3_pii, op5_ngram_jaccard_join, op6_best_fit_packing, op7_exact_dedup, op9_mixing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op3_pii, op5_ngram_jaccard_join, op6_best_fit_packing, op7_exact_dedup, op8_toxicity, op9_mixing, op10_quality_rules)}
