@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgrid.llm import exact_dedup, line_dedup, mixing, ngram_join, packing, pii, quality, suffix_dedup, toxicity
+from corpusgrid.llm import exact_dedup, line_dedup, mixing, ngram_join, packing, pii, quality, suffix_dedup, token_codec, toxicity
 from corpusgrid.llm.common import ready, text_or_empty
 
 
@@ -37,6 +37,13 @@ def op3_pii(spark, sf_dir):
     return pii.pseudonymise(docs, PII_KEY)
 
 
+def op4_token_output(spark, sf_dir):
+    path = token_codec.files_path(spark, "token-files")
+    token_codec.write_tokens(_table(spark, sf_dir, "documents"), path)
+    out = token_codec.read_tokens(spark, path)
+    return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op5_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.jaccard_classes(_table(spark, sf_dir, "documents"))
 
@@ -73,4 +80,4 @@ def op10_quality_rules(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op3_pii, op5_ngram_jaccard_join, op6_best_fit_packing, op7_exact_dedup, op8_toxicity, op9_mixing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op3_pii, op4_token_output, op5_ngram_jaccard_join, op6_best_fit_packing, op7_exact_dedup, op8_toxicity, op9_mixing, op10_quality_rules)}
