@@ -1,0 +1,266 @@
+"""The corpus operators on small tables: brute force, nulls, empty and long texts, ties, repeated rows."""
+import collections
+import datetime
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from corpusgrid.llm import exact_dedup, line_dedup, mixing, ngram_join, packing, pii, quality, suffix_dedup, token_codec, toxicity
+from corpusgrid.llm.components import components
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0d]+")
+LONG = "Une phrase assez longue pour compter, number %d. " * 40
+SCHEMA = "doc_id long, text string, source string, block long, n_lines string, kept int, length string, size long, score string"
+TEXTS = [(1, ""), (2, None), (3, LONG % tuple(range(40))), (4, "One line of a text\n  one LINE of a text \nshort\n" + "x y z " * 30), (4, "One line of a text\n  one LINE of a text \nshort\n" + "x y z " * 30),
+         (None, "One line of a text\nand no id"), (5, LONG % tuple(range(40))), (6, "ONE line of a text\nÉcole élève 中文"), (7, " \t\n"),
+         (8, LONG % tuple(range(39, -1, -1))), (9, "w " * 60_000)]
+
+
+@pytest.fixture(scope="module")
+def edge(spark):
+    return spark.createDataFrame([(i, t, None if i == 6 else "s", 1, "a", 2, "b", 3, "c") for i, t in TEXTS], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    return docs, {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+
+
+def test_suffix_dedup(spark, edge, none, table):
+    assert suffix_dedup.repeated_spans(none).count() == 0
+    assert {(a - b) % suffix_dedup.PERIOD for a in suffix_dedup.COVER for b in suffix_dedup.COVER} == set(range(suffix_dedup.PERIOD))
+    got = {r["doc_id"]: bytes(r["kept"]) for r in suffix_dedup.repeated_spans(edge).collect()}
+    assert got[5] == b"" and got[3] == TEXTS[2][1].encode() and got[1] == got[2] == b""
+    assert got[9] == b"w "             # every string from the third byte on also starts earlier
+    docs, texts = table
+    seen, want = set(), {}
+    for i in sorted(texts):
+        x = texts[i].encode()
+        gone = bytearray(len(x))
+        for p in range(len(x) - 99):
+            if x[p:p + 100] in seen:
+                gone[p:p + 100] = b"\1" * 100
+            seen.add(x[p:p + 100])
+        want[i] = (bytes(c for c, g in zip(x, gone, strict=True) if not g), len([r for r in bytes(gone).split(b"\0") if r]))
+    rows = suffix_dedup.repeated_spans(docs).collect()
+    assert {r["doc_id"]: (bytes(r["kept"]), len(r["spans"])) for r in rows} == want
+
+
+def test_line_dedup(spark, edge, none):
+    assert line_dedup.dedup_lines(none).count() == 0
+    out = [(r["doc_id"], r["text"], r["n_dropped"]) for r in line_dedup.dedup_lines(edge).collect()]
+    by = collections.defaultdict(list)
+    for i, t, n in out:
+        by[i].append((t, n))
+    assert by[4] == [(TEXTS[3][1], 0)] * 2 and by[2] == [(None, 0)]
+    assert by[6] == [("École élève 中文", 1)] and by[None] == [(TEXTS[5][1], 0)] and by[5] == [("", 1)]
+
+
+def test_pii(spark, edge, none):
+    assert pii.pseudonymise(none, "k").count() == 0
+    assert pii.pseudonymise(edge, "k").where("n_pii > 0").count() == 0
+    text = ("mail a.b@c.example.com, card 4111 1111 1111 1111, not 4111 1111 1111 1112, ip 10.2.3.4 not 10.2.3.400, ssn 123-45-6789, "
+            "+1 (212) 555-0100, on 2024-02-29, 31/12/1999 not 2023-02-30")
+    df = spark.createDataFrame([(1, text), (2, "again a.b@c.example.com 4111 1111 1111 1111 2024-02-29")], "doc_id long, text string")
+    one, two = (r for r in pii.pseudonymise(df, "k").orderBy("doc_id").collect())
+    assert [one[f"n_{k}"] for k in pii.KINDS] == [1, 2, 1, 1, 1, 1, 0]
+    assert "4111 1111 1111 1112" in one["text"] and "2023-02-30" in one["text"] and "a.b@c" not in one["text"]
+    card = re.search(r"card ([\d ]+),", one["text"])[1]
+    assert card in two["text"] and card != "4111 1111 1111 1111"
+    digits = [int(c) for c in card if c != " "][::-1]
+    assert sum(d if k % 2 == 0 else d * 2 - 9 * (d > 4) for k, d in enumerate(digits)) % 10 == 0
+    ymd, dmy = re.search(r"on (\d{4}-\d{2}-\d{2}), (\d{2}/\d{2}/\d{4}) not", one["text"]).groups()
+    assert datetime.date.fromisoformat(ymd) and datetime.datetime.strptime(dmy, "%d/%m/%Y")
+    assert ymd in two["text"] and ymd != "2024-02-29"
+
+
+def test_feistel_is_a_permutation(spark):
+    from pyspark.sql import functions as F
+    d = spark.range(35 * 11).select(pii.feistel("k", "t", F.floor(F.col("id") / 11), F.col("id") % 11, 35, 11).alias("p"))
+    assert d.distinct().count() == 35 * 11
+    assert d.where("p.x < 0 or p.x > 34 or p.y < 0 or p.y > 10").count() == 0
+
+
+def _tokens(text, end):
+    from tokenizers import Tokenizer
+    _tokens.t = getattr(_tokens, "t", None) or Tokenizer.from_file(packing.vocabulary_path())
+    return _tokens.t.encode(text, add_special_tokens=False).ids + [end]
+
+
+def test_token_files(spark, edge, none, table, tmp_path):
+    token_codec.write_tokens(none, f"{tmp_path}/none")
+    assert token_codec.read_tokens(spark, f"{tmp_path}/none").count() == 0
+    docs, texts = table
+    for name, df, want in (("edge", edge, [(i, t or "") for i, t in TEXTS]), ("table", docs, list(texts.items()))):
+        token_codec.write_tokens(df, f"{tmp_path}/{name}")
+        got = sorted((r["start"], r["doc_id"], bytes(r["ids"])) for r in token_codec.read_tokens(spark, f"{tmp_path}/{name}").collect())
+        want = sorted(want, key=lambda x: (x[0] is None, x[0] or 0))
+        assert [(i, x) for _, i, x in got] == [(i, np.array(_tokens(t, 2), "<u4").tobytes()) for i, t in want]
+        assert [s for s, _, _ in got] == np.concatenate([[0], np.cumsum([len(x) // 4 for _, _, x in got])])[:-1].tolist()
+
+
+def test_codec_round_trip_and_checksum():
+    draw = np.random.default_rng(3)
+    for n in (0, 1, 1024, 5000):
+        for ids in (draw.integers(0, 65_534, n), np.zeros(n, np.int64), np.tile(draw.integers(0, 50, 50), n)[:n]):
+            frame = token_codec.write_frame(np.array([5]), np.array([n]), ids)
+            assert (token_codec.read_frame(frame)[2] == ids).all()
+    bad = bytearray(frame)
+    bad[len(bad) // 2] ^= 255
+    with pytest.raises(ValueError, match="checksum"):
+        token_codec.read_frame(bytes(bad))
+
+
+def _shingles(text):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    return {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_ngram_join(spark, edge, none, table):
+    assert ngram_join.jaccard_classes(none).count() == 0
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_classes(edge).collect()}
+    assert {(1, 0, 1), (2, 0, 2), (7, 0, 7)} <= got and {c for i, _, c in got if i in (3, 5)} == {3}
+    docs, texts = table
+    sets = {i: _shingles(t) for i, t in texts.items()}
+    parent = {i: i for i in sets}
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+    for a in sets:
+        for b in sets:
+            n = len(sets[a] & sets[b])
+            if a < b and n and 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n):
+                x, y = sorted((top(a), top(b)))
+                parent[y] = x
+    rows = ngram_join.jaccard_classes(docs).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == {i: (len(sets[i]), top(i)) for i in sets}
+
+
+def test_components(spark):
+    edges = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 140)] + [(7, 7)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{k: 0 for k in range(61)}, **{k: 100 for k in range(100, 140)}}
+
+
+def test_packing(spark, edge, none, table):
+    assert packing.packed_documents(none).count() == 0
+    for df, texts in ((edge, TEXTS), (table[0], table[1].items())):
+        rows = packing.packed_documents(df).collect()
+        want = collections.Counter()
+        for i, t in texts:
+            ids = _tokens(t or "", 1)
+            want.update((i, k, s, len(ids[s:s + 4096]), zlib.crc32(np.array(ids[s:s + 4096], "<u4").tobytes()))
+                        for k, s in enumerate(range(0, len(ids), 4096)))
+        assert collections.Counter(tuple(r)[:5] for r in rows) == want
+        at = collections.defaultdict(list)
+        for r in rows:
+            at[r["sequence_id"]].append((r["offset"], r["length"]))
+        for x in at.values():
+            x.sort()
+            assert [o for o, _ in x] == [sum(n for _, n in x[:k]) for k in range(len(x))] and sum(n for _, n in x) <= 4096
+        assert len(at) <= -(-sum(r["length"] for r in rows) // 4096) + 1
+
+
+def test_exact_dedup(spark, edge, none):
+    assert exact_dedup.exact_groups(none).count() == 0
+    got = collections.defaultdict(set)
+    for r in exact_dedup.exact_groups(edge).collect():
+        got[r["doc_id"]].add((r["keep_id"], r["group_size"], r["kept"]))
+    assert got[7] == {(7, 3, True)} and got[1] == {(7, 3, False)} and got[5] == {(3, 2, False)} and got[4] == {(4, 2, True)}
+
+
+def test_trie_splits_edges():
+    trie = exact_dedup.Patricia()
+    words = [b"", b"a", b"abc", b"abd", b"abcdef", b"b", b"abc"]
+    for k, w in enumerate(words):
+        trie.insert(w, (0, k), 1)
+    assert sorted((t[0][1], t[1]) for t in trie.terminals()) == [(0, 1), (1, 1), (2, 2), (3, 1), (4, 1), (5, 1)]
+
+
+def test_toxicity(spark, edge, none):
+    docs = spark.createDataFrame([(i, ("plain words here and there " * 5) + (f"idiot{'s' if i % 3 == 0 else ''} you " if i % 4 == 0 else "fine ") + "more plain words")
+                                  for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    rows = toxicity.score(docs, model).collect()
+    assert all((r["score"] >= 0.7) == (r["doc_id"] % 4 == 0) for r in rows)
+    assert toxicity.score(none, model).count() == 0
+    assert {r["doc_id"] for r in toxicity.score(edge, model).where("score < 0.5").collect()} == {i for i, _ in TEXTS}
+    assert {r["score"] for r in toxicity.score(edge, toxicity.fit(none, labels)).collect()} == {0.0}
+
+
+def test_chain_equals_the_dense_field():
+    draw = np.random.default_rng(1)
+    field = {"w": np.array([1.5, 2.0, -0.5, -2.0]), "t": np.array([[0.0, -1.0], [0.3, 0.6]])}
+    n = np.array([9, 1, 30, 4])
+    full = [np.where(draw.random((k, 2)) < 0.2, draw.integers(0, 3, (k, 2)), -1) for k in n]
+    u = np.zeros((4, 30))
+    for i, x in enumerate(full):
+        u[i, :len(x)] = np.where(x >= 0, field["w"][x], 0).sum(1) + field["w"][-1]
+    dense, _ = toxicity.marginals(u, n, field["t"])
+    where = [np.flatnonzero((x >= 0).any(1)) for x in full]
+    text = np.repeat(np.arange(4), [len(x) for x in where])
+    got = toxicity.Chain(field)(np.concatenate([x[w] for x, w in zip(full, where, strict=True)]), np.concatenate(where), text, n)
+    assert np.allclose(got, np.concatenate([dense[i, w] for i, w in enumerate(where)]))
+
+
+def test_mixing(spark, edge, none):
+    assert mixing.mix_plan(none).count() == 0 and mixing.mix_documents(none).count() == 0
+    rows = mixing.mix_plan(edge).collect()
+    assert len(rows) == len(TEXTS) and {r["size"] for r in rows if r["doc_id"] in (1, 2, 7)} == {0}
+    docs = spark.createDataFrame([(k, "w " * (1 + k % 5), "abc"[k % 3] if k % 7 else None) for k in range(3000)], "doc_id long, text string, source string")
+    got = collections.defaultdict(lambda: [0, 0, 0])
+    for r in mixing.mix_plan(docs).collect():
+        x = got[r["source"]]
+        x[0], x[1], x[2] = x[0] + r["size"], x[1] + r["size"] * r["copies"], r["target"]
+        assert 0 <= r["copies"] <= 3
+    weights = {"a": 1, "b": 2, "c": 3, None: 1}
+    total, left = sum(x[0] for x in got.values()), set(got)
+    target = {}
+    rest = total
+    while True:      # cap and reshare until none is above
+        over = {s for s in left if rest * weights[s] / sum(weights[k] for k in left) > 3 * got[s][0]}
+        if not over:
+            target |= {s: rest * weights[s] / sum(weights[k] for k in left) for s in left}
+            break
+        target |= {s: 3 * got[s][0] for s in over}
+        rest -= sum(3 * got[s][0] for s in over)
+        left -= over
+    for s, (_, taken, t) in got.items():
+        assert abs(t - target[s]) < 1e-6 and abs(taken - t) <= 5
+    assert mixing.mix_plan(docs).exceptAll(mixing.mix_plan(docs.repartition(7))).count() == 0
+
+
+def test_quality(spark, edge, none, table):
+    trusted = spark.createDataFrame([(k,) for k in range(100)], "doc_id long")
+    assert quality.quality(none, trusted).count() == 0
+    rows = {(r["doc_id"], r["n_words"], r["base_failed"]) for r in quality.quality(edge, trusted).collect()}
+    assert {(1, 0, True), (2, 0, True), (7, 0, True), (9, 60_000, True)} <= rows
+    docs, texts = table
+    for r in quality.quality(docs, quality.trusted_ids(spark.read.parquet(f"{SF}/labels.parquet"))).collect():
+        t = texts[r["doc_id"]]
+        w = WORD.findall(t)
+        grams = collections.Counter(tuple(w[k:k + 5]) for k in range(len(w) - 4))
+        covered = {p for k in range(len(w) - 4) if grams[tuple(w[k:k + 5])] > 1 for p in range(k, k + 5)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (
+            len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered))
+        assert r["base_failed"] == (len(w) < 10 or 100 * len(covered) > 20 * len(w))
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+    rows = corpus_pipeline.run(spark, SF).collect()
+    assert rows and max(r["length"] for r in rows) <= 4096
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "n-gram Jaccard join", "mixing sources", "best-fit packing"]
