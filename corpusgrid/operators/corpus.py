@@ -9,25 +9,28 @@ from pyspark.sql import functions as F
 
 from corpusgrid.functions.draws import hash_number
 from corpusgrid.operators.ranking import key_ge, key_le, key_table, kth_key
+from corpusgrid.session import materialize
 
 
 def scored_scan(df: DataFrame, score_col: str = "score", id_col: str | None = "doc_id",
                 subset: list[str] | None = None) -> DataFrame:
     """Drop rows with a null/NaN score, drop exact duplicates, sort by score.
 
-    Duplicates are judged on ``subset`` (default: every column but ``id_col``);
-    the smallest id of a duplicate group survives, so the result is
-    deterministic (``dropDuplicates`` keeps an arbitrary row).  The group-by
-    pre-aggregates map side, so a text repeated a million times costs one row
-    per map task in the shuffle.  Sort ties are broken by the id.
+    Duplicates are rows equal in every column; with ``subset``, rows equal in
+    those columns, of which the one with the smallest ``id_col`` survives
+    (``dropDuplicates`` would keep an arbitrary row).  Both pre-aggregate map
+    side.  Sort ties are broken by the id.
     """
     kept = df.where(F.col(score_col).isNotNull() & ~F.isnan(F.col(score_col)))
-    if id_col is None:
-        out = kept.dropDuplicates(subset) if subset else kept.distinct()
-        return out.orderBy(F.col(score_col))
-    keys = subset or [c for c in df.columns if c != id_col]
-    out = kept.groupBy(*keys).agg(F.min(id_col).alias(id_col)).select(*df.columns)
-    return out.orderBy(F.col(score_col), F.col(id_col))
+    if not subset:
+        out = kept.distinct()
+    elif id_col is None:
+        out = kept.dropDuplicates(subset)
+    else:
+        rest = [c for c in df.columns if c != id_col and c not in subset]
+        out = (kept.groupBy(*subset).agg(F.min(F.struct(id_col, *rest)).alias("_r"))
+               .select(*[F.col(f"_r.{c}").alias(c) if c not in subset else F.col(c) for c in df.columns]))
+    return out.orderBy(*[F.col(c) for c in (score_col, id_col) if c])
 
 
 TOPK_LIMIT = 100_000
@@ -78,9 +81,10 @@ def split_tail(df: DataFrame, score_col: str = "score", cutoff: float = 0.5, tra
     swaps the names).  For cutoff < 0.5 the middle rows are in neither part;
     for cutoff > 0.5 rows in the overlap appear once per part.  A cutoff that
     gives c = 0 is rejected.  Rows need a non-null, non-NaN score (``scored_scan``).
-    The two cut keys come from ``kth_key`` on the written (score, id) columns;
-    the split is a narrow projection of the input.
+    The input is written once: cut keys and split read the same rows, so a score
+    that another layout sums to other last bits cannot fall between them.
     """
+    df = materialize(df, "tail_rows")
     keys, n = key_table(df, F.col(score_col), id_col, "tail_keys")
     c = int(cutoff * n)
     if c <= 0 or cutoff > 1:

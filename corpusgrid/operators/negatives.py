@@ -23,6 +23,7 @@ Plan (no per-type self-join, which is quadratic in a hot type):
 
 from __future__ import annotations
 
+import itertools
 import logging
 import math
 
@@ -77,7 +78,7 @@ def _accepted_pairs(spark, inc: DataFrame, n_inc: int, labels: DataFrame, m: int
 
 
 def negative_pairs(texts: DataFrame, mentions: DataFrame, ratio: float = 1.0, seed=42,
-                   max_rounds: int = 8, id_col: str = "doc_id", text_col: str = "sentence",
+                   max_rounds: int | None = None, id_col: str = "doc_id", text_col: str = "sentence",
                    label_col: str = "label", return_info: bool = False):
     """(doc_id, sentence, label, source_doc_id, neg_index).
 
@@ -101,12 +102,16 @@ def negative_pairs(texts: DataFrame, mentions: DataFrame, ratio: float = 1.0, se
         return (empty, info) if return_info else empty
     labels = t.select("doc_id", "label")
     m = max(64, math.ceil(need * 1.5))
-    for rnd in range(max_rounds):
+    best, idle = -1, 0
+    for rnd in itertools.count():
         # written once per round by global_rank; its row count decides the next round
         ranked, got = global_rank(_accepted_pairs(spark, inc, n_inc, labels, m, seed), ["k"],
                                   rank_col="pr", label="neg_pairs")
         info.update(draws=m, pairs_accepted=got, rounds=rnd + 1)
-        if got >= need:
+        idle = 0 if got > best else idle + 1
+        best = got
+        # the draws go on until the count is met; three doublings without a new pair end them
+        if got >= need or idle == 3 or rnd + 1 == max_rounds:
             break
         m *= 2
     kept = ranked.where(F.col("pr") < need)
@@ -121,7 +126,7 @@ def negative_pairs(texts: DataFrame, mentions: DataFrame, ratio: float = 1.0, se
     short = max(0, target - 2 * min(info["pairs_accepted"], need))
     if short:
         info["shortfall_rows"] = short
-        log.warning("negative pairs: pool exhausted, %d of %d rows missing after %d draws",
+        log.warning("negative pairs: %d of %d rows missing after %d draws",
                     short, target, info["draws"])
     return (out, info) if return_info else out
 

@@ -70,7 +70,7 @@ WHERE a.score IS NOT NULL ORDER BY a.score DESC, a.doc_id LIMIT 20"""
 _SCAN = f"""{_SCORES},
 j AS (SELECT d.doc_id, d.text, d.source, a.score FROM documents d JOIN a USING (doc_id)
       WHERE a.score IS NOT NULL AND NOT isnan(a.score)),
-scan AS (SELECT min(doc_id) AS doc_id, text, source, score FROM j GROUP BY text, source, score)
+scan AS (SELECT DISTINCT doc_id, text, source, score FROM j)
 """
 SQL["scored_scan"] = f"WITH {_SCAN} SELECT doc_id, text, source, score FROM scan"
 SQL["sample_rows"] = """SELECT doc_id, source, n_chars FROM documents

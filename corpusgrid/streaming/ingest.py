@@ -33,11 +33,14 @@ def dedupe_articles(articles: DataFrame) -> DataFrame:
 def _target_ids(spark: SparkSession, target: str) -> DataFrame | None:
     try:
         return spark.read.parquet(target).select("id")
-    except AnalysisException:
-        return None
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):    # no target yet
+            return None
+        raise
 
 
-def upsert_batch(spark: SparkSession, raw: DataFrame, target: str, rejects: str | None = None) -> None:
+def upsert_batch(spark: SparkSession, raw: DataFrame, target: str, rejects: str | None = None,
+                 batch_id: int | None = None) -> None:
     """Parse one batch of raw files and append the unseen articles to ``target``."""
     articles, bad = parse_archive(raw, keep=("path",))
     fresh = materialize(dedupe_articles(articles.select("path", *ARTICLE_COLUMNS)), "ingest_batch")
@@ -50,7 +53,9 @@ def upsert_batch(spark: SparkSession, raw: DataFrame, target: str, rejects: str
         seen = target_ids.join(batch_ids, "id", "left_semi")
         fresh = fresh.join(broadcast_if_small(seen), "id", "left_anti")
     fresh.write.mode("append").parquet(target)
-    if rejects:
+    if rejects and batch_id is not None:      # a retried batch replaces its own rejects
+        bad.write.mode("overwrite").parquet(f"{rejects.rstrip('/')}/batch_id={batch_id}")
+    elif rejects:
         bad.write.mode("append").parquet(rejects)
 
 
@@ -65,7 +70,7 @@ def start_ingest(spark: SparkSession, source_dir: str, target: str, checkpoint:
     raw = reader.load(source_dir).select(F.col("_metadata.file_path").alias("path"), "value")
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        upsert_batch(spark, batch, target, rejects)
+        upsert_batch(spark, batch, target, rejects, batch_id)
 
     w = raw.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

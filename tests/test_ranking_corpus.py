@@ -25,10 +25,12 @@ def _f8(spark):
 
 def test_scored_scan_filters_dedups_sorts(spark):
     rows = [(1, "a", "x", 0.5), (2, "a", "x", 0.5), (3, "b", "x", None), (4, "c", "y", float("nan")),
-            (5, "d", "y", -1.0), (6, "e", "y", 0.5)]
+            (5, "d", "y", -1.0), (6, "e", "y", 0.5), (6, "e", "y", 0.5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, section string, score double")
     out = corpus.scored_scan(df).collect()
-    assert [r["doc_id"] for r in out] == [5, 1, 6]
+    assert [r["doc_id"] for r in out] == [5, 1, 2, 6]      # equal in every column, the id included
+    narrow = corpus.scored_scan(df, subset=["text", "section", "score"]).collect()
+    assert [r["doc_id"] for r in narrow] == [5, 1, 6]
     scores = [r["score"] for r in out]
     assert all(a <= b for a, b in zip(scores, scores[1:]))
 
