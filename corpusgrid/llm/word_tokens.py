@@ -3,20 +3,36 @@
 ``word_bpe_49k`` cuts at white space before anything else: no normalisation,
 match or merge reaches over it.  A text's ids are therefore its words' ids in
 order, and a task encodes each distinct word once and gathers the rest.
+
+Fewer words are distinct after two steps that its rules allow.  Punctuation that
+ends a word behind an ASCII letter or digit is a piece of its own there, so it is
+looked up apart from the word.  It lower-cases, so words of ASCII characters share
+an entry in any case; with others a capital can matter, as composition comes first.
+Vocabularies with other rules are used without these steps.
 """
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
 
-from corpusgrid.llm.common import Hasher, hashed_words, starts_of
+from corpusgrid.llm.common import Hasher, starts_of, word_bounds, word_segments
 
 #: A worker forgets its words beyond this many (about 100 MB), whatever the input's size.
 KEEP_WORDS = 1_500_000
 VOCABULARY = "word_bpe_49k.json"
+#: Fixed value: the split pattern of word_bpe_49k, in which a run of ASCII punctuation never joins the letter or digit before it.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Ending punctuation of more characters stays with its word.
+TAIL = 8
 _HASHER = Hasher(404)
+_BYTES = np.arange(256)
+_UPPER = (_BYTES >= 65) & (_BYTES <= 90)
+_ALNUM = _UPPER | ((_BYTES >= 97) & (_BYTES <= 122)) | ((_BYTES >= 48) & (_BYTES <= 57))
+_PUNCT = (_BYTES > 32) & (_BYTES < 127) & ~_ALNUM
+_LOWER = np.where(_UPPER, _BYTES + 32, _BYTES).astype(np.uint8)
 _KNOWN: dict[str, WordIds] = {}
 
 
@@ -25,13 +41,60 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def cut_tails(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words with up to ``TAIL`` ending punctuation bytes behind an ASCII letter or digit become two pieces."""
+    body = end.copy()
+    at = np.flatnonzero(_PUNCT[data[end - 1]])
+    for _ in range(TAIL):
+        body[at] -= 1
+        at = at[body[at] > start[at]]
+        at = at[_PUNCT[data[body[at] - 1]]]
+    cut = np.flatnonzero(body < end)
+    cut = cut[body[cut] > start[cut]]
+    cut = cut[_ALNUM[data[body[cut] - 1]]]
+    return (np.insert(start, cut + 1, body[cut]), np.insert(end, cut, body[cut]))
+
+
+def fold_case(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z lower-cased in words that are ASCII throughout."""
+    folded = _LOWER[data]
+    if not len(start):
+        return folded
+    # a capital in a word with wider characters stays; white space between words is neither
+    wide = np.flatnonzero(np.logical_or.reduceat(data > 127, start) & np.logical_or.reduceat(folded != data, start))
+    if len(wide):
+        size = (end - start)[wide]
+        at = np.arange(size.sum()) + np.repeat(start[wide] - (np.cumsum(size) - size), size)
+        folded[at] = data[at]
+    return folded
+
+
 class WordIds:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        rules = json.loads(self.tokenizer.to_str())
+        first = ((rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        known = first.get("pattern") == {"Regex": SPLIT}
+        steps = (rules.get("normalizer") or {}).get("normalizers") or []
+        self.cuts, self.folds = known, known and [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"]
         self.forget()
 
+    def pieces(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, hash) of what is looked up, in the order of the bytes."""
+        parts = []
+        for at, piece in word_segments(data):
+            start, end = word_bounds(piece)
+            if self.cuts:
+                start, end = cut_tails(piece, start, end)
+            prefix = _HASHER.prefix(fold_case(piece, start, end) if self.folds else piece)
+            parts.append((start + at, end + at, _HASHER.of(prefix, start, end)))
+        if not parts:
+            z = np.zeros(0, np.int64)
+            return z, z, np.zeros(0, np.uint64)
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
     def forget(self) -> None:
         self.hashes = np.zeros(0, np.uint64)
         self.first = np.zeros(0, np.int64)
@@ -52,7 +115,7 @@ class WordIds:
     def encode(self, ends: np.ndarray, body: bytes, last: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each text followed by ``last``; offsets of the texts, one more than texts)."""
         data = np.frombuffer(body, np.uint8)
-        start, end, h = hashed_words(data, _HASHER)
+        start, end, h = self.pieces(data)
         distinct, at, back = np.unique(h, return_index=True, return_inverse=True)
         if len(self.hashes) + len(distinct) > KEEP_WORDS:
             self.forget()
