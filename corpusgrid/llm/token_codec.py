@@ -7,7 +7,7 @@ with a 56-bit range turns into 16-bit words.  Every block starts with an empty
 model, so all blocks of a frame are coded side by side, one numpy lane each,
 and a damaged block spoils no other.
 
-Frame (one row of the dataset, little-endian): magic ``CGT1``, block size, number
+Frame (one row of the dataset, little-endian): magic ``CGT2``, block size, number
 of documents, number of blocks (3 x u32); ids (i64) and lengths (u64) of the
 documents; per block its number of ids, of code words and the crc32 of its ids
 (3 x u32); the code words (u16) of all blocks.  A frame holds whole documents.
@@ -29,15 +29,17 @@ from corpusgrid.llm.common import gather, id_column, id_text, ready
 from corpusgrid.llm.word_tokens import vocabulary_path, word_ids
 from corpusgrid.session import checkpoint_root
 
-MAGIC = b"CGT1"
+MAGIC = b"CGT2"
 BLOCK = 1024
-FRAME_TOKENS = 4 << 20
+FRAME_TOKENS = 2 << 20
 #: Slots of the order-1 and order-2 tables of a block; both are powers of two.
 SLOTS1, SLOTS2 = 512, 1024
-#: Steps between two rebuilds of the order-0 table.
-RENEW = 64
+#: The order-0 table is rebuilt after this many ids of a block, and each time their number has doubled.
+FIRST_RENEWAL = 32
 _U = np.uint64
 _ONE = _U(4096)
+#: A lane whose range falls below the floor passes on the top word of its 56 bits.
+_FLOOR, _KEEP = _U(1 << 40), _U((1 << 40) - 1)
 
 
 class _Model:
@@ -54,6 +56,7 @@ class _Model:
         self.row = np.arange(lanes, dtype=np.int64) * 256
         self.counts = np.ones(lanes * 256, np.uint16)
         self.fresh: list[np.ndarray] = []
+        self.steps, self.due = 0, FIRST_RENEWAL
         self._table()
 
     def _table(self) -> None:
@@ -61,38 +64,39 @@ class _Model:
         c = self.counts.reshape(-1, 256).astype(np.uint32)
         f = 1 + c * np.uint32(4096 - 256) // c.sum(1, keepdims=True, dtype=np.uint32)
         f[:, 0] += (4096 - f.sum(1)).astype(np.uint32)
-        self.freq = f.astype(_U).ravel()
-        cum = np.cumsum(f, 1) - f
-        self.cum = cum.astype(_U).ravel()
-        if self.decode:            # the last byte that starts at or below each sixteenth share, to search on from
-            guess = np.zeros((len(f), 257), np.uint8)
-            guess[np.arange(len(f))[:, None], (cum + 15) >> 4] = np.arange(256, dtype=np.uint8)
-            self.guess = np.maximum.accumulate(guess, 1).ravel()
+        self.freq = f.astype(np.uint16).ravel()
+        self.cum = (np.cumsum(f, 1, dtype=np.uint32) - f).astype(np.uint16).ravel()
+        if self.decode:            # the leading byte of each 4096th
+            self.byte = np.repeat(np.tile(np.arange(256, dtype=np.uint8), len(f)), self.freq)
 
     def predict(self) -> None:
-        k = (self.one * np.uint32(40503)) >> np.uint32(5)
-        self.at1 = self.base1 + (k & np.uint32(SLOTS1 - 1))
-        k = (self.one * np.uint32(40503) + self.two * np.uint32(60493)) >> np.uint32(4)
-        self.at2 = self.base2 + (k & np.uint32(SLOTS2 - 1))
-        self.p1, self.p2 = self.t1[self.at1], self.t2[self.at2]
-        self.w1 = np.where(self.p1 > 0, self.odds1, 1).astype(_U)
-        self.w2 = np.where(self.p2 > 0, self.odds2, 1).astype(_U)
+        k = self.one * np.uint32(40503)
+        self.at1 = self.base1 + ((k >> np.uint32(5)) & np.uint32(SLOTS1 - 1))
+        k += self.two * np.uint32(60493)
+        self.at2 = self.base2 + ((k >> np.uint32(4)) & np.uint32(SLOTS2 - 1))
+        self.p1, self.p2 = self.t1.take(self.at1), self.t2.take(self.at2)
+        self.some1, self.some2 = self.p1 > 0, self.p2 > 0
+        self.w1 = np.where(self.some1, self.odds1, 1).view(_U)
+        self.w2 = np.where(self.some2, self.odds2, 1).view(_U)
         self.w12 = self.w1 + self.w2
         self.w0 = _ONE - self.w12
 
     def learn(self, stored: np.ndarray, hit1: np.ndarray, hit2: np.ndarray) -> None:
-        """``stored`` is id + 1 (u16), so that 0 means an empty slot."""
-        self.odds1 = np.where(self.p1 > 0, np.clip(self.odds1 + (((hit1 * 2047) - self.odds1) >> 4), 8, 1900), self.odds1)
-        self.odds2 = np.where(self.p2 > 0, np.clip(self.odds2 + (((hit2 * 2047) - self.odds2) >> 4), 8, 1900), self.odds2)
+        """``stored`` is id + 1 (u16), so that 0 means an empty slot.  Odds move a sixteenth of the way to
+        8 or 1,900 of 4,096 and never leave that span."""
+        self.odds1 += ((np.where(hit1, 1900, 8) - self.odds1) >> 4) * self.some1
+        self.odds2 += ((np.where(hit2, 1900, 8) - self.odds2) >> 4) * self.some2
         self.t1[self.at1] = stored
         self.t2[self.at2] = stored
         self.two, self.one = self.one, stored.astype(np.uint32)
         self.fresh.append(self.row + ((stored - np.uint16(1)) >> np.uint16(8)))
-        if len(self.fresh) == RENEW:
+        self.steps += 1
+        if self.steps == self.due:
             # within one step every lane has its own row, so plain indexing adds up
             for at in self.fresh:
                 self.counts[at] += np.uint16(24)
             self.fresh = []
+            self.due *= 2
             self._table()
 
 
@@ -101,8 +105,10 @@ def encode_lanes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     lanes, n = ids.shape
     m = _Model(lanes)
     low, span = np.zeros(lanes, _U), np.full(lanes, 1 << 56, _U)
-    out = np.zeros((lanes, 2 * n + 8), np.uint32)
-    used = np.zeros(lanes, np.int64)
+    # word-major, since the lanes keep pace; flat[at] is the next word of each lane
+    out = np.zeros((2 * n + 8, lanes), np.uint32)
+    flat, every = out.ravel(), np.arange(lanes)
+    at = every.copy()
     steps = np.ascontiguousarray(ids.T)
     for k in range(n):
         x = steps[k]
@@ -110,86 +116,90 @@ def encode_lanes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         m.predict()
         hit2 = m.p2 == stored
         hit1 = (m.p1 == stored) & ~hit2
-        at = m.row + (x >> 8)
-        f = m.freq[at]
-        cum = (m.w12 << _U(20)) + m.w0 * ((m.cum[at] << _U(8)) + (x & 255).astype(_U) * f)
-        cum = np.where(hit2, _U(0), np.where(hit1, m.w2 << _U(20), cum))
-        share = np.where(hit2, m.w2 << _U(20), np.where(hit1, m.w1 << _U(20), m.w0 * f))
+        top = m.row + (x >> 8)
+        f = m.freq.take(top).astype(_U)
+        big2 = m.w2 << _U(20)
+        cum = (m.w12 << _U(20)) + m.w0 * ((m.cum.take(top).astype(_U) << _U(8)) + (x & 255).view(_U) * f)
+        cum = np.where(hit2, _U(0), np.where(hit1, big2, cum))
+        share = np.where(hit2, big2, np.where(hit1, m.w1 << _U(20), m.w0 * f))
         r = span >> _U(32)
         low += r * cum
         span = r * share
-        small = np.flatnonzero(span < _U(1 << 40))
-        while len(small):
-            v = low[small]
-            out[small, used[small]] = (v >> _U(40)).astype(np.uint32)     # with the carry, settled below
-            used[small] += 1
-            low[small] = (v & _U((1 << 40) - 1)) << _U(16)
-            span[small] <<= _U(16)
-            small = small[span[small] < _U(1 << 40)]
+        need = span < _FLOOR
+        flat[at] = low >> _U(40)                           # with the carry, settled below; stays where a word is due
+        shift = need.astype(_U) << _U(4)
+        low = np.where(need, low & _KEEP, low) << shift
+        span <<= shift
+        at += need * lanes
+        more = np.flatnonzero(span < _FLOOR)
+        while len(more):
+            flat[at[more]] = low[more] >> _U(40)
+            low[more] = (low[more] & _KEEP) << _U(16)
+            span[more] <<= _U(16)
+            at[more] += lanes
+            more = more[span[more] < _FLOOR]
         m.learn(stored, hit1, hit2)
-    every = np.arange(lanes)
     for _ in range(4):
-        out[every, used] = (low >> _U(40)).astype(np.uint32)
-        low = (low & _U((1 << 40) - 1)) << _U(16)
-        used += 1
+        flat[at] = low >> _U(40)
+        low = (low & _KEEP) << _U(16)
+        at += lanes
+    used = at // lanes if lanes else at
+    # what an unneeded store left behind a lane's end is no word of it
+    out[np.arange(len(out))[:, None] >= used[None]] = 0
     carry = np.zeros(lanes, np.uint32)
     for k in range(int(used.max(initial=0)) - 1, -1, -1):
-        out[:, k] += carry
-        carry = out[:, k] >> np.uint32(16)
-        out[:, k] &= np.uint32(0xFFFF)
-    return out.astype(np.uint16), used
+        out[k] += carry
+        carry = out[k] >> np.uint32(16)
+        out[k] &= np.uint32(0xFFFF)
+    return np.ascontiguousarray(out.astype(np.uint16).T), used
 
 
 def decode_lanes(words: np.ndarray, n: int) -> np.ndarray:
     """The ids (lanes x n) of code words (lanes x words, zero-padded)."""
     lanes = len(words)
     m = _Model(lanes, decode=True)
-    words = np.concatenate([words, np.zeros((lanes, 6), np.uint16)], 1)
+    words = np.concatenate([words.T, np.zeros((6, lanes), np.uint16)])
+    flat, last = words.ravel(), words.size
     span = np.full(lanes, 1 << 56, _U)
-    code = ((words[:, 0].astype(_U) << _U(40)) | (words[:, 1].astype(_U) << _U(24)) | (words[:, 2].astype(_U) << _U(8)))
     # the register has 56 bits: the first word's top byte pair sits at bit 40, the fourth word is split
-    code |= words[:, 3].astype(_U) >> _U(8)
-    tail = (words[:, 3] & np.uint16(255)).astype(_U)
-    used = np.full(lanes, 4, np.int64)
+    code = (words[0].astype(_U) << _U(40)) | (words[1].astype(_U) << _U(24)) | (words[2].astype(_U) << _U(8)) | (words[3].astype(_U) >> _U(8))
+    tail = (words[3] & np.uint16(255)).astype(_U)
+    at = np.arange(lanes) + 4 * lanes
+    shares = np.arange(lanes, dtype=np.int64) * 4096
     out = np.empty((n, lanes), np.uint16)
     for k in range(n):
         m.predict()
         r = span >> _U(32)
         v = np.minimum(code // r, _U((1 << 32) - 1))
-        hit2 = v < m.w2 << _U(20)
-        hit1 = ~hit2 & (v < m.w12 << _U(20))
-        x = np.where(hit2, m.p2, m.p1).astype(np.int64) - 1
-        cum = np.where(hit2, _U(0), m.w2 << _U(20))
-        share = np.where(hit2, m.w2, m.w1) << _U(20)
-        miss = np.flatnonzero(~(hit1 | hit2))
-        if len(miss):
-            y = (v[miss] - (m.w12[miss] << _U(20))) // m.w0[miss]
-            row, top = m.row[miss], y >> _U(8)
-            lo = m.guess[row + miss + (top >> _U(4)).astype(np.int64)].astype(np.int64)
-            more = np.flatnonzero(lo < 255)
-            while len(more):
-                more = more[m.cum[row[more] + lo[more] + 1] <= top[more]]
-                lo[more] += 1
-                more = more[lo[more] < 255]
-            at = row + lo
-            f, c = m.freq[at], m.cum[at] << _U(8)
-            rest = np.minimum((y - c) // f, _U(255))
-            x[miss] = lo * 256 + rest.astype(np.int64)
-            cum[miss] = (m.w12[miss] << _U(20)) + m.w0[miss] * (c + rest * f)
-            share[miss] = m.w0[miss] * f
-        code -= r * cum
-        span = r * share
-        small = np.flatnonzero(span < _U(1 << 40))
-        while len(small):
-            w = words[small, np.minimum(used[small], words.shape[1] - 1)].astype(_U)
-            code[small] = (code[small] << _U(16)) | (tail[small] << _U(8)) | (w >> _U(8))
-            tail[small] = w & _U(255)
-            used[small] += 1
-            span[small] <<= _U(16)
-            small = small[span[small] < _U(1 << 40)]
-        stored = (x + 1).astype(np.uint16)
+        big2, big12 = m.w2 << _U(20), m.w12 << _U(20)
+        hit2 = v < big2
+        hit1 = ~hit2 & (v < big12)
+        # order 0 for all lanes; lanes with a hit compute with 0 and drop the result
+        y = np.where(v < big12, _U(0), v - big12) // m.w0
+        lead = m.byte.take(shares + (y >> _U(8)).view(np.int64))
+        top = m.row + lead
+        f, c = m.freq.take(top).astype(_U), m.cum.take(top).astype(_U) << _U(8)
+        rest = np.minimum((y - c) // f, _U(255))
+        stored = ((lead.astype(np.uint16) << np.uint16(8)) | rest.astype(np.uint16)) + np.uint16(1)
+        stored = np.where(hit2, m.p2, np.where(hit1, m.p1, stored))
+        code -= r * np.where(hit2, _U(0), np.where(hit1, big2, big12 + m.w0 * (c + rest * f)))
+        span = r * np.where(hit2, big2, np.where(hit1, m.w1 << _U(20), m.w0 * f))
+        need = span < _FLOOR
+        w = flat.take(np.minimum(at, last - 1)).astype(_U)
+        code = np.where(need, (code << _U(16)) | (tail << _U(8)) | (w >> _U(8)), code)
+        tail = np.where(need, w & _U(255), tail)
+        span <<= need.astype(_U) << _U(4)
+        at += need * lanes
+        more = np.flatnonzero(span < _FLOOR)
+        while len(more):
+            w = flat[np.minimum(at[more], last - 1)].astype(_U)
+            code[more] = (code[more] << _U(16)) | (tail[more] << _U(8)) | (w >> _U(8))
+            tail[more] = w & _U(255)
+            span[more] <<= _U(16)
+            at[more] += lanes
+            more = more[span[more] < _FLOOR]
         m.learn(stored, hit1, hit2)
-        out[k] = x
+        out[k] = stored - np.uint16(1)
     return np.ascontiguousarray(out.T)
 
 
