@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusgrid.functions.draws import hash_number
-from corpusgrid.operators.ranking import key_ge, key_le, key_table, kth_key
+from corpusgrid.operators.ranking import id_order, key_ge, key_le, key_table, kth_key
 from corpusgrid.session import materialize
 
 
@@ -33,25 +33,21 @@ def scored_scan(df: DataFrame, score_col: str = "score", id_col: str | None = "d
     return out.orderBy(*[F.col(c) for c in (score_col, id_col) if c])
 
 
-TOPK_LIMIT = 100_000
-
-
 def sample_rows(df: DataFrame, n: int, seed: int = 42, id_col: str = "doc_id") -> DataFrame:
     """Exactly min(n, rows) rows without replacement, reproducible.
 
     Rows are ordered by a seeded 48-bit hash of the id (ties by id) and the first
-    n kept.  Up to ``TOPK_LIMIT`` rows this is ``orderBy().limit()``
-    (TakeOrderedAndProject: per-partition top-n, one merge); above it the exact
-    cut key is found with ``kth_key`` and the sample is a narrow filter.
+    n kept: the exact cut key is found with ``kth_key`` on the written (hash, id)
+    columns and the sample is a narrow filter, for every n and any type of id.
     """
     h = hash_number(F.col(id_col), "sample", seed)
-    if n <= TOPK_LIMIT:
-        return df.orderBy(h, F.col(id_col)).limit(n)
+    if n <= 0:
+        return df.limit(0)
     keys, total = key_table(df, h, id_col, "sample_keys")
     if n >= total:
         return df
     cut = kth_key(keys, "_x", id_col, n - 1)
-    return df.withColumn("_h", h).where(key_le("_h", id_col, cut)).drop("_h")
+    return df.withColumn("_h", h).where(key_le("_h", id_order(df, id_col), cut)).drop("_h")
 
 
 def split_random(df: DataFrame, test_fraction: float = 0.25, seed: int = 42,
@@ -70,12 +66,13 @@ def split_random(df: DataFrame, test_fraction: float = 0.25, seed: int = 42,
         return df.withColumn(split_col, F.lit("train"))
     cut = kth_key(keys, "_x", id_col, n_test - 1)
     return (df.withColumn("_h", h)
-            .withColumn(split_col, F.when(key_le("_h", id_col, cut), "test").otherwise("train")).drop("_h"))
+            .withColumn(split_col, F.when(key_le("_h", id_order(df, id_col), cut), "test").otherwise("train")).drop("_h"))
 
 
 def split_tail(df: DataFrame, score_col: str = "score", cutoff: float = 0.5, train_tail: bool = False,
                id_col: str = "doc_id", split_col: str = "split") -> DataFrame:
-    """c = int(cutoff * n) over rows in ascending (score, id) order.
+    """c = int(cutoff * n) over rows in ascending (score, id) order (ids that
+    are no integers: in the order of ``ranking.id_order``).
 
     'train' = the c highest-scored rows, 'test' = the c lowest (``train_tail``
     swaps the names).  For cutoff < 0.5 the middle rows are in neither part;
@@ -91,8 +88,8 @@ def split_tail(df: DataFrame, score_col: str = "score", cutoff: float = 0.5, tra
         raise ValueError(f"cutoff {cutoff} gives {c} rows of {n}; need 0 < int(cutoff*n) and cutoff <= 1")
     low_cut = kth_key(keys, "_x", id_col, c - 1)        # last row of the bottom c
     high_cut = kth_key(keys, "_x", id_col, n - c)       # first row of the top c
-    in_bottom = key_le(score_col, id_col, low_cut)
-    in_top = key_ge(score_col, id_col, high_cut)
+    in_bottom = key_le(score_col, id_order(df, id_col), low_cut)
+    in_top = key_ge(score_col, id_order(df, id_col), high_cut)
     top, bottom = ("test", "train") if train_tail else ("train", "test")
     parts = F.array_compact(F.array(F.when(in_top, F.lit(top)), F.when(in_bottom, F.lit(bottom))))
     return df.withColumn(split_col, F.explode(parts))

@@ -79,7 +79,8 @@ def kth_key(df: DataFrame, x_col: str, id_col: str, k: int, window_rows: int = 2
         col = "_i" if fixed_x is not None else "_x"
         c = F.col(col)
         f = (target + 0.5) / m
-        delta = window_rows / (4.0 * m)
+        # a fixed least width: the sketch keeps its size however many rows there are, and large tables take more rounds
+        delta = max(window_rows / (4.0 * m), 4e-4)
         a, b = win.approxQuantile(col, [max(0.0, f - delta), min(1.0, f + delta)], delta / 4)
         cnt = win.agg(*[F.sum(F.when(cond_, 1).otherwise(0)).alias(name) for name, cond_ in
                         (("lt_a", c < a), ("le_a", c <= a), ("lt_b", c < b), ("le_b", c <= b))]).collect()[0]
@@ -102,20 +103,28 @@ def kth_key(df: DataFrame, x_col: str, id_col: str, k: int, window_rows: int = 2
     raise RuntimeError("order statistic did not converge")
 
 
-def key_le(x_col: str, id_col: str, key: tuple[float, int]) -> Column:
-    """(x, id) <= key in lexicographic order."""
-    x, i = F.col(x_col).cast("double"), F.col(id_col)
+def id_order(df: DataFrame, id_col: str) -> Column:
+    """The number that orders ids: the id itself when it is an integer, else the
+    first 60 bits of its md5 (distinct ids of any type, in a fixed order)."""
+    if dict(df.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint"):
+        return F.col(id_col).cast("long")
+    return F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 15), 16, 10).cast("long")
+
+
+def key_le(x_col: str, i: Column, key: tuple[float, int]) -> Column:
+    """(x, id) <= key in lexicographic order; ``i`` is the ``id_order`` of the rows."""
+    x = F.col(x_col).cast("double")
     return (x < F.lit(key[0])) | ((x == F.lit(key[0])) & (i <= F.lit(key[1])))
 
 
-def key_ge(x_col: str, id_col: str, key: tuple[float, int]) -> Column:
-    """(x, id) >= key in lexicographic order."""
-    x, i = F.col(x_col).cast("double"), F.col(id_col)
+def key_ge(x_col: str, i: Column, key: tuple[float, int]) -> Column:
+    """(x, id) >= key in lexicographic order; ``i`` is the ``id_order`` of the rows."""
+    x = F.col(x_col).cast("double")
     return (x > F.lit(key[0])) | ((x == F.lit(key[0])) & (i >= F.lit(key[1])))
 
 
 def key_table(df: DataFrame, x: Column, id_col: str, label: str) -> tuple[DataFrame, int]:
     """Write only (_x, id) once (narrow) so that repeated order-statistic passes
     do not recompute an expensive input; returns (table, row count)."""
-    keys = materialize(df.select(x.cast("double").alias("_x"), F.col(id_col).cast("long").alias(id_col)), label)
+    keys = materialize(df.select(x.cast("double").alias("_x"), id_order(df, id_col).alias(id_col)), label)
     return keys, keys.count()

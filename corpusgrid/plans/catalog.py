@@ -50,11 +50,10 @@ def q_entity_mentions(spark, sf_dir):
 
 @register("gazetteer_mentions")
 def q_gazetteer_mentions(spark, sf_dir):
-    """Gazetteer bootstrapped from the rule extractor: the 100 most frequent
-    capitalised tokens, lower-cased, tagged wherever they occur (any case)."""
+    """Gazetteer bootstrapped from the rule extractor: all capitalised tokens,
+    lower-cased, tagged wherever they occur (any case)."""
     counts = specificity.token_counts(_mentions(spark, sf_dir)).where(F.col("type") == "CAP")
-    top = counts.orderBy(F.col("count").desc(), F.col("token")).limit(100)
-    gaz = top.select(F.lower("token").alias("phrase"), F.lit("KNOWN").alias("type")).distinct()
+    gaz = counts.select(F.lower("token").alias("phrase"), F.lit("KNOWN").alias("type")).distinct()
     return entities.extract_gazetteer(_docs(spark, sf_dir), gaz, max_n=2)
 
 

@@ -48,7 +48,7 @@ def _gazetteer_sql() -> str:
     words = ("regexp_extract_all(translate(lower(text), " + _q(ACCENTED) + ", " + _q(UNACCENTED) + "), "
              + _q(WORD_PATTERN_POSIX) + ")")
     return f"""WITH m AS ({mentions_sql()}),
-top AS (SELECT token, count(*) AS cnt FROM m WHERE type = 'CAP' GROUP BY token ORDER BY cnt DESC, token LIMIT 100),
+top AS (SELECT token, count(*) AS cnt FROM m WHERE type = 'CAP' GROUP BY token),
 gaz AS (SELECT DISTINCT lower(token) AS phrase FROM top),
 w AS (SELECT doc_id, UNNEST(ws) AS word, UNNEST(generate_series(0, len(ws) - 1)) AS start
       FROM (SELECT doc_id, {words} AS ws FROM documents))
@@ -281,3 +281,8 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id AS neighbor_id,
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, neighbor_id) AS INTEGER) AS rank
       FROM s)
 SELECT query_id, rank, neighbor_id, similarity FROM r WHERE rank <= 10"""
+
+# ---------------------------------------------------------------- W7
+SQL["export_tsv"] = """SELECT vec_id AS "order", label,
+       array_to_string(list_transform(embedding, lambda x: printf('%.18e', x::DOUBLE)), chr(9)) AS line
+FROM embeddings"""

@@ -6,6 +6,7 @@ import hashlib
 import json
 from typing import Callable
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,9 +68,12 @@ def projector_rows(df: DataFrame, vec_col: str, text_col: str, label_col: str,
     Vector lines: values joined by tabs, no header.  Label lines: running index,
     text, label.  Both carry the same order key so the rows align.
     """
-    vec_line = F.array_join(F.transform(F.col(vec_col), lambda x: F.format_string(VALUE_FORMAT, x.cast("double"))),
-                            TSV_SEP)
-    vectors = df.select(F.col(order_col).alias("order"), vec_line.alias("line"))
+    # the JVM pads its shortest digits with zeros; C formatting prints the exact expansion
+    @F.pandas_udf("string")
+    def vec_line(vectors: pd.Series) -> pd.Series:
+        return vectors.map(lambda v: None if v is None else TSV_SEP.join(VALUE_FORMAT % x for x in v))
+
+    vectors = df.select(F.col(order_col).alias("order"), vec_line(F.col(vec_col).cast("array<double>")).alias("line"))
     labels = df.select(F.col(order_col).alias("order"), F.col(text_col).alias("abstract"),
                        F.col(label_col).alias("label"))
     return vectors, labels
@@ -80,11 +84,15 @@ def export_projector(df: DataFrame, base: str, vec_col: str, text_col: str, labe
     """Write ``embeddings.tsv`` (no header) and ``embedding_labels.tsv``
     (header, index column) as Spark text/CSV outputs ordered by ``order_col``.
 
-    Rows are range-sorted on the order key, so part files concatenate in order.
+    Rows are range-sorted on the order key, so part files concatenate in order;
+    the header is the first row of that order, so it stands in the first part alone.
     """
     vectors, labels = projector_rows(df, vec_col, text_col, label_col, order_col)
     vpath, lpath = f"{base.rstrip('/')}/embeddings.tsv", f"{base.rstrip('/')}/embedding_labels.tsv"
     vectors.orderBy("order").select("line").write.mode("overwrite").text(vpath)
-    (labels.orderBy("order").withColumnRenamed("order", "")
-     .write.mode("overwrite").option("sep", TSV_SEP).option("header", True).csv(lpath))
+    header = df.sparkSession.range(1).select(F.lit(0).alias("_row"), F.lit(None).cast(labels.schema["order"].dataType).alias("order"),
+                                             *[F.lit(x).alias(x) for x in ("abstract", "label")])
+    rows = labels.select(F.lit(1).alias("_row"), "order", *[F.col(x).cast("string") for x in ("abstract", "label")])
+    (header.unionByName(rows).orderBy("_row", "order").drop("_row")
+     .write.mode("overwrite").option("sep", TSV_SEP).option("nullValue", "").csv(lpath))
     return {"embeddings": vpath, "labels": lpath}

@@ -1,3 +1,5 @@
+import glob
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
@@ -91,6 +93,14 @@ def test_store_reuse_and_export(spark, tmp_dir):
     lines = [r["value"] for r in spark.read.text(paths["embeddings"]).collect()]
     assert sorted(lines) == sorted(["2.500000000000000000e-01\t2.000000000000000000e+00",
                                     "5.000000000000000000e-01\t1.000000000000000000e+00"])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    many = spark.range(400).select(F.col("id").alias("k"), F.array(F.col("id") / 10).alias("v"), F.lit("t").alias("text"),
+                                   F.col("id").alias("label"))
+    paths = store.export_projector(many, f"{tmp_dir}/parts", "v", "text", "label", "k")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    read = {n: [x for f in sorted(glob.glob(f"{p}/part-*")) for x in open(f).read().splitlines()] for n, p in paths.items()}
+    assert read["labels"] == ["\tabstract\tlabel"] + [f"{k}\tt\t{k}" for k in range(400)]
+    assert read["embeddings"] == ["%.18e" % (k / 10) for k in range(400)]
     paths2 = store.write_experiment(f"{tmp_dir}/exp", {"sentences": df.withColumn("split", F.lit("train"))},
                                     history=[{"step": 1, "loss": 0.5}])
     assert spark.read.parquet(paths2["sentences"]).count() == 2

@@ -79,12 +79,23 @@ def test_kth_key_iterative_with_hot_tie(spark):
         assert (i, x) == order[k]
 
 
-def test_large_sample_uses_cut(spark, monkeypatch):
+def test_sample_is_the_head_of_the_hash_order(spark):
+    from corpusgrid.functions.draws import hash_number
     df = spark.range(500).withColumnRenamed("id", "doc_id")
-    small = sorted(r["doc_id"] for r in corpus.sample_rows(df, 120, seed=3).collect())
-    monkeypatch.setattr(corpus, "TOPK_LIMIT", 10)
-    big = sorted(r["doc_id"] for r in corpus.sample_rows(df, 120, seed=3).collect())
-    assert small == big and len(big) == 120
+    head = df.orderBy(hash_number(F.col("doc_id"), "sample", 3), "doc_id").limit(120)
+    got = sorted(r["doc_id"] for r in corpus.sample_rows(df, 120, seed=3).collect())
+    assert got == sorted(r["doc_id"] for r in head.collect())
+    assert corpus.sample_rows(df, 501).count() == 500 and corpus.sample_rows(df, 0).count() == 0
+
+
+def test_string_ids(spark):
+    df = spark.range(300).select(F.concat(F.lit("d"), "id").alias("doc_id"), (F.col("id") % 3).cast("double").alias("score"))
+    assert corpus.sample_rows(df, 40).count() == 40
+    parts = {r["split"]: r["count"] for r in corpus.split_random(df).groupBy("split").count().collect()}
+    assert parts == {"test": 75, "train": 225}
+    tail = corpus.split_tail(df, "score", cutoff=0.4).cache()
+    assert {r["split"]: r["count"] for r in tail.groupBy("split").count().collect()} == {"test": 120, "train": 120}
+    assert tail.select("doc_id").distinct().count() == 240
 
 
 def test_specificity_and_tail_split_independent_of_partitions(spark):
