@@ -264,3 +264,22 @@ def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert rows and max(r["length"] for r in rows) <= 4096
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "n-gram Jaccard join", "mixing sources", "best-fit packing"]
+
+
+def test_words_looked_up_apart_give_the_tokenizers_ids():
+    import random
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from corpusgrid.llm.word_tokens import vocabulary_path, word_ids
+    encoder, whole = word_ids(vocabulary_path()), Tokenizer.from_file(vocabulary_path())
+    assert encoder.cuts and encoder.folds
+    draw = random.Random(1)
+    letters = "aAbsStTJK\u00e9\u00c9\u00df\u03a3\u0130\u0131\u066313 '\"!?.\u2026\u2014\u00a0-\u2019\u030c\u0301\u0307 \n\t,;:)(*#\u4e2d\x7f"
+    texts = ["".join(draw.choices(letters, k=draw.randint(0, 40))) for _ in range(3000)]
+    texts += ["abc" + "!" * k for k in range(12)] + ["", "!" * 30, "it's'", "J\u030c \u01f0", "x'S."]
+    raw = [x.encode() for x in texts]
+    ids, at = encoder.encode(np.cumsum([len(x) + 1 for x in raw]) - 1, b"\n".join(raw), 2)
+    for k, x in enumerate(texts):
+        assert ids[at[k]:at[k + 1]].tolist() == whole.encode(x, add_special_tokens=False).ids + [2], x
