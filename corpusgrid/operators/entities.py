@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from corpusgrid.functions.text import DEFAULT_ENTITY_RULES, mention_array, words
 from corpusgrid.operators.joins import broadcast_if_small
 
-MENTION_SCHEMA = "doc_id long, type string, pos int, token string"
+MENTION_COLUMNS = "type string, pos int, token string"
 
 
 def extract_mentions(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
@@ -48,8 +48,9 @@ def extract_with_function(docs: DataFrame, fn: Callable[[Iterator[pd.DataFrame]]
                           text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Run a user recogniser per Arrow batch; it receives (doc_id, text) frames and
     must yield frames with columns doc_id, type, pos, token."""
+    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, {MENTION_COLUMNS}"
     return (docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-            .mapInPandas(fn, MENTION_SCHEMA))
+            .mapInPandas(fn, schema))
 
 
 def extract_gazetteer(docs: DataFrame, gazetteer: DataFrame, max_n: int = 3,

@@ -1,4 +1,4 @@
-"""W19 text-label classifier, W23 batch embeddings, W20 two-tower pair classifier.
+"""W19 text-label classifier and W23 batch embeddings.
 
 The transformer encoder of the reference is not rebuilt (see README): text
 features are Spark ML ``HashingTF`` + ``IDF`` over the same word split used by
@@ -10,12 +10,6 @@ W23 embeds texts with a fitted model: the output of the last hidden dense
 layer *before* its activation, computed per Arrow batch by a numpy forward
 pass (weights shipped once as a broadcast variable), sparse feature vectors
 multiplied without densifying.
-
-W20 fits the two-tower model (text tower || label tower -> dense 128 -> 2
-sigmoid outputs, binary cross-entropy) by synchronous data-parallel gradient
-descent: per step the weights are broadcast, each partition of the cached
-pair table returns one gradient row, the driver sums the (#partitions x
-#weights) rows and takes an Adam step.
 """
 
 from __future__ import annotations
@@ -35,6 +29,13 @@ from corpusgrid.functions.text import words
 from corpusgrid.operators.sequences import label_codes
 
 
+#: The MLP's optimiser sees about this many rows, drawn by hash; features, predictions and embeddings cover all.
+FIT_ROWS = 200_000
+DRAWS = 1 << 30
+#: Labels are columns of the output layer and come to the driver; more than this is refused.
+MAX_LABELS = 10_000
+
+
 # ----------------------------------------------------------------- features
 def _with_words(df: DataFrame, text_col: str) -> DataFrame:
     return df.withColumn("_words", words(F.col(text_col)))
@@ -80,19 +81,6 @@ def sparse_matmul(parts, n: int, w: np.ndarray) -> np.ndarray:
     return out
 
 
-def sparse_tmatmul(parts, g: np.ndarray, n_cols: int) -> np.ndarray:
-    """X^T @ g for X given by (row, column, value) non-zeros."""
-    rows, cols, v = parts
-    out = np.zeros((n_cols, g.shape[1]))
-    if len(v):
-        order = np.argsort(cols, kind="stable")
-        c = cols[order]
-        contrib = v[order, None] * g[rows[order]]
-        starts = np.r_[0, np.flatnonzero(np.diff(c)) + 1]
-        out[c[starts]] += np.add.reduceat(contrib, starts, axis=0)
-    return out
-
-
 def vector_matmul(vec: pa.StructArray, w: np.ndarray) -> np.ndarray:
     """Rows of an ML vector column times w, through the non-zeros only."""
     return sparse_matmul(sparse_parts(vec), len(vec), w)
@@ -121,11 +109,8 @@ class TextClassifier:
     def history(self) -> list[dict]:
         """Training history: the optimiser's objective (loss) per iteration."""
         mlp = self.mlp.stages[-1]
-        try:
-            summary = mlp.summary() if callable(mlp.summary) else mlp.summary
-            objective = list(summary.objectiveHistory)
-        except Exception:  # noqa: BLE001 - a loaded model carries no training summary
-            objective = []
+        # a loaded model carries no training summary
+        objective = list(mlp.summary().objectiveHistory) if mlp.hasSummary else []
         return [{"iteration": i, "loss": float(v)} for i, v in enumerate(objective)]
 
     def save(self, spark: SparkSession, path: str) -> None:
@@ -143,16 +128,28 @@ class TextClassifier:
 
 def train_classifier(df: DataFrame, text_col: str = "text", label_col: str = "label",
                      dense_size: int = 64, num_dense_layers: int = 2, num_features: int = 4096,
-                     max_iter: int = 100, seed: int = 42, step_size: float = 0.03) -> TextClassifier:
-    """Fit features + MLP; the label code is the sorted-label position."""
+                     max_iter: int = 100, seed: int = 42, fit_rows: int = FIT_ROWS) -> TextClassifier:
+    """Fit features + MLP; the label code is the sorted-label position.
+
+    The features are fitted on every row.  The MLP's optimiser holds its rows dense and
+    passes over all of them up to ``max_iter`` times, so it sees a sample of about
+    ``fit_rows`` of them, drawn by a hash of text, label and ``seed``.  More than
+    ``MAX_LABELS`` labels are refused.
+    """
+    sizes = df.where(F.col(label_col).isNotNull()).agg(
+        F.count("*").alias("n"), F.approx_count_distinct(label_col).alias("labels")).first()
+    if sizes["labels"] > MAX_LABELS:
+        raise ValueError(f"about {sizes['labels']} labels; the output layer takes at most {MAX_LABELS}")
     coded, num_classes = label_codes(df, label_col, "_label_code")
     labels = [r[0] for r in df.select(label_col).where(F.col(label_col).isNotNull()).distinct()
               .orderBy(label_col).collect()]
     feats = fit_text_features(coded, text_col, num_features)
-    x = text_features(feats, coded, text_col).withColumn("_label_code", F.col("_label_code").cast("double"))
+    draw = F.pmod(F.xxhash64(text_col, label_col, F.lit(seed)), F.lit(DRAWS))
+    sample = coded.where(draw < int(DRAWS * min(1.0, fit_rows / max(sizes["n"], 1))))
+    x = text_features(feats, sample, text_col).withColumn("_label_code", F.col("_label_code").cast("double"))
     layers = [num_features] + [dense_size] * num_dense_layers + [num_classes]
     mlp = MultilayerPerceptronClassifier(layers=layers, featuresCol="_features", labelCol="_label_code",
-                                         maxIter=max_iter, seed=seed, stepSize=step_size, blockSize=128,
+                                         maxIter=max_iter, seed=seed, blockSize=128,
                                          predictionCol="_pred", probabilityCol="probability",
                                          rawPredictionCol="_raw")
     model = Pipeline(stages=[mlp]).fit(x)
@@ -225,339 +222,3 @@ def embed_with_function(df: DataFrame, encoder, text_col: str = "text", id_col:
                     names=[id_col, "embedding"])
     schema = f"{id_col} {dict(df.dtypes)[id_col]}, embedding array<float>"
     return df.select(id_col, text_col).mapInArrow(run, schema)
-
-
-# ----------------------------------------------------------------- W20
-LEAK = 0.3  # fixed value: slope of the leaky ReLU for negative inputs (Keras default)
-
-
-def _leaky(z):
-    return np.where(z > 0, z, LEAK * z)
-
-
-def _dleaky(z):
-    return np.where(z > 0, 1.0, LEAK)
-
-
-def _layers(p, prefix):
-    n = sum(1 for k in p if k.startswith(prefix) and k.endswith("_w"))
-    return [(p[f"{prefix}{i}_w"], p[f"{prefix}{i}_b"]) for i in range(1, n + 1)]
-
-
-def init_two_tower(n_features: int, n_classes: int, dense_size: int = 64, hidden: int = 128,
-                   seed: int = 42, num_dense_layers: int = 2, use_batch_norm: bool = False) -> dict[str, np.ndarray]:
-    """Weights: text tower t1..tL (first from the features), label tower l1..lL
-    (first from the one-hot label), head h (2*dense -> hidden), output o (hidden -> 2);
-    with ``use_batch_norm`` a scale/shift pair bn1..bnL after each text-tower dense layer."""
-    rng = np.random.default_rng(seed)
-
-    def glorot(a, b):
-        lim = np.sqrt(6.0 / (a + b))
-        return rng.uniform(-lim, lim, (a, b))
-    d, p = dense_size, {}
-    for i in range(1, num_dense_layers + 1):
-        p[f"t{i}_w"], p[f"t{i}_b"] = glorot(n_features if i == 1 else d, d), np.zeros(d)
-    for i in range(1, num_dense_layers + 1):
-        p[f"l{i}_w"], p[f"l{i}_b"] = glorot(n_classes if i == 1 else d, d), np.zeros(d)
-    p["h_w"], p["h_b"] = glorot(2 * d, hidden), np.zeros(hidden)
-    p["o_w"], p["o_b"] = glorot(hidden, 2), np.zeros(2)
-    if use_batch_norm:
-        for i in range(1, num_dense_layers + 1):
-            p[f"bn{i}_gamma"], p[f"bn{i}_beta"] = np.ones(d), np.zeros(d)
-    return p
-
-
-def init_bn_state(p) -> dict[str, np.ndarray]:
-    """Moving statistics used at inference (Keras starts them at mean 0, variance 1)."""
-    n = sum(1 for k in p if k.startswith("bn") and k.endswith("_gamma"))
-    d = p["t1_b"].shape[0]
-    return {**{f"bn{i}_mean": np.zeros(d) for i in range(1, n + 1)},
-            **{f"bn{i}_var": np.ones(d) for i in range(1, n + 1)}}
-
-
-BN_EPS = 1e-3        # fixed value: Keras BatchNormalization epsilon
-BN_MOMENTUM = 0.99   # fixed value: Keras BatchNormalization momentum
-
-
-def text_tower(p, parts, n, dropout=0.0, rng=None, state=None):
-    """Text tower.  With batch-norm weights in ``p`` each dense output is
-    normalised by the batch statistics (training, ``state=None``) or by the
-    moving statistics in ``state`` (inference)."""
-    bn = "bn1_gamma" in p
-    t = dict(pre=[], xhat=[], inv=[], y=[], out=[], mask=[], stats=[])
-    h = None
-    for i, (w, b) in enumerate(_layers(p, "t"), start=1):
-        a = (sparse_matmul(parts, n, w) if i == 1 else h @ w) + b
-        if bn:
-            if state is None:
-                mu, var = a.mean(0), a.var(0)
-            else:
-                mu, var = state[f"bn{i}_mean"], state[f"bn{i}_var"]
-            inv = 1.0 / np.sqrt(var + BN_EPS)
-            xh = (a - mu) * inv
-            y = p[f"bn{i}_gamma"] * xh + p[f"bn{i}_beta"]
-            t["xhat"].append(xh)
-            t["inv"].append(inv)
-            t["stats"].append((mu, var))
-        else:
-            y = a
-        h = _leaky(y)
-        m = (rng.random(h.shape) >= dropout) / (1 - dropout) if dropout and rng is not None else None
-        if m is not None:
-            h = h * m
-        t["pre"].append(a)
-        t["y"].append(y)
-        t["out"].append(h)
-        t["mask"].append(m)
-    return t
-
-
-def two_tower_forward(p, parts, n, codes, dropout=0.0, rng=None, state=None):
-    tt = text_tower(p, parts, n, dropout, rng, state)
-    l_pre, l_out = [], []
-    g = None
-    for i, (w, b) in enumerate(_layers(p, "l")):
-        a = (w[codes] if i == 0 else g @ w) + b
-        g = _leaky(a)
-        l_pre.append(a)
-        l_out.append(g)
-    c = np.concatenate([tt["out"][-1], l_out[-1]], axis=1)
-    a3 = c @ p["h_w"] + p["h_b"]
-    h3 = _leaky(a3)
-    z = h3 @ p["o_w"] + p["o_b"]
-    return dict(tt=tt, l_pre=l_pre, l_out=l_out, c=c, a3=a3, h3=h3, z=z)
-
-
-def two_tower_grad(p, parts, n, codes, y, dropout, rng):
-    """Sum over the rows of the gradient of the mean-over-outputs binary cross-entropy."""
-    f = two_tower_forward(p, parts, n, codes, dropout, rng)
-    prob = _sigmoid(f["z"])
-    t = np.stack([1 - y, y], axis=1).astype(np.float64)
-    eps = 1e-7
-    loss = -(t * np.log(np.clip(prob, eps, 1)) + (1 - t) * np.log(np.clip(1 - prob, eps, 1))).mean(axis=1).sum()
-    dz = (prob - t) / 2.0
-    g = {"o_w": f["h3"].T @ dz, "o_b": dz.sum(0)}
-    da3 = (dz @ p["o_w"].T) * _dleaky(f["a3"])
-    g["h_w"], g["h_b"] = f["c"].T @ da3, da3.sum(0)
-    dc = da3 @ p["h_w"].T
-    d = p["t1_b"].shape[0]
-    # text tower, last layer first
-    tl = _layers(p, "t")
-    tt = f["tt"]
-    bn = "bn1_gamma" in p
-    dh = dc[:, :d]
-    for i in range(len(tl), 0, -1):
-        if tt["mask"][i - 1] is not None:
-            dh = dh * tt["mask"][i - 1]
-        dy = dh * _dleaky(tt["y"][i - 1])
-        if bn:
-            xh, inv = tt["xhat"][i - 1], tt["inv"][i - 1]
-            g[f"bn{i}_gamma"], g[f"bn{i}_beta"] = (dy * xh).sum(0), dy.sum(0)
-            dx = dy * p[f"bn{i}_gamma"]
-            da = inv * (dx - dx.mean(0) - xh * (dx * xh).mean(0))
-        else:
-            da = dy
-        if i == 1:
-            g["t1_w"] = sparse_tmatmul(parts, da, tl[0][0].shape[0])
-        else:
-            g[f"t{i}_w"] = tt["out"][i - 2].T @ da
-            dh = da @ tl[i - 1][0].T
-        g[f"t{i}_b"] = da.sum(0)
-    # label tower
-    ll = _layers(p, "l")
-    dg = dc[:, d:]
-    for i in range(len(ll), 0, -1):
-        da = dg * _dleaky(f["l_pre"][i - 1])
-        if i == 1:
-            gl = np.zeros_like(ll[0][0])
-            np.add.at(gl, codes, da)
-            g["l1_w"] = gl
-        else:
-            g[f"l{i}_w"] = f["l_out"][i - 2].T @ da
-            dg = da @ ll[i - 1][0].T
-        g[f"l{i}_b"] = da.sum(0)
-    g["_stats"] = tt["stats"]
-    return g, loss
-
-
-def _flatten(g, like):
-    """Concatenate in the key order of ``like`` (the parameter dict)."""
-    return np.concatenate([g[k].ravel() for k in like])
-
-
-def _unflatten(flat, like):
-    out, off = {}, 0
-    for k, v in like.items():
-        out[k] = flat[off:off + v.size].reshape(v.shape)
-        off += v.size
-    return out
-
-
-def _grad_fn(bp, dropout: float, step: int, seed: int):
-    def grad(batches):
-        from pyspark import TaskContext
-        p = bp.value
-        part = TaskContext.get().partitionId()
-        rng = np.random.default_rng([seed, step, part])
-        total = np.zeros(sum(v.size for v in p.values()))
-        n_bn = sum(1 for k in p if k.startswith("bn") and k.endswith("_gamma"))
-        d = p["t1_b"].shape[0]
-        stat_sum = np.zeros(2 * n_bn * d)
-        loss, rows = 0.0, 0
-        for rb in batches:
-            n = rb.num_rows
-            if n == 0:
-                continue
-            parts = sparse_parts(rb.column("_features"))
-            codes = rb.column("_code").to_numpy(zero_copy_only=False).astype(np.int64)
-            y = rb.column("_y").to_numpy(zero_copy_only=False).astype(np.float64)
-            g, lsum = two_tower_grad(p, parts, n, codes, y, dropout, rng)
-            total += _flatten(g, p)
-            if n_bn:
-                stat_sum += n * np.concatenate([np.concatenate([mu, var]) for mu, var in g["_stats"]])
-            loss += lsum
-            rows += n
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([total.tobytes()], pa.binary()), pa.array([stat_sum.tobytes()], pa.binary()),
-             pa.array([loss]), pa.array([rows], pa.int64())],
-            names=["g", "s", "loss", "n"])
-    return grad
-
-
-def _loss_fn(bp):
-    def run(batches):
-        p, state = bp.value
-        loss, rows = 0.0, 0
-        for rb in batches:
-            n = rb.num_rows
-            if n == 0:
-                continue
-            parts = sparse_parts(rb.column("_features"))
-            codes = rb.column("_code").to_numpy(zero_copy_only=False).astype(np.int64)
-            y = rb.column("_y").to_numpy(zero_copy_only=False).astype(np.float64)
-            prob = np.clip(_sigmoid(two_tower_forward(p, parts, n, codes, state=state)["z"]), 1e-7, 1 - 1e-7)
-            t = np.stack([1 - y, y], axis=1)
-            loss += float(-(t * np.log(prob) + (1 - t) * np.log(1 - prob)).mean(axis=1).sum())
-            rows += n
-        yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([rows], pa.int64())], names=["loss", "n"])
-    return run
-
-
-@dataclass
-class TwoTower:
-    features: PipelineModel
-    labels: list
-    params: dict
-    history: list = field(default_factory=list)
-    state: dict = field(default_factory=dict)   # batch-norm moving statistics
-
-
-def train_two_tower(pairs: DataFrame, text_col: str = "sentence", label_col: str = "label",
-                    target_col: str = "is_positive", dense_size: int = 64, num_features: int = 4096,
-                    steps: int = 30, learning_rate: float = 1e-2, dropout: float = 0.5, seed: int = 42,
-                    features: PipelineModel | None = None, num_dense_layers: int = 2,
-                    use_batch_norm: bool = True, valid: DataFrame | None = None) -> TwoTower:
-    """Full-batch data-parallel Adam on the pair table (persisted for the steps).
-
-    Batch normalisation follows data-parallel practice: statistics of each
-    task's batch (as each replica computes its own), gradients summed over
-    tasks, moving statistics (momentum 0.99) kept for inference.  With ``valid``
-    (same columns) the validation loss is recorded after every step."""
-    spark = pairs.sparkSession
-    coded, n_classes = label_codes(pairs, label_col, "_code")
-    labels = [r[0] for r in pairs.select(label_col).where(F.col(label_col).isNotNull()).distinct()
-              .orderBy(label_col).collect()]
-    feats = features or fit_text_features(coded, text_col, num_features)
-    n_features = feats.stages[0].getNumFeatures()
-    prepared = (text_features(feats, coded, text_col)
-                .select("_features", F.col("_code").cast("int").alias("_code"),
-                        F.col(target_col).cast("double").alias("_y"))
-                .persist())
-    prepared_valid = None
-    if valid is not None:
-        lab = F.create_map(*[x for i, v in enumerate(labels) for x in (F.lit(v), F.lit(i))])
-        prepared_valid = (text_features(feats, valid, text_col)
-                          .select("_features", F.element_at(lab, F.col(label_col).cast("string")).alias("_code"),
-                                  F.col(target_col).cast("double").alias("_y"))
-                          .where(F.col("_code").isNotNull()).persist())
-    p = init_two_tower(n_features, n_classes, dense_size, 128, seed, num_dense_layers, use_batch_norm)
-    state = init_bn_state(p)
-    m = {k: np.zeros_like(v) for k, v in p.items()}
-    v2 = {k: np.zeros_like(v) for k, v in p.items()}
-    b1, b2, eps = 0.9, 0.999, 1e-7
-    history = []
-    try:
-        for step in range(1, steps + 1):
-            bp = spark.sparkContext.broadcast(p)
-            out = prepared.mapInArrow(_grad_fn(bp, dropout, step, seed), "g binary, s binary, loss double, n long")
-            total, ssum, loss, rows = out.rdd.map(
-                lambda r: (np.frombuffer(r["g"], dtype=np.float64), np.frombuffer(r["s"], dtype=np.float64),
-                           r["loss"], r["n"])).treeReduce(
-                lambda a, b: (a[0] + b[0], a[1] + b[1], a[2] + b[2], a[3] + b[3]), depth=2)
-            bp.unpersist()
-            if state and rows:
-                d = p["t1_b"].shape[0]
-                batch = (ssum / rows).reshape(-1, 2, d)
-                for i, (mu, var) in enumerate(batch, start=1):
-                    state[f"bn{i}_mean"] = BN_MOMENTUM * state[f"bn{i}_mean"] + (1 - BN_MOMENTUM) * mu
-                    state[f"bn{i}_var"] = BN_MOMENTUM * state[f"bn{i}_var"] + (1 - BN_MOMENTUM) * var
-            g = _unflatten(total / max(rows, 1), p)
-            history.append({"step": step, "loss": loss / max(rows, 1), "rows": rows})
-            for k in p:
-                m[k] = b1 * m[k] + (1 - b1) * g[k]
-                v2[k] = b2 * v2[k] + (1 - b2) * g[k] ** 2
-                mh = m[k] / (1 - b1 ** step)
-                vh = v2[k] / (1 - b2 ** step)
-                p[k] = p[k] - learning_rate * mh / (np.sqrt(vh) + eps)
-            if prepared_valid is not None:
-                bv = spark.sparkContext.broadcast((p, state or None))
-                vl = prepared_valid.mapInArrow(_loss_fn(bv), "loss double, n long").agg(
-                    F.sum("loss").alias("l"), F.sum("n").alias("n")).first()
-                bv.unpersist()
-                history[-1]["valid_loss"] = float(vl["l"]) / max(int(vl["n"] or 0), 1)
-    finally:
-        prepared.unpersist()
-        if prepared_valid is not None:
-            prepared_valid.unpersist()
-    return TwoTower(feats, labels, p, history, state)
-
-
-def _tt_apply(bp, id_col: str, mode: str):
-    def run(batches):
-        p, state = bp.value
-        for rb in batches:
-            n = rb.num_rows
-            if n == 0:
-                continue
-            parts = sparse_parts(rb.column("_features"))
-            if mode == "embed":
-                h = text_tower(p, parts, n, state=state)["y"][-1]   # last dense (+ norm), before activation
-                col = pa.array(list(h.astype(np.float32)), type=pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays([rb.column(id_col), col], names=[id_col, "embedding"])
-            else:
-                codes = rb.column("_code").to_numpy(zero_copy_only=False).astype(np.int64)
-                prob = _sigmoid(two_tower_forward(p, parts, n, codes, state=state)["z"])
-                yield pa.RecordBatch.from_arrays(
-                    [rb.column(id_col), rb.column("_label"), pa.array(prob[:, 1])],
-                    names=[id_col, "label", "p_match"])
-    return run
-
-
-def two_tower_embeddings(model: TwoTower, df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """W23 for the two-tower model: text tower up to its last dense layer, before the activation."""
-    bp = df.sparkSession.sparkContext.broadcast((model.params, model.state or None))
-    x = text_features(model.features, df.select(id_col, text_col), text_col).select(id_col, "_features")
-    return x.mapInArrow(_tt_apply(bp, id_col, "embed"), f"{id_col} {dict(df.dtypes)[id_col]}, embedding array<float>")
-
-
-def two_tower_scores(model: TwoTower, df: DataFrame, text_col: str = "sentence", label_col: str = "label",
-                     id_col: str = "doc_id") -> DataFrame:
-    """(id, label, p_match): probability that the label belongs to the text."""
-    bp = df.sparkSession.sparkContext.broadcast((model.params, model.state or None))
-    lab = F.create_map(*[x for i, v in enumerate(model.labels) for x in (F.lit(v), F.lit(i))])
-    x = (text_features(model.features, df.select(id_col, text_col, label_col), text_col)
-         .select(id_col, "_features", F.col(label_col).cast("string").alias("_label"),
-                 F.element_at(lab, F.col(label_col)).alias("_code"))
-         .where(F.col("_code").isNotNull()))
-    return x.mapInArrow(_tt_apply(bp, id_col, "score"),
-                        f"{id_col} {dict(df.dtypes)[id_col]}, label string, p_match double")

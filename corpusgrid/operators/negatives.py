@@ -18,7 +18,8 @@ Plan (no per-type self-join, which is quadratic in a hot type):
   dropped; accepted pairs are numbered by draw and the first ``ceil(target/2)``
   kept.  Draw numbers depend only on ``k`` and the seed, so a larger ``M``
   only appends draws: rounds double ``M`` until enough pairs are accepted or
-  ``max_rounds`` is reached, and then the shortfall is reported.
+  three doublings bring no new pair, and then the shortfall is reported
+  (``max_rounds`` ends them earlier where a caller asks for it).
 """
 
 from __future__ import annotations
@@ -36,8 +37,6 @@ from corpusgrid.operators.ranking import global_rank
 
 log = logging.getLogger(__name__)
 
-NEG_SCHEMA = "doc_id long, sentence string, label string, source_doc_id long, neg_index long"
-
 
 def incidence(mentions: DataFrame) -> DataFrame:
     """Distinct (type, doc_id) of texts with at least one mention."""
@@ -92,7 +91,8 @@ def negative_pairs(texts: DataFrame, mentions: DataFrame, ratio: float = 1.0, se
     target = int(ratio * n)
     need = math.ceil(target / 2)
     info = {"texts": n, "target_rows": target, "pairs_needed": need, "draws": 0, "pairs_accepted": 0}
-    empty = spark.createDataFrame([], NEG_SCHEMA)
+    id_type = t.schema["doc_id"].dataType.simpleString()
+    empty = spark.createDataFrame([], f"doc_id {id_type}, sentence string, label string, source_doc_id {id_type}, neg_index long")
     if target <= 0:
         return (empty, info) if return_info else empty
     inc, n_inc = _indexed_incidence(mentions)

@@ -1,37 +1,38 @@
 """W21 unit vectors and W22 exact nearest neighbours (cosine top-k).
 
-Plan for W22 (P4), never materialising queries x corpus:
+Plan for W22; neither side passes through the driver and the queries x corpus
+matrix is never materialised:
 
 * both sides are unit-normalised with JVM array expressions; zero vectors
   become null and never match (nor ask);
-* queries are cut into blocks of at most ``block_size`` rows (checked with a
-  ``limit(block_size + 1)``, and capped so that block x dim stays under
-  ``MAX_BLOCK_VALUES``; more queries are numbered with ``global_rank`` and
-  fetched block by block); one block per corpus pass is shipped to the
-  executors as a broadcast matrix;
-* ``mapInArrow`` over the corpus computes one matrix product per
-  (corpus chunk x query chunk) and keeps, per query, the rows within ``eps`` of
-  the k-th best similarity seen so far, pruning after every Arrow batch (task
-  memory O(block x (k + ties)); ties and rounding cannot lose a true top-k row);
-* a final ``row_number`` per query over at most partitions x (k + ties)
-  candidates orders by similarity rounded to ``digits`` and then by id.
+* the corpus falls into cells around at most ``MAX_CELLS`` of its own rows (a
+  bounded set of pivots); a cell is known by its row count and radius.  A query
+  visits the cells that can hold one of its k nearest rows by the triangle
+  inequality, so the answer is exact whatever the pivots are;
+* a cell is cut into slots of about ``block_size`` rows and the queries into
+  slices of as many, so that a hot cell or a vector held by a third of the rows
+  spreads over tasks; slot and slice meet in a cogroup that multiplies chunk by
+  chunk and keeps exactly k rows per query by (rounded similarity, id);
+* a final ``row_number`` per query runs over at most visited slots x k candidates.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgrid.functions.arrays import with_unit_vector
-from corpusgrid.operators.ranking import global_rank
 from corpusgrid.session import materialize
 
 CHUNK_ROWS = 2048          # corpus rows per matrix product
-CHUNK_QUERIES = 4096       # queries per matrix product
-EPS = 2e-6
-MAX_BLOCK_VALUES = 16_000_000   # broadcast query block bound: rows x dim doubles (128 MB)
+CHUNK_QUERIES = 1024       # queries per matrix product
+MAX_BLOCK_VALUES = 4_000_000    # one side of a cogroup: rows x dim doubles (32 MB)
+MAX_CELLS = 256            # pivots that the driver and each task hold
+CELL_ROWS = 8192           # corpus rows per cell while there are fewer than MAX_CELLS cells
 
 
 def unit_vectors(df: DataFrame, vec_col: str = "embedding", out_col: str = "unit") -> DataFrame:
@@ -39,94 +40,139 @@ def unit_vectors(df: DataFrame, vec_col: str = "embedding", out_col: str = "unit
     return with_unit_vector(df, vec_col, out_col)
 
 
-def _prune(q: np.ndarray, s: np.ndarray, k: int, eps: float) -> np.ndarray:
-    """Indices of entries within eps of the k-th best similarity of their query."""
-    order = np.lexsort((-s, q))
-    qs, ss = q[order], s[order]
-    starts = np.r_[0, np.flatnonzero(np.diff(qs)) + 1]
-    sizes = np.diff(np.r_[starts, len(qs)])
-    kth = ss[starts + np.minimum(sizes, k) - 1]
-    keep = ss >= np.repeat(kth, sizes) - eps
-    return order[keep]
+def _matrix(column) -> np.ndarray:
+    """Rows of a non-empty list column as a matrix."""
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    flat = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in chunks])
+    return flat.astype(np.float64, copy=False).reshape(len(column), -1)
+
+
+def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(2.0 - 2.0 * (x @ pivots.T), 0.0))
+
+
+def _assign(bp):
+    """Corpus rows with the nearest pivot and the distance to it."""
+    def run(batches):
+        for rb in batches:
+            if rb.num_rows:
+                d = _distances(_matrix(rb.column("u")), bp.value)
+                cell = d.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [rb.column("cid"), rb.column("u"), pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])],
+                    names=["cid", "u", "cell", "dist"])
+    return run
 
 
-def _scorer(bq, k: int, id_col: str, eps: float):
-    def score(batches):
-        qids, qmat = bq.value
-        held_q = np.zeros(0, np.int64)
-        held_c = np.zeros(0, np.int64)
-        held_s = np.zeros(0, np.float64)
+def _visit(bc, k: int, digits: int):
+    """Queries with the slots of the cells that can hold one of their k nearest rows."""
+    def run(batches):
+        pivots, count, radius, first_slot = bc.value
         for rb in batches:
             n = rb.num_rows
-            if n == 0:
+            if not n:
                 continue
-            ids = rb.column(id_col).to_numpy(zero_copy_only=False)
-            flat = rb.column("_u").flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-            x = flat.reshape(n, -1)
-            cq, cc, cs = [held_q], [held_c], [held_s]
-            for r0 in range(0, n, CHUNK_ROWS):
-                xr = x[r0:r0 + CHUNK_ROWS]
-                for q0 in range(0, len(qids), CHUNK_QUERIES):
-                    sims = xr @ qmat[q0:q0 + CHUNK_QUERIES].T
-                    b = sims.shape[0]
-                    kk = min(k, b)
-                    kth = np.partition(sims, b - kk, axis=0)[b - kk]
-                    r, c = np.nonzero(sims >= kth - eps)
-                    cq.append(c + q0)
-                    cc.append(ids[r0:r0 + CHUNK_ROWS][r])
-                    cs.append(sims[r, c])
-            q, c, sv = np.concatenate(cq), np.concatenate(cc), np.concatenate(cs)
-            keep = _prune(q, sv, k, eps)            # memory stays O(queries x (k + ties))
-            held_q, held_c, held_s = q[keep], c[keep], sv[keep]
-        if len(held_q):
+            d = _distances(_matrix(rb.column("u")), pivots)
+            reach = d + radius
+            order = np.argsort(reach, axis=1)
+            enough = np.cumsum(count[order], axis=1) >= k
+            last = np.where(enough.any(axis=1), enough.argmax(axis=1), reach.shape[1] - 1)
+            # k rows lie within this distance; equal rounded similarities and float error get their room
+            bound = reach[np.arange(n), order[np.arange(n), last]]
+            row, cell = np.nonzero(np.maximum(d - radius - 1e-6, 0) ** 2 <= ((bound + 1e-6) ** 2)[:, None] + 4 * 10.0 ** -digits)
+            size = first_slot[cell + 1] - first_slot[cell]
+            slot = np.arange(size.sum()) + np.repeat(first_slot[cell] - (np.cumsum(size) - size), size)
+            ends = np.cumsum(np.bincount(row, weights=size, minlength=n)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(qids[held_q]), pa.array(held_c), pa.array(held_s)],
-                names=["query_id", "neighbor_id", "similarity"])
-    return score
+                [rb.column("query_id"), rb.column("u"),
+                 pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(slot.astype(np.int32)))],
+                names=["query_id", "u", "slots"])
+    return run
+
+
+def _best(k: int, digits: int):
+    """Exactly k rows per query of one slice and one slot, by (rounded similarity, smaller id)."""
+    scale = 10 ** digits
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if left.num_rows and right.num_rows:
+            right = right.sort_by("cid")
+            q, x = _matrix(left.column("u")), _matrix(right.column("u"))
+        else:
+            left, right = left.slice(0, 0), right.slice(0, 0)
+            q = x = np.zeros((0, 1))
+        n, asked, found, score = len(x), [], [], []
+        for q0 in range(0, len(q), CHUNK_QUERIES):
+            part = q[q0:q0 + CHUNK_QUERIES]
+            held = np.zeros((len(part), 0), np.int64)
+            for r0 in range(0, n, CHUNK_ROWS):
+                sims = part @ x[r0:r0 + CHUNK_ROWS].T
+                rounded = (np.sign(sims) * np.floor(np.abs(sims) * scale + 0.5)).astype(np.int64)
+                # one number orders by rounded similarity, then by smaller id
+                key = rounded * n + (n - 1 - np.arange(r0, r0 + sims.shape[1]))
+                held = np.concatenate([held, key], axis=1)
+                if held.shape[1] > k:
+                    held = np.partition(held, held.shape[1] - k, axis=1)[:, -k:]
+            value = held // n
+            asked.append(np.repeat(np.arange(q0, q0 + len(part)), held.shape[1]))
+            found.append((n - 1 - (held - value * n)).ravel())
+            score.append(value.ravel() / scale)
+        join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+        return pa.table({"query_id": left.column("query_id").take(pa.array(join(asked, np.int64))),
+                         "neighbor_id": right.column("cid").take(pa.array(join(found, np.int64))),
+                         "similarity": pa.array(join(score, np.float64))})
+    return run
 
 
 def nearest_neighbors(queries: DataFrame, corpus: DataFrame, k: int = 10, query_id: str = "query_id",
                       corpus_id: str = "doc_id", query_vec: str = "embedding", corpus_vec: str = "embedding",
-                      block_size: int = 65536, digits: int = 6) -> DataFrame:
+                      block_size: int = 65536, digits: int = 6, cells: int | None = None) -> DataFrame:
     """(query_id, rank, neighbor_id, similarity) with rank 1 = most similar.
 
-    Fewer than k corpus rows -> all of them.  ``similarity`` is rounded to
-    ``digits`` places and ties are broken by the smaller id.
+    Ids may be of any type that orders.  Fewer than k corpus rows -> all of them.
+    ``similarity`` is rounded to ``digits`` places and ties are broken by the
+    smaller id.  ``cells`` sets the number of pivots (else by the corpus' size);
+    neither it nor ``block_size`` changes the result.
     """
     spark = queries.sparkSession
-    qn = (with_unit_vector(queries.select(F.col(query_id).cast("long").alias("query_id"),
-                                          F.col(query_vec).alias("_v")), "_v", "u", drop_zero=True)
-         .select("query_id", "u"))
-    cn = (with_unit_vector(corpus.select(F.col(corpus_id).cast("long").alias("cid"),
-                                         F.col(corpus_vec).alias("_v")), "_v", "_u", drop_zero=True)
-         .select("cid", "_u"))
-    first = qn.select("u").first()
-    dim = len(first["u"]) if first else 1
-    block_size = max(1, min(block_size, MAX_BLOCK_VALUES // max(dim, 1)))
-    head = qn.limit(block_size + 1).collect()
-    if len(head) <= block_size:
-        blocks = [head]
+    qn = (with_unit_vector(queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("_v")),
+                           "_v", "u", drop_zero=True).select("query_id", "u"))
+    cn = (with_unit_vector(corpus.select(F.col(corpus_id).alias("cid"), F.col(corpus_vec).alias("_v")),
+                           "_v", "u", drop_zero=True).select("cid", "u"))
+    qtype, ctype = (f.schema[c].dataType.simpleString() for f, c in ((qn, "query_id"), (cn, "cid")))
+    sizes = cn.agg(F.count("*").alias("n"), F.max(F.size("u")).alias("dim")).first()
+    n, asked = sizes["n"], qn.count()
+    if not n or not asked:
+        return spark.createDataFrame([], f"query_id {qtype}, rank int, neighbor_id {ctype}, similarity double")
+    block = max(1, min(block_size, MAX_BLOCK_VALUES // sizes["dim"]))
+    cells = min(MAX_CELLS, cells or max(1, n // CELL_ROWS))
+    if cells == 1:
+        # one cell: every query visits all of its slots
+        slots = math.ceil(n / block)
+        cn = cn.withColumn("_slot", F.pmod(F.xxhash64("cid"), F.lit(slots)).cast("int"))
+        qn = qn.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
     else:
-        ranked, nq = global_rank(qn, ["query_id"], rank_col="_qr", label="query_blocks")
-        ranked = ranked.withColumn("_b", (F.col("_qr") / block_size).cast("long"))
-        cn = materialize(cn, "corpus_unit")
-        blocks = ((lambda b: ranked.where(F.col("_b") == b).select("query_id", "u").collect())(b)
-                  for b in range((nq + block_size - 1) // block_size))
-    parts = []
-    for rows in blocks:
-        if not rows:
-            continue
-        qids = np.array([r["query_id"] for r in rows], dtype=np.int64)
-        qmat = np.array([r["u"] for r in rows], dtype=np.float64)
-        bq = spark.sparkContext.broadcast((qids, qmat))
-        parts.append(cn.mapInArrow(_scorer(bq, k, "cid", EPS),
-                                   "query_id long, neighbor_id long, similarity double"))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, neighbor_id long, similarity double")
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
-    cand = cand.withColumn("similarity", F.round("similarity", digits))
+        # at most MAX_CELLS rows reach the driver, whatever the corpus' size
+        pivots = np.array([r["u"] for r in cn.orderBy(F.xxhash64("cid"), "cid").limit(cells).collect()], np.float64)
+        bp = spark.sparkContext.broadcast(pivots)
+        cn = materialize(cn.mapInArrow(_assign(bp), f"cid {ctype}, u array<double>, cell int, dist double"), "corpus_cells")
+        known = {r["cell"]: r for r in cn.groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("radius")).collect()}
+        count = np.array([known[c]["n"] if c in known else 0 for c in range(len(pivots))], np.int64)
+        radius = np.array([known[c]["radius"] if c in known else 0.0 for c in range(len(pivots))])
+        slots = -(-count // block)
+        first_slot = np.r_[0, np.cumsum(slots)]
+        at = F.col("cell") + 1
+        base = F.element_at(F.array(*[F.lit(int(v)) for v in first_slot[:-1]]), at)
+        share = F.element_at(F.array(*[F.lit(int(max(v, 1))) for v in slots]), at)
+        cn = cn.withColumn("_slot", (base + F.pmod(F.xxhash64("cid"), share)).cast("int")).drop("cell", "dist")
+        bc = spark.sparkContext.broadcast((pivots, count, radius, first_slot))
+        qn = (qn.mapInArrow(_visit(bc, k, digits), f"query_id {qtype}, u array<double>, slots array<int>")
+              .select("query_id", "u", F.explode("slots").alias("_slot")))
+    slices = math.ceil(asked / block)
+    qn = qn.withColumn("_slice", F.pmod(F.xxhash64("query_id"), F.lit(slices)).cast("int"))
+    cn = cn.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    found = (qn.groupBy("_slot", "_slice").cogroup(cn.groupBy("_slot", "_slice"))
+             .applyInArrow(_best(k, digits), f"query_id {qtype}, neighbor_id {ctype}, similarity double"))
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("neighbor_id"))
-    return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return (found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("query_id", "rank", "neighbor_id", "similarity"))

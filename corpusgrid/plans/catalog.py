@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgrid.functions.arrays import argmax
-from corpusgrid.operators import corpus, entities, evaluate, models, negatives, sequences, specificity, vectors
+from corpusgrid.operators import corpus, entities, evaluate, models, negatives, sequences, specificity, two_tower, vectors
 from corpusgrid.sources import archive, store
-from corpusgrid.session import checkpoint_root
+from corpusgrid.session import checkpoint_root, materialize
 from corpusgrid.streaming import ingest, lookup
 from corpusgrid.sources.tables import read_table, spread
 
@@ -312,15 +312,16 @@ def q_batch_embeddings(spark, sf_dir):
 
 def _two_tower(spark, sf_dir):
     texts = _texts(spark, sf_dir)
-    pairs = negatives.two_tower_pairs(texts, _negatives(spark, sf_dir, 1.0))
-    return pairs, models.train_two_tower(pairs, dense_size=32, num_features=1024, steps=10, seed=42)
+    # the fit and the scores read the pairs several times: written once
+    pairs = materialize(negatives.two_tower_pairs(texts, _negatives(spark, sf_dir, 1.0)), "pairs")
+    return pairs, two_tower.train_two_tower(pairs, dense_size=32, num_features=1024, max_iter=10, seed=42)
 
 
 @register("train_two_tower")
 def q_train_two_tower(spark, sf_dir):
     """Two-tower fit on positives + negatives; match probability of every pair."""
     pairs, m = _two_tower(spark, sf_dir)
-    scored = models.two_tower_scores(m, pairs.select("doc_id", "sentence", "label", "is_positive",
+    scored = two_tower.two_tower_scores(m, pairs.select("doc_id", "sentence", "label", "is_positive",
                                                      "source_doc_id"))
     return scored
 
@@ -328,7 +329,7 @@ def q_train_two_tower(spark, sf_dir):
 @register("two_tower_embeddings")
 def q_two_tower_embeddings(spark, sf_dir):
     _, m = _two_tower(spark, sf_dir)
-    return models.two_tower_embeddings(m, _docs(spark, sf_dir), "text", "doc_id")
+    return two_tower.two_tower_embeddings(m, _docs(spark, sf_dir), "text", "doc_id")
 
 
 @register("export_tsv")

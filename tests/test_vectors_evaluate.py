@@ -135,3 +135,21 @@ def test_accuracy_matches_spark_ml_evaluator(spark):
     ours = evaluate.accuracy(df, "p", "t").collect()[0]["accuracy"]
     ml = MulticlassClassificationEvaluator(metricName="accuracy").evaluate(df)
     assert abs(ours - ml) < 1e-12
+
+
+@pytest.mark.parametrize("cells,block", [(1, 64), (12, 65536), (12, 50)])
+def test_neighbors_hot_vector_and_string_ids(spark, cells, block):
+    rng = np.random.default_rng(3)
+    middle = rng.normal(size=(6, 5)) * 4
+    vecs = middle[rng.integers(0, 6, 300)] + rng.normal(size=(300, 5)) * 0.2
+    vecs[::3] = [1.0, 2.0, 3.0, 4.0, 5.0]                       # a third of the rows is one vector
+    rows = [(f"d{i:03d}", [float(v) for v in x]) for i, x in enumerate(vecs)]
+    df = spark.createDataFrame(rows, "doc_id string, embedding array<double>")
+    asked = df.withColumnRenamed("doc_id", "query_id")
+    unit = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
+    sims = np.round(unit @ unit.T, 6)
+    got = {}
+    for r in vectors.nearest_neighbors(asked, df, k=8, cells=cells, block_size=block).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["neighbor_id"])
+    for i in range(300):
+        assert got[f"d{i:03d}"] == [f"d{j:03d}" for j in np.lexsort((np.arange(300), -sims[i]))[:8]]
