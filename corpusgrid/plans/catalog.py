@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgrid.functions.arrays import argmax
+from corpusgrid.functions.text import DEFAULT_ENTITY_RULES
 from corpusgrid.operators import corpus, entities, evaluate, models, negatives, sequences, specificity, two_tower, vectors
 from corpusgrid.sources import archive, store
 from corpusgrid.session import checkpoint_root, materialize
@@ -48,12 +49,19 @@ def q_entity_mentions(spark, sf_dir):
     return _mentions(spark, sf_dir)
 
 
+#: Two capitalised tokens with one space between, a phrase of the registered gazetteer.
+CAPITAL_PAIR = "[A-Z][a-z]{3,} [A-Z][a-z]{3,}"
+
+
 @register("gazetteer_mentions")
 def q_gazetteer_mentions(spark, sf_dir):
-    """Gazetteer bootstrapped from the rule extractor: all capitalised tokens,
-    lower-cased, tagged wherever they occur (any case)."""
-    counts = specificity.token_counts(_mentions(spark, sf_dir)).where(F.col("type") == "CAP")
-    gaz = counts.select(F.lower("token").alias("phrase"), F.lit("KNOWN").alias("type")).distinct()
+    """Gazetteer bootstrapped from the rule extractor: all capitalised tokens and
+    all pairs of them with one space between, lower-cased, tagged wherever they
+    occur (any case)."""
+    rules = [r for r in DEFAULT_ENTITY_RULES if r[0] == "CAP"] + [("PAIR", CAPITAL_PAIR)]
+    found = entities.extract_mentions(_docs(spark, sf_dir), rules=rules)
+    # written once: its size is counted before the join
+    gaz = materialize(found.select(F.lower("token").alias("phrase"), F.lit("KNOWN").alias("type")).distinct(), "gazetteer")
     return entities.extract_gazetteer(_docs(spark, sf_dir), gaz, max_n=2)
 
 

@@ -49,11 +49,15 @@ def _gazetteer_sql() -> str:
              + _q(WORD_PATTERN_POSIX) + ")")
     return f"""WITH m AS ({mentions_sql()}),
 top AS (SELECT token, count(*) AS cnt FROM m WHERE type = 'CAP' GROUP BY token),
-gaz AS (SELECT DISTINCT lower(token) AS phrase FROM top),
+pairs AS (SELECT UNNEST(regexp_extract_all(text, '[A-Z][a-z]{{3,}} [A-Z][a-z]{{3,}}')) AS token FROM documents),
+gaz AS (SELECT lower(token) AS phrase FROM top UNION SELECT lower(token) FROM pairs),
 w AS (SELECT doc_id, UNNEST(ws) AS word, UNNEST(generate_series(0, len(ws) - 1)) AS start
-      FROM (SELECT doc_id, {words} AS ws FROM documents))
-SELECT w.doc_id, 'KNOWN' AS type, CAST(w.start * 2 AS INTEGER) AS pos, w.word AS token
-FROM w JOIN gaz ON w.word = gaz.phrase"""
+      FROM (SELECT doc_id, {words} AS ws FROM documents)),
+grams AS (SELECT doc_id, start * 2 AS pos, word AS gram FROM w
+          UNION ALL
+          SELECT doc_id, start * 2 + 1, word || ' ' || lead(word) OVER (PARTITION BY doc_id ORDER BY start) FROM w)
+SELECT doc_id, 'KNOWN' AS type, CAST(pos AS INTEGER) AS pos, gram AS token
+FROM grams JOIN gaz ON gram = phrase"""
 
 
 SQL["gazetteer_mentions"] = _gazetteer_sql()
