@@ -1,11 +1,13 @@
 """Quality rules: base rules, then a hashed n-gram log-likelihood ratio.
 
-Two multinomials over hashed n-grams are counted: one over a trusted target
-(documents labelled good), one over the whole raw corpus.  A document's score
-is the mean log ratio of its n-grams; every document at or above one fixed
-threshold stays.  The n-grams are the character n-grams at both ends of each
-word (case and marks kept), which also tell mark-up debris and shouting apart
-from prose.  Only DataFrame functions run here.
+Multinomials over hashed n-grams are counted: over a trusted target (documents
+labelled good) and over the whole raw corpus.  A document's score is the mean
+log ratio of its n-grams, taken for each family of n-grams and summed; every
+document at or above one fixed threshold stays.  The families are whole words,
+pairs of adjacent words, all character trigrams of the words (case and marks
+kept, a space at both ends) and whether a word repeats the one before it, which
+stands in for repeated pairs too rare to be counted.  Only DataFrame functions
+run here.
 """
 
 from __future__ import annotations
@@ -15,14 +17,16 @@ from pyspark.sql import functions as F
 
 from corpusgrid.llm.common import SPACE_CHARS, SPACE_CLASS, text_or_empty
 
-#: Hash buckets of the n-gram counts; the ratio table has exactly so many numbers.
-BUCKETS = 4096
-GRAM = 3
+#: Hash buckets of each family of n-grams, side by side in one ratio table of so many numbers in all (4.75 MB).
+FAMILIES = ("word", "pair", "trigram", "repeat")
+BUCKETS = (1 << 18, 1 << 18, 1 << 16, 2)
+#: Counts added to each bucket, by family: so many times its mean raw count, at least LEAST; the target gets its share of them.
+SMOOTHING = (5.0, 5.0, 0.05, 0.02)
+LEAST = (50, 50, 5, 50)
 #: Trusted documents whose n-grams make the target counts: at most so many, by hash of their id.
 TRUSTED_LIMIT = 20_000
-#: Mean log ratio below which a document goes (0 = as likely under either).
-THRESHOLD = -1.0
-SMOOTHING = 0.5
+#: Score below which a document goes (0 = as likely under either).
+THRESHOLD = -0.25
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
@@ -33,12 +37,31 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, f"{SPACE_CLASS}+"), lambda w: w != "")
 
 
-def grams_of(words: Column) -> Column:
-    """Hash bucket of the first and of the last n-gram of every word."""
-    def bucket(side: str, part: Column) -> Column:
-        return F.pmod(F.xxhash64(F.lit(side), part), F.lit(BUCKETS)).cast("int")
-    return F.concat(F.transform(words, lambda w: bucket("head", F.substring(w, 1, GRAM))),
-                    F.transform(words, lambda w: bucket("tail", F.substring(w, -GRAM, GRAM))))
+def _bucket(family: str, *parts: Column) -> Column:
+    """Place in the ratio table of the n-gram that ``parts`` make."""
+    k = FAMILIES.index(family)
+    return (F.pmod(F.xxhash64(*parts), F.lit(BUCKETS[k])) + sum(BUCKETS[:k])).cast("int")
+
+
+def word_grams(words: Column) -> Column:
+    return F.transform(words, lambda w: _bucket("word", w))
+
+
+def trigrams(words: Column) -> Column:
+    """Every character of every word with its two neighbours; one search, so that long words take linear time."""
+    found = F.regexp_extract_all(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), F.lit("(?s)(?=(.[^ ].))"), F.lit(1))
+    return F.transform(found, lambda g: _bucket("trigram", g))
+
+
+def pair_grams(words: Column) -> Column:
+    return F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: _bucket("pair", F.get(words, i), w))
+
+
+def repeat_grams(words: Column) -> Column:
+    """One of two grams for each word after the first: the same word as before it, or another."""
+    first = sum(BUCKETS[:FAMILIES.index("repeat")])
+    return F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))),
+                       lambda w, i: F.when(F.get(words, i) == w, first + 1).otherwise(first))
 
 
 def window_hashes(hashes: Column) -> Column:
@@ -84,26 +107,46 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
 
     Raw counts cover every n-gram of every document.  ``trusted`` (ids in its
     column doc_id) is a bounded fit sample; without any trusted document found,
-    all ratios are 0 and only the base rules decide.
+    all ratios are 0 and only the base rules decide.  Both shares are smoothed
+    in proportion, so a bucket that neither side has counts for nothing and one
+    that only raw documents have counts against.  Trigrams are counted from the
+    distinct words.
     """
     picked = (trusted.select(F.col("doc_id").cast("long").alias("__t")).where(F.col("__t").isNotNull()).distinct()
               .orderBy(F.xxhash64("__t"), "__t").limit(trusted_limit))          # bounded: broadcast below
     rows = (docs.select(F.col(id_col).cast("long").alias("__id"), words_of(text_or_empty(text_col)).alias("w"))
             .join(F.broadcast(picked), F.col("__id") == F.col("__t"), "left")
-            .select(F.col("__t").isNotNull().cast("long").alias("good"), F.explode(grams_of(F.col("w"))).alias("g")))
-    counts = rows.groupBy("g").agg(F.count("*").alias("raw"), F.sum("good").alias("target"))
-    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("g"))
-    both = (every.join(counts, "g", "left").select("g", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("raw", "target")])
-            .groupBy().agg(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"),
-                           F.array_sort(F.collect_list(F.struct("g", "raw", "target"))).alias("t")))
-    k = F.lit(SMOOTHING * BUCKETS)
-    return both.select(F.when(F.col("all_target") == 0, F.array_repeat(F.lit(0.0), BUCKETS)).otherwise(F.transform("t", lambda x: F.log(
-        (x["target"] + SMOOTHING) / (F.col("all_target") + k) * (F.col("all_raw") + k) / (x["raw"] + SMOOTHING)))).alias("ratios"))
+            .select(F.col("__t").isNotNull().cast("long").alias("good"), "w"))
+    words = (rows.select("good", F.explode("w").alias("w")).groupBy("w")
+             .agg(F.count("*").alias("raw"), F.sum("good").alias("target")))
+    word = F.array("w")
+    of_words = words.select(F.explode(F.concat(word_grams(word), trigrams(word))).alias("g"), "raw", "target")
+    of_pairs = (rows.select("good", F.explode(F.concat(pair_grams(F.col("w")), repeat_grams(F.col("w")))).alias("g")).groupBy("g")
+                .agg(F.count("*").alias("raw"), F.sum("good").alias("target")))
+    counts = of_words.unionByName(of_pairs).groupBy("g").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    every = docs.sparkSession.range(sum(BUCKETS)).select(F.col("id").cast("int").alias("g"))
+    ends = [sum(BUCKETS[:k + 1]) for k in range(len(BUCKETS))]
+    family = sum((F.col("g") >= e).cast("int") for e in ends[:-1])
+
+    def totals(name: str) -> Column:
+        return F.array(*[F.sum(F.when(F.col("family") == k, F.col(name)).otherwise(0)) for k in range(len(BUCKETS))])
+    both = (every.join(counts, "g", "left").select("g", family.alias("family"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("raw", "target")])
+            .groupBy().agg(totals("raw").alias("all_raw"), totals("target").alias("all_target"),
+                           F.array_sort(F.collect_list(F.struct("g", "family", "raw", "target"))).alias("t")))
+    added = F.array(*[F.greatest(F.lit(z / n) * F.get("all_raw", F.lit(k)), F.lit(float(least)))
+                      for k, (z, n, least) in enumerate(zip(SMOOTHING, BUCKETS, LEAST, strict=True))])
+    both = both.withColumn("added", added)
+
+    def ratio(x: Column) -> Column:
+        raw, target, more = (F.get(c, x["family"]) for c in ("all_raw", "all_target", "added"))
+        # target: (count + added * target / raw) / target, raw: (count + added) / raw
+        return F.when(target == 0, F.lit(0.0)).otherwise(F.log((x["target"] * raw / target + more) / (x["raw"] + more)))
+    return both.select(F.transform("t", ratio).alias("ratios"))
 
 
 def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             threshold: float = THRESHOLD, trusted_limit: int = TRUSTED_LIMIT) -> DataFrame:
-    """``docs`` with the base measures, ``llr`` (mean log ratio, null without words) and ``kept``.
+    """``docs`` with the base measures, ``llr`` (sum of the families' mean log ratios, null without words) and ``kept``.
 
     Null and empty texts have no words and fail the base rules.  Each row is
     judged by itself, so ties, repeated rows and null ids need no rule.  Columns
@@ -111,8 +154,12 @@ def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_co
     """
     ratios = log_ratios(docs, trusted, id_col, text_col, trusted_limit)
     d = base_measures(docs, text_or_empty(text_col)).withColumn("__ratios", ratios.scalar())
-    total = F.aggregate(grams_of(F.col("__words")), F.lit(0.0), lambda a, g: a + F.get(F.col("__ratios"), g))
-    d = d.withColumn("llr", F.when(F.col("n_words") > 0, total / (2 * F.col("n_words"))))
+    words = F.col("__words")
+    # the ratio table is named once, so that it is read in place and not copied into every row
+    means = F.transform(F.array(word_grams(words), pair_grams(words), trigrams(words), repeat_grams(words)), lambda grams: F.aggregate(
+        grams, F.lit(0.0), lambda a, g: a + F.get(F.col("__ratios"), g)) / F.greatest(F.size(grams), F.lit(1)))
+    total = F.aggregate(means, F.lit(0.0), lambda a, x: a + x)
+    d = d.withColumn("llr", F.when(F.col("n_words") > 0, total))
     d = d.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("llr"), F.lit(0.0)) >= threshold))
     # the results leave through a generator, so that a filter on one of them does not pull the
     # whole nested expression, copied many times, below the projections

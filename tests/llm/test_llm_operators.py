@@ -259,6 +259,27 @@ def test_quality(spark, edge, none, table):
         assert r["base_failed"] == (len(w) < 10 or 100 * len(covered) > 20 * len(w))
 
 
+def test_quality_sees_order_stutter_and_marks(spark):
+    import random
+    draw = random.Random(5)
+    nouns, verbs = ["river", "teacher", "window", "market", "garden", "letter"], ["follows", "carries", "watches", "answers"]
+
+    def sentence():
+        return f"The old {draw.choice(nouns)} {draw.choice(verbs)} every {draw.choice(nouns)} near the {draw.choice(nouns)}."
+    clean = [" ".join(sentence() for _ in range(draw.randint(4, 9))) for _ in range(700)]
+    shuffled = [" ".join(draw.sample(x.split(), len(x.split()))) for x in clean[:120] * 3]
+    stuttered = [" ".join(w for w in x.split()[:12] for _ in (0, 1)) for x in clean[60:120]]
+    marked = [re.sub(r"(\w{3})(\w{3,})", r"\1#$\2", x) for x in clean[120:420]]
+    texts = clean + shuffled + stuttered + marked
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = quality.quality(docs, docs.where("doc_id < 300").select("doc_id")).collect()
+    passed = {r["doc_id"]: r["kept"] for r in rows if not r["base_failed"]}
+    assert all(passed[k] for k in passed if k < 700) and sum(k < 700 for k in passed) > 50
+    for first, last in ((700, 1060), (1060, 1120), (1120, 1420)):
+        group = [passed[k] for k in passed if first <= k < last]
+        assert len(group) > 10 and not any(group), first
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     rows = corpus_pipeline.run(spark, SF).collect()
