@@ -23,12 +23,15 @@ DATE_DMY = r"\d{2}[/.]\d{2}[/.]\d{4}"
 SSN = r"\d{3}-\d{2}-\d{4}"
 PHONE = r"(?:\+1[ .-]?)?(?:\(\d{3}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}"
 IP = r"\d{1,3}(?:\.\d{1,3}){3}"
-CARD = r"\d(?:[ -]?\d){12,18}"
+#: Written forms of cards, and any other grouping of 13 to 19 digits (one entry for each number of digits).
+CARDS = (r"\d{4}(?:[ -]\d{4}){3}[ -]\d{3}", r"\d{13,19}", r"\d{4}(?:[ -]\d{4}){3}", r"\d{4}[ -]\d{6}[ -]\d{4,5}")
+LOOSE_CARDS = tuple(rf"\d(?:[ -]?\d){{{n - 1}}}" for n in range(19, 12, -1))
 SECRET = r"password=[^\x20\x09-\x0D]{6,}|token = \"[0-9A-Za-z]{16,}\"|AKIA[0-9A-Z]{16}"
 # ------------------------------------------------------------------------------------------
 KINDS = ("email", "date", "ssn", "phone", "ip", "card", "secret")
-PATTERN = (f"{EMAIL}|(?<![\\d.+-])(?:{DATE_YMD}|{DATE_DMY}|{SSN})(?!\\d)|(?<!\\d){PHONE}(?!\\d)|(?<![\\d.]){IP}(?!\\.?\\d)"
-           f"|(?<!\\d){CARD}(?!\\d)|{SECRET}")
+NUMBERS = f"(?<![\\d.+-])(?:{DATE_YMD}|{DATE_DMY}|{SSN})(?!\\d)|(?<!\\d){PHONE}(?!\\d)|(?<![\\d.]){IP}(?!\\.?\\d)"
+#: Everything but cards, which :func:`cards_in` finds first: a digit group can begin several, and only one has a right check digit.
+PATTERN = f"{EMAIL}|{NUMBERS}|{SECRET}"
 FIRST_YEAR, YEARS = 1900, 200
 
 
@@ -150,6 +153,22 @@ def _secret_pseudonym(key: str, m: Column) -> Column:
     return F.concat(head, F.substring(hexes, F.lit(1), F.char_length(core)), tail)
 
 
+def cards_in(text: Column) -> Column:
+    """The distinct valid cards of ``text``, from every digit group on, the written forms first."""
+    def valid(forms: tuple[str, ...]) -> Column:
+        found = [F.regexp_extract_all(text, F.lit(f"(?<!\\d)(?=({form})(?!\\d))"), F.lit(1)) for form in forms]
+        return F.filter(F.concat(*found), lambda m: F.call_function("luhn_check", _digits(m)))
+    # a loose grouping that holds another kind's value is that value beside a plain number
+    both = F.concat(valid(CARDS), F.filter(valid(LOOSE_CARDS), lambda m: ~m.rlike(NUMBERS)))
+    return F.when(text.rlike(LOOSE_CARDS[-1]), F.array_distinct(both)).otherwise(F.array().cast("array<string>"))
+
+
+def pattern_of(cards: Column) -> Column:
+    """The pattern to search a text with, given its valid cards (digits, spaces and hyphens only)."""
+    return F.when(F.size(cards) == 0, F.lit(PATTERN)).otherwise(
+        F.concat(F.lit("(?<!\\d)(?:"), F.array_join(cards, "|"), F.lit(f")(?!\\d)|{PATTERN}")))
+
+
 def kind_of(m: Column) -> Column:
     """The validated kind of a match, null for a look-alike."""
     area, group, serial = _ssn_parts(m)
@@ -180,12 +199,13 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     an empty table stays empty.  Columns named like a count are replaced.
     """
     text = text_or_empty(text_col)
-    d = docs.withColumn("__found", F.when(text.rlike("[@0-9]|AKIA|password="), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(
+    d = docs.withColumn("__cards", cards_in(text)).withColumn("__pattern", pattern_of(F.col("__cards")))
+    d = d.withColumn("__found", F.when(text.rlike("[@0-9]|AKIA|password="), F.regexp_extract_all(text, "__pattern", F.lit(0))).otherwise(
         F.array().cast("array<string>")))
     d = d.withColumn("__kinds", F.transform("__found", kind_of))
     new = F.zip_with("__found", "__kinds", lambda m, k: F.when(k.isNull(), m).otherwise(pseudonym(key, m, k)))
-    rebuilt = F.array_join(F.zip_with(F.split(text, PATTERN, -1), new, lambda p, q: F.concat(p, F.coalesce(q, F.lit("")))), "")
+    rebuilt = F.array_join(F.zip_with(F.split(text, F.col("__pattern"), -1), new, lambda p, q: F.concat(p, F.coalesce(q, F.lit("")))), "")
     # a look-alike has a null kind, which array_remove leaves in place
     counts = {f"n_{k}": (F.size("__kinds") - F.size(F.array_remove("__kinds", k))).cast("long") for k in KINDS}
     d = d.withColumn(text_col, F.when(F.size("__found") == 0, F.col(text_col)).otherwise(rebuilt)).withColumns(counts)
-    return d.withColumn("n_pii", sum((F.col(f"n_{k}") for k in KINDS), F.lit(0).cast("long"))).drop("__found", "__kinds")
+    return d.withColumn("n_pii", sum((F.col(f"n_{k}") for k in KINDS), F.lit(0).cast("long"))).drop("__cards", "__pattern", "__found", "__kinds")
