@@ -26,7 +26,8 @@ IP = r"\d{1,3}(?:\.\d{1,3}){3}"
 #: Written forms of cards, and any other grouping of 13 to 19 digits (one entry for each number of digits).
 CARDS = (r"\d{4}(?:[ -]\d{4}){3}[ -]\d{3}", r"\d{13,19}", r"\d{4}(?:[ -]\d{4}){3}", r"\d{4}[ -]\d{6}[ -]\d{4,5}")
 LOOSE_CARDS = tuple(rf"\d(?:[ -]?\d){{{n - 1}}}" for n in range(19, 12, -1))
-SECRET = r"password=[^\x20\x09-\x0D]{6,}|token = \"[0-9A-Za-z]{16,}\"|AKIA[0-9A-Z]{16}"
+SECRET = (r"(?i:password)[ \t]*=[ \t]*[^\x20\x09-\x0D]{6,}|(?i:token)[ \t]*=[ \t]*\"[0-9A-Za-z]{16,}\"|(?i:AKIA[0-9A-Z]{16})")
+SECRET_HEAD = r'^((?i:password)[ \t]*=[ \t]*|(?i:token)[ \t]*=[ \t]*"|(?i:AKIA))'
 # ------------------------------------------------------------------------------------------
 KINDS = ("email", "date", "ssn", "phone", "ip", "card", "secret")
 NUMBERS = f"(?<![\\d.+-])(?:{DATE_YMD}|{DATE_DMY}|{SSN})(?!\\d)|(?<!\\d){PHONE}(?!\\d)|(?<![\\d.]){IP}(?!\\.?\\d)"
@@ -76,14 +77,22 @@ def _filled(m: Column, digits: Column) -> Column:
     return F.aggregate(F.split(m, ""), F.struct(F.lit("").alias("t"), F.lit(1).alias("k")), put)["t"]
 
 
-def _date(m: Column) -> Column:
-    """The calendar date that ``m`` writes, null if there is none in the permuted years."""
-    iso = F.when(m.rlike(f"^{DATE_YMD}$"), m).otherwise(
-        F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 4, 2), F.substring(m, 1, 2)))
+def _date_as(m: Column, *parts: tuple[int, int]) -> Column:
+    iso = F.concat_ws("-", *[F.substring(m, at, n) for at, n in parts])
     d = F.try_to_timestamp(iso, F.lit("yyyy-MM-dd")).cast("date")
     return F.when(F.year(d).between(FIRST_YEAR, FIRST_YEAR + YEARS - 1), d)
 
 
+def _day_first(m: Column) -> Column:
+    return _date_as(m, (7, 4), (4, 2), (1, 2))
+
+
+def _date(m: Column) -> Column:
+    """The calendar date that ``m`` writes (d/m/y, else m/d/y), null if there is none in the permuted years."""
+    return F.when(m.rlike(f"^{DATE_YMD}$"), _date_as(m, (1, 4), (6, 2), (9, 2))).otherwise(
+        F.coalesce(_day_first(m), _date_as(m, (7, 4), (1, 2), (4, 2))))
+
+
 def _date_pseudonym(key: str, m: Column) -> Column:
     d = _date(m)
     leap = F.dayofyear(d) == 366
@@ -94,7 +103,7 @@ def _date_pseudonym(key: str, m: Column) -> Column:
     day = F.when(leap, F.lit(365)).otherwise(usual["y"])
     new = F.date_add(F.make_date(year.cast("int"), F.lit(1), F.lit(1)), day.cast("int"))
     return F.when(m.rlike(f"^{DATE_YMD}$"), F.date_format(new, "yyyy-MM-dd")).otherwise(
-        _filled(m, F.date_format(new, "ddMMyyyy")))
+        _filled(m, F.when(_day_first(m).isNotNull(), F.date_format(new, "ddMMyyyy")).otherwise(F.date_format(new, "MMddyyyy"))))
 
 
 def _ssn_parts(m: Column) -> tuple[Column, Column, Column]:
@@ -145,11 +154,11 @@ def _email_pseudonym(key: str, m: Column) -> Column:
 
 
 def _secret_pseudonym(key: str, m: Column) -> Column:
-    head = F.regexp_extract(m, r'^(password=|token = "|AKIA)', 1)
-    tail = F.when(m.endswith('"'), F.lit('"')).otherwise(F.lit(""))
+    head = F.regexp_extract(m, SECRET_HEAD, 1)
+    tail = F.when(head.endswith('"'), F.lit('"')).otherwise(F.lit(""))
     core = F.substring(m, F.char_length(head) + 1, F.char_length(m) - F.char_length(head) - F.char_length(tail))
     hexes = F.concat(*[_keyed(key, F.lit(f"secret{k}"), core) for k in range(4)])
-    hexes = F.when(head == "AKIA", F.upper(hexes)).otherwise(hexes)
+    hexes = F.when((core == F.upper(core)) & (core != F.lower(core)), F.upper(hexes)).otherwise(hexes)
     return F.concat(head, F.substring(hexes, F.lit(1), F.char_length(core)), tail)
 
 
@@ -173,7 +182,7 @@ def kind_of(m: Column) -> Column:
     """The validated kind of a match, null for a look-alike."""
     area, group, serial = _ssn_parts(m)
     octets = F.transform(F.split(m, r"\."), lambda o: o.cast("int") <= 255)
-    return (F.when(m.rlike('^(password=|token = "|AKIA)'), F.lit("secret"))
+    return (F.when(m.rlike(SECRET_HEAD), F.lit("secret"))
             .when(m.contains("@"), F.lit("email"))
             .when(m.rlike(f"^({DATE_YMD}|{DATE_DMY})$"), F.when(_date(m).isNotNull(), F.lit("date")))
             .when(m.rlike(f"^{SSN}$"), F.when((area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0), F.lit("ssn")))
@@ -200,7 +209,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     """
     text = text_or_empty(text_col)
     d = docs.withColumn("__cards", cards_in(text)).withColumn("__pattern", pattern_of(F.col("__cards")))
-    d = d.withColumn("__found", F.when(text.rlike("[@0-9]|AKIA|password="), F.regexp_extract_all(text, "__pattern", F.lit(0))).otherwise(
+    d = d.withColumn("__found", F.when(text.rlike("[@0-9]|(?i:AKIA|password|token)"), F.regexp_extract_all(text, "__pattern", F.lit(0))).otherwise(
         F.array().cast("array<string>")))
     d = d.withColumn("__kinds", F.transform("__found", kind_of))
     new = F.zip_with("__found", "__kinds", lambda m, k: F.when(k.isNull(), m).otherwise(pseudonym(key, m, k)))
