@@ -37,8 +37,9 @@ VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Steps of the merge in one piece.
 WORK = 64
 #: A worker forgets its stretches beyond so many, or so many bytes of them.
-KEEP_STRETCHES, KEEP_BYTES = 300_000, 32 << 20
-TEXT_BYTES = 12 << 20
+KEEP_STRETCHES, KEEP_BYTES = 250_000, 32 << 20
+#: Text of a block, and of the stretches that go to the tokenizers as one text.
+TEXT_BYTES, RUN_BYTES = 4 << 20, 256
 _LAST = np.iinfo(np.int64).max
 
 
@@ -101,15 +102,23 @@ def byte_values() -> dict[str, int]:
     return table
 
 
+def after_space(before: np.ndarray, ahead: np.ndarray) -> np.ndarray:
+    """Whether the byte ``before`` a place (``ahead`` of which stands another) ends white space, or perhaps does.
+
+    White space beyond ASCII ends in one of the byte pairs below.  So do some other
+    characters: they cost a stretch, which is no fault.
+    """
+    last = (before == 0x85) | (before == 0xA0) | ((before >= 0x80) & (before <= 0x8A)) | (before == 0xA8) | (before == 0xA9) | (before == 0xAF) | (before == 0x9F)
+    return (before <= 32) | last & ((ahead == 0xC2) | (ahead == 0x9A) | (ahead == 0x80) | (ahead == 0x81))
+
+
 def stretch_starts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Where the stretches of a buffer start: at every text's start, and at a space that follows no white space."""
     space = np.flatnonzero(data[1:] == 32) + 1
-    before = data[space - 1]
-    ahead = data[np.maximum(space - 2, 0)]
-    # white space beyond ASCII ends in one of these byte pairs; other characters that do lose a start, no more
-    wide = ((before == 0x85) | (before == 0xA0) | ((before >= 0x80) & (before <= 0x8A)) | (before == 0xA8) | (before == 0xA9)
-            | (before == 0xAF) | (before == 0x9F)) & ((ahead == 0xC2) | (ahead == 0x9A) | (ahead == 0x80) | (ahead == 0x81))
-    return np.union1d(starts, space[(before > 32) & ~wide])
+    begins = np.zeros(len(data), bool)
+    begins[space[~after_space(data[space - 1], data[np.maximum(space - 2, 0)])]] = True
+    begins[starts] = True
+    return np.flatnonzero(begins)
 
 
 class Stretches:
@@ -132,6 +141,10 @@ class Stretches:
         if any(" " in p.decode("utf-8", "ignore").lstrip(" ") for p in self.bytes_b):
             raise ValueError("a piece of the second vocabulary goes on after a space; stretches would cut it")
         self.space = self.b.piece_to_id("▁")
+        self.size_a, self.size_b = (np.array([len(x) for x in table], np.int64) for table in (self.bytes_a, self.bytes_b))
+        # an id as text and what follows it: A's ids end in , or |, B's in , or ; or a line end behind a stretch's last
+        self.told = [b"%d%b" % (k, sign) for table, signs in ((self.bytes_a, b",|"), (self.bytes_b, b",;\n"))
+                     for sign in (signs[i:i + 1] for i in range(len(signs))) for k in range(len(table))]
         self.forget()
 
     def forget(self) -> None:
@@ -144,40 +157,78 @@ class Stretches:
         self.links = np.zeros(0, np.int64)
         self.pairs = np.zeros(0, np.int64)                 # A id << 32 | B id
 
-    def learn(self, new: list[bytes]) -> None:
-        texts = [x.decode("utf-8", "replace") for x in new]
+    def _encoded(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         ids_a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
         # B puts the leading space itself, but not before an empty text
-        ids_b = [x if t != " " else [self.space] for x, t in zip(self.b.encode([t[1:] for t in texts], num_threads=1), texts, strict=True)]
-        whole = np.array([b"".join([self.bytes_a[k] for k in x]) == raw == b"".join([self.bytes_b[k] for k in y])
-                          for raw, x, y in zip(new, ids_a, ids_b, strict=True)], bool)
-        ids_a = [x if w else [] for x, w in zip(ids_a, whole, strict=True)]
-        ids_b = [x if w else [] for x, w in zip(ids_b, whole, strict=True)]
-        n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (ids_a, ids_b))
-        flat_a, flat_b = ([k for x in ids for k in x] for ids in (ids_a, ids_b))
-        end_a = np.cumsum(np.array([len(self.bytes_a[k]) for k in flat_a], np.int64))
-        end_b = np.cumsum(np.array([len(self.bytes_b[k]) for k in flat_b], np.int64))
-        at_a, at_b, group = overlaps(end_a, end_b)
-        # tokens by group, groups and links by stretch
-        edge = np.concatenate([[True], group[1:] != group[:-1]]) if len(group) else np.zeros(0, bool)
-        from_a, from_b = at_a[edge].tolist() + [len(flat_a)], at_b[edge].tolist() + [len(flat_b)]
-        text_a, text_b = [str(k) for k in flat_a], [str(k) for k in flat_b]
-        told = [f"{','.join(text_a[from_a[g]:from_a[g + 1]])}|{','.join(text_b[from_b[g]:from_b[g + 1]])}" for g in range(len(from_a) - 1)]
+        ids_b = self.b.encode([t[1:] for t in texts], num_threads=1)
+        return ids_a, [x if t != " " else [self.space] for x, t in zip(ids_b, texts, strict=True)]
+
+    def _side_by_side(self, new: list[bytes]) -> tuple[np.ndarray, ...] | None:
+        """(A ids, A tokens of each, B ids, B tokens of each) of stretches that end in no white space, joined to longer texts;
+        None if the joined texts do not come back byte for byte."""
+        sizes = np.array([len(x) for x in new], np.int64)
+        edges = np.cumsum(sizes)
+        cuts = np.searchsorted(edges, np.arange(RUN_BYTES, edges[-1] + RUN_BYTES, RUN_BYTES)) + 1
+        runs = [b"".join(new[x:y]) for x, y in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
+        ids_a, ids_b = self._encoded([x.decode("utf-8", "replace") for x in runs if x])
+        out, joined = [], b"".join(runs)
+        for ids, size, table in ((ids_a, self.size_a, self.bytes_a), (ids_b, self.size_b, self.bytes_b)):
+            flat = [k for x in ids for k in x]
+            if b"".join(map(table.__getitem__, flat)) != joined:
+                return None
+            flat = np.array(flat, np.int64)
+            end = np.cumsum(size[flat])
+            last = np.searchsorted(end, edges)
+            if (end[last] != edges).any():
+                return None
+            out += [flat, np.diff(last, prepend=-1)]
+        return tuple(out)
+
+    def _one_by_one(self, new: list[bytes]) -> tuple[np.ndarray, ...]:
+        """The same for any stretches; those that do not come back byte for byte get no tokens."""
+        out = []
+        found = self._encoded([x.decode("utf-8", "replace") for x in new])
+        whole = [b"".join([self.bytes_a[k] for k in x]) == raw == b"".join([self.bytes_b[k] for k in y]) for raw, x, y in zip(new, *found, strict=True)]
+        for ids in found:
+            ids = [x if w else [] for x, w in zip(ids, whole, strict=True)]
+            out += [np.array([k for x in ids for k in x], np.int64), np.array([len(x) for x in ids], np.int64)]
+        return tuple(out)
+
+    def learn(self, new: list[bytes]) -> None:
+        tail = np.array([x[-2:].rjust(2, b" ") for x in new], "S2").view(np.uint8).reshape(-1, 2) if new else np.zeros((0, 2), np.uint8)
+        lone = after_space(tail[:, 1], tail[:, 0]).tolist()
+        lone = [odd or "▁".encode() in x for odd, x in zip(lone, new, strict=True)]
+        joint, apart = [x for x, odd in zip(new, lone, strict=True) if not odd], [x for x, odd in zip(new, lone, strict=True) if odd]
+        parts = [self._side_by_side(joint) or self._one_by_one(joint)] if joint else []
+        ids_a, n_a, ids_b, n_b = (np.concatenate(x) for x in zip(*parts, *([self._one_by_one(apart)] if apart else []), strict=True))
+        new = joint + apart
+        at_a, at_b, group = overlaps(np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b]))
         first_a = np.concatenate([[0], np.cumsum(n_a)])
-        group_at = np.searchsorted(np.array(from_a[:-1], np.int64), first_a)
         link_at = np.searchsorted(at_a, first_a)
+        group_of_a, group_of_b = np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64)
+        group_of_a[at_a], group_of_b[at_b] = group, group
+        group_at = np.append(group_of_a, group[-1] + 1 if len(group) else 0)[first_a]
+        # all tokens by group, A's before B's, each with the sign that follows it
+        key = np.concatenate([2 * group_of_a, 2 * group_of_b + 1])
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        ends = np.append(key[1:] != key[:-1], True) if len(key) else np.zeros(0, bool)
+        is_b = key & 1 == 1
+        owner = np.concatenate([np.repeat(np.arange(len(new)), n_a), np.repeat(np.arange(len(new)), n_b)])[order]
+        closes = np.append(owner[1:] != owner[:-1], True) if len(owner) else ends
+        code = np.concatenate([ids_a, ids_b])[order] + np.where(
+            is_b, 2 * len(self.bytes_a) + (ends + (ends & closes).astype(np.int64)) * len(self.bytes_b), ends * len(self.bytes_a))
+        told = iter(b"".join(map(self.told.__getitem__, code.tolist())).split(b"\n"))
         first = len(self.groups)
-        for k, x in enumerate(new):
-            self.slot[x] = first + k
-            self.held += len(x)
-        at = group_at.tolist()
-        self.groups += [";".join(told[at[k]:at[k + 1]]).encode() for k in range(len(new))]
-        self.whole = np.concatenate([self.whole, whole])
+        self.slot.update(zip(new, range(first, first + len(new)), strict=True))
+        self.held += sum(map(len, new))
+        some = n_a > 0
+        self.groups += [next(told) if x else b"" for x in some.tolist()]
+        self.whole = np.concatenate([self.whole, some])
         self.count = np.concatenate([self.count, np.stack([n_a, n_b, np.diff(group_at)], 1)])
         self.first = np.concatenate([self.first, len(self.pairs) + link_at[:-1]])
         self.links = np.concatenate([self.links, np.diff(link_at)])
-        ids = np.array(flat_a, np.int64)[at_a] << 32 | np.array(flat_b, np.int64)[at_b] if len(at_a) else np.zeros(0, np.int64)
-        self.pairs = np.concatenate([self.pairs, ids])
+        self.pairs = np.concatenate([self.pairs, ids_a[at_a] << 32 | ids_b[at_b]])
 
     def slots(self, distinct: list[bytes]) -> np.ndarray:
         if len(self.slot) > KEEP_STRETCHES or self.held > KEEP_BYTES:
@@ -228,7 +279,7 @@ def aligned_block(known: Stretches, ids: np.ndarray, ends: np.ndarray, body: byt
     told = [known.groups[k] for k in slot.tolist()]
     order, edges = of.tolist(), first.tolist()
     for d, bad in enumerate(broken.tolist()):
-        digests.append(bytes(32) if bad else hashlib.sha256(b";".join([told[k] for k in order[edges[d]:edges[d + 1]]])).digest())
+        digests.append(bytes(32) if bad else hashlib.sha256(b";".join(map(told.__getitem__, order[edges[d]:edges[d + 1]]))).digest())
     good = ~broken[document]
     key, times = np.unique(document[good] * len(slot) + of[good], return_counts=True)
     document, of = key // max(1, len(slot)), key % max(1, len(slot))
