@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgrid.llm import exact_dedup, line_dedup, mixing, ngram_join, packing, pii, quality, suffix_dedup, token_alignment, token_codec, toxicity
+from corpusgrid.llm import exact_dedup, license_scan, line_dedup, mixing, ngram_join, packing, pii, quality, suffix_dedup, token_alignment, token_codec, toxicity, whitening
 from corpusgrid.llm.common import ready, text_or_empty
 
 
@@ -80,9 +80,20 @@ def op10_quality_rules(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
+def op11_embedding_whitening(spark, sf_dir):
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_token_alignment(spark, sf_dir):
     """Tokens, groups and links of two public vocabularies over every whole text."""
     return token_alignment.align(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op3_pii, op4_token_output, op5_ngram_jaccard_join, op6_best_fit_packing, op7_exact_dedup, op8_toxicity, op9_mixing, op10_quality_rules, op12_token_alignment)}
+def op13_license_scans(spark, sf_dir):
+    out = license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"),
+                      F.array_join("labels", ",").alias("labels"), "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op3_pii, op4_token_output, op5_ngram_jaccard_join, op6_best_fit_packing, op7_exact_dedup, op8_toxicity, op9_mixing, op10_quality_rules, op11_embedding_whitening,
+                                  op12_token_alignment, op13_license_scans)}
