@@ -34,9 +34,13 @@ from pyspark.sql import functions as F
 from corpusgrid.functions.draws import hash_number
 from corpusgrid.operators.joins import broadcast_if_small
 from corpusgrid.operators.ranking import global_rank
+from corpusgrid.session import materialize
 
 log = logging.getLogger(__name__)
 
+#: Most entity types of one text whose subsets are counted (a million for each distinct set of types).
+MAX_TYPES = 20
+
 
 def incidence(mentions: DataFrame) -> DataFrame:
     """Distinct (type, doc_id) of texts with at least one mention."""
@@ -59,9 +63,10 @@ def _indexed_incidence(mentions: DataFrame) -> tuple[DataFrame, int]:
     return ranked.join(stats, "type").select("g", "doc_id", "type", "t_start", "n_t"), n_inc
 
 
-def _accepted_pairs(spark, inc: DataFrame, n_inc: int, labels: DataFrame, m: int, seed) -> DataFrame:
+def _accepted_pairs(spark, inc: DataFrame, n_inc: int, labels: DataFrame, first: int, behind: int, seed) -> DataFrame:
+    """(a, b, k, label_a, label_b): the pairs with different labels that draws first <= k < behind hit."""
     k = F.col("id")
-    draws = spark.range(m).select(k.alias("k"),
+    draws = spark.range(first, behind).select(k.alias("k"),
                                   (hash_number(k, "a", seed) % F.lit(n_inc)).alias("g"),
                                   hash_number(k, "b", seed).alias("r2"))
     d1 = (draws.join(inc, "g").where(F.col("n_t") >= 2)
@@ -76,6 +81,32 @@ def _accepted_pairs(spark, inc: DataFrame, n_inc: int, labels: DataFrame, m: int
     return pairs.join(la, "a").join(lb, "b").where(F.col("label_a") != F.col("label_b"))
 
 
+def valid_pairs(mentions: DataFrame, labels: DataFrame) -> int:
+    """How many unordered pairs of texts share an entity type and differ in their label (null labels differ from nothing).
+
+    Texts are counted by (set of types, label).  For a set U of types, the texts
+    that have all of U make N (N - 1) / 2 pairs, and those of one label among them
+    n (n - 1) / 2; summed over all U with alternating signs, a pair that shares
+    several types counts once.  The work grows with the distinct sets, not with pairs.
+    """
+    sets = (incidence(mentions).join(labels.where(F.col("label").isNotNull()), "doc_id")
+            .groupBy("doc_id", "label").agg(F.sort_array(F.collect_set("type")).alias("types"))
+            .groupBy("types", "label").agg(F.count("*").alias("n")))
+    sets = materialize(sets, "type_sets")
+    widest = sets.agg(F.max(F.size("types"))).first()[0] or 0
+    if widest > MAX_TYPES:
+        raise ValueError(f"a text has {widest} entity types; pairs are counted over the subsets of at most {MAX_TYPES}")
+    masks = F.explode(F.expr("sequence(1, shiftleft(1, size(types)) - 1)"))
+    shared = (sets.select("types", "label", "n", masks.alias("mask"))
+              .select(F.filter("types", lambda t, i: F.getbit(F.col("mask"), i) == 1).alias("u"), "label", "n")
+              .groupBy("u", "label").agg(F.sum("n").alias("n")))
+    pairs = lambda n: n * (n - 1) / 2
+    n = F.col("n").cast("decimal(30,0)")
+    signed = (shared.groupBy("u").agg(F.sum(n).alias("n"), F.sum(pairs(n)).alias("same"))
+              .select((F.when(F.size("u") % 2 == 1, 1).otherwise(-1) * (pairs(F.col("n")) - F.col("same"))).alias("v")))
+    return int(signed.agg(F.sum("v")).first()[0] or 0)
+
+
 def negative_pairs(texts: DataFrame, mentions: DataFrame, ratio: float = 1.0, seed=42,
                    max_rounds: int | None = None, id_col: str = "doc_id", text_col: str = "sentence",
                    label_col: str = "label", return_info: bool = False):
@@ -101,19 +132,26 @@ def negative_pairs(texts: DataFrame, mentions: DataFrame, ratio: float = 1.0, se
         log.warning("negative pairs: no text has an entity; 0 of %d rows", target)
         return (empty, info) if return_info else empty
     labels = t.select("doc_id", "label")
-    m = max(64, math.ceil(need * 1.5))
-    best, idle = -1, 0
-    for rnd in itertools.count():
-        # written once per round by global_rank; its row count decides the next round
-        ranked, got = global_rank(_accepted_pairs(spark, inc, n_inc, labels, m, seed), ["k"],
-                                  rank_col="pr", label="neg_pairs")
-        info.update(draws=m, pairs_accepted=got, rounds=rnd + 1)
-        idle = 0 if got > best else idle + 1
-        best = got
-        # the draws go on until the count is met; three doublings without a new pair end them
-        if got >= need or idle == 3 or rnd + 1 == max_rounds:
+    done, m = 0, max(64, math.ceil(need * 1.5))
+    pairs, got, valid = None, 0, None
+    for rnd in itertools.count(1):
+        fresh = _accepted_pairs(spark, inc, n_inc, labels, done, m, seed)
+        if pairs is not None:                              # a pair keeps its first draw
+            fresh = pairs.unionByName(fresh).groupBy("a", "b", "label_a", "label_b").agg(F.min("k").alias("k"))
+        pairs = materialize(fresh.select("a", "b", "label_a", "label_b", "k"), "neg_drawn")
+        got = pairs.count()
+        info.update(draws=m, pairs_accepted=got, rounds=rnd)
+        if got >= need or rnd == max_rounds:
+            break
+        if valid is None and rnd > 1:
+            valid = valid_pairs(mentions, labels)
+            info["pairs_valid"] = valid
+        if valid is not None and got >= valid:
             break
-        m *= 2
+        # as many draws as the rate so far asks for, with some to spare; at least twice, at most 16 times as many
+        wanted = need if valid is None else min(need, valid)
+        done, m = m, min(16 * m, max(2 * m, math.ceil(1.1 * m * wanted / max(got, 1))))
+    ranked, got = global_rank(pairs, ["k"], rank_col="pr", label="neg_pairs")
     kept = ranked.where(F.col("pr") < need)
     rows = kept.select(F.explode(F.array(
         F.struct(F.col("a").alias("doc_id"), F.col("label_b").alias("label"), F.col("b").alias("source_doc_id"),

@@ -101,3 +101,42 @@ def test_negative_pairs_properties(spark):
         assert all(pairs.count(p) <= 2 for p in set(pairs))
 
     check()
+
+
+def test_valid_pairs_are_counted(spark):
+    import itertools
+    import random
+    rng = random.Random(3)
+    types = {i: {t for t in "ABCDE" if rng.random() < 0.35} for i in range(60)}
+    label = {i: rng.choice(["x", "x", "x", "y", None]) for i in range(60)}
+    mentions = spark.createDataFrame([(i, t, 0, "tok") for i, ts in types.items() for t in ts for _ in range(2)], "doc_id long, type string, pos int, token string")
+    labels = spark.createDataFrame(list(label.items()), "doc_id long, label string")
+    want = sum(bool(types[i] & types[j]) and None not in (label[i], label[j]) and label[i] != label[j] for i, j in itertools.combinations(types, 2))
+    assert negatives.valid_pairs(mentions, labels) == want
+    assert negatives.valid_pairs(mentions.where("false"), labels) == 0
+
+
+def test_rare_label_is_found(spark):
+    n = 50_000
+    texts = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("s").alias("sentence"), F.when(F.col("id") == 777, "rare").otherwise("common").alias("label"))
+    mentions = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("T").alias("type"), F.lit(0).alias("pos"), F.lit("x").alias("token"))
+    out, info = negatives.negative_pairs(texts, mentions, ratio=0.0002, return_info=True)
+    rows = out.collect()
+    assert len(rows) == 10 and "shortfall_rows" not in info and info["pairs_valid"] == n - 1
+    assert all(777 in (r["doc_id"], r["source_doc_id"]) for r in rows)
+
+
+def test_every_valid_pair_before_a_shortfall(spark):
+    texts = spark.createDataFrame([(i, f"s{i}", "b" if i == 3 else "a") for i in range(12)], "doc_id long, sentence string, label string")
+    mentions = spark.createDataFrame([(i, t, 0, "x") for i in range(12) for t in ("T", "U")[:1 + i % 2]], "doc_id long, type string, pos int, token string")
+    out, info = negatives.negative_pairs(texts, mentions, ratio=4, return_info=True)
+    pairs = {tuple(sorted((r["doc_id"], r["source_doc_id"]))) for r in out.collect()}
+    assert pairs == {tuple(sorted((3, i))) for i in range(12) if i != 3} and info["pairs_accepted"] == info["pairs_valid"] == 11
+    assert info["shortfall_rows"] == 48 - 22
+
+
+def test_rounds_append_draws(spark, hundred):
+    texts, mentions = hundred
+    whole = sorted(map(tuple, negatives.negative_pairs(texts, mentions, ratio=5).collect()))
+    few = sorted(map(tuple, negatives.negative_pairs(texts, mentions, ratio=0.05).collect()))
+    assert len(few) == 5 and set(few) <= set(whole)
