@@ -32,6 +32,15 @@ UNACCENTED = "aaaaaaeeeeiiiiooooouuuuyycn"
 WORD_PATTERN = "[^ \\t\\n\\r\\p{Punct}]+|\\p{Punct}"
 WORD_PATTERN_POSIX = "[^ \\t\\n\\r[:punct:]]+|[[:punct:]]"
 
+# The Unicode rule.  White space that ends a chunk; control and format characters,
+# which are left out; scripts written without spaces, whose characters are words;
+# punctuation, which is a word of its own (Unicode's, and the ASCII signs that
+# Unicode counts as symbols).
+UNICODE_SPACE = r"[\t\n\r\p{Z}]+"
+UNICODE_DROPPED = r"[\p{Cc}\p{Cf}\x{FFFD}]"
+IDEOGRAPHS = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2CEAF}\x{F900}-\x{FAFF}\x{2F800}-\x{2FA1F}"
+PUNCTUATION = r"\p{P}$+<=>^`|~"
+
 # Words longer than this many characters become the unknown piece.
 MAX_CHARS_PER_WORD = 100
 # -----------------------------------------------------------------------------
@@ -59,3 +68,29 @@ def normalize_text(text: Column) -> Column:
 def words(text: Column) -> Column:
     """array<string> of the words of the normalised text (whole text)."""
     return F.regexp_extract_all(normalize_text(text), F.lit(WORD_PATTERN), F.lit(0))
+
+
+def chunks(text: Column) -> Column:
+    """array<string> of the runs between Unicode white space, before any other step of the Unicode rule."""
+    return F.filter(F.split(text, UNICODE_SPACE), lambda c: c != "")
+
+
+_PATTERNS: dict = {}
+
+
+def unicode_words(chunk: str) -> list[str]:
+    """Words of one chunk: lower case, without accents (canonical decomposition, marks dropped), ideographs and
+    punctuation on their own."""
+    import unicodedata
+
+    import regex
+    if not _PATTERNS:
+        wide = regex.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), IDEOGRAPHS)
+        _PATTERNS["drop"] = regex.compile(UNICODE_DROPPED.replace(r"\x{FFFD}", "\ufffd"))
+        _PATTERNS["marks"] = regex.compile(r"\p{Mn}+")
+        _PATTERNS["words"] = regex.compile(f"[{wide}]|[{PUNCTUATION}]|[^{wide}{PUNCTUATION}]+")
+    if not chunk.isascii():
+        chunk = _PATTERNS["marks"].sub("", unicodedata.normalize("NFD", _PATTERNS["drop"].sub("", chunk).lower()))
+    else:
+        chunk = _PATTERNS["drop"].sub("", chunk).lower()
+    return _PATTERNS["words"].findall(chunk)

@@ -3,10 +3,7 @@
 All rows are clustered; nothing is sampled to fit memory.
 
 * W24: ``pyspark.ml.clustering.KMeans`` over the vectors.
-* W27: (a) ``BisectingKMeans`` (divisive); (b) bottom-up Ward linkage on
-  micro-clusters: distributed k-means to ``m`` micro-clusters, Ward merges of
-  the ``m`` weighted centroids (bounded: m rows) down to ``k`` clusters, and the
-  micro -> cluster map applied as a literal lookup on every row.
+* W27: ``BisectingKMeans`` (divisive); the bottom-up form is in ``ward``.
 * W25: share of rows whose argmax of the prediction equals the argmax of the
   truth (first index on ties) -- one aggregate.
 * W26: homogeneity, completeness and V-measure from the contingency table of
@@ -49,56 +46,6 @@ def bisecting_clusters(df: DataFrame, k: int = 40, vec_col: str = "embedding", i
     return model.transform(f).select(id_col, "cluster")
 
 
-def ward_merge(centers: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
-    """Ward agglomeration of weighted points down to k clusters -> label per point.
-
-    Merge cost of clusters a, b: w_a w_b / (w_a + w_b) * ||c_a - c_b||^2.
-    """
-    m = len(centers)
-    c = centers.astype(np.float64).copy()
-    w = weights.astype(np.float64).copy()
-    alive = np.ones(m, dtype=bool)
-    owner = np.arange(m)
-    sq = ((c[:, None, :] - c[None, :, :]) ** 2).sum(-1)
-    cost = (w[:, None] * w[None, :]) / (w[:, None] + w[None, :]) * sq
-    np.fill_diagonal(cost, np.inf)
-    for _ in range(m - k):
-        flat = int(np.argmin(cost))
-        i, j = divmod(flat, m)
-        if i > j:
-            i, j = j, i
-        c[i] = (w[i] * c[i] + w[j] * c[j]) / (w[i] + w[j])
-        w[i] += w[j]
-        alive[j] = False
-        owner[owner == j] = i
-        cost[j, :] = np.inf
-        cost[:, j] = np.inf
-        d = ((c[alive] - c[i]) ** 2).sum(-1)
-        row = (w[alive] * w[i]) / (w[alive] + w[i]) * d
-        cost[i, alive] = row
-        cost[alive, i] = row
-        cost[i, i] = np.inf
-    roots = np.unique(owner)
-    relabel = {r: n for n, r in enumerate(roots)}
-    return np.array([relabel[o] for o in owner], dtype=np.int64)
-
-
-def ward_clusters(df: DataFrame, k: int = 40, vec_col: str = "embedding", id_col: str = "doc_id",
-                  micro: int = 1000, seed: int = 42) -> DataFrame:
-    """W27 (b): bottom-up Ward clustering of all rows via micro-clusters, (id, cluster)."""
-    f = _features(df, vec_col)
-    km = KMeans(k=micro, seed=seed, maxIter=20, featuresCol="_features", predictionCol="_micro").fit(f)
-    assigned = km.transform(f).select(id_col, "_micro")
-    sizes = dict(assigned.groupBy("_micro").count().collect())  # <= micro rows
-    centers = np.array(km.clusterCenters())
-    used = np.array(sorted(sizes))
-    labels = ward_merge(centers[used], np.array([sizes[u] for u in used]), min(k, len(used)))
-    lookup = np.full(len(centers), -1, dtype=np.int64)
-    lookup[used] = labels
-    arr = F.array(*[F.lit(int(x)) for x in lookup])
-    return assigned.select(id_col, F.element_at(arr, F.col("_micro") + 1).cast("int").alias("cluster"))
-
-
 def accuracy(df: DataFrame, pred_col: str, truth_col: str) -> DataFrame:
     """One row (accuracy, n)."""
     hit = (argmax(F.col(pred_col)) == argmax(F.col(truth_col))).cast("double")

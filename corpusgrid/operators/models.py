@@ -222,3 +222,15 @@ def embed_with_function(df: DataFrame, encoder, text_col: str = "text", id_col:
                     names=[id_col, "embedding"])
     schema = f"{id_col} {dict(df.dtypes)[id_col]}, embedding array<float>"
     return df.select(id_col, text_col).mapInArrow(run, schema)
+
+
+def hashed_embeddings(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", dim: int = 64) -> DataFrame:
+    """(id, embedding): counts of the whole text's words in ``dim`` buckets by md5, an encoder that needs no fit.
+
+    Texts without words have no row.  Rows that share an id add up.
+    """
+    bucket = F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("long") % dim
+    each = df.select(id_col, F.explode_outer(words(F.col(text_col))).alias("word")).where(F.col("word").isNotNull())
+    counts = each.groupBy(id_col, bucket.cast("int").alias("bucket")).agg(F.count("*").cast("double").alias("n"))
+    held = counts.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("held"))   # at most dim entries
+    return held.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.col("held")[i], F.lit(0.0))).alias("embedding"))

@@ -11,8 +11,8 @@ split exists or the word is too long.
 Plan: the vocabulary has a proven size bound (``size`` words plus the distinct
 characters), is collected once and shipped to executors as a broadcast
 variable; encoding is then a narrow, per-partition Arrow UDF over the texts --
-no shuffle, no per-token rows -- with a per-batch memo so each distinct word is
-split once per batch (P7).
+no shuffle, no per-token rows -- with a dictionary so each distinct word is
+split once per task (P7).
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusgrid.functions.arrays import one_hot, pad_truncate
-from corpusgrid.functions.text import MAX_CHARS_PER_WORD, words
+from corpusgrid.functions.text import MAX_CHARS_PER_WORD, chunks, unicode_words, words
 from corpusgrid.session import materialize
 
 # --- fixed values: special pieces and their ids in a built vocabulary --------
@@ -33,15 +33,31 @@ MAX_VOCAB_ROWS = 5_000_000
 MAX_LITERAL_CLASSES = 256   # a literal map lookup scans its keys; above this a join is used
 
 
-def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, count) over all texts; partial aggregation collapses hot words map side."""
+def word_counts(docs: DataFrame, text_col: str = "text", rule: str = "ascii") -> DataFrame:
+    """(word, count) over all texts; partial aggregation collapses hot words map side.
+
+    With the Unicode rule the distinct chunks are counted first; Python splits
+    each of them once, whatever the number of texts."""
     # explode_outer + null filter: an inner explode would make the optimizer
     # push a second copy of the word split below the preceding exchange
-    return (docs.select(F.explode_outer(words(F.col(text_col))).alias("word")).where(F.col("word").isNotNull())
-            .groupBy("word").agg(F.count(F.lit(1)).alias("count")))
+    cut = {"ascii": words, "unicode": chunks}[rule]
+    counts = (docs.select(F.explode_outer(cut(F.col(text_col))).alias("word")).where(F.col("word").isNotNull())
+              .groupBy("word").agg(F.count(F.lit(1)).alias("count")))
+    if rule == "ascii":
+        return counts
+
+    def split(batches):
+        import pyarrow as pa
+        for rb in batches:
+            found = [unicode_words(w) for w in rb.column("word").to_pylist()]
+            sizes = [len(x) for x in found]
+            yield pa.RecordBatch.from_arrays([pa.array([w for x in found for w in x], pa.string()),
+                                              pa.array([c for c, k in zip(rb.column("count").to_pylist(), sizes, strict=True) for _ in range(k)], pa.int64())],
+                                             names=["word", "count"])
+    return counts.mapInArrow(split, "word string, count long").groupBy("word").agg(F.sum("count").alias("count"))
 
 
-def build_vocabulary(docs: DataFrame, text_col: str = "text", size: int = 30000) -> DataFrame:
+def build_vocabulary(docs: DataFrame, text_col: str = "text", size: int = 30000, rule: str = "ascii") -> DataFrame:
     """(piece, id).
 
     Pieces = the ``size`` most frequent words (ties by word) + every character
@@ -50,7 +66,7 @@ def build_vocabulary(docs: DataFrame, text_col: str = "text", size: int = 30000)
     split, so ``[UNK]`` only marks over-long words.
     """
     # the word table feeds two branches (top words, characters): written once
-    counts = materialize(word_counts(docs, text_col), "word_counts")
+    counts = materialize(word_counts(docs, text_col, rule), "word_counts")
     top = counts.orderBy(F.col("count").desc(), F.col("word")).limit(size).select(F.col("word").alias("piece"))
     chars = counts.select(F.explode(F.split("word", "")).alias("c")).where(F.col("c") != "").distinct()
     char_pieces = chars.select(F.explode(F.array("c", F.concat(F.lit(CONTINUATION), "c"))).alias("piece"))
@@ -104,18 +120,23 @@ def _wordpiece(word: str, vocab: dict, unk: int, limits: tuple[int, int] | None
 MEMO_LIMIT = 200_000
 
 
-def _encoder(bvocab, unk: int, cls: int, sep: int, max_len: int, keep_sep: bool):
-    """Arrow batches of (doc_id, words joined by one space) -> (doc_id, n_pieces, ids).
+def _expanded(first, count):
+    """first[0], first[0] + 1, ... (count[0] of them), then the same for the next."""
+    import numpy as np
+    end = np.cumsum(count)
+    return np.arange(end[-1] if len(end) else 0) + np.repeat(first - (end - count), count)
+
+
+def _encoder(bvocab, unk: int, cls: int, sep: int, max_len: int, keep_sep: bool, rule: str):
+    """Arrow batches of (doc_id, words or chunks joined by one space) -> (doc_id, n_pieces, ids).
 
     ``ids`` is already cut to ``max_len`` (a cut drops the closing marker unless
     ``keep_sep``); ``n_pieces`` counts every piece of the whole text.
 
-    A word never contains a space (white space splits words), so joining by a
-    space and splitting again is exact.  Whole-word vocabulary hits are found
-    with Arrow's hash lookup (``index_in``, vectorised); only the remaining
-    words (not in the vocabulary, or too long) go through the word-piece
-    helper, once per distinct word per task (bounded memo).  The output lists
-    are assembled from offsets with numpy.
+    Neither words nor chunks contain a space, so joining by a space and
+    splitting again is exact.  A batch's words are dictionary-encoded by Arrow;
+    each distinct one is split into pieces once per task (bounded memo), and the
+    texts are put together from the dictionary with numpy.
     """
     def encode(batches):
         import numpy as np
@@ -123,74 +144,56 @@ def _encoder(bvocab, unk: int, cls: int, sep: int, max_len: int, keep_sep: bool)
         import pyarrow.compute as pc
         table = bvocab.value
         limits = piece_limits(table)
-        keys = pa.array(list(table.keys()), pa.string())
-        vals = np.fromiter(table.values(), dtype=np.int32, count=len(table))
-        memo: dict[str, list[int]] = {}
+        split = unicode_words if rule == "unicode" else lambda w: [w]
+        slot: dict[str, int] = {}
+        flat = np.zeros(0, np.int32)
+        first = count = np.zeros(0, np.int64)
         for rb in batches:
             n = rb.num_rows
             texts = rb.column("_w")
             lists = pc.split_pattern(pc.if_else(pc.equal(texts, ""), None, texts), pattern=" ")
-            counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = lists.flatten()
-            hit = pc.index_in(flat, value_set=keys).fill_null(-1).to_numpy(zero_copy_only=False)
-            too_long = pc.greater(pc.utf8_length(flat), MAX_CHARS_PER_WORD).fill_null(False)
-            slow = np.flatnonzero((hit < 0) | too_long.to_numpy(zero_copy_only=False))
-            width = np.ones(len(hit), dtype=np.int64)
-            pieces = []
-            if len(slow):
-                for w in flat.take(pa.array(slow)).to_pylist():
-                    pc_ = memo.get(w)
-                    if pc_ is None:
-                        if len(memo) >= MEMO_LIMIT:
-                            memo.clear()
-                        pc_ = memo[w] = _wordpiece(w, table, unk, limits)
-                    pieces.append(pc_)
-                width[slow] = [len(x) for x in pieces]
-            word_ids = np.where(hit >= 0, vals[np.maximum(hit, 0)], 0).astype(np.int32)
-            # per-row lengths: [CLS] + pieces + [SEP]
-            row_of_word = np.repeat(np.arange(n), counts)
-            row_len = np.bincount(row_of_word, weights=width, minlength=n).astype(np.int64) + 2
-            offsets = np.zeros(n + 1, dtype=np.int64)
-            np.cumsum(row_len, out=offsets[1:])
-            out = np.empty(offsets[-1], dtype=np.int32)
-            out[offsets[:-1]] = cls
-            out[offsets[1:] - 1] = sep
-            # start of each word = row start + 1 + pieces of earlier words in the row
-            csum = np.cumsum(width) - width
-            row_first = np.zeros(n, dtype=np.int64)
-            word_starts = np.zeros(n + 1, dtype=np.int64)
-            np.cumsum(counts, out=word_starts[1:])
-            has = counts > 0
-            row_first[has] = csum[word_starts[:-1][has]]
-            start = offsets[:-1][row_of_word] + 1 + (csum - row_first[row_of_word])
-            single = np.ones(len(hit), dtype=bool)
-            single[slow] = False
-            out[start[single]] = word_ids[single]
-            for j, wpos in enumerate(slow):
-                out[start[wpos]:start[wpos] + width[wpos]] = pieces[j]
-            # cut each row to max_len in the task: only max_len ids per text go back to the JVM
-            cut_len = np.minimum(row_len, max_len)
-            take = np.concatenate([np.arange(a, a + c) for a, c in zip(offsets[:-1], cut_len)]) \
-                if n else np.zeros(0, np.int64)
-            cut = out[take]
-            new_off = np.zeros(n + 1, dtype=np.int64)
-            np.cumsum(cut_len, out=new_off[1:])
-            if keep_sep:
-                over = np.flatnonzero(row_len > max_len)
-                cut[new_off[1:][over] - 1] = sep
-            ids = pa.ListArray.from_arrays(pa.array(new_off.astype(np.int32)), pa.array(cut))
-            n_pieces = pa.array((row_len - 2).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([rb.column("doc_id"), n_pieces, ids],
+            per_row = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = lists.flatten().dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            if len(slot) > MEMO_LIMIT:
+                slot, flat = {}, np.zeros(0, np.int32)
+                first = count = np.zeros(0, np.int64)
+            new = [w for w in distinct if w not in slot]
+            if new:
+                found = [[x for word in split(w) for x in _wordpiece(word, table, unk, limits)] for w in new]
+                slot.update(zip(new, range(len(count), len(count) + len(new)), strict=True))
+                sizes = np.array([len(x) for x in found], np.int64)
+                first = np.concatenate([first, len(flat) + np.cumsum(sizes) - sizes])
+                count = np.concatenate([count, sizes])
+                flat = np.concatenate([flat, np.array([i for x in found for i in x], np.int32)])
+            at = np.array([slot[w] for w in distinct], np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if distinct else np.zeros(0, np.int64)
+            # pieces of a row = pieces of its words
+            ends = np.concatenate([[0], np.cumsum(count[at])])
+            edge = ends[np.concatenate([[0], np.cumsum(per_row)])]
+            pieces = flat[_expanded(first[at], count[at])]
+            n_pieces = np.diff(edge)
+            # [CLS] + pieces + [SEP], cut to max_len in the task: only max_len ids per text go back to the JVM
+            kept = np.minimum(n_pieces + 2, max_len)
+            inside = np.minimum(n_pieces, max(max_len - 1, 0))
+            off = np.concatenate([[0], np.cumsum(kept)])
+            out = np.full(off[-1], cls, np.int32)
+            out[_expanded(off[:-1] + 1, inside)] = pieces[_expanded(edge[:-1], inside)]
+            closed = (n_pieces + 2 <= max_len) | keep_sep
+            out[(off[1:] - 1)[closed & (kept > 0)]] = sep
+            ids = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(out))
+            yield pa.RecordBatch.from_arrays([rb.column("doc_id"), pa.array(n_pieces.astype(np.int32)), ids],
                                              names=["doc_id", "n_pieces", "_ids"])
     return encode
 
 
 def encode_sequences(docs: DataFrame, vocab: DataFrame, text_col: str = "text", id_col: str = "doc_id",
-                     max_seq_length: int = 128, keep_sep: bool = False) -> DataFrame:
+                     max_seq_length: int = 128, keep_sep: bool = False, rule: str = "ascii") -> DataFrame:
     """(doc_id, n_pieces, input_ids array<int>[max_seq_length]).
 
-    ``n_pieces`` counts all pieces of the whole text (before the cut).
+    ``n_pieces`` counts all pieces of the whole text (before the cut).  ``rule``
+    is the word rule that the vocabulary was built with (``functions.text``).
     """
+    cut = {"ascii": words, "unicode": chunks}[rule]
     spark = docs.sparkSession
     rows = vocab.select("piece", "id").limit(MAX_VOCAB_ROWS + 1).collect()
     if len(rows) > MAX_VOCAB_ROWS:
@@ -199,8 +202,8 @@ def encode_sequences(docs: DataFrame, vocab: DataFrame, text_col: str = "text",
     unk, cls, sep = table["[UNK]"], table["[CLS]"], table["[SEP]"]
     bvocab = spark.sparkContext.broadcast(table)
     id_type = dict(docs.dtypes)[id_col]
-    joined = docs.select(F.col(id_col).alias("doc_id"), F.array_join(words(F.col(text_col)), " ").alias("_w"))
-    full = joined.mapInArrow(_encoder(bvocab, unk, cls, sep, max_seq_length, keep_sep),
+    joined = docs.select(F.col(id_col).alias("doc_id"), F.array_join(cut(F.col(text_col)), " ").alias("_w"))
+    full = joined.mapInArrow(_encoder(bvocab, unk, cls, sep, max_seq_length, keep_sep, rule),
                              f"doc_id {id_type}, n_pieces int, _ids array<int>")
     return full.select("doc_id", "n_pieces", pad_truncate(F.col("_ids"), max_seq_length).alias("input_ids"))
 

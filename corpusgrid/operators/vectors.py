@@ -51,7 +51,7 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2.0 - 2.0 * (x @ pivots.T), 0.0))
 
 
-def _assign(bp):
+def assign_cells(bp):
     """Corpus rows with the nearest pivot and the distance to it."""
     def run(batches):
         for rb in batches:
@@ -64,8 +64,9 @@ def _assign(bp):
     return run
 
 
-def _visit(bc, k: int, digits: int):
-    """Queries with the slots of the cells that can hold one of their k nearest rows."""
+def visited_slots(bc, k: int, digits: int, probes: int | None = None):
+    """Queries with the slots of the cells that can hold one of their k nearest rows; with ``probes``, only of the
+    nearest so many cells, and of further ones until they hold k rows."""
     def run(batches):
         pivots, count, radius, first_slot = bc.value
         for rb in batches:
@@ -80,6 +81,12 @@ def _visit(bc, k: int, digits: int):
             # k rows lie within this distance; equal rounded similarities and float error get their room
             bound = reach[np.arange(n), order[np.arange(n), last]]
             row, cell = np.nonzero(np.maximum(d - radius - 1e-6, 0) ** 2 <= ((bound + 1e-6) ** 2)[:, None] + 4 * 10.0 ** -digits)
+            if probes is not None:
+                near = np.argsort(np.argsort(d, axis=1, kind="stable"), axis=1)      # place of each cell by distance
+                held = np.cumsum(np.take_along_axis(np.broadcast_to(count, d.shape), np.argsort(d, axis=1, kind="stable"), 1), axis=1)
+                most = np.maximum(probes, 1 + (held < k).sum(axis=1))
+                pick = near[row, cell] < most[row]
+                row, cell = row[pick], cell[pick]
             size = first_slot[cell + 1] - first_slot[cell]
             slot = np.arange(size.sum()) + np.repeat(first_slot[cell] - (np.cumsum(size) - size), size)
             ends = np.cumsum(np.bincount(row, weights=size, minlength=n)).astype(np.int32)
@@ -90,7 +97,7 @@ def _visit(bc, k: int, digits: int):
     return run
 
 
-def _best(k: int, digits: int):
+def best_rows(k: int, digits: int):
     """Exactly k rows per query of one slice and one slot, by (rounded similarity, smaller id)."""
     scale = 10 ** digits
 
@@ -155,7 +162,7 @@ def nearest_neighbors(queries: DataFrame, corpus: DataFrame, k: int = 10, query_
         # at most MAX_CELLS rows reach the driver, whatever the corpus' size
         pivots = np.array([r["u"] for r in cn.orderBy(F.xxhash64("cid"), "cid").limit(cells).collect()], np.float64)
         bp = spark.sparkContext.broadcast(pivots)
-        cn = materialize(cn.mapInArrow(_assign(bp), f"cid {ctype}, u array<double>, cell int, dist double"), "corpus_cells")
+        cn = materialize(cn.mapInArrow(assign_cells(bp), f"cid {ctype}, u array<double>, cell int, dist double"), "corpus_cells")
         known = {r["cell"]: r for r in cn.groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("radius")).collect()}
         count = np.array([known[c]["n"] if c in known else 0 for c in range(len(pivots))], np.int64)
         radius = np.array([known[c]["radius"] if c in known else 0.0 for c in range(len(pivots))])
@@ -166,13 +173,13 @@ def nearest_neighbors(queries: DataFrame, corpus: DataFrame, k: int = 10, query_
         share = F.element_at(F.array(*[F.lit(int(max(v, 1))) for v in slots]), at)
         cn = cn.withColumn("_slot", (base + F.pmod(F.xxhash64("cid"), share)).cast("int")).drop("cell", "dist")
         bc = spark.sparkContext.broadcast((pivots, count, radius, first_slot))
-        qn = (qn.mapInArrow(_visit(bc, k, digits), f"query_id {qtype}, u array<double>, slots array<int>")
+        qn = (qn.mapInArrow(visited_slots(bc, k, digits), f"query_id {qtype}, u array<double>, slots array<int>")
               .select("query_id", "u", F.explode("slots").alias("_slot")))
     slices = math.ceil(asked / block)
     qn = qn.withColumn("_slice", F.pmod(F.xxhash64("query_id"), F.lit(slices)).cast("int"))
     cn = cn.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     found = (qn.groupBy("_slot", "_slice").cogroup(cn.groupBy("_slot", "_slice"))
-             .applyInArrow(_best(k, digits), f"query_id {qtype}, neighbor_id {ctype}, similarity double"))
+             .applyInArrow(best_rows(k, digits), f"query_id {qtype}, neighbor_id {ctype}, similarity double"))
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("neighbor_id"))
     return (found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("query_id", "rank", "neighbor_id", "similarity"))

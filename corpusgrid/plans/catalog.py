@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from corpusgrid.functions.arrays import argmax
 from corpusgrid.functions.text import DEFAULT_ENTITY_RULES
-from corpusgrid.operators import corpus, entities, evaluate, models, negatives, sequences, specificity, two_tower, vectors
+from corpusgrid.operators import corpus, entities, evaluate, models, negatives, sequences, specificity, two_tower, vector_index, vectors, ward
 from corpusgrid.sources import archive, store
 from corpusgrid.session import checkpoint_root, materialize
 from corpusgrid.streaming import ingest, lookup
@@ -166,6 +166,14 @@ def q_negative_pairs_ratio2(spark, sf_dir):
     return _negatives(spark, sf_dir, 2.0)
 
 
+@register("negative_pairs_skewed")
+def q_negative_pairs_skewed(spark, sf_dir):
+    """One text in 400 has another label than the rest, so that hardly a draw hits two labels."""
+    rare = F.when(F.col("doc_id") % 400 == 0, "rare").otherwise("common")
+    texts = read_table(spark, sf_dir, "documents", ["doc_id", "text"]).select("doc_id", F.col("text").alias("sentence"), rare.alias("label"))
+    return negatives.negative_pairs(texts, _mentions(spark, sf_dir), ratio=0.2, seed=42)
+
+
 @register("two_tower_pairs")
 def q_two_tower_pairs(spark, sf_dir):
     pairs = negatives.two_tower_pairs(_texts(spark, sf_dir), _negatives(spark, sf_dir, 1.0))
@@ -193,6 +201,29 @@ def q_encode_sequences(spark, sf_dir):
     return enc.select("doc_id", "n_pieces", F.array_join("input_ids", ",").alias("input_ids"))
 
 
+def unicode_texts(spark, sf_dir):
+    """``documents`` with text beyond Latin between its words, by fixed rules on doc_id: ideographs without spaces,
+    decomposed accents, other scripts, Unicode white space and punctuation."""
+    doc = F.col("doc_id")
+    pick = lambda *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (doc % len(xs) + 1).cast("int"))
+    mixed = F.concat(pick("\u4e2d\u6587\u6587\u672c", "Cafe\u0301\u00abna\u00efve\u00bb", "\u041f\u0440\u0438\u0432\u0435\u0442\u2014\u043c\u0438\u0440!", "a\u200bb\u00adc", "\u03b5\u03bb\u03bb\u03b7\u03bd\u03b9\u03ba\u03ac"),
+                     pick("\u3000", "\u00a0", " ", "\u2003x\u2009"), pick("\uff08\u5168\u89d2\uff09", "\u00bfqu\u00e9?", "$5+\u20ac7", "\u201cquoted\u201d"))
+    return _docs(spark, sf_dir).select("doc_id", F.concat_ws(" ", mixed, F.col("text"), mixed).alias("text"))
+
+
+@register("vocabulary_unicode")
+def q_vocabulary_unicode(spark, sf_dir):
+    return sequences.build_vocabulary(unicode_texts(spark, sf_dir), size=VOCAB_SIZE, rule="unicode")
+
+
+@register("encode_unicode")
+def q_encode_unicode(spark, sf_dir):
+    texts = unicode_texts(spark, sf_dir)
+    vocab = sequences.build_vocabulary(texts, size=VOCAB_SIZE, rule="unicode")
+    enc = sequences.encode_sequences(texts, vocab, max_seq_length=SEQ_LEN, rule="unicode")
+    return enc.select("doc_id", "n_pieces", F.array_join("input_ids", ",").alias("input_ids"))
+
+
 @register("label_codes")
 def q_label_codes(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents", ["doc_id", "source"])
@@ -231,6 +262,36 @@ def q_nearest_neighbors(spark, sf_dir):
     return nn.join(lab, "neighbor_id").select("query_id", "rank", "neighbor_id", "similarity", "label")
 
 
+def _index(spark, sf_dir):
+    """The stored index of all vectors; the queries of one session share a version."""
+    path = f"{checkpoint_root(spark)}/vectors-{spark.sparkContext.applicationId}-{store.fingerprint({'sf_dir': sf_dir})}"
+    try:
+        return vector_index.open_index(spark, path)
+    except FileNotFoundError:
+        return vector_index.build_index(_emb(spark, sf_dir), path, id_col="vec_id")
+
+
+@register("index_neighbors_exact")
+def q_index_neighbors_exact(spark, sf_dir):
+    """Every vector's 10 nearest vectors through the stored index, all cells that the residual bounds leave."""
+    return vector_index.search_index(_emb(spark, sf_dir), _index(spark, sf_dir), k=10, probes=None, query_id="vec_id")
+
+
+@register("index_neighbors")
+def q_index_neighbors(spark, sf_dir):
+    """The same from the nearest cells only, as many as a sample of the rows needs for 19 of 20 neighbours."""
+    index = _index(spark, sf_dir)
+    return vector_index.search_index(_emb(spark, sf_dir), index, k=10, probes=vector_index.choose_probes(index, 10, 0.95), query_id="vec_id")
+
+
+@register("index_recall")
+def q_index_recall(spark, sf_dir):
+    """Recall of ``index_neighbors`` against the exact neighbours of every vector."""
+    exact = vectors.nearest_neighbors(_emb(spark, sf_dir), _emb(spark, sf_dir), k=10, query_id="vec_id", corpus_id="vec_id")
+    out = vector_index.recall(q_index_neighbors(spark, sf_dir), exact)
+    return out.select("n_queries", "n_exact", (F.col("recall") >= 0.9).alias("reached"))
+
+
 # ---------------------------------------------------------------- W24 - W27
 def _centroid_predictions(spark, sf_dir):
     """(vec_id, label, scores, truth one-hot, predicted label) from a nearest-centroid model."""
@@ -283,17 +344,50 @@ def q_bisecting_clusters(spark, sf_dir):
     return evaluate.bisecting_clusters(_emb(spark, sf_dir), k=40, id_col="vec_id")
 
 
+def _once(spark, sf_dir, name, build):
+    """A table that several queries of one session read: built once, then reused."""
+    path = f"{checkpoint_root(spark)}/{name}-{spark.sparkContext.applicationId}"
+    return store.materialize_or_reuse(spark, path, build, config={"sf_dir": sf_dir})
+
+
+def _ward(spark, sf_dir):
+    tree = []
+
+    def built(part):
+        if not tree:
+            tree.extend(ward.ward_tree(_emb(spark, sf_dir), "embedding", "vec_id"))
+        return tree[part]
+    return _once(spark, sf_dir, "ward-leaves", lambda: built(0)), _once(spark, sf_dir, "ward-merges", lambda: built(1))
+
+
+@register("hierarchical_merges")
+def q_hierarchical_merges(spark, sf_dir):
+    """The Ward tree of all vectors, one row for each merge."""
+    leaves, merges = _ward(spark, sf_dir)
+    named = [leaves.select(F.col("leaf").alias(side), F.col("id").alias(f"{side}_id")) for side in ("left", "right")]
+    return merges.join(named[0], "left").join(named[1], "right").select("left_id", "right_id", "n_left", "n_right", "cost", "height")
+
+
+@register("hierarchical_facts")
+def q_hierarchical_facts(spark, sf_dir):
+    """What holds for any complete Ward tree: n - 1 merges whose costs add up to the squared distances from the mean;
+    the largest cluster has all rows."""
+    leaves, merges = _ward(spark, sf_dir)
+    facts = merges.agg(F.count("*").alias("n_merges"), r6(F.sum("cost")).alias("total_cost"), F.max(F.col("n_left") + F.col("n_right")).alias("n_root"))
+    return facts.withColumn("n_vectors", leaves.agg(F.count("*")).scalar())
+
+
 @register("hierarchical_clusters")
 def q_hierarchical_clusters(spark, sf_dir):
-    e = _emb(spark, sf_dir)
-    return evaluate.ward_clusters(e, k=40, id_col="vec_id", micro=min(1000, e.count()))
+    leaves, merges = _ward(spark, sf_dir)
+    return ward.cut_tree(leaves, merges, 40).withColumnRenamed("id", "vec_id")
 
 
 @register("hierarchical_v_measure")
 def q_hierarchical_v_measure(spark, sf_dir):
-    e = _emb(spark, sf_dir)
-    cl = evaluate.ward_clusters(e, k=40, id_col="vec_id", micro=min(1000, e.count()))
-    return _vm(cl.join(e.select("vec_id", "label"), "vec_id"), "label", "cluster")
+    leaves, merges = _ward(spark, sf_dir)
+    cl = ward.cut_tree(leaves, merges, 40).withColumnRenamed("id", "vec_id")
+    return _vm(cl.join(_emb(spark, sf_dir).select("vec_id", "label"), "vec_id"), "label", "cluster")
 
 
 # ---------------------------------------------------------------- W19, W23, W20, W7
@@ -354,7 +448,8 @@ def archive_pages(spark, sf_dir):
     with keys left out or nulled by fixed rules on the source/lang columns:
     src3 no abstract key (dropped), src5 short pub_date (dropped), src17 no _id
     (rejected), src9 no section_name ('EMPTY'), src11 null section_name, src13
-    no source key ('EMPTY'), es null abstract, fr null snippet, de no word_count."""
+    no source key ('EMPTY'), es null abstract, fr null snippet, de no word_count.
+    Every doc holds its whole text, as abstract, snippet or both."""
     d = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source", "n_chars"])
     src, lang, doc = F.col("source"), F.col("lang"), F.col("doc_id")
     day = F.date_add(F.to_date(F.lit("2019-01-01")), (doc / 3).cast("int"))
@@ -367,10 +462,10 @@ def archive_pages(spark, sf_dir):
     doc_json = archive.doc_json([
         ("_id", jv(F.concat(F.lit("d"), doc.cast("string"))), src != "src17"),
         ("abstract", jv(F.when(lang == "es", F.lit(None)).otherwise(F.col("text"))), src != "src3"),
-        ("headline", F.concat(F.lit('{"main":'), jv(F.substring("text", 1, 60)), F.lit("}")), t),
+        ("headline", F.concat(F.lit('{"main":'), jv(F.concat_ws(" ", src, doc.cast("string"))), F.lit("}")), t),
         ("news_desk", jv(src), t),
         ("pub_date", jv(pub), t),
-        ("snippet", jv(F.when(lang == "fr", F.lit(None)).otherwise(F.substring("text", 1, 100))), t),
+        ("snippet", jv(F.when(lang == "fr", F.lit(None)).otherwise(F.col("text"))), t),
         ("section_name", jv(F.when(src == "src11", F.lit(None)).otherwise(lang)), src != "src9"),
         ("source", jv(F.lit("Archive")), src != "src13"),
         ("type_of_material", jv(F.lit("News")), t),
@@ -435,6 +530,58 @@ def q_incremental_ingest(spark, sf_dir):
     return spark.read.parquet(f"{base}/target").select(*ARTICLE_OUT)
 
 
+def _land(spark, sf_dir, path, where="true", copies=1):
+    """Pages as month folders of JSON-lines files; the files of each copy hold the same articles."""
+    pages = archive_pages(spark, sf_dir).where(where).select("year", "month", "value")
+    for k in range(copies):
+        pages.write.partitionBy("year", "month").mode("append").text(path)
+
+
+@register("bulk_load")
+def q_bulk_load(spark, sf_dir):
+    """Month folders of JSON-lines files, loaded in one read."""
+    import uuid
+    base = f"{checkpoint_root(spark)}/bulk-{uuid.uuid4().hex}"
+    _land(spark, sf_dir, base)
+    articles, _ = archive.bulk_load(spark, base, whole_files=False)
+    return articles.select("year", "month", *ARTICLE_OUT)
+
+
+@register("ingest_backfill")
+def q_ingest_backfill(spark, sf_dir):
+    """Every other month is in the target before; a second stream then brings all months in several micro-batches, the
+    known ones once more, and each page's articles twice."""
+    import uuid
+    base = f"{checkpoint_root(spark)}/backfill-{uuid.uuid4().hex}"
+    _land(spark, sf_dir, f"{base}/first", "month % 2 = 0")
+    ingest.start_ingest(spark, f"{base}/first", f"{base}/target", f"{base}/ck1", whole_files=False).awaitTermination()
+    _land(spark, sf_dir, f"{base}/second", copies=2)
+    files = len(spark.read.text(f"{base}/second").inputFiles())
+    q = ingest.start_ingest(spark, f"{base}/second", f"{base}/target", f"{base}/ck2", rejects=f"{base}/rejects", whole_files=False,
+                            max_files_per_trigger=max(1, -(-files // 3)))
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/target").select(*ARTICLE_OUT)
+
+
+TEXT_DIM, TEXT_K = 64, 5
+
+
+@register("text_neighbors")
+def q_text_neighbors(spark, sf_dir):
+    """Texts of ``benchmark`` arrive in micro-batches and get their nearest documents, texts included, from a stored index."""
+    import uuid
+    base = f"{checkpoint_root(spark)}/texts-{uuid.uuid4().hex}"
+    docs = _docs(spark, sf_dir)
+    vector_index.build_index(models.hashed_embeddings(docs, "text", "doc_id", TEXT_DIM), f"{base}/index")
+    asked = read_table(spark, sf_dir, "benchmark", ["item_id", "text"])
+    asked.repartition(3).write.parquet(f"{base}/queries")
+    stream = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/queries")
+    q = lookup.start_lookup(spark, stream, None, f"{base}/answers", f"{base}/checkpoint", k=TEXT_K, query_id="item_id", index=f"{base}/index", probes=None,
+                            embed=lambda b: models.hashed_embeddings(b, "text", "item_id", TEXT_DIM), texts=docs)
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/answers").select(F.col("query_id").alias("item_id"), "rank", "neighbor_id", "similarity", "text")
+
+
 @register("stream_neighbors")
 def q_stream_neighbors(spark, sf_dir):
     """Query vectors arrive as parquet files (several micro-batches); answers per batch."""

@@ -6,7 +6,8 @@ are imported, not repeated, so both sides always use the same constants.
 
 from __future__ import annotations
 
-from corpusgrid.functions.text import ACCENTED, DEFAULT_ENTITY_RULES, MAX_CHARS_PER_WORD, UNACCENTED, WORD_PATTERN_POSIX
+from corpusgrid.functions.text import (ACCENTED, DEFAULT_ENTITY_RULES, IDEOGRAPHS, MAX_CHARS_PER_WORD, PUNCTUATION, UNACCENTED, UNICODE_DROPPED,
+                                       UNICODE_SPACE, WORD_PATTERN_POSIX)
 from corpusgrid.operators.sequences import CONTINUATION, SPECIALS
 
 SQL: dict[str, str] = {}
@@ -107,8 +108,9 @@ def _draw(salt: str, seed=42) -> str:
     return f"('0x' || substr(md5('{seed}:{salt}:' || CAST(k AS VARCHAR)), 1, 12))::BIGINT"
 
 
-def negatives_sql(ratio: float, draws: int, seed=42) -> str:
+def negatives_sql(ratio: float, draws: int, seed=42, label: str = "source") -> str:
     return f"""WITH m AS ({mentions_sql()}),
+lb AS (SELECT doc_id, {label} AS label FROM documents),
 inc AS (SELECT DISTINCT type, doc_id FROM m),
 r AS (SELECT type, doc_id, row_number() OVER (ORDER BY type, doc_id) - 1 AS g FROM inc),
 st AS (SELECT type, min(g) AS t_start, count(*) AS n_t FROM r GROUP BY type),
@@ -120,9 +122,9 @@ d1 AS (SELECT d.k, i.doc_id AS doc1,
        FROM draws d CROSS JOIN tot JOIN inc2 i ON i.g = d.r1 % tot.n_inc WHERE i.n_t >= 2),
 d2 AS (SELECT d1.k, d1.doc1, i.doc_id AS doc2 FROM d1 JOIN inc2 i ON i.g = d1.g2),
 p AS (SELECT least(doc1, doc2) AS a, greatest(doc1, doc2) AS b, min(k) AS k FROM d2 GROUP BY 1, 2),
-lab AS (SELECT p.a, p.b, p.k, da.source AS label_a, db.source AS label_b
-        FROM p JOIN documents da ON da.doc_id = p.a JOIN documents db ON db.doc_id = p.b
-        WHERE da.source <> db.source),
+lab AS (SELECT p.a, p.b, p.k, da.label AS label_a, db.label AS label_b
+        FROM p JOIN lb da ON da.doc_id = p.a JOIN lb db ON db.doc_id = p.b
+        WHERE da.label <> db.label),
 pr AS (SELECT *, row_number() OVER (ORDER BY k) - 1 AS pr FROM lab),
 n AS (SELECT CAST(floor({ratio} * count(*)) AS BIGINT) AS target FROM documents),
 rw AS (SELECT a AS doc_id, label_b AS label, b AS source_doc_id, 2 * pr AS neg_index FROM pr
@@ -137,6 +139,7 @@ SELECT type, n_texts, round(n_texts / sum(n_texts) OVER (), 6) AS frequency FROM
 # draws: enough that the first ceil(target/2) accepted pairs exist (draws only append)
 SQL["negative_pairs"] = negatives_sql(1.0, 20000)
 SQL["negative_pairs_ratio2"] = negatives_sql(2.0, 40000)
+SQL["negative_pairs_skewed"] = negatives_sql(0.2, 150000, label="CASE WHEN doc_id % 400 = 0 THEN 'rare' ELSE 'common' END")
 SQL["two_tower_pairs"] = f"""WITH neg AS ({negatives_sql(1.0, 20000)})
 SELECT doc_id, source AS label, doc_id AS source_doc_id, 1 AS is_positive, '0,1' AS target FROM documents
 UNION ALL SELECT doc_id, label, source_doc_id, 0 AS is_positive, '1,0' AS target FROM neg"""
@@ -147,9 +150,10 @@ def _words_expr(col: str = "text") -> str:
     return f"regexp_extract_all(translate(lower({col}), {_q(ACCENTED)}, {_q(UNACCENTED)}), {_q(WORD_PATTERN_POSIX)})"
 
 
-def vocab_sql(size: int) -> str:
+def vocab_sql(size: int, words: str = "", source: str = "documents") -> str:
+    words = words or _words_expr()
     specials = ", ".join(f"({_q(p)}, {i})" for p, i in SPECIALS)
-    return f"""wc AS (SELECT word, count(*) AS cnt FROM (SELECT UNNEST({_words_expr()}) AS word FROM documents) GROUP BY word),
+    return f"""wc AS (SELECT word, count(*) AS cnt FROM (SELECT UNNEST({words}) AS word FROM {source}) GROUP BY word),
 top AS (SELECT word AS piece FROM wc ORDER BY cnt DESC, word LIMIT {size}),
 ch AS (SELECT DISTINCT UNNEST(string_split(word, '')) AS c FROM wc),
 pc AS (SELECT piece FROM top UNION SELECT c FROM ch UNION SELECT {_q(CONTINUATION)} || c FROM ch),
@@ -159,16 +163,17 @@ vocab AS (SELECT piece, CAST(id AS INTEGER) AS id FROM sp
           FROM pc WHERE piece NOT IN (SELECT piece FROM sp))"""
 
 
-def encode_sql(size: int, seq_len: int) -> str:
+def encode_sql(size: int, seq_len: int, words: str = "", source: str = "documents") -> str:
     # For a vocabulary that holds every character and its continuation form,
     # greedy longest-match-first = longest vocabulary prefix, then one
     # continuation piece per remaining character.
     cls = dict(SPECIALS)["[CLS]"]
     sep = dict(SPECIALS)["[SEP]"]
     unk = dict(SPECIALS)["[UNK]"]
-    return f"""WITH {vocab_sql(size)},
+    words = words or _words_expr()
+    return f"""WITH {vocab_sql(size, words, source)},
 dw AS (SELECT doc_id, UNNEST(ws) AS word, UNNEST(generate_series(1, len(ws))) AS pos
-       FROM (SELECT doc_id, {_words_expr()} AS ws FROM documents)),
+       FROM (SELECT doc_id, {words} AS ws FROM {source})),
 uw AS (SELECT DISTINCT word FROM dw),
 pre AS (SELECT uw.word, max(length(v.piece)) AS plen
         FROM (SELECT word, UNNEST(generate_series(1, length(word))) AS l FROM uw) uw
@@ -190,6 +195,15 @@ SELECT doc_id, CAST(len(ids) - 2 AS INTEGER) AS n_pieces,
 
 SQL["vocabulary"] = f"WITH {vocab_sql(2000)} SELECT piece, id FROM vocab"
 SQL["encode_sequences"] = encode_sql(2000, 128)
+# the Unicode rule over code points: white space to spaces, control characters out, marks off, then one pattern
+_UNICODE_WORDS = (f"regexp_extract_all(strip_accents(lower(regexp_replace(regexp_replace(text, '{UNICODE_SPACE}', ' ', 'g'), '{UNICODE_DROPPED}', '', 'g'))), "
+                  f"'[{IDEOGRAPHS}]|[{PUNCTUATION}]|[^ {IDEOGRAPHS}{PUNCTUATION}]+')")
+_UNICODE_TEXTS = """(SELECT doc_id, concat_ws(' ', mixed, text, mixed) AS text FROM (SELECT doc_id, text,
+  ['\u4e2d\u6587\u6587\u672c', 'Cafe\u0301\u00abna\u00efve\u00bb', '\u041f\u0440\u0438\u0432\u0435\u0442\u2014\u043c\u0438\u0440!', 'a\u200bb\u00adc', '\u03b5\u03bb\u03bb\u03b7\u03bd\u03b9\u03ba\u03ac'][doc_id % 5 + 1]
+  || ['\u3000', '\u00a0', ' ', '\u2003x\u2009'][doc_id % 4 + 1] || ['\uff08\u5168\u89d2\uff09', '\u00bfqu\u00e9?', '$5+\u20ac7', '\u201cquoted\u201d'][doc_id % 4 + 1] AS mixed
+  FROM documents))"""
+SQL["vocabulary_unicode"] = f"WITH {vocab_sql(2000, _UNICODE_WORDS, _UNICODE_TEXTS)} SELECT piece, id FROM vocab"
+SQL["encode_unicode"] = encode_sql(2000, 128, _UNICODE_WORDS, _UNICODE_TEXTS)
 SQL["label_codes"] = """WITH l AS (SELECT source, CAST(row_number() OVER (ORDER BY source) - 1 AS INTEGER) AS label_code
                       FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL))
 SELECT d.doc_id, d.source, l.label_code, (SELECT CAST(count(*) AS INTEGER) FROM l) AS num_classes
@@ -252,12 +266,12 @@ SQL["v_measure_labels"] = f"WITH {vmeasure_sql('labels', 'quality', 'toxic')}"
 # ---------------------------------------------------------------- W1 - W3, W28
 _EXPECTED_ARTICLES = """SELECT 'd' || CAST(doc_id AS VARCHAR) AS id,
   CASE WHEN lang = 'es' THEN NULL ELSE text END AS abstract,
-  substr(text, 1, 60) AS headline, source AS desk,
+  source || ' ' || CAST(doc_id AS VARCHAR) AS headline, source AS desk,
   strftime(day, '%Y-%m-%d') AS date,
   lpad(CAST(doc_id % 24 AS VARCHAR), 2, '0') || ':' || lpad(CAST((doc_id * 7) % 60 AS VARCHAR), 2, '0') || ':'
     || lpad(CAST((doc_id * 13) % 60 AS VARCHAR), 2, '0') AS time,
   CASE WHEN source = 'src9' THEN 'EMPTY' WHEN source = 'src11' THEN NULL ELSE lang END AS section,
-  CASE WHEN lang = 'fr' THEN NULL ELSE substr(text, 1, 100) END AS snippet,
+  CASE WHEN lang = 'fr' THEN NULL ELSE text END AS snippet,
   CASE WHEN source = 'src13' THEN 'EMPTY' ELSE 'Archive' END AS source,
   'News' AS type,
   CASE WHEN lang = 'de' THEN 0 ELSE CAST(trunc(n_chars / 5) AS INTEGER) END AS word_count,
@@ -266,6 +280,8 @@ FROM (SELECT *, CAST(DATE '2019-01-01' + CAST(trunc(doc_id / 3) AS INTEGER) AS D
 WHERE source NOT IN ('src3', 'src5', 'src17')"""
 SQL["parse_articles"] = _EXPECTED_ARTICLES
 SQL["incremental_ingest"] = _EXPECTED_ARTICLES
+SQL["ingest_backfill"] = _EXPECTED_ARTICLES
+SQL["bulk_load"] = f"SELECT CAST(year(pub_date) AS INTEGER) AS year, CAST(month(pub_date) AS INTEGER) AS month, * FROM ({_EXPECTED_ARTICLES})"
 SQL["archive_rejects"] = """SELECT 'document without _id' AS reason, count(*) AS n FROM documents WHERE source = 'src17'"""
 _BOUNDS = """b AS (SELECT CAST(date_trunc('year', min(o_orderdate)) AS DATE) AS s,
                 CAST(date_trunc('month', max(o_orderdate)) AS DATE) AS e FROM orders),
@@ -290,3 +306,24 @@ SELECT query_id, rank, neighbor_id, similarity FROM r WHERE rank <= 10"""
 SQL["export_tsv"] = """SELECT vec_id AS "order", label,
        array_to_string(list_transform(embedding, lambda x: printf('%.18e', x::DOUBLE)), chr(9)) AS line
 FROM embeddings"""
+
+# ---------------------------------------------------------------- W27: facts of any complete Ward tree
+SQL["hierarchical_facts"] = """WITH x AS (SELECT vec_id, UNNEST(CAST(embedding AS DOUBLE[])) AS v, UNNEST(generate_series(1, len(embedding))) AS d FROM embeddings),
+s AS (SELECT d, sum(v * v) - sum(v) * sum(v) / count(*) AS spread, count(*) AS n FROM x GROUP BY d)
+SELECT CAST(max(n) - 1 AS BIGINT) AS n_merges, round(sum(spread), 6) AS total_cost, CAST(max(n) AS BIGINT) AS n_root, CAST(max(n) AS BIGINT) AS n_vectors FROM s"""
+
+# ---------------------------------------------------------------- W22 through a stored index
+SQL["index_neighbors_exact"] = SQL["stream_neighbors"]
+SQL["index_recall"] = f"""WITH {_UNIT}, n AS (SELECT count(*) AS n FROM un)
+SELECT CAST(n AS BIGINT) AS n_queries, CAST(n * least(n, 10) AS BIGINT) AS n_exact, n > 0 AS reached FROM n"""
+
+# ---------------------------------------------------------------- W28b from texts
+SQL["text_neighbors"] = f"""WITH w AS (SELECT 'd' AS side, doc_id AS id, UNNEST({_words_expr()}) AS word FROM documents
+  UNION ALL SELECT 'q', item_id, UNNEST({_words_expr()}) FROM benchmark),
+c AS (SELECT side, id, ('0x' || substr(md5(word), 1, 8))::BIGINT % 64 AS bucket, CAST(count(*) AS DOUBLE) AS n FROM w GROUP BY 1, 2, 3),
+l AS (SELECT side, id, sqrt(sum(n * n)) AS size FROM c GROUP BY 1, 2),
+u AS (SELECT c.side, c.id, bucket, n / size AS v FROM c JOIN l ON c.side = l.side AND c.id = l.id),
+s AS (SELECT q.id AS item_id, d.id AS neighbor_id, round(sum(q.v * d.v), 6) AS similarity
+      FROM u q JOIN u d ON q.side = 'q' AND d.side = 'd' AND q.bucket = d.bucket GROUP BY 1, 2),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, neighbor_id) AS INTEGER) AS rank FROM s)
+SELECT item_id, rank, neighbor_id, similarity, text FROM r JOIN documents ON doc_id = neighbor_id WHERE rank <= 5"""

@@ -4,16 +4,20 @@ New month files land in a folder; a file-source stream hands each micro-batch
 of raw files to ``foreachBatch``, which parses them with the W1 transform,
 keeps one row per article id (the smallest row by (path, content), found with a
 partially-aggregated ``min`` so a hot duplicated id never sits in one task),
-drops ids already in the target and appends.  The target check reads only the
-target's id column and uses the micro-batch's ids as the broadcast side of a
-semi-join (when a count shows they are small), so the growing target is never
-shuffled per batch.  Re-running a
-batch after a failure appends nothing twice, and back-filled months are
-accepted (a watermark would drop them).
+drops ids already in the target and writes the rest.
+
+The target is partitioned by the article's month and by the batch that wrote it.
+An id belongs to one month, so only the batch's own months are looked through:
+the work of a batch does not grow with the target.  A batch overwrites its own
+partitions (dynamic partition overwrite), so a batch that is run again replaces
+what it had written, whole or not; back-filled months are accepted (a watermark
+would drop them).  ``scope="all"`` looks for ids in every month.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +26,7 @@ from pyspark.sql.streaming import StreamingQuery
 from corpusgrid.operators.joins import broadcast_if_small
 from corpusgrid.session import materialize
 from corpusgrid.sources.archive import ARTICLE_COLUMNS, parse_archive
+from corpusgrid.sources.store import fingerprint
 
 
 def dedupe_articles(articles: DataFrame) -> DataFrame:
@@ -30,47 +35,66 @@ def dedupe_articles(articles: DataFrame) -> DataFrame:
     return best.select("id", *[F.col(f"_r.{c}").alias(c) for c in cols])
 
 
-def _target_ids(spark: SparkSession, target: str) -> DataFrame | None:
+MONTH = ("year", "month")
+
+
+def _target(spark: SparkSession, target: str) -> DataFrame | None:
     try:
-        return spark.read.parquet(target).select("id")
+        return spark.read.parquet(target)
     except AnalysisException as e:
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):    # no target yet
             return None
         raise
 
 
+def known_ids(target: DataFrame, fresh: DataFrame, batch: str, scope: str = "month") -> DataFrame:
+    """Ids of the target that the batch could repeat, from its months' partitions only; its own earlier output is left out."""
+    held = target.where(F.col("batch") != batch)
+    if scope == "month":
+        months = [(r["year"], r["month"]) for r in fresh.select(*MONTH).distinct().collect()]       # the batch's months
+        by_year: dict = {}
+        for y, m in months:
+            by_year.setdefault(y, []).append(m)
+        pick = F.lit(False)
+        for y, ms in sorted(by_year.items(), key=lambda x: (x[0] is None, x[0])):
+            pick = pick | (F.col("year").isNull() if y is None else (F.col("year") == y) & F.col("month").isin(ms))
+        held = held.where(pick)
+    return held.select("id")
+
+
 def upsert_batch(spark: SparkSession, raw: DataFrame, target: str, rejects: str | None = None,
-                 batch_id: int | None = None) -> None:
-    """Parse one batch of raw files and append the unseen articles to ``target``."""
+                 batch: str | None = None, scope: str = "month") -> None:
+    """Parse one batch of raw files and write its unseen articles to ``target`` as the batch's own partitions."""
+    batch = batch or uuid.uuid4().hex
     articles, bad = parse_archive(raw, keep=("path",))
-    fresh = materialize(dedupe_articles(articles.select("path", *ARTICLE_COLUMNS)), "ingest_batch")
-    target_ids = _target_ids(spark, target)
-    if target_ids is not None:
-        # probe the (growing) target with the batch's ids as the hash-table side
-        # (size checked), so the target is scanned by column but never shuffled;
-        # the ids found are at most the batch size
+    fresh = dedupe_articles(articles.select("path", *ARTICLE_COLUMNS))
+    fresh = materialize(fresh.withColumns({"year": F.year("pub_date"), "month": F.month("pub_date")}), "ingest_batch")
+    held = _target(spark, target)
+    if held is not None:
+        # probe the months with the batch's ids as the hash-table side (size checked); the ids found are at most the batch's
         batch_ids = broadcast_if_small(fresh.select("id"))
-        seen = target_ids.join(batch_ids, "id", "left_semi")
+        seen = known_ids(held, fresh, batch, scope).join(batch_ids, "id", "left_semi").distinct()
         fresh = fresh.join(broadcast_if_small(seen), "id", "left_anti")
-    fresh.write.mode("append").parquet(target)
-    if rejects and batch_id is not None:      # a retried batch replaces its own rejects
-        bad.write.mode("overwrite").parquet(f"{rejects.rstrip('/')}/batch_id={batch_id}")
-    elif rejects:
-        bad.write.mode("append").parquet(rejects)
+    (fresh.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*MONTH, "batch").parquet(target))
+    if rejects:                                            # a batch that is run again replaces its own rejects
+        bad.write.mode("overwrite").parquet(f"{rejects.rstrip('/')}/batch_id={batch}")
 
 
 def start_ingest(spark: SparkSession, source_dir: str, target: str, checkpoint: str,
                  rejects: str | None = None, whole_files: bool = True, available_now: bool = True,
-                 max_files_per_trigger: int | None = None) -> StreamingQuery:
+                 max_files_per_trigger: int | None = None, scope: str = "month") -> StreamingQuery:
     """Start the stream.  ``whole_files``: one JSON document per file (as the
-    archive delivers it); otherwise one JSON document per line."""
+    archive delivers it); otherwise one JSON document per line.  Batches are
+    named after the checkpoint, so streams of their own never replace each other's."""
+    stream = fingerprint({"checkpoint": checkpoint})
     reader = spark.readStream.format("text").option("wholetext", whole_files)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = reader.load(source_dir).select(F.col("_metadata.file_path").alias("path"), "value")
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        upsert_batch(spark, batch, target, rejects, batch_id)
+        upsert_batch(spark, batch, target, rejects, f"{stream}-{batch_id}", scope)
 
     w = raw.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

@@ -131,3 +131,55 @@ def test_bulk_load_json_lines(spark, tmp_dir):
     _write(base, 2021, 5, "m.jsonl", _month([_doc(_id="j1")]) + "\n" + _month([_doc(_id="j2"), _doc(_id="j3")]) + "\n")
     articles, rejects = archive.bulk_load(spark, base, whole_files=False)
     assert sorted(r["id"] for r in articles.collect()) == ["j1", "j2", "j3"] and rejects.count() == 0
+
+
+def test_ingest_reads_only_the_batch_months(spark, tmp_dir):
+    src, tgt, ck = f"{tmp_dir}/src", f"{tmp_dir}/tgt", f"{tmp_dir}/ck"
+    months = [f"2019-{m:02d}-03T00:00:00+0000" for m in range(1, 7)]
+    for m, day in enumerate(months, 1):
+        _write(src, 2019, m, "a.json", _month([_doc(_id=f"a{m}", pub_date=day)]))
+    ingest.start_ingest(spark, src, tgt, ck, max_files_per_trigger=2).awaitTermination()
+    fresh = spark.createDataFrame([("a2", 2019, 2), ("new", 2019, 2)], "id string, year int, month int")
+    seen = ingest.known_ids(spark.read.parquet(tgt), fresh, "other")
+    assert [r["id"] for r in seen.collect()] == ["a2"]
+    plan = seen._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "month#" in plan.split("PartitionFilters")[1].split("]")[0]
+    # a stream of its own (another checkpoint) brings everything again, with one new article in an old month
+    _write(src, 2019, 3, "b.json", _month([_doc(_id="late", pub_date=months[2]), _doc(_id="a3", pub_date=months[2])]))
+    ingest.start_ingest(spark, src, tgt, f"{tmp_dir}/ck2", max_files_per_trigger=3).awaitTermination()
+    rows = spark.read.parquet(tgt).collect()
+    assert sorted(r["id"] for r in rows) == ["a1", "a2", "a3", "a4", "a5", "a6", "late"]
+
+
+def test_ingest_batch_runs_again(spark, tmp_dir):
+    tgt = f"{tmp_dir}/tgt"
+    first = spark.createDataFrame([("f1", _month([_doc(_id="x"), _doc(_id="y")]))], "path string, value string")
+    ingest.upsert_batch(spark, first, tgt, batch="s-0")
+    second = spark.createDataFrame([("f2", _month([_doc(_id="y"), _doc(_id="z"), _doc(_id="<absent>")]))], "path string, value string")
+    for _ in range(2):                     # the same batch twice: its own output is replaced, not doubled
+        ingest.upsert_batch(spark, second, tgt, rejects=f"{tmp_dir}/rej", batch="s-1")
+    rows = spark.read.parquet(tgt).collect()
+    assert sorted((r["id"], r["batch"]) for r in rows) == [("x", "s-0"), ("y", "s-0"), ("z", "s-1")]
+    assert spark.read.parquet(f"{tmp_dir}/rej").count() == 1
+    # an article without a date has a partition of its own
+    undated = spark.createDataFrame([("f3", _month([_doc(_id="u", pub_date="9999-99-99T00:00:00+0000")]))], "path string, value string")
+    for b in ("s-2", "s-3"):
+        ingest.upsert_batch(spark, undated, tgt, batch=b)
+    assert spark.read.parquet(tgt).where("id = 'u'").count() == 1
+    # scope="all" also finds an id that came with another month before
+    moved = spark.createDataFrame([("f4", _month([_doc(_id="x", pub_date="2021-07-01T00:00:00+0000")]))], "path string, value string")
+    ingest.upsert_batch(spark, moved, tgt, batch="s-4", scope="all")
+    assert spark.read.parquet(tgt).where("id = 'x'").count() == 1
+
+
+def test_stream_lookup_on_a_stored_index(spark, tmp_dir):
+    from corpusgrid.operators import models, vector_index
+    docs = spark.createDataFrame([(1, "red apple pie"), (2, "blue sky above"), (3, "green apple tree"), (4, "")], "doc_id long, text string")
+    vector_index.build_index(models.hashed_embeddings(docs), f"{tmp_dir}/index", cells=2)
+    spark.createDataFrame([(7, "an apple pie"), (8, "the blue sky"), (9, "...")], "query_id long, text string").repartition(2).write.parquet(f"{tmp_dir}/q")
+    qs = spark.readStream.schema("query_id long, text string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_dir}/q")
+    q = lookup.start_lookup(spark, qs, None, f"{tmp_dir}/ans", f"{tmp_dir}/ck", k=1, index=f"{tmp_dir}/index", probes=None,
+                            embed=lambda b: models.hashed_embeddings(b, "text", "query_id"), texts=docs)
+    q.awaitTermination()
+    got = {r["query_id"]: r["text"] for r in spark.read.parquet(f"{tmp_dir}/ans").collect()}
+    assert got[7] == "red apple pie" and got[8] == "blue sky above"

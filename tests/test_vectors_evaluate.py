@@ -89,12 +89,6 @@ def test_accuracy_argmax_ties_first(spark):
     assert abs(r["accuracy"] - 2 / 3) < 1e-12 and r["n"] == 3
 
 
-def test_ward_merge_two_blobs():
-    pts = np.array([[0, 0], [0.1, 0], [0, 0.1], [10, 10], [10.1, 10], [10, 10.2]], dtype=float)
-    lab = evaluate.ward_merge(pts, np.ones(6), 2)
-    assert len(set(lab[:3])) == 1 and len(set(lab[3:])) == 1 and lab[0] != lab[3]
-
-
 def test_clusterings_cover_all_rows(spark):
     rng = np.random.default_rng(1)
     rows = [(i, (rng.normal(size=4) + (i % 3) * 5).tolist()) for i in range(120)]
@@ -102,10 +96,6 @@ def test_clusterings_cover_all_rows(spark):
     for fn in (evaluate.kmeans_clusters, evaluate.bisecting_clusters):
         out = fn(df, k=3).collect()
         assert len(out) == 120
-    w = evaluate.ward_clusters(df, k=3, micro=30)
-    truth = spark.createDataFrame([(i, i % 3) for i in range(120)], "doc_id long, label int")
-    vm = evaluate.v_measure(w.join(truth, "doc_id"), "label", "cluster").collect()[0]
-    assert w.count() == 120 and vm["v_measure"] > 0.99
 
 
 def test_neighbors_small_chunks(spark, monkeypatch):
