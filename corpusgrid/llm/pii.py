@@ -3,8 +3,9 @@
 A found value is validated (real calendar date, check digit, octets up to 255,
 possible area numbers) and permuted within the set of valid values of its
 format: separators, length and validity stay, and a value gets the same
-pseudonym wherever it stands.  Values without a numeric format (the user part
-of an address, secrets) get keyed letters or hex digits of the same length.
+pseudonym wherever it stands.  The letters and digits of an address are permuted
+as base-36 strings of their length, user and domain apart (the last label stays);
+capitals count as small letters.  Secrets get keyed hex digits of the same length.
 Only DataFrame functions run here.
 """
 
@@ -17,7 +18,8 @@ from corpusgrid.llm.common import text_or_empty
 
 ROUNDS = 6
 # --- fixed values: the formats that are looked for -----------------------------------------
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+#: Possessive, so that the regex engine loops over the labels of a long address and does not recurse.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 DATE_YMD = r"\d{4}-\d{2}-\d{2}"
 DATE_DMY = r"\d{2}[/.]\d{2}[/.]\d{4}"
 SSN = r"\d{3}-\d{2}-\d{4}"
@@ -34,6 +36,7 @@ NUMBERS = f"(?<![\\d.+-])(?:{DATE_YMD}|{DATE_DMY}|{SSN})(?!\\d)|(?<!\\d){PHONE}(
 #: Everything but cards, which :func:`cards_in` finds first: a digit group can begin several, and only one has a right check digit.
 PATTERN = f"{EMAIL}|{NUMBERS}|{SECRET}"
 FIRST_YEAR, YEARS = 1900, 200
+BASE36 = "0123456789abcdefghijklmnopqrstuvwxyz"
 
 
 def _keyed(key: str, *parts: Column) -> Column:
@@ -69,12 +72,46 @@ def _digits(m: Column) -> Column:
 
 
 def _filled(m: Column, digits: Column) -> Column:
-    """``m`` with its digits replaced, in order, by ``digits``."""
+    """``m`` with its digits replaced, in order, by ``digits`` (which is carried along: named inside, it would be made
+    anew for each character)."""
     def put(s: Column, c: Column) -> Column:
         is_digit = c.between("0", "9")
-        return F.struct(F.concat(s["t"], F.when(is_digit, F.substring(digits, s["k"], F.lit(1))).otherwise(c)).alias("t"),
-                        F.when(is_digit, s["k"] + 1).otherwise(s["k"]).alias("k"))
-    return F.aggregate(F.split(m, ""), F.struct(F.lit("").alias("t"), F.lit(1).alias("k")), put)["t"]
+        return F.struct(F.concat(s["t"], F.when(is_digit, F.substring(s["d"], s["k"], F.lit(1))).otherwise(c)).alias("t"),
+                        F.when(is_digit, s["k"] + 1).otherwise(s["k"]).alias("k"), s["d"].alias("d"))
+    return F.aggregate(F.split(m, ""), F.struct(F.lit("").alias("t"), F.lit(1).alias("k"), digits.alias("d")), put)["t"]
+
+
+def _shifted(key: str, tag: str, r: Column, values: Column, other: Column) -> Column:
+    """Base-36 digits ``values``, each moved by a keyed digit that depends on its place and on all of ``other``."""
+    # bound to a variable: named inside the inner functions, it would be made anew for each block of 32 digits
+    seen = F.array(F.struct(F.sha2(F.array_join(F.transform(other, lambda x: x.cast("string")), ","), 256).alias("d"), r.alias("r"),
+                            F.sequence(F.lit(0), F.floor((F.size(values) - 1) / 32).cast("int")).alias("blocks")))
+    hexes = F.flatten(F.transform(seen, lambda s: F.transform(s["blocks"], lambda c: _keyed(key, F.lit(tag), s["r"], c, s["d"]))))
+    stream = F.flatten(F.transform(hexes, lambda h: F.transform(
+        F.sequence(F.lit(0), F.lit(31)), lambda j: F.conv(F.substring(h, 2 * j + 1, F.lit(2)), 16, 10).cast("int"))))
+    return F.zip_with(values, F.slice(stream, F.lit(1), F.size(values)), lambda v, x: (v + x) % 36)
+
+
+def _base36_permuted(key: str, tag: str, values: Column) -> Column:
+    """A keyed permutation of the arrays of base-36 digits of one length: a Feistel network over their two halves."""
+    half = F.floor(F.size(values) / 2).cast("int")
+    start = F.struct(F.slice(values, F.lit(1), half).alias("x"), F.slice(values, half + 1, F.size(values)).alias("y"))
+
+    def turn(s: Column, r: Column) -> Column:
+        return F.when(r % 2 == 1, F.struct(_shifted(key, tag, r, s["x"], s["y"]).alias("x"), s["y"].alias("y"))).otherwise(
+            F.struct(s["x"].alias("x"), _shifted(key, tag, r, s["y"], s["x"]).alias("y")))
+    out = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn)
+    return F.transform(F.array(out), lambda s: F.concat(s["x"], s["y"]))[0]
+
+
+def _letters_permuted(key: str, tag: str, s: Column) -> Column:
+    """``s`` with its small letters and digits permuted as one base-36 string; every other character stays in place."""
+    placed = F.transform(F.split(s, ""), lambda c, i: F.struct(i.alias("at"), (F.call_function("instr", F.lit(BASE36), c) - 1).alias("v"), c.alias("c")))
+    letters = F.filter(placed, lambda x: x["v"] >= 0)
+    moved = F.zip_with(F.transform(letters, lambda x: x["at"]), _base36_permuted(key, tag, F.transform(letters, lambda x: x["v"])),
+                       lambda at, v: F.struct(at.alias("at"), v.alias("v"), F.substring(F.lit(BASE36), v + 1, F.lit(1)).alias("c")))
+    rest = F.filter(placed, lambda x: x["v"] < 0)
+    return F.when(s == "", s).otherwise(F.array_join(F.transform(F.array_sort(F.concat(moved, rest)), lambda x: x["c"]), ""))
 
 
 def _date_as(m: Column, *parts: tuple[int, int]) -> Column:
@@ -147,10 +184,11 @@ def _phone_pseudonym(key: str, m: Column) -> Column:
 
 
 def _email_pseudonym(key: str, m: Column) -> Column:
-    user, domain = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
-    letters = F.translate(F.concat(_keyed(key, F.lit("email"), F.lower(m)), _keyed(key, F.lit("email2"), F.lower(m))),
-                          "0123456789abcdef", "abcdefghijklmnop")
-    return F.concat(F.substring(letters, F.lit(1), F.greatest(F.lit(6), F.char_length(user))), F.lit("@"), domain)
+    address = F.lower(m)
+    user, domain = F.substring_index(address, "@", 1), F.substring_index(address, "@", -1)
+    last = F.substring_index(domain, ".", -1)
+    body = F.substring(domain, F.lit(1), F.char_length(domain) - F.char_length(last) - 1)
+    return F.concat(_letters_permuted(key, "email", user), F.lit("@"), _letters_permuted(key, "domain", body), F.lit("."), last)
 
 
 def _secret_pseudonym(key: str, m: Column) -> Column:
