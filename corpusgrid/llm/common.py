@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -144,6 +145,7 @@ def decode_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Bloc
 
 
 # --- polynomial hashes of substrings through prefix sums, mod 2^64 -------------------------
+# For short strings: there are texts of some hundred bytes that collide for every base.
 
 SEGMENT = 4 << 20
 
@@ -191,14 +193,14 @@ class Hasher:
         return mix((prefix[end] - prefix[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
+SPACE_BYTES = np.zeros(256, bool)
+SPACE_BYTES[[32, 9, 10, 11, 12, 13]] = True
 
 
 def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words (runs of non-space bytes) of a buffer."""
     gap = np.ones(len(data) + 2, bool)
-    gap[1:-1] = _SPACE[data]
+    gap[1:-1] = SPACE_BYTES[data]
     edge = np.flatnonzero(gap[1:] != gap[:-1])
     return edge[0::2], edge[1::2]
 
@@ -209,7 +211,7 @@ def word_segments(data: np.ndarray, limit: int = SEGMENT) -> Iterator[tuple[int,
     while at < len(data):
         end = min(len(data), at + limit)
         while end < len(data):
-            space = np.flatnonzero(_SPACE[data[end:end + limit]])
+            space = np.flatnonzero(SPACE_BYTES[data[end:end + limit]])
             if len(space):
                 end += int(space[0])
                 break
@@ -218,12 +220,23 @@ def word_segments(data: np.ndarray, limit: int = SEGMENT) -> Iterator[tuple[int,
         at = end
 
 
-def hashed_words(data: np.ndarray, hasher: Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, hash) of every word of a buffer."""
+_BYTES = np.arange(256, dtype=np.uint8)
+_LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
+
+
+def hashed_words(data: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash) of every word of a buffer; ``lower`` takes A-Z as a-z.
+
+    Arrow finds the distinct words byte for byte, and each gets a cryptographic
+    hash: no text can be made up in which different words collide."""
     parts = []
     for at, piece in word_segments(data):
         s, e = word_bounds(piece)
-        parts.append((s + at, e + at, hasher.of(hasher.prefix(piece), s, e)))
+        packed = (_LOWER[piece] if lower else piece)[~SPACE_BYTES[piece]]
+        offsets = np.concatenate([[0], np.cumsum(e - s)]).astype(np.int32)
+        words = pa.BinaryArray.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(offsets), pa.py_buffer(packed)]).dictionary_encode()
+        digests = b"".join([hashlib.blake2b(w, digest_size=8).digest() for w in words.dictionary.to_pylist()])
+        parts.append((s + at, e + at, np.frombuffer(digests, "<u8").astype(np.uint64)[words.indices.to_numpy(zero_copy_only=False)]))
     if not parts:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(0, np.uint64)

@@ -21,20 +21,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusgrid.llm import buckets as B
-from corpusgrid.llm.common import Block, Hasher, hashed_words, kept, mix, shuffle_partitions, text_blocks
+from corpusgrid.llm.common import Block, hashed_words, kept, mix, shuffle_partitions, text_blocks
 from corpusgrid.llm.components import components
 
 SHINGLE = 5
 #: Similarity in hundredths.
 PERCENT = 75
 HUB_ROUNDS = 2
-_WORDS = Hasher(505, lower=True)
 _COEFFICIENTS = np.random.default_rng(55).integers(1, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_sets(block: Block, only: np.ndarray | None = None, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(text number, shingle hash) of the distinct shingles of a block's texts, ordered by both."""
-    start, _, h = hashed_words(block.text, _WORDS)
+    start, _, h = hashed_words(block.text, lower=True)
     doc = np.searchsorted(block.ends, start)
     n = np.bincount(doc, minlength=len(block.ends))
     last = np.cumsum(n)[doc]                                  # end of the own text's words

@@ -1,16 +1,22 @@
 """Token ids in files of independently reset, checksummed blocks under a context-mixing range coder.
 
 An id is predicted by order 2 (what followed the last two ids), order 1 (what
-followed the last id) and order 0 (how often its leading byte came so far).
-Adaptive weights mix the three into one probability, which an arithmetic coder
-with a 56-bit range turns into 16-bit words.  Every block starts with an empty
-model, so all blocks of a frame are coded side by side, one numpy lane each,
-and a damaged block spoils no other.
-
-Frame (one row of the dataset, little-endian): magic ``CGT2``, block size, number
-of documents, number of blocks (3 x u32); ids (i64) and lengths (u64) of the
-documents; per block its number of ids, of code words and the crc32 of its ids
-(3 x u32); the code words (u16) of all blocks.  A frame holds whole documents.
+followed the last id) and order 0 (the ids' shares in the frame, which its head
+holds).  Order 1 and 2 keep a follower for each hashed context and count how
+often it came true in a row; for each count, weights adapt to how often the
+prediction holds.  The three are mixed into one probability, which an arithmetic
+coder with a 56-bit range turns into 16-bit words.  Every block starts anew from
+the frame's shares and empty contexts, so all blocks of a frame are coded side by
+side, one numpy lane each, and a damaged block spoils no other.
+
+Frame (one row of the dataset, little-endian): magic ``CGT3``; bytes and crc32 of
+the head (2 x u32), which is: block size, number of documents, of blocks, of
+distinct ids, bytes of the shares (5 x u32); the
+shares (deflated: distinct ids as u32 steps, shares as u32, byte planes apart);
+ids (i64) and lengths (u64) of the documents; per block its number of ids, of code
+words and the crc32 of its ids (3 x u32).  Then the code words (u16) of all blocks.  A
+frame holds whole documents.  Ids have up to 32 bits, at most ``MAX_DISTINCT`` of
+them differ in one frame.
 """
 
 from __future__ import annotations
@@ -29,99 +35,135 @@ from corpusgrid.llm.common import gather, id_column, id_text, ready
 from corpusgrid.llm.word_tokens import vocabulary_path, word_ids
 from corpusgrid.session import checkpoint_root
 
-MAGIC = b"CGT2"
+MAGIC = b"CGT3"
 BLOCK = 1024
 FRAME_TOKENS = 2 << 20
 #: Slots of the order-1 and order-2 tables of a block; both are powers of two.
 SLOTS1, SLOTS2 = 512, 1024
-#: The order-0 table is rebuilt after this many ids of a block, and each time their number has doubled.
-FIRST_RENEWAL = 32
+#: Order-0 shares add up to this.
+WHOLE = 1 << 20
+MAX_DISTINCT = 1 << 19
+#: Times in a row that a follower's count goes up to; a wrong prediction takes one off, at 0 the follower changes.
+SURE = 3
 _U = np.uint64
 _ONE = _U(4096)
 #: A lane whose range falls below the floor passes on the top word of its 56 bits.
 _FLOOR, _KEEP = _U(1 << 40), _U((1 << 40) - 1)
 
 
+class Shares:
+    """Order 0: the distinct ids of a frame and their shares of ``WHOLE``, none below 1."""
+
+    def __init__(self, ids: np.ndarray, share: np.ndarray):
+        self.ids, self.share = ids, share
+        self.cum = np.cumsum(share) - share
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> tuple[Shares, np.ndarray]:
+        """The shares of ``ids``, and each id's place among the distinct ones."""
+        low, high = (int(ids.min()), int(ids.max())) if len(ids) else (0, 0)
+        if 0 <= low and high < WHOLE:                      # vocabularies: a table by id
+            table = np.bincount(ids.astype(np.int64))
+            distinct = np.flatnonzero(table)
+            count = table[distinct]
+            table[distinct] = np.arange(len(distinct))
+            place = table[ids]
+        else:
+            distinct, place, count = np.unique(ids, return_inverse=True, return_counts=True)
+        if len(distinct) > MAX_DISTINCT or low < 0 or high >= 1 << 32:
+            raise ValueError(f"ids of 32 bits, at most {MAX_DISTINCT} different ones, fit a frame")
+        share = 1 + count * (WHOLE - len(distinct)) // max(1, len(ids))
+        if len(share):
+            share[share.argmax()] += WHOLE - share.sum()
+        return cls(distinct.astype(np.int64), share.astype(np.int64)), place
+
+    def packed(self) -> bytes:
+        both = np.concatenate([np.diff(self.ids, prepend=0), self.share]).astype("<u4")
+        return zlib.compress(np.ascontiguousarray(both.view(np.uint8).reshape(-1, 4).T).tobytes(), 6)
+
+    @classmethod
+    def unpacked(cls, n: int, data: bytes) -> Shares:
+        planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+        both = np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+        return cls(np.cumsum(both[:n]), both[n:])
+
+
+class _Context:
+    """Followers of one order in many lanes, with their counts and the weights of each count."""
+
+    def __init__(self, lanes: int, slots: int, odds: int):
+        self.base = np.arange(lanes, dtype=np.int64) * slots
+        # follower (place + 1, so that 0 means none yet) << 2 | count
+        self.held = np.zeros(lanes * slots, np.uint32)
+        self.lane = np.arange(lanes, dtype=np.int64) * (SURE + 1)
+        self.odds = np.tile(odds * np.arange(1, SURE + 2) // 2, lanes)
+
+    def predict(self, slot: np.ndarray) -> None:
+        self.at = self.base + slot
+        self.packed = self.held.take(self.at)
+        self.says = self.packed >> np.uint32(2)
+        self.sure = self.packed & np.uint32(SURE)
+        self.level = self.lane + self.sure
+        self.weight = self.odds.take(self.level)
+        self.some = self.says > 0
+
+    def learn(self, stored: np.ndarray) -> None:
+        """Odds move a sixteenth of the way to 8 or 1,900 of 4,096 and never leave that span."""
+        right = self.says == stored
+        self.odds[self.level] = self.weight + (((np.where(right, 1900, 8) - self.weight) >> 4) * self.some)
+        unsure = self.sure == 0
+        wrong = np.where(unsure, stored << np.uint32(2), self.packed - np.uint32(1))
+        self.held[self.at] = np.where(right, self.packed + (self.sure < SURE), wrong)
+
+
 class _Model:
-    """The three predictors of many lanes; coder and decoder drive it alike."""
-
-    def __init__(self, lanes: int, decode: bool = False):
-        self.decode = decode
-        self.base1 = np.arange(lanes, dtype=np.int64) * SLOTS1
-        self.base2 = np.arange(lanes, dtype=np.int64) * SLOTS2
-        self.t1 = np.zeros(lanes * SLOTS1, np.uint16)
-        self.t2 = np.zeros(lanes * SLOTS2, np.uint16)
+    """The predictors of many lanes, mixed; coder and decoder drive it alike."""
+
+    def __init__(self, lanes: int, shares: Shares):
         self.one, self.two = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-        self.odds1, self.odds2 = np.full(lanes, 400, np.int64), np.full(lanes, 1200, np.int64)
-        self.row = np.arange(lanes, dtype=np.int64) * 256
-        self.counts = np.ones(lanes * 256, np.uint16)
-        self.fresh: list[np.ndarray] = []
-        self.steps, self.due = 0, FIRST_RENEWAL
-        self._table()
-
-    def _table(self) -> None:
-        """Order-0 shares: 256 leading bytes, in 4096ths, none below 1."""
-        c = self.counts.reshape(-1, 256).astype(np.uint32)
-        f = 1 + c * np.uint32(4096 - 256) // c.sum(1, keepdims=True, dtype=np.uint32)
-        f[:, 0] += (4096 - f.sum(1)).astype(np.uint32)
-        self.freq = f.astype(np.uint16).ravel()
-        self.cum = (np.cumsum(f, 1, dtype=np.uint32) - f).astype(np.uint16).ravel()
-        if self.decode:            # the leading byte of each 4096th
-            self.byte = np.repeat(np.tile(np.arange(256, dtype=np.uint8), len(f)), self.freq)
+        self.order1, self.order2 = _Context(lanes, SLOTS1, 400), _Context(lanes, SLOTS2, 900)
 
     def predict(self) -> None:
-        k = self.one * np.uint32(40503)
-        self.at1 = self.base1 + ((k >> np.uint32(5)) & np.uint32(SLOTS1 - 1))
-        k += self.two * np.uint32(60493)
-        self.at2 = self.base2 + ((k >> np.uint32(4)) & np.uint32(SLOTS2 - 1))
-        self.p1, self.p2 = self.t1.take(self.at1), self.t2.take(self.at2)
-        self.some1, self.some2 = self.p1 > 0, self.p2 > 0
-        self.w1 = np.where(self.some1, self.odds1, 1).view(_U)
-        self.w2 = np.where(self.some2, self.odds2, 1).view(_U)
-        self.w12 = self.w1 + self.w2
+        k = self.one * np.uint32(2654435761)
+        self.order1.predict((k >> np.uint32(16)) & np.uint32(SLOTS1 - 1))
+        k += self.two * np.uint32(2246822519)
+        k ^= k >> np.uint32(15)
+        self.order2.predict((k >> np.uint32(3)) & np.uint32(SLOTS2 - 1))
+        self.p1, self.p2 = self.order1.says, self.order2.says
+        w1, w2 = np.where(self.order1.some, self.order1.weight, 1), np.where(self.order2.some, self.order2.weight, 1)
+        self.w12 = (w1 + w2).view(_U)
+        # where both say the same, order 2 speaks for both
+        self.w2 = (w2 + w1 * (self.p1 == self.p2)).view(_U)
+        self.w1 = self.w12 - self.w2
         self.w0 = _ONE - self.w12
 
-    def learn(self, stored: np.ndarray, hit1: np.ndarray, hit2: np.ndarray) -> None:
-        """``stored`` is id + 1 (u16), so that 0 means an empty slot.  Odds move a sixteenth of the way to
-        8 or 1,900 of 4,096 and never leave that span."""
-        self.odds1 += ((np.where(hit1, 1900, 8) - self.odds1) >> 4) * self.some1
-        self.odds2 += ((np.where(hit2, 1900, 8) - self.odds2) >> 4) * self.some2
-        self.t1[self.at1] = stored
-        self.t2[self.at2] = stored
-        self.two, self.one = self.one, stored.astype(np.uint32)
-        self.fresh.append(self.row + ((stored - np.uint16(1)) >> np.uint16(8)))
-        self.steps += 1
-        if self.steps == self.due:
-            # within one step every lane has its own row, so plain indexing adds up
-            for at in self.fresh:
-                self.counts[at] += np.uint16(24)
-            self.fresh = []
-            self.due *= 2
-            self._table()
-
-
-def encode_lanes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Code words of full lanes (lanes x ids, ids below 65,535): (lanes x words, words used)."""
-    lanes, n = ids.shape
-    m = _Model(lanes)
+    def learn(self, stored: np.ndarray) -> None:
+        self.order1.learn(stored)
+        self.order2.learn(stored)
+        self.two, self.one = self.one, stored
+
+
+def encode_lanes(places: np.ndarray, shares: Shares) -> tuple[np.ndarray, np.ndarray]:
+    """Code words of full lanes (lanes x places among the distinct ids): (lanes x words, words used)."""
+    lanes, n = places.shape
+    m = _Model(lanes, shares)
+    share0, cum0 = shares.share.astype(_U), shares.cum.astype(_U)
     low, span = np.zeros(lanes, _U), np.full(lanes, 1 << 56, _U)
     # word-major, since the lanes keep pace; flat[at] is the next word of each lane
     out = np.zeros((2 * n + 8, lanes), np.uint32)
     flat, every = out.ravel(), np.arange(lanes)
     at = every.copy()
-    steps = np.ascontiguousarray(ids.T)
+    steps = np.ascontiguousarray(places.T)
     for k in range(n):
         x = steps[k]
-        stored = (x + 1).astype(np.uint16)
+        stored = (x + 1).astype(np.uint32)
         m.predict()
         hit2 = m.p2 == stored
         hit1 = (m.p1 == stored) & ~hit2
-        top = m.row + (x >> 8)
-        f = m.freq.take(top).astype(_U)
         big2 = m.w2 << _U(20)
-        cum = (m.w12 << _U(20)) + m.w0 * ((m.cum.take(top).astype(_U) << _U(8)) + (x & 255).view(_U) * f)
+        cum = (m.w12 << _U(20)) + m.w0 * cum0.take(x)
         cum = np.where(hit2, _U(0), np.where(hit1, big2, cum))
-        share = np.where(hit2, big2, np.where(hit1, m.w1 << _U(20), m.w0 * f))
+        share = np.where(hit2, big2, np.where(hit1, m.w1 << _U(20), m.w0 * share0.take(x)))
         r = span >> _U(32)
         low += r * cum
         span = r * share
@@ -138,7 +180,7 @@ def encode_lanes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             span[more] <<= _U(16)
             at[more] += lanes
             more = more[span[more] < _FLOOR]
-        m.learn(stored, hit1, hit2)
+        m.learn(stored)
     for _ in range(4):
         flat[at] = low >> _U(40)
         low = (low & _KEEP) << _U(16)
@@ -154,10 +196,12 @@ def encode_lanes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(out.astype(np.uint16).T), used
 
 
-def decode_lanes(words: np.ndarray, n: int) -> np.ndarray:
-    """The ids (lanes x n) of code words (lanes x words, zero-padded)."""
+def decode_lanes(words: np.ndarray, n: int, shares: Shares) -> np.ndarray:
+    """The places (lanes x n) of code words (lanes x words, zero-padded)."""
     lanes = len(words)
-    m = _Model(lanes, decode=True)
+    m = _Model(lanes, shares)
+    share0, cum0 = shares.share.astype(_U), shares.cum.astype(_U)
+    at0 = np.repeat(np.arange(len(shares.ids), dtype=np.uint32), shares.share)      # the place at each part of the whole
     words = np.concatenate([words.T, np.zeros((6, lanes), np.uint16)])
     flat, last = words.ravel(), words.size
     span = np.full(lanes, 1 << 56, _U)
@@ -165,8 +209,7 @@ def decode_lanes(words: np.ndarray, n: int) -> np.ndarray:
     code = (words[0].astype(_U) << _U(40)) | (words[1].astype(_U) << _U(24)) | (words[2].astype(_U) << _U(8)) | (words[3].astype(_U) >> _U(8))
     tail = (words[3] & np.uint16(255)).astype(_U)
     at = np.arange(lanes) + 4 * lanes
-    shares = np.arange(lanes, dtype=np.int64) * 4096
-    out = np.empty((n, lanes), np.uint16)
+    out = np.empty((n, lanes), np.uint32)
     for k in range(n):
         m.predict()
         r = span >> _U(32)
@@ -175,15 +218,11 @@ def decode_lanes(words: np.ndarray, n: int) -> np.ndarray:
         hit2 = v < big2
         hit1 = ~hit2 & (v < big12)
         # order 0 for all lanes; lanes with a hit compute with 0 and drop the result
-        y = np.where(v < big12, _U(0), v - big12) // m.w0
-        lead = m.byte.take(shares + (y >> _U(8)).view(np.int64))
-        top = m.row + lead
-        f, c = m.freq.take(top).astype(_U), m.cum.take(top).astype(_U) << _U(8)
-        rest = np.minimum((y - c) // f, _U(255))
-        stored = ((lead.astype(np.uint16) << np.uint16(8)) | rest.astype(np.uint16)) + np.uint16(1)
-        stored = np.where(hit2, m.p2, np.where(hit1, m.p1, stored))
-        code -= r * np.where(hit2, _U(0), np.where(hit1, big2, big12 + m.w0 * (c + rest * f)))
-        span = r * np.where(hit2, big2, np.where(hit1, m.w1 << _U(20), m.w0 * f))
+        y = np.minimum(np.where(v < big12, _U(0), v - big12) // m.w0, _U(WHOLE - 1))
+        x = at0.take(y.view(np.int64))
+        stored = np.where(hit2, m.p2, np.where(hit1, m.p1, x + np.uint32(1)))
+        code -= r * np.where(hit2, _U(0), np.where(hit1, big2, big12 + m.w0 * cum0.take(x)))
+        span = r * np.where(hit2, big2, np.where(hit1, m.w1 << _U(20), m.w0 * share0.take(x)))
         need = span < _FLOOR
         w = flat.take(np.minimum(at, last - 1)).astype(_U)
         code = np.where(need, (code << _U(16)) | (tail << _U(8)) | (w >> _U(8)), code)
@@ -198,24 +237,26 @@ def decode_lanes(words: np.ndarray, n: int) -> np.ndarray:
             span[more] <<= _U(16)
             at[more] += lanes
             more = more[span[more] < _FLOOR]
-        m.learn(stored, hit1, hit2)
-        out[k] = stored - np.uint16(1)
+        m.learn(stored)
+        out[k] = stored - np.uint32(1)
     return np.ascontiguousarray(out.T)
 
 
 def write_frame(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
     n_blocks = -(-len(ids) // block)
+    shares, place = Shares.of(ids)
     padded = np.zeros(n_blocks * block, np.int64)
-    padded[:len(ids)] = ids
+    padded[:len(ids)] = place
     size = np.full(n_blocks, block)
     if n_blocks:
         size[-1] = len(ids) - (n_blocks - 1) * block
-    words, used = encode_lanes(padded.reshape(n_blocks, block))
-    raw = ids.astype("<u4")
+    words, used = encode_lanes(padded.reshape(n_blocks, block), shares)
+    raw, head = ids.astype("<u4"), shares.packed()
     crc = [zlib.crc32(raw[k * block:(k + 1) * block].tobytes()) for k in range(n_blocks)]
     heads = np.stack([size, used, np.array(crc, np.int64)], 1).astype("<u4") if n_blocks else np.zeros((0, 3), "<u4")
-    return b"".join([MAGIC, struct.pack("<3I", block, len(doc_ids), n_blocks), doc_ids.astype("<i8").tobytes(),
-                     lengths.astype("<u8").tobytes(), heads.tobytes(),
+    front = b"".join([struct.pack("<5I", block, len(doc_ids), n_blocks, len(shares.ids), len(head)), head, doc_ids.astype("<i8").tobytes(),
+                      lengths.astype("<u8").tobytes(), heads.tobytes()])
+    return b"".join([MAGIC, struct.pack("<2I", len(front), zlib.crc32(front)), front,
                      words[np.arange(words.shape[1])[None] < used[:, None]].astype("<u2").tobytes()])
 
 
@@ -223,15 +264,20 @@ def read_frame(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document ids, lengths, ids) of a frame; raises ValueError on a foreign or damaged one."""
     if data[:4] != MAGIC:
         raise ValueError("not a token frame")
-    block, n_docs, n_blocks = struct.unpack_from("<3I", data, 4)
-    docs = np.frombuffer(data, "<i8", n_docs, 16)
-    lengths = np.frombuffer(data, "<u8", n_docs, 16 + 8 * n_docs).astype(np.int64)
-    heads = np.frombuffer(data, "<u4", 3 * n_blocks, 16 + 16 * n_docs).reshape(-1, 3)
+    n_front, crc = struct.unpack_from("<2I", data, 4)
+    if zlib.crc32(data[12:12 + n_front]) != crc:
+        raise ValueError("the frame's head fails its checksum")
+    block, n_docs, n_blocks, n_ids, n_head = struct.unpack_from("<5I", data, 12)
+    at = 32 + n_head
+    shares = Shares.unpacked(n_ids, data[32:at])
+    docs = np.frombuffer(data, "<i8", n_docs, at)
+    lengths = np.frombuffer(data, "<u8", n_docs, at + 8 * n_docs).astype(np.int64)
+    heads = np.frombuffer(data, "<u4", 3 * n_blocks, at + 16 * n_docs).reshape(-1, 3)
     used = heads[:, 1].astype(np.int64)
     words = np.zeros((n_blocks, int(used.max(initial=0))), np.uint16)
-    words[np.arange(words.shape[1])[None] < used[:, None]] = np.frombuffer(data, "<u2", int(used.sum()), 16 + 16 * n_docs + 12 * n_blocks)
-    full = decode_lanes(words, block)
-    ids = full[np.arange(block)[None] < heads[:, :1]].astype("<u4")
+    words[np.arange(words.shape[1])[None] < used[:, None]] = np.frombuffer(data, "<u2", int(used.sum()), at + 16 * n_docs + 12 * n_blocks)
+    place = decode_lanes(words, block, shares) if n_blocks else np.zeros((0, block), np.uint32)
+    ids = shares.ids[np.minimum(place[np.arange(block)[None] < heads[:, :1]], max(0, n_ids - 1))].astype("<u4")
     at = 0
     for k, (n, _, crc) in enumerate(heads.tolist()):
         if zlib.crc32(ids[at:at + n].tobytes()) != crc:
@@ -248,7 +294,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """Write the ids of all texts, each with ``end_id``, in ascending id order (null last) as a dataset of frames.
 
     Null and empty texts are the end id alone; rows that repeat an id follow one
-    another; an empty table gives an empty dataset.  The vocabulary's ids lie below 65,535.
+    another; an empty table gives an empty dataset.
     """
     ready(docs.sparkSession)
     vocabulary = vocabulary or vocabulary_path()

@@ -15,19 +15,20 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
-from corpusgrid.llm.common import Hasher, starts_of, word_bounds, word_segments
+from corpusgrid.llm.common import SPACE_BYTES, starts_of, word_bounds, word_segments
 
-#: A worker forgets its words beyond this many (about 100 MB), whatever the input's size.
-KEEP_WORDS = 1_500_000
+#: A worker forgets its words beyond this many (about 180 MB), whatever the input's size.
+KEEP_WORDS = 900_000
 VOCABULARY = "word_bpe_49k.json"
 #: Fixed value: the split pattern of word_bpe_49k, in which a run of ASCII punctuation never joins the letter or digit before it.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Ending punctuation of more characters stays with its word.
 TAIL = 8
-_HASHER = Hasher(404)
 _BYTES = np.arange(256)
 _UPPER = (_BYTES >= 65) & (_BYTES <= 90)
 _ALNUM = _UPPER | ((_BYTES >= 97) & (_BYTES <= 122)) | ((_BYTES >= 48) & (_BYTES <= 57))
@@ -81,50 +82,49 @@ class WordIds:
         self.cuts, self.folds = known, known and [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"]
         self.forget()
 
-    def pieces(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, end, hash) of what is looked up, in the order of the bytes."""
-        parts = []
+    def pieces(self, data: np.ndarray) -> Iterator[tuple[np.ndarray, pa.DictionaryArray]]:
+        """For each segment of the bytes: where its pieces start, and the pieces (folded) as a dictionary-encoded column.
+
+        Arrow compares the bytes themselves, so different words never share an entry."""
         for at, piece in word_segments(data):
             start, end = word_bounds(piece)
-            if self.cuts:
+            if self.cuts and len(start):
                 start, end = cut_tails(piece, start, end)
-            prefix = _HASHER.prefix(fold_case(piece, start, end) if self.folds else piece)
-            parts.append((start + at, end + at, _HASHER.of(prefix, start, end)))
-        if not parts:
-            z = np.zeros(0, np.int64)
-            return z, z, np.zeros(0, np.uint64)
-        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+            folded = fold_case(piece, start, end) if self.folds else piece
+            # the pieces hold every byte but white space, in order
+            packed = folded[~SPACE_BYTES[piece]]
+            offsets = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int32)
+            yield start + at, pa.BinaryArray.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(packed)]).dictionary_encode()
 
     def forget(self) -> None:
-        self.hashes = np.zeros(0, np.uint64)
+        self.slot: dict[bytes, int] = {}
         self.first = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _learn(self, words: list[bytes]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
         count = np.array([len(x) for x in found], np.int64)
-        first = len(self.flat) + np.cumsum(count) - count
+        self.slot.update(zip(words, range(len(self.count), len(self.count) + len(words)), strict=True))
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
         self.flat = np.concatenate([self.flat, np.array([i for x in found for i in x], np.uint32)])
-        merged = np.concatenate([self.hashes, hashes])
-        order = np.argsort(merged, kind="stable")
-        self.hashes = merged[order]
-        self.first = np.concatenate([self.first, first])[order]
-        self.count = np.concatenate([self.count, count])[order]
+
+    def _slots(self, distinct: list[bytes]) -> np.ndarray:
+        new = [w for w in distinct if w not in self.slot]
+        if new:
+            self._learn(new)
+        return np.fromiter(map(self.slot.__getitem__, distinct), np.int64, len(distinct))
 
     def encode(self, ends: np.ndarray, body: bytes, last: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each text followed by ``last``; offsets of the texts, one more than texts)."""
-        data = np.frombuffer(body, np.uint8)
-        start, end, h = self.pieces(data)
-        distinct, at, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.hashes) + len(distinct) > KEEP_WORDS:
+        if len(self.slot) > KEEP_WORDS:
             self.forget()
-        new = ~np.isin(distinct, self.hashes, assume_unique=True)
-        if new.any():
-            pick = at[new]
-            self._learn(distinct[new], [body[a:b].decode("utf-8", "replace")
-                                        for a, b in zip(start[pick].tolist(), end[pick].tolist(), strict=True)])
-        slot = np.searchsorted(self.hashes, distinct)[back] if len(distinct) else np.zeros(0, np.int64)
+        starts, slots = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for start, column in self.pieces(np.frombuffer(body, np.uint8)):
+            starts.append(start)
+            slots.append(self._slots(column.dictionary.to_pylist())[column.indices.to_numpy(zero_copy_only=False)])
+        start, slot = np.concatenate(starts), np.concatenate(slots)
         count = self.count[slot]
         total = np.concatenate([[0], np.cumsum(count)])
         ids = self.flat[np.arange(total[-1]) + np.repeat(self.first[slot] - total[:-1], count)]
