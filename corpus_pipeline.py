@@ -16,7 +16,11 @@ from corpusgrid.session import ensure_checkpoint_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the log-likelihood ratio keep; the trusted ids come from labels."""
+    """Documents that the base rules and the log-likelihood ratio keep; the trusted ids come from labels.
+
+    Null and empty texts have too few words and go.  Rows are judged by themselves: of repeated rows all stay or
+    none, null ids too.  An empty table stays empty.  Columns of ``docs`` come back as they were, whatever their names.
+    """
     ready(spark)
     trusted = quality.trusted_ids(spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
     verdict = quality.quality(docs, trusted)
@@ -24,7 +28,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document holds go; n_chars follows the text."""
+    """Lines that an earlier document holds go; n_chars follows the text.
+
+    All rows stay, those whose text is null or empty (and becomes empty) too; rows without an id come after all
+    others.  Rows that share an id are one document here and keep the same lines.  An empty table stays empty.
+    """
     ready(spark)
     out = line_dedup.dedup_lines(docs)
     if "n_chars" in docs.columns:
@@ -33,7 +41,11 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked documents the one with the smallest id stays; documents without an id stay."""
+    """Of each class of linked documents the one with the smallest id stays; documents without an id stay.
+
+    Null and empty texts link with nothing and stay.  Rows that share an id stay or go together.  An empty table
+    stays empty.
+    """
     ready(spark)
     losers = (ngram_join.jaccard_classes(docs).where("doc_id <> component_id")
               .select(F.col("doc_id").alias("__loser")).distinct())
@@ -41,20 +53,28 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target takes it."""
+    """Each document as often as its source's target takes it.
+
+    Null and empty texts have size 0 and follow their id's hash; a null source is a source of its own.  Rows that
+    share an id and a source are taken alike.  An empty table stays empty.
+    """
     ready(spark)
     return mixing.mix_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their place in the packed sequences."""
+    """Token pieces with their place in the packed sequences.
+
+    A null or empty text is its end id alone; every row, repeated ones too, has pieces of its own.  An empty table
+    gives none.
+    """
     return packing.packed_documents(docs)
 
 
 STAGES = [("quality rules", quality_rules), ("line dedup", drop_lines), ("n-gram Jaccard join", drop_near_duplicates),
           ("mixing sources", mix_sources), ("best-fit packing", pack_sequences)]
 
-#: The last stage tokenises, which SQL cannot express; tests hold the pipeline against a plain-Python version.
+#: The last stage tokenises, which SQL cannot express; tests hold every stage against a plain-Python version.
 ORACLE_SQL = None
 
 
