@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusgrid.llm.common import SPACE_CHARS, SPACE_CLASS, text_or_empty
+from corpusgrid.llm.common import SPACE_CHARS, text_or_empty
 
 #: Hash buckets of each family of n-grams, side by side in one ratio table of so many numbers in all (4.75 MB).
 FAMILIES = ("word", "pair", "trigram", "repeat")
@@ -30,11 +30,16 @@ THRESHOLD = -0.25
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
+#: Names of the two halves of a text's key.
+KEY = ("__key0", "__key1")
+#: More partitions than any table has.
+MANY = 1 << 24
 RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, f"{SPACE_CLASS}+"), lambda w: w != "")
+    # a split at one plain character needs no pattern
+    return F.array_remove(F.split(F.regexp_replace(text, r"[\x09-\x0D]", " "), " "), "")
 
 
 def _bucket(family: str, *parts: Column) -> Column:
@@ -43,62 +48,75 @@ def _bucket(family: str, *parts: Column) -> Column:
     return (F.pmod(F.xxhash64(*parts), F.lit(BUCKETS[k])) + sum(BUCKETS[:k])).cast("int")
 
 
-def word_grams(words: Column) -> Column:
-    return F.transform(words, lambda w: _bucket("word", w))
-
-
-def trigrams(words: Column) -> Column:
-    """Every character of every word with its two neighbours; one search, so that long words take linear time."""
-    found = F.regexp_extract_all(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), F.lit("(?s)(?=(.[^ ].))"), F.lit(1))
-    return F.transform(found, lambda g: _bucket("trigram", g))
-
-
-def pair_grams(words: Column) -> Column:
-    return F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: _bucket("pair", F.get(words, i), w))
-
-
-def repeat_grams(words: Column) -> Column:
-    """One of two grams for each word after the first: the same word as before it, or another."""
-    first = sum(BUCKETS[:FAMILIES.index("repeat")])
-    return F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))),
-                       lambda w, i: F.when(F.get(words, i) == w, first + 1).otherwise(first))
+def word_rows(docs: DataFrame, text: Column, *carry: Column) -> DataFrame:
+    """One row for each word: ``carry`` and the places of the word, of its pair with the word before, and of whether both
+    are the same; the last two are null for a first word.
 
+    The generators are outer ones, with a null filter behind, as an inner one
+    has the words cut twice: once more in a filter that the optimizer derives.
+    """
+    again = sum(BUCKETS[:FAMILIES.index("repeat")])
+    w, before = F.col("z.w"), F.col("z.before")
+    d = docs.select(*carry, words_of(text).alias("w"))
+    d = d.select(*[c for c in d.columns if c != "w"], F.explode_outer(F.arrays_zip("w", F.concat(F.array(F.lit(None).cast("string")), F.col("w")).alias("before"))).alias("z"))
+    # the shifted copy is one longer: its last row has no word
+    return d.where(w.isNotNull()).select(*[c for c in d.columns if c != "z"], _bucket("word", w).alias("word"),
+                                         F.when(before.isNotNull(), _bucket("pair", before, w)).alias("pair"),
+                                         F.when(before.isNotNull(), F.when(w == before, again + 1).otherwise(again)).alias("repeat"))
+
+
+def trigram_rows(docs: DataFrame, text: Column, *carry: Column) -> DataFrame:
+    """One row for each character of each word: ``carry`` and the place of the character with its two neighbours (a space
+    at both ends of a word).
+
+    The text is read in four bytes a character, where any place is found at once.  Generated code would make the inputs
+    of a generator anew for each of its rows; a coalesce that keeps all partitions ends that code, so each is made once.
+    """
+    spaced = F.concat(F.lit(" "), F.regexp_replace(text, r"[\x09-\x0D]", " "), F.lit(" "))
+    d = docs.select(*carry, F.encode(spaced, "UTF-32").alias("wide")).coalesce(MANY)
+    held = [c for c in d.columns if c != "wide"]
+    at = F.sequence(F.lit(1), F.greatest(F.octet_length("wide") - 11, F.lit(1)), F.lit(4))
+    d = d.where(F.octet_length("wide") >= 12).select(*held, "wide", F.explode_outer(at).alias("at"))
+    middle, gram = F.col("wide").substr(F.col("at") + 4, F.lit(4)), F.col("wide").substr(F.col("at"), F.lit(12))
+    return d.where(middle != F.lit(b"\0\0\0 ")).select(*held, _bucket("trigram", gram).alias("trigram"))
 
-def window_hashes(hashes: Column) -> Column:
-    """Hash of every window of five words, from the words' hashes; none if there are fewer words."""
-    def window(i: Column) -> Column:
-        return F.xxhash64(*[F.get(hashes, i + k) for k in range(WINDOW)])
 
-    windows = F.transform(F.sequence(F.lit(0), F.size(hashes) - WINDOW), window)
-    return F.when(F.size(hashes) < WINDOW, F.array().cast("array<bigint>")).otherwise(windows)
+def window_hashes(hashes: Column):
+    """Hashes of every pair of adjacent words (and one more), and what makes the hashes of all windows of five words of them."""
+    pairs = F.transform(hashes, lambda h, i: F.xxhash64(h, F.get(hashes, i + 1)))
+    return pairs, lambda p: F.slice(F.transform(p, lambda h, i: F.xxhash64(h, F.get(p, i + 2), F.get(hashes, i + WINDOW - 1))),
+                                    F.lit(1), F.greatest(F.size(hashes) - WINDOW + 1, F.lit(0)))
 
 
 def base_measures(docs: DataFrame, text: Column) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed."""
     d = (docs.withColumn("__text", text).withColumn("__words", words_of(F.col("__text")))
          .withColumn("__hashes", F.transform("__words", lambda w: F.xxhash64(w))))
-    d = d.withColumn("__windows", window_hashes(F.col("__hashes")))
+    pairs, windows = window_hashes(F.col("__hashes"))
+    d = d.withColumn("__two", pairs)
+    # without a pair that comes twice there is no window that does
+    d = d.withColumn("__windows", F.when(F.size("__two") > F.size(F.array_distinct("__two")), windows(F.col("__two"))))
     lines = F.filter(F.split("__text", "\n", -1), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")
     d = d.withColumn("__lines", lines)
     # windows with their place, equal ones side by side; only texts with an equal pair get this far
-    pairs = F.when(F.size("__windows") == F.size(F.array_distinct("__windows")), None).otherwise(
-        F.array_sort(F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+    pairs = F.when(F.size("__windows") > F.size(F.array_distinct("__windows")),
+                   F.sort_array(F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
     d = d.withColumn("__pairs", pairs)
     at = F.transform(
         F.filter("__pairs", lambda x, k: (F.get(F.col("__pairs"), k - 1)["h"] == x["h"]).eqNullSafe(True)
                  | (F.get(F.col("__pairs"), k + 1)["h"] == x["h"]).eqNullSafe(True)), lambda x: x["i"])
-    d = d.withColumn("__at", F.array_sort(at))
+    d = d.withColumn("__at", F.sort_array(at))
     covered = F.aggregate(
         F.transform("__at", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("__at"), k + 1) - p, F.lit(WINDOW)))),
         F.lit(0).cast("long"), lambda a, x: a + x)
     d = (d.withColumn("n_words", F.size("__words").cast("long"))
-         .withColumn("word_chars", F.char_length(F.regexp_replace("__text", f"{SPACE_CLASS}+", "")).cast("long"))
+         .withColumn("word_chars", F.char_length(F.array_join("__words", "")).cast("long"))
          .withColumn("n_symbols", F.regexp_count("__text", F.lit("[#*$%&|<>]")).cast("long"))
          .withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
          .withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")))
     return (d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS)
                          | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
-            .drop("__windows", "__pairs", "__at", "__lines", "__hashes"))
+            .drop("__two", "__windows", "__pairs", "__at", "__lines", "__hashes"))
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -109,21 +127,23 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     column doc_id) is a bounded fit sample; without any trusted document found,
     all ratios are 0 and only the base rules decide.  Both shares are smoothed
     in proportion, so a bucket that neither side has counts for nothing and one
-    that only raw documents have counts against.  Trigrams are counted from the
-    distinct words.
+    that only raw documents have counts against.
     """
     picked = (trusted.select(F.col("doc_id").cast("long").alias("__t")).where(F.col("__t").isNotNull()).distinct()
               .orderBy(F.xxhash64("__t"), "__t").limit(trusted_limit))          # bounded: broadcast below
-    rows = (docs.select(F.col(id_col).cast("long").alias("__id"), words_of(text_or_empty(text_col)).alias("w"))
+    rows = (docs.select(F.col(id_col).cast("long").alias("__id"), text_or_empty(text_col).alias("__text"))
             .join(F.broadcast(picked), F.col("__id") == F.col("__t"), "left")
-            .select(F.col("__t").isNotNull().cast("long").alias("good"), "w"))
-    words = (rows.select("good", F.explode("w").alias("w")).groupBy("w")
-             .agg(F.count("*").alias("raw"), F.sum("good").alias("target")))
-    word = F.array("w")
-    of_words = words.select(F.explode(F.concat(word_grams(word), trigrams(word))).alias("g"), "raw", "target")
-    of_pairs = (rows.select("good", F.explode(F.concat(pair_grams(F.col("w")), repeat_grams(F.col("w")))).alias("g")).groupBy("g")
-                .agg(F.count("*").alias("raw"), F.sum("good").alias("target")))
-    counts = of_words.unionByName(of_pairs).groupBy("g").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+            .select(F.col("__t").isNotNull().cast("long").alias("good"), "__text"))
+    good, text = F.col("good"), F.col("__text")
+    # two rows for each word: the word, and its pair with the sign of a repeat, which is counted from the pairs' sums
+    again = sum(BUCKETS[:FAMILIES.index("repeat")])
+    of_words = word_rows(rows, text, good).select("good", F.explode(F.array(F.col("word").cast("long"), F.col("pair") + F.shiftleft(F.col("repeat").cast("long"), 32))).alias("g"))
+    of_words = of_words.where("g is not null")
+    of_trigrams = trigram_rows(rows, text, good).select("good", F.col("trigram").cast("long").alias("g"))
+    counts = [x.groupBy("g").agg(F.count("*").alias("raw"), F.sum("good").alias("target")) for x in (of_words, of_trigrams)]
+    both = counts[0].unionByName(counts[1]).select((F.col("g") % (1 << 32)).cast("int").alias("g"), F.shiftright("g", 32).cast("int").alias("repeat"), "raw", "target")
+    counts = (both.select(F.explode(F.when(F.col("repeat") >= again, F.array("g", "repeat")).otherwise(F.array("g"))).alias("g"), "raw", "target")
+              .groupBy("g").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")))
     every = docs.sparkSession.range(sum(BUCKETS)).select(F.col("id").cast("int").alias("g"))
     ends = [sum(BUCKETS[:k + 1]) for k in range(len(BUCKETS))]
     family = sum((F.col("g") >= e).cast("int") for e in ends[:-1])
@@ -144,26 +164,44 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     return both.select(F.transform("t", ratio).alias("ratios"))
 
 
+def scores(docs: DataFrame, ratios: DataFrame, text: Column, *keys: Column) -> DataFrame:
+    """(KEY, llr) of every text with a word: its words and trigrams as rows, added up by KEY in each task first."""
+    def ratio(place: str) -> Column:
+        return F.get(ratios.scalar(), F.col(place))
+
+    # words and key are made once for each text, see trigram_rows
+    docs = docs.select(*keys, text.alias("__text")).coalesce(MANY)
+    text, key = F.col("__text"), [F.col(c) for c in KEY]
+    words = (word_rows(docs, text, *key).groupBy(*KEY)
+             .agg(F.sum(ratio("word")).alias("s0"), F.sum(ratio("pair")).alias("s1"), F.sum(ratio("repeat")).alias("s3"),
+                  F.count("word").alias("n0"), F.count("pair").alias("n1")))
+    trigrams = trigram_rows(docs, text, *key).groupBy(*KEY).agg(F.sum(ratio("trigram")).alias("s2"), F.count("trigram").alias("n2"))
+    means = words.join(trigrams, list(KEY), "left")
+    zero = F.lit(0.0)
+    total = sum((F.coalesce(s, zero) / F.greatest(F.coalesce(n, F.lit(0)), F.lit(1))
+                 for s, n in ((F.col("s0"), F.col("n0")), (F.col("s1"), F.col("n1")), (F.col("s2"), F.col("n2")), (F.col("s3"), F.col("n1")))), zero)
+    return means.select(*KEY, total.alias("llr"))
+
+
 def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             threshold: float = THRESHOLD, trusted_limit: int = TRUSTED_LIMIT) -> DataFrame:
     """``docs`` with the base measures, ``llr`` (sum of the families' mean log ratios, null without words) and ``kept``.
 
     Null and empty texts have no words and fail the base rules.  Each row is
-    judged by itself, so ties, repeated rows and null ids need no rule.  Columns
-    of ``docs`` that have a result's name are replaced.
+    judged by its text, so ties, repeated rows and null ids need no rule: rows of
+    one id and text share one key, and a mean over copies is the mean of one.
+    Columns of ``docs`` that have a result's name are replaced.
     """
     ratios = log_ratios(docs, trusted, id_col, text_col, trusted_limit)
-    d = base_measures(docs, text_or_empty(text_col)).withColumn("__ratios", ratios.scalar())
-    words = F.col("__words")
-    # the ratio table is named once, so that it is read in place and not copied into every row
-    means = F.transform(F.array(word_grams(words), pair_grams(words), trigrams(words), repeat_grams(words)), lambda grams: F.aggregate(
-        grams, F.lit(0.0), lambda a, g: a + F.get(F.col("__ratios"), g)) / F.greatest(F.size(grams), F.lit(1)))
-    total = F.aggregate(means, F.lit(0.0), lambda a, x: a + x)
-    d = d.withColumn("llr", F.when(F.col("n_words") > 0, total))
+    text = text_or_empty(text_col)
+    digest = F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), text))
+    # 120 bits of it as two numbers
+    keys = [F.conv(F.substring(digest, at, 15), 16, 10).cast("long").alias(c) for at, c in zip((1, 16), KEY, strict=True)]
+    judged = scores(docs, ratios, text, *keys)
+    d = base_measures(docs, text).select("*", *keys).drop("__text", "__words")
+    d = d.join(judged, list(KEY), "left").withColumn("llr", F.when(F.col("n_words") > 0, F.col("llr")))
     d = d.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("llr"), F.lit(0.0)) >= threshold))
-    # the results leave through a generator, so that a filter on one of them does not pull the
-    # whole nested expression, copied many times, below the projections
-    return d.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in RESULTS], F.inline(F.array(F.struct(*RESULTS))))
+    return d.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in RESULTS], *RESULTS)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
