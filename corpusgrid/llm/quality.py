@@ -198,7 +198,10 @@ def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_co
     # 120 bits of it as two numbers
     keys = [F.conv(F.substring(digest, at, 15), 16, 10).cast("long").alias(c) for at, c in zip((1, 16), KEY, strict=True)]
     judged = scores(docs, ratios, text, *keys)
-    d = base_measures(docs, text).select("*", *keys).drop("__text", "__words")
+    # the measures leave through a generator, so that a filter on the verdict does not pull the whole nested expression,
+    # copied many times, below the projections
+    measures = RESULTS[:RESULTS.index("base_failed") + 1]
+    d = base_measures(docs, text).select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in RESULTS], *keys, F.inline(F.array(F.struct(*measures))))
     d = d.join(judged, list(KEY), "left").withColumn("llr", F.when(F.col("n_words") > 0, F.col("llr")))
     d = d.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("llr"), F.lit(0.0)) >= threshold))
     return d.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in RESULTS], *RESULTS)
