@@ -120,7 +120,7 @@ def test_unreadable_target_raises(spark, tmp_dir):
     path = f"{tmp_dir}/broken"
     store.materialize_or_reuse(spark, path, lambda: spark.range(3))
     folder, version, _ = store.committed(spark, path)
-    store.commit(spark, path, lambda f: spark.range(1).write.parquet(f))
+    store.commit(spark, path, lambda f: spark.range(1).write.parquet(f), {"other": 1})
     manifests = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_manifests/{version}.json")
     out = manifests.getFileSystem(spark._jsc.hadoopConfiguration()).create(manifests, True)
     out.write(bytearray(b"{ not json"))
