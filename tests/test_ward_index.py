@@ -137,3 +137,20 @@ def test_picked_cells_and_all_cells_agree(spark, tmp_dir, monkeypatch):
     some = sorted(map(tuple, vector_index.search_index(asked, index, probes=2).collect()))
     monkeypatch.setattr(vector_index, "PICKED_CELLS", 0)
     assert sorted(map(tuple, vector_index.search_index(asked, index, probes=2).collect())) == some
+
+
+def test_a_query_is_sent_once_for_each_slot(spark, tmp_dir, monkeypatch):
+    rng = np.random.default_rng(5)
+    # one cell in three is hot: its vector is held by a third of the rows
+    df = _table(spark, [(i, rng.normal(size=6) if i % 3 else np.eye(6)[0]) for i in range(600)])
+    asked = df.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    index = vector_index.build_index(df, f"{tmp_dir}/i", cells=40)
+    sent = []
+    monkeypatch.setattr(vector_index, "materialize", lambda d, label: sent.append(vectors.materialize(d, label)) or sent[-1])
+    exact = sorted(map(tuple, vector_index.search_index(asked, index, k=7, probes=None, block_size=150).collect()))
+    assert exact == sorted(map(tuple, vectors.nearest_neighbors(asked, df, k=7).collect()))
+    assert exact == sorted(map(tuple, vectors.nearest_neighbors(asked, df, k=7, cells=30, block_size=20).collect()))
+    per_query = [r["count"] for r in sent[0].groupBy("query_id").count().collect()]
+    assert len(per_query) == 30 and max(per_query) <= 7       # 40 cells in about 600 / 150 slots
+    base, share = vectors.cell_slots(np.array([0, 10, 300, 0, 140, 5, 5, 1]), 150)
+    assert base.tolist() == [0, 0, 1, 2, 3, 3, 3, 4] and share.tolist() == [1, 1, 2, 1, 1, 1, 1, 1]
