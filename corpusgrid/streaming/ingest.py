@@ -52,13 +52,9 @@ def known_ids(target: DataFrame, fresh: DataFrame, batch: str, scope: str = "mon
     held = target.where(F.col("batch") != batch)
     if scope == "month":
         months = [(r["year"], r["month"]) for r in fresh.select(*MONTH).distinct().collect()]       # the batch's months
-        by_year: dict = {}
-        for y, m in months:
-            by_year.setdefault(y, []).append(m)
-        pick = F.lit(False)
-        for y, ms in sorted(by_year.items(), key=lambda x: (x[0] is None, x[0])):
-            pick = pick | (F.col("year").isNull() if y is None else (F.col("year") == y) & F.col("month").isin(ms))
-        held = held.where(pick)
+        codes = sorted(y * 12 + m for y, m in months if y is not None)
+        pick = F.expr(f"year * 12 + month IN ({', '.join(map(str, codes))})") if codes else F.lit(False)    # one flat list of any length
+        held = held.where(pick | F.col("year").isNull() if len(codes) < len(months) else pick)
     return held.select("id")
 
 
@@ -75,7 +71,8 @@ def upsert_batch(spark: SparkSession, raw: DataFrame, target: str, rejects: str
         batch_ids = broadcast_if_small(fresh.select("id"))
         seen = known_ids(held, fresh, batch, scope).join(batch_ids, "id", "left_semi").distinct()
         fresh = fresh.join(broadcast_if_small(seen), "id", "left_anti")
-    (fresh.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    # the rows of a month come together: each task writes its own months, not some of every month
+    (fresh.withColumn("batch", F.lit(batch)).hint("rebalance", *MONTH).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*MONTH, "batch").parquet(target))
     if rejects:                                            # a batch that is run again replaces its own rejects
         bad.write.mode("overwrite").parquet(f"{rejects.rstrip('/')}/batch_id={batch}")

@@ -183,3 +183,31 @@ def test_stream_lookup_on_a_stored_index(spark, tmp_dir):
     q.awaitTermination()
     got = {r["query_id"]: r["text"] for r in spark.read.parquet(f"{tmp_dir}/ans").collect()}
     assert got[7] == "red apple pie" and got[8] == "blue sky above"
+
+
+def test_a_month_is_written_together(spark, tmp_dir):
+    import glob
+
+    from corpusgrid.plans import catalog
+    spark.range(400).selectExpr("id AS doc_id", "concat('text ', id) AS text", "'en' AS lang", "'src1' AS source", "10 AS n_chars").write.parquet(
+        f"{tmp_dir}/sf/documents.parquet")
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")     # as if no partition were small
+    try:
+        catalog._land(spark, f"{tmp_dir}/sf", f"{tmp_dir}/src", copies=2)
+        ingest.start_ingest(spark, f"{tmp_dir}/src", f"{tmp_dir}/tgt", f"{tmp_dir}/ck", whole_files=False).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+    assert len(glob.glob(f"{tmp_dir}/src/*/*/part-*")) == 2 * 5                  # 134 days: five months, two copies
+    assert len(glob.glob(f"{tmp_dir}/tgt/*/*/*/part-*")) == 5
+    assert sorted(r["id"] for r in spark.read.parquet(f"{tmp_dir}/tgt").collect()) == sorted(f"d{i}" for i in range(400))
+
+
+def test_known_ids_of_many_months(spark, tmp_dir):
+    rows = [(f"a{i}", 1000 + i // 12, 1 + i % 12, "b") for i in range(60)] + [("u", None, None, "b")]
+    held = spark.createDataFrame(rows, "id string, year int, month int, batch string")
+    fresh = spark.createDataFrame([(None, 1000 + i // 12, 1 + i % 12) for i in range(0, 30_000, 7)], "id string, year int, month int")
+    ids = lambda f: sorted(r["id"] for r in ingest.known_ids(held, f, "other").collect())
+    assert ids(fresh) == sorted(f"a{i}" for i in range(0, 60, 7))
+    assert ids(fresh.unionByName(spark.createDataFrame([(None, None, None)], fresh.schema))) == sorted(["u", *(f"a{i}" for i in range(0, 60, 7))])
+    assert ids(fresh.where("false")) == []
