@@ -118,6 +118,7 @@ def _wordpiece(word: str, vocab: dict, unk: int, limits: tuple[int, int] | None
 
 
 MEMO_LIMIT = 200_000
+CHUNK_TEXTS = 256           # texts whose words and pieces a task holds at once
 
 
 def _expanded(first, count):
@@ -148,7 +149,9 @@ def _encoder(bvocab, unk: int, cls: int, sep: int, max_len: int, keep_sep: bool,
         slot: dict[str, int] = {}
         flat = np.zeros(0, np.int32)
         first = count = np.zeros(0, np.int64)
-        for rb in batches:
+        # taken, not sliced: Arrow's string functions misread a slice's offsets
+        chunks_of = (b.take(pa.array(np.arange(at, min(at + CHUNK_TEXTS, b.num_rows)))) for b in batches for at in range(0, b.num_rows, CHUNK_TEXTS))
+        for rb in chunks_of:
             n = rb.num_rows
             texts = rb.column("_w")
             lists = pc.split_pattern(pc.if_else(pc.equal(texts, ""), None, texts), pattern=" ")

@@ -120,3 +120,18 @@ def test_encoder_matches_plain_python(spark):
         assert got == {i: expected(t, length, keep_sep) for i, t in enumerate(texts)}
 
     check()
+
+
+def test_encoder_holds_few_texts_at_once():
+    import types
+
+    import pyarrow as pa
+    vocab = {"[PAD]": 0, "[UNK]": 1, "[CLS]": 2, "[SEP]": 3, "a": 4, "b": 5, "##a": 6, "##b": 7}
+    texts = [" ".join("ab"[(i + j) % 2] * (1 + j % 3) for j in range(i % 9)) for i in range(3 * sequences.CHUNK_TEXTS + 5)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "_w": texts})
+    for rule in ("ascii", "unicode"):
+        run = sequences._encoder(types.SimpleNamespace(value=vocab), 1, 2, 3, 8, False, rule)
+        parts = list(run([batch]))
+        assert max(p.num_rows for p in parts) <= sequences.CHUNK_TEXTS
+        single = [r for i in range(len(texts)) for p in run([batch.slice(i, 1)]) for r in p.to_pylist()]
+        assert pa.Table.from_batches(parts).to_pylist() == single
