@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from corpusgrid.operators.models import DRAWS, FIT_ROWS, MAX_LABELS, fit_text_features, text_features, vector_matmul
 
+CHUNK_TEXTS = 128           # texts multiplied at once
+
 
 @dataclass
 class TwoTower:
@@ -88,17 +90,21 @@ def two_tower_scores(model: TwoTower, df: DataFrame, text_col: str = "sentence",
                                           vector_to_array("_prob")[1].alias("p_match"))
 
 
-def two_tower_embeddings(model: TwoTower, df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """W23 for the pair classifier: the text's part of the first layer, before its activation."""
-    layer = df.sparkSession.sparkContext.broadcast(model.text_layer())
-
+def _embedder(layer, id_col: str):
     def embed(batches):
         weights, bias = layer.value
-        for rb in batches:
-            if rb.num_rows:
+        # a text's non-zeros times dense_size are held at once: few texts at a time
+        for batch in batches:
+            for at in range(0, batch.num_rows, CHUNK_TEXTS):
+                rb = batch.slice(at, CHUNK_TEXTS)
                 out = vector_matmul(rb.column("_features"), weights) + bias
                 yield pa.RecordBatch.from_arrays(
                     [rb.column(id_col), pa.array(list(out.astype(np.float32)), pa.list_(pa.float32()))], names=[id_col, "embedding"])
+    return embed
 
+
+def two_tower_embeddings(model: TwoTower, df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """W23 for the pair classifier: the text's part of the first layer, before its activation."""
+    layer = df.sparkSession.sparkContext.broadcast(model.text_layer())
     x = text_features(model.features, df.select(id_col, text_col), text_col).select(id_col, "_features")
-    return x.mapInArrow(embed, f"{id_col} {df.schema[id_col].dataType.simpleString()}, embedding array<float>")
+    return x.mapInArrow(_embedder(layer, id_col), f"{id_col} {df.schema[id_col].dataType.simpleString()}, embedding array<float>")

@@ -119,3 +119,21 @@ def test_classifier_history_and_validation(clf, docs):
     assert len(h) >= 2 and h[-1]["loss"] <= h[0]["loss"]
     acc = models.validation_accuracy(clf, docs, "text", "lang")
     assert 0.0 <= acc <= 1.0
+
+
+def test_two_tower_embeds_few_texts_at_once(monkeypatch):
+    import types
+
+    import numpy as np
+    import pyarrow as pa
+    rng = np.random.default_rng(1)
+    weights, bias, n = rng.normal(size=(6, 3)), rng.normal(size=3), 2 * two_tower.CHUNK_TEXTS + 7
+    dense = [[float(rng.integers(0, 3)) for _ in range(6)] for _ in range(n)]
+    sparse = [{"type": 0, "size": 6, "indices": [j for j in range(6) if r[j]], "values": [x for x in r if x]} for r in dense]
+    kind = pa.struct([("type", pa.int8()), ("size", pa.int32()), ("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(sparse, kind)], names=["doc_id", "_features"])
+    held, plain = [], two_tower.vector_matmul
+    monkeypatch.setattr(two_tower, "vector_matmul", lambda v, w: held.append(len(v)) or plain(v, w))
+    out = pa.Table.from_batches(list(two_tower._embedder(types.SimpleNamespace(value=(weights, bias)), "doc_id")([batch])))
+    assert max(held) <= two_tower.CHUNK_TEXTS and out.column("doc_id").to_pylist() == list(range(n))
+    assert np.allclose(np.array(out.column("embedding").to_pylist()), np.array(dense) @ weights + bias, atol=1e-5)
