@@ -64,9 +64,10 @@ def extract_gazetteer(docs: DataFrame, gazetteer: DataFrame, max_n: int = 3,
     n-gram and AQE splits skewed n-gram partitions.
     """
     w = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w"))
+    # words are read in place: no slice of the array for each n-gram
     def gram_of(n):
         return lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"),
-                                  F.array_join(F.slice(F.col("w"), i + 1, n), " ").alias("gram"))
+                                  F.concat_ws(" ", *[F.get(F.col("w"), i + j) for j in range(n)]).alias("gram"))
 
     grams = [F.transform(F.when(F.size("w") >= n, F.sequence(F.lit(0), F.size("w") - n))
                          .otherwise(F.array().cast("array<int>")), gram_of(n))
