@@ -89,7 +89,11 @@ class Shares:
 
 
 class _Context:
-    """Followers of one order in many lanes, with their counts and the weights of each count."""
+    """Followers of one order in many lanes, with their counts and the weights of each count.
+
+    The table is narrow, so that it stays in the cache; a step computes in 64 bits throughout, as numpy casts mixed
+    widths through a buffer.
+    """
 
     def __init__(self, lanes: int, slots: int, odds: int):
         self.base = np.arange(lanes, dtype=np.int64) * slots
@@ -100,9 +104,9 @@ class _Context:
 
     def predict(self, slot: np.ndarray) -> None:
         self.at = self.base + slot
-        self.packed = self.held.take(self.at)
-        self.says = self.packed >> np.uint32(2)
-        self.sure = self.packed & np.uint32(SURE)
+        self.packed = self.held.take(self.at).astype(np.int64)
+        self.says = self.packed >> 2
+        self.sure = self.packed & SURE
         self.level = self.lane + self.sure
         self.weight = self.odds.take(self.level)
         self.some = self.says > 0
@@ -110,25 +114,30 @@ class _Context:
     def learn(self, stored: np.ndarray) -> None:
         """Odds move a sixteenth of the way to 8 or 1,900 of 4,096 and never leave that span."""
         right = self.says == stored
-        self.odds[self.level] = self.weight + (((np.where(right, 1900, 8) - self.weight) >> 4) * self.some)
-        unsure = self.sure == 0
-        wrong = np.where(unsure, stored << np.uint32(2), self.packed - np.uint32(1))
-        self.held[self.at] = np.where(right, self.packed + (self.sure < SURE), wrong)
+        moved = np.where(right, 1900, 8)
+        moved -= self.weight
+        moved >>= 4
+        moved += self.weight
+        self.odds[self.level] = np.where(self.some, moved, self.weight)
+        wrong = np.where(self.sure == 0, stored << 2, self.packed - 1)
+        self.held[self.at] = np.where(right, np.minimum(self.packed + 1, self.packed | SURE), wrong).astype(np.uint32)
 
 
 class _Model:
     """The predictors of many lanes, mixed; coder and decoder drive it alike."""
 
     def __init__(self, lanes: int, shares: Shares):
-        self.one, self.two = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+        self.one, self.two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.order1, self.order2 = _Context(lanes, SLOTS1, 400), _Context(lanes, SLOTS2, 900)
 
     def predict(self) -> None:
-        k = self.one * np.uint32(2654435761)
-        self.order1.predict((k >> np.uint32(16)) & np.uint32(SLOTS1 - 1))
-        k += self.two * np.uint32(2246822519)
-        k ^= k >> np.uint32(15)
-        self.order2.predict((k >> np.uint32(3)) & np.uint32(SLOTS2 - 1))
+        # hashes of 32 bits; the slots are bits 16 to 24 and 3 to 12 of theirs
+        k = self.one * 2654435761
+        self.order1.predict((k >> 16) & (SLOTS1 - 1))
+        k += self.two * 2246822519
+        k &= 0xFFFFFFFF
+        k ^= k >> 15
+        self.order2.predict((k >> 3) & (SLOTS2 - 1))
         self.p1, self.p2 = self.order1.says, self.order2.says
         w1, w2 = np.where(self.order1.some, self.order1.weight, 1), np.where(self.order2.some, self.order2.weight, 1)
         self.w12 = (w1 + w2).view(_U)
@@ -156,7 +165,7 @@ def encode_lanes(places: np.ndarray, shares: Shares) -> tuple[np.ndarray, np.nda
     steps = np.ascontiguousarray(places.T)
     for k in range(n):
         x = steps[k]
-        stored = (x + 1).astype(np.uint32)
+        stored = x + 1
         m.predict()
         hit2 = m.p2 == stored
         hit1 = (m.p1 == stored) & ~hit2
@@ -168,11 +177,11 @@ def encode_lanes(places: np.ndarray, shares: Shares) -> tuple[np.ndarray, np.nda
         low += r * cum
         span = r * share
         need = span < _FLOOR
-        flat[at] = low >> _U(40)                           # with the carry, settled below; stays where a word is due
+        flat[at] = (low >> _U(40)).astype(np.uint32)       # with the carry, settled below; stays where a word is due
         shift = need.astype(_U) << _U(4)
         low = np.where(need, low & _KEEP, low) << shift
         span <<= shift
-        at += need * lanes
+        at += np.where(need, lanes, 0)
         more = np.flatnonzero(span < _FLOOR)
         while len(more):
             flat[at[more]] = low[more] >> _U(40)
@@ -220,7 +229,7 @@ def decode_lanes(words: np.ndarray, n: int, shares: Shares) -> np.ndarray:
         # order 0 for all lanes; lanes with a hit compute with 0 and drop the result
         y = np.minimum(np.where(v < big12, _U(0), v - big12) // m.w0, _U(WHOLE - 1))
         x = at0.take(y.view(np.int64))
-        stored = np.where(hit2, m.p2, np.where(hit1, m.p1, x + np.uint32(1)))
+        stored = np.where(hit2, m.p2, np.where(hit1, m.p1, x.astype(np.int64) + 1))
         code -= r * np.where(hit2, _U(0), np.where(hit1, big2, big12 + m.w0 * cum0.take(x)))
         span = r * np.where(hit2, big2, np.where(hit1, m.w1 << _U(20), m.w0 * share0.take(x)))
         need = span < _FLOOR
@@ -228,7 +237,7 @@ def decode_lanes(words: np.ndarray, n: int, shares: Shares) -> np.ndarray:
         code = np.where(need, (code << _U(16)) | (tail << _U(8)) | (w >> _U(8)), code)
         tail = np.where(need, w & _U(255), tail)
         span <<= need.astype(_U) << _U(4)
-        at += need * lanes
+        at += np.where(need, lanes, 0)
         more = np.flatnonzero(span < _FLOOR)
         while len(more):
             w = flat[np.minimum(at[more], last - 1)].astype(_U)
@@ -238,7 +247,7 @@ def decode_lanes(words: np.ndarray, n: int, shares: Shares) -> np.ndarray:
             at[more] += lanes
             more = more[span[more] < _FLOOR]
         m.learn(stored)
-        out[k] = stored - np.uint32(1)
+        out[k] = (stored - 1).astype(np.uint32)
     return np.ascontiguousarray(out.T)
 
 
