@@ -61,8 +61,8 @@ def mention_array(text: Column, rules=DEFAULT_ENTITY_RULES) -> Column:
 
 
 def normalize_text(text: Column) -> Column:
-    """Lower-case and fold accents (uncased tokenisation)."""
-    return F.translate(F.lower(text), ACCENTED, UNACCENTED)
+    """Lower-case and fold accents (uncased tokenisation).  A text of ASCII alone has no accents: it is lower-cased only."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(F.lower(text), ACCENTED, UNACCENTED))
 
 
 def words(text: Column) -> Column:

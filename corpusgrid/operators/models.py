@@ -41,14 +41,31 @@ def _with_words(df: DataFrame, text_col: str) -> DataFrame:
     return df.withColumn("_words", words(F.col(text_col)))
 
 
+def _counts_column(text_col: str, num_features: int) -> str:
+    return f"_tf_{text_col}_{num_features}"
+
+
+def with_term_counts(df: DataFrame, text_col: str = "text", num_features: int = 4096) -> DataFrame:
+    """``df`` with the hashed word counts of its texts, which the functions below then use instead of cutting the words again."""
+    tf = HashingTF(inputCol="_words", outputCol=_counts_column(text_col, num_features), numFeatures=num_features)
+    return tf.transform(_with_words(df, text_col)).drop("_words")
+
+
 def fit_text_features(df: DataFrame, text_col: str = "text", num_features: int = 4096) -> PipelineModel:
     """HashingTF + IDF over the normalised words of the whole text."""
-    pipe = Pipeline(stages=[HashingTF(inputCol="_words", outputCol="_tf", numFeatures=num_features),
-                            IDF(inputCol="_tf", outputCol="_features")])
-    return pipe.fit(_with_words(df, text_col))
+    tf = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=num_features)
+    idf = IDF(inputCol="_tf", outputCol="_features")
+    counts = _counts_column(text_col, num_features)
+    if counts in df.columns:
+        return PipelineModel([tf, idf.fit(df.select(F.col(counts).alias("_tf")))])
+    return Pipeline(stages=[tf, idf]).fit(_with_words(df, text_col))
 
 
 def text_features(model: PipelineModel, df: DataFrame, text_col: str = "text") -> DataFrame:
+    tf, idf = model.stages
+    counts = _counts_column(text_col, tf.getNumFeatures())
+    if counts in df.columns:
+        return idf.transform(df.withColumnRenamed(counts, "_tf")).drop("_tf")
     return model.transform(_with_words(df, text_col)).drop("_words", "_tf")
 
 

@@ -18,7 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusgrid.operators.models import DRAWS, FIT_ROWS, MAX_LABELS, fit_text_features, text_features, vector_matmul
+from corpusgrid.operators.models import DRAWS, FIT_ROWS, MAX_LABELS, _counts_column, fit_text_features, text_features, vector_matmul
 
 CHUNK_TEXTS = 128           # texts multiplied at once
 
@@ -57,7 +57,8 @@ def train_two_tower(pairs: DataFrame, text_col: str = "sentence", label_col: str
 
     ``fit_rows`` bounds the sample that the optimiser sees (its expected size; rows are
     drawn by a hash of their values and ``seed``).  Rows with a null label are left out.  With ``valid`` (same columns)
-    the fitted model's cross-entropy on it is kept as ``valid_loss``.
+    the fitted model's cross-entropy on it is kept as ``valid_loss``.  Pairs that carry their word counts
+    (``with_term_counts``) have no text cut into words again, neither here nor in :func:`two_tower_scores`.
     """
     rows = pairs.where(F.col(label_col).isNotNull())
     sizes = rows.agg(F.count("*").alias("n"), F.approx_count_distinct(label_col).alias("labels")).first()
@@ -85,7 +86,8 @@ def train_two_tower(pairs: DataFrame, text_col: str = "sentence", label_col: str
 def two_tower_scores(model: TwoTower, df: DataFrame, text_col: str = "sentence", label_col: str = "label",
                      id_col: str = "doc_id") -> DataFrame:
     """(id, label, p_match): probability that the label belongs to the text; unknown labels are left out."""
-    x = text_features(model.features, df.select(id_col, text_col, label_col), text_col)
+    counts = [c for c in df.columns if c == _counts_column(text_col, model.num_features)]
+    x = text_features(model.features, df.select(id_col, text_col, label_col, *counts), text_col)
     return model.head.transform(x).select(id_col, F.col(label_col).alias("label"),
                                           vector_to_array("_prob")[1].alias("p_match"))
 
