@@ -1,4 +1,4 @@
-"""Token ids of whole texts with a public vocabulary, one encoder call per distinct word.
+"""Token ids of whole texts with a public vocabulary, each distinct word encoded once.
 
 ``word_bpe_49k`` cuts at white space before anything else: no normalisation,
 match or merge reaches over it.  A text's ids are therefore its words' ids in
@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,10 @@ _UPPER = (_BYTES >= 65) & (_BYTES <= 90)
 _ALNUM = _UPPER | ((_BYTES >= 97) & (_BYTES <= 122)) | ((_BYTES >= 48) & (_BYTES <= 57))
 _PUNCT = (_BYTES > 32) & (_BYTES < 127) & ~_ALNUM
 _LOWER = np.where(_UPPER, _BYTES + 32, _BYTES).astype(np.uint8)
+#: So many words of letters go to the encoder as one text.
+JOINED = 256
+#: Ends the last piece of each part that the split pattern finds.
+SUFFIX = "</w>"
 _KNOWN: dict[str, WordIds] = {}
 
 
@@ -80,6 +85,12 @@ class WordIds:
         known = first.get("pattern") == {"Regex": SPLIT}
         steps = (rules.get("normalizer") or {}).get("normalizers") or []
         self.cuts, self.folds = known, known and [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"]
+        model = rules.get("model") or {}
+        # whether an id ends a part; none where the vocabulary's rules are others
+        self.ends = None
+        if self.folds and model.get("type") == "BPE" and model.get("end_of_word_suffix") == SUFFIX:
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+            self.ends[[i for w, i in self.tokenizer.get_vocab(with_added_tokens=True).items() if w.endswith(SUFFIX)]] = True
         self.forget()
 
     def pieces(self, data: np.ndarray) -> Iterator[tuple[np.ndarray, pa.DictionaryArray]]:
@@ -102,19 +113,39 @@ class WordIds:
         self.count = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
-    def _learn(self, words: list[bytes]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
-        count = np.array([len(x) for x in found], np.int64)
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the texts one after the other, how many each has)."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        count = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(count.sum())), count
+
+    def _add(self, words: list[bytes], flat: np.ndarray, count: np.ndarray) -> None:
         self.slot.update(zip(words, range(len(self.count), len(self.count) + len(words)), strict=True))
         self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(count) - count])
         self.count = np.concatenate([self.count, count])
-        self.flat = np.concatenate([self.flat, np.array([i for x in found for i in x], np.uint32)])
+        self.flat = np.concatenate([self.flat, flat])
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Words of letters alone, each one part of the split pattern, are encoded many at a time and told apart by the
+        pieces that end a part; where their number is another, and for all other words, one at a time."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        if self.ends is not None:
+            plain = [t.isalpha() and t.lower().isalpha() for t in texts]
+            some, whole = list(compress(words, plain)), list(compress(texts, plain))
+            flat, _ = self._encoded([" ".join(whole[k:k + JOINED]) for k in range(0, len(whole), JOINED)])
+            at = np.flatnonzero(self.ends[flat]) + 1
+            if len(at) == len(some) and (not len(flat) or at[-1:] == len(flat)):
+                self._add(some, flat, np.diff(at, prepend=0))
+                other = [not x for x in plain]
+                words, texts = list(compress(words, other)), list(compress(texts, other))
+        self._add(words, *self._encoded(texts))
 
     def _slots(self, distinct: list[bytes]) -> np.ndarray:
-        new = [w for w in distinct if w not in self.slot]
-        if new:
-            self._learn(new)
-        return np.fromiter(map(self.slot.__getitem__, distinct), np.int64, len(distinct))
+        found = list(map(self.slot.get, distinct))
+        if None in found:
+            self._learn([w for w, s in zip(distinct, found, strict=True) if s is None])
+            found = list(map(self.slot.__getitem__, distinct))
+        return np.array(found, np.int64)
 
     def encode(self, ends: np.ndarray, body: bytes, last: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each text followed by ``last``; offsets of the texts, one more than texts)."""
@@ -125,13 +156,14 @@ class WordIds:
             starts.append(start)
             slots.append(self._slots(column.dictionary.to_pylist())[column.indices.to_numpy(zero_copy_only=False)])
         start, slot = np.concatenate(starts), np.concatenate(slots)
-        count = self.count[slot]
-        total = np.concatenate([[0], np.cumsum(count)])
-        ids = self.flat[np.arange(total[-1]) + np.repeat(self.first[slot] - total[:-1], count)]
-        offsets = total[np.concatenate([np.searchsorted(start, starts_of(ends)), [len(start)]])]
-        out = np.full(len(ids) + len(ends), last, np.uint32)
-        out[np.arange(len(ids)) + np.repeat(np.arange(len(ends)), np.diff(offsets))] = ids
-        return out, offsets + np.arange(len(offsets))
+        # a text's end is one more piece, the last id of the table
+        behind = np.concatenate([np.searchsorted(start, starts_of(ends))[1:], [len(start)]]) if len(ends) else np.zeros(0, np.int64)
+        first, count = np.insert(self.first[slot], behind, len(self.flat)), np.insert(self.count[slot], behind, 1)
+        total = np.cumsum(count)
+        at = np.repeat(first - (total - count), count)
+        at += np.arange(len(at))
+        out = np.append(self.flat, np.uint32(last)).take(at)
+        return out, np.concatenate([[0], total[behind + np.arange(len(behind))]])
 
 
 def word_ids(path: str) -> WordIds:
