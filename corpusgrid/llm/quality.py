@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusgrid.llm.common import SPACE_CHARS, text_or_empty
+from corpusgrid.llm.common import SPACE_CHARS, kept, text_or_empty
 
 #: Hash buckets of each family of n-grams, side by side in one ratio table of so many numbers in all (4.75 MB).
 FAMILIES = ("word", "pair", "trigram", "repeat")
@@ -164,10 +164,22 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     return both.select(F.transform("t", ratio).alias("ratios"))
 
 
+def family_ratios(ratios: DataFrame) -> DataFrame:
+    """The row of :func:`log_ratios`, written as one row for each family: its number and its part of the ratios."""
+    ends = [sum(BUCKETS[:k + 1]) for k in range(len(BUCKETS))]
+    parts = F.array(*[F.slice("ratios", end - n + 1, n) for end, n in zip(ends, BUCKETS, strict=True)])
+    return kept(ratios.select(F.posexplode(parts).alias("family", "ratios")), "log-ratios")
+
+
 def scores(docs: DataFrame, ratios: DataFrame, text: Column, *keys: Column) -> DataFrame:
-    """(KEY, llr) of every text with a word: its words and trigrams as rows, added up by KEY in each task first."""
+    """(KEY, llr) of every text with a word: its words and trigrams as rows, added up by KEY in each task first.
+
+    ``ratios`` comes from :func:`family_ratios`.  The driver packs the ratios that a stage reads into its tasks, once
+    for each place that reads them; so each place reads its family's part alone.
+    """
     def ratio(place: str) -> Column:
-        return F.get(ratios.scalar(), F.col(place))
+        k = FAMILIES.index(place)
+        return F.get(ratios.where(F.col("family") == k).select("ratios").scalar(), F.col(place) - sum(BUCKETS[:k]))
 
     # words and key are made once for each text, see trigram_rows
     docs = docs.select(*keys, text.alias("__text")).coalesce(MANY)
@@ -192,7 +204,7 @@ def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_co
     one id and text share one key, and a mean over copies is the mean of one.
     Columns of ``docs`` that have a result's name are replaced.
     """
-    ratios = log_ratios(docs, trusted, id_col, text_col, trusted_limit)
+    ratios = family_ratios(log_ratios(docs, trusted, id_col, text_col, trusted_limit))
     text = text_or_empty(text_col)
     digest = F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), text))
     # 120 bits of it as two numbers
