@@ -45,6 +45,8 @@ WHOLE = 1 << 20
 MAX_DISTINCT = 1 << 19
 #: Times in a row that a follower's count goes up to; a wrong prediction takes one off, at 0 the follower changes.
 SURE = 3
+#: In place of a count: no follower yet.
+NONE = 4
 _U = np.uint64
 _ONE = _U(4096)
 #: A lane whose range falls below the floor passes on the top word of its 56 bits.
@@ -88,67 +90,55 @@ class Shares:
         return cls(np.cumsum(both[:n]), both[n:])
 
 
-class _Context:
-    """Followers of one order in many lanes, with their counts and the weights of each count.
+class _Model:
+    """The followers of both orders in many lanes, with their counts and the weights of each count, mixed; coder and
+    decoder drive it alike.
 
-    The table is narrow, so that it stays in the cache; a step computes in 64 bits throughout, as numpy casts mixed
-    widths through a buffer.
+    Each array has a row for order 1 and one for order 2, so that a step takes few calls.  The table is narrow, so that
+    it stays in the cache; a step computes in 64 bits throughout, as numpy casts mixed widths through a buffer.
     """
 
-    def __init__(self, lanes: int, slots: int, odds: int):
-        self.base = np.arange(lanes, dtype=np.int64) * slots
-        # follower (place + 1, so that 0 means none yet) << 2 | count
-        self.held = np.zeros(lanes * slots, np.uint32)
-        self.lane = np.arange(lanes, dtype=np.int64) * (SURE + 1)
-        self.odds = np.tile(odds * np.arange(1, SURE + 2) // 2, lanes)
-
-    def predict(self, slot: np.ndarray) -> None:
-        self.at = self.base + slot
-        self.packed = self.held.take(self.at).astype(np.int64)
-        self.says = self.packed >> 2
-        self.sure = self.packed & SURE
-        self.level = self.lane + self.sure
-        self.weight = self.odds.take(self.level)
-        self.some = self.says > 0
-
-    def learn(self, stored: np.ndarray) -> None:
-        """Odds move a sixteenth of the way to 8 or 1,900 of 4,096 and never leave that span."""
-        right = self.says == stored
-        moved = np.where(right, 1900, 8)
-        moved -= self.weight
-        moved >>= 4
-        moved += self.weight
-        self.odds[self.level] = np.where(self.some, moved, self.weight)
-        wrong = np.where(self.sure == 0, stored << 2, self.packed - 1)
-        self.held[self.at] = np.where(right, np.minimum(self.packed + 1, self.packed | SURE), wrong).astype(np.uint32)
-
-
-class _Model:
-    """The predictors of many lanes, mixed; coder and decoder drive it alike."""
-
     def __init__(self, lanes: int, shares: Shares):
-        self.one, self.two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.order1, self.order2 = _Context(lanes, SLOTS1, 400), _Context(lanes, SLOTS2, 900)
+        lane = np.arange(lanes, dtype=np.int64)
+        self.one, self.two, self.slot = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.zeros((2, lanes), np.int64)
+        self.base = np.stack([lane * SLOTS1, lanes * SLOTS1 + lane * SLOTS2])
+        # follower (place + 1) << 3 | count; NONE where there is none yet
+        self.held = np.full(lanes * (SLOTS1 + SLOTS2), NONE, np.uint32)
+        self.level0 = np.stack([lane, lanes + lane]) * (NONE + 1)
+        # no follower weighs 1, which a wrong prediction leaves as it is
+        self.odds = np.concatenate([np.tile([*(odds * np.arange(1, SURE + 2) // 2), 1], lanes) for odds in (400, 900)])
 
     def predict(self) -> None:
         # hashes of 32 bits; the slots are bits 16 to 24 and 3 to 12 of theirs
         k = self.one * 2654435761
-        self.order1.predict((k >> 16) & (SLOTS1 - 1))
+        np.bitwise_and(k >> 16, SLOTS1 - 1, out=self.slot[0])
         k += self.two * 2246822519
         k &= 0xFFFFFFFF
         k ^= k >> 15
-        self.order2.predict((k >> 3) & (SLOTS2 - 1))
-        self.p1, self.p2 = self.order1.says, self.order2.says
-        w1, w2 = np.where(self.order1.some, self.order1.weight, 1), np.where(self.order2.some, self.order2.weight, 1)
+        np.bitwise_and(k >> 3, SLOTS2 - 1, out=self.slot[1])
+        self.at = self.base + self.slot
+        self.packed = self.held.take(self.at).astype(np.int64)
+        self.says = self.packed >> 3
+        self.sure = self.packed & 7
+        self.level = self.level0 + self.sure
+        self.weight = self.odds.take(self.level)
+        self.p1, self.p2 = self.says
+        w1, w2 = self.weight
         self.w12 = (w1 + w2).view(_U)
         # where both say the same, order 2 speaks for both
         self.w2 = (w2 + w1 * (self.p1 == self.p2)).view(_U)
         self.w1 = self.w12 - self.w2
         self.w0 = _ONE - self.w12
 
-    def learn(self, stored: np.ndarray) -> None:
-        self.order1.learn(stored)
-        self.order2.learn(stored)
+    def learn(self, stored: np.ndarray, right: np.ndarray) -> None:
+        """Odds move a sixteenth of the way to 8 or 1,900 of 4,096 and never leave that span."""
+        moved = np.where(right, 1900, 8)
+        moved -= self.weight
+        moved >>= 4
+        moved += self.weight
+        self.odds[self.level] = moved
+        wrong = np.where((self.sure & SURE) > 0, self.packed - 1, stored << 3)
+        self.held[self.at] = np.where(right, np.minimum(self.packed + 1, self.packed | SURE), wrong).astype(np.uint32)
         self.two, self.one = self.one, stored
 
 
@@ -167,8 +157,9 @@ def encode_lanes(places: np.ndarray, shares: Shares) -> tuple[np.ndarray, np.nda
         x = steps[k]
         stored = x + 1
         m.predict()
-        hit2 = m.p2 == stored
-        hit1 = (m.p1 == stored) & ~hit2
+        right = m.says == stored
+        hit2 = right[1]
+        hit1 = right[0] > hit2
         big2 = m.w2 << _U(20)
         cum = (m.w12 << _U(20)) + m.w0 * cum0.take(x)
         cum = np.where(hit2, _U(0), np.where(hit1, big2, cum))
@@ -181,7 +172,7 @@ def encode_lanes(places: np.ndarray, shares: Shares) -> tuple[np.ndarray, np.nda
         shift = need.astype(_U) << _U(4)
         low = np.where(need, low & _KEEP, low) << shift
         span <<= shift
-        at += np.where(need, lanes, 0)
+        at += need * lanes
         more = np.flatnonzero(span < _FLOOR)
         while len(more):
             flat[at[more]] = low[more] >> _U(40)
@@ -189,7 +180,7 @@ def encode_lanes(places: np.ndarray, shares: Shares) -> tuple[np.ndarray, np.nda
             span[more] <<= _U(16)
             at[more] += lanes
             more = more[span[more] < _FLOOR]
-        m.learn(stored)
+        m.learn(stored, right)
     for _ in range(4):
         flat[at] = low >> _U(40)
         low = (low & _KEEP) << _U(16)
@@ -225,19 +216,19 @@ def decode_lanes(words: np.ndarray, n: int, shares: Shares) -> np.ndarray:
         v = np.minimum(code // r, _U((1 << 32) - 1))
         big2, big12 = m.w2 << _U(20), m.w12 << _U(20)
         hit2 = v < big2
-        hit1 = ~hit2 & (v < big12)
-        # order 0 for all lanes; lanes with a hit compute with 0 and drop the result
-        y = np.minimum(np.where(v < big12, _U(0), v - big12) // m.w0, _U(WHOLE - 1))
-        x = at0.take(y.view(np.int64))
-        stored = np.where(hit2, m.p2, np.where(hit1, m.p1, x.astype(np.int64) + 1))
+        hit1 = (v < big12) > hit2
+        # order 0 for all lanes; lanes with a hit wrap around to the last place and drop the result
+        y = np.minimum((v - big12) // m.w0, _U(WHOLE - 1))
+        x = at0.take(y.view(np.int64)).astype(np.int64)
+        stored = np.where(hit2, m.p2, np.where(hit1, m.p1, x + 1))
         code -= r * np.where(hit2, _U(0), np.where(hit1, big2, big12 + m.w0 * cum0.take(x)))
         span = r * np.where(hit2, big2, np.where(hit1, m.w1 << _U(20), m.w0 * share0.take(x)))
         need = span < _FLOOR
-        w = flat.take(np.minimum(at, last - 1)).astype(_U)
+        w = flat.take(at, mode="clip").astype(_U)
         code = np.where(need, (code << _U(16)) | (tail << _U(8)) | (w >> _U(8)), code)
         tail = np.where(need, w & _U(255), tail)
         span <<= need.astype(_U) << _U(4)
-        at += np.where(need, lanes, 0)
+        at += need * lanes
         more = np.flatnonzero(span < _FLOOR)
         while len(more):
             w = flat[np.minimum(at[more], last - 1)].astype(_U)
@@ -246,8 +237,9 @@ def decode_lanes(words: np.ndarray, n: int, shares: Shares) -> np.ndarray:
             span[more] <<= _U(16)
             at[more] += lanes
             more = more[span[more] < _FLOOR]
-        m.learn(stored)
-        out[k] = (stored - 1).astype(np.uint32)
+        m.learn(stored, m.says == stored)
+        out[k] = stored
+    out -= np.uint32(1)
     return np.ascontiguousarray(out.T)
 
 

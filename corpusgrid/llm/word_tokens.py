@@ -16,7 +16,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
-from itertools import chain, compress
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -141,11 +141,13 @@ class WordIds:
         self._add(words, *self._encoded(texts))
 
     def _slots(self, distinct: list[bytes]) -> np.ndarray:
-        found = list(map(self.slot.get, distinct))
-        if None in found:
-            self._learn([w for w, s in zip(distinct, found, strict=True) if s is None])
-            found = list(map(self.slot.__getitem__, distinct))
-        return np.array(found, np.int64)
+        found = np.fromiter(map(self.slot.get, distinct, repeat(-1)), np.int64, len(distinct))
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            new = [distinct[k] for k in missing.tolist()]
+            self._learn(new)
+            found[missing] = [self.slot[w] for w in new]
+        return found
 
     def encode(self, ends: np.ndarray, body: bytes, last: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each text followed by ``last``; offsets of the texts, one more than texts)."""
@@ -154,7 +156,7 @@ class WordIds:
         starts, slots = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for start, column in self.pieces(np.frombuffer(body, np.uint8)):
             starts.append(start)
-            slots.append(self._slots(column.dictionary.to_pylist())[column.indices.to_numpy(zero_copy_only=False)])
+            slots.append(self._slots(column.dictionary.to_numpy(zero_copy_only=False).tolist())[column.indices.to_numpy(zero_copy_only=False)])
         start, slot = np.concatenate(starts), np.concatenate(slots)
         # a text's end is one more piece, the last id of the table
         behind = np.concatenate([np.searchsorted(start, starts_of(ends))[1:], [len(start)]]) if len(ends) else np.zeros(0, np.int64)
