@@ -29,7 +29,7 @@ from corpusgrid.functions.text import words
 from corpusgrid.operators.sequences import label_codes
 
 
-#: The MLP's optimiser sees about this many rows, drawn by hash; features, predictions and embeddings cover all.
+#: The text-label classifier's optimiser sees about this many rows, drawn by hash; features, predictions and embeddings cover all.
 FIT_ROWS = 200_000
 DRAWS = 1 << 30
 #: Labels are columns of the output layer and come to the driver; more than this is refused.

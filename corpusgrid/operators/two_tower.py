@@ -18,9 +18,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusgrid.operators.models import DRAWS, FIT_ROWS, MAX_LABELS, _counts_column, fit_text_features, text_features, vector_matmul
+from corpusgrid.operators.models import DRAWS, MAX_LABELS, _counts_column, fit_text_features, text_features, vector_matmul
 
 CHUNK_TEXTS = 128           # texts multiplied at once
+#: The optimiser's dense rows are held in blocks of so many; of a larger fit, in blocks of at most BLOCK_BYTES.  An array of 1 MB
+#: or a bit more takes two regions of a JVM heap below 4 GB, so that the kept blocks fill twice the memory Spark counts for them.
+BLOCK_ROWS, SMALL_FIT, BLOCK_BYTES = 128, 100_000, 400_000
 
 
 @dataclass
@@ -49,14 +52,19 @@ class TwoTower:
         return first[:self.num_features], flat[width * self.dense_size:(width + 1) * self.dense_size]
 
 
+def block_rows(rows: int, width: int) -> int:
+    return BLOCK_ROWS if rows <= SMALL_FIT else max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * width)))
+
+
 def train_two_tower(pairs: DataFrame, text_col: str = "sentence", label_col: str = "label",
                     target_col: str = "is_positive", dense_size: int = 64, num_features: int = 1024,
-                    num_dense_layers: int = 2, max_iter: int = 30, seed: int = 42, fit_rows: int = FIT_ROWS,
+                    num_dense_layers: int = 2, max_iter: int = 30, seed: int = 42, fit_rows: int | None = None,
                     valid: DataFrame | None = None) -> TwoTower:
     """Fit on (text, label, 0/1 target).
 
-    ``fit_rows`` bounds the sample that the optimiser sees (its expected size; rows are
-    drawn by a hash of their values and ``seed``).  Rows with a null label are left out.  With ``valid`` (same columns)
+    The optimiser sees every row; its dense rows lie in memory and on the executors' disks.  Only a caller who names
+    ``fit_rows`` gets a sample of that expected size (drawn by a hash of the values and ``seed``).  Rows with a null label
+    are left out.  With ``valid`` (same columns)
     the fitted model's cross-entropy on it is kept as ``valid_loss``.  Pairs that carry their word counts
     (``with_term_counts``) have no text cut into words again, neither here nor in :func:`two_tower_scores`.
     """
@@ -64,17 +72,19 @@ def train_two_tower(pairs: DataFrame, text_col: str = "sentence", label_col: str
     sizes = rows.agg(F.count("*").alias("n"), F.approx_count_distinct(label_col).alias("labels")).first()
     if sizes["labels"] > MAX_LABELS:
         raise ValueError(f"about {sizes['labels']} labels; the first layer takes at most {MAX_LABELS}")
-    draw = F.pmod(F.xxhash64(text_col, label_col, target_col, F.lit(seed)), F.lit(DRAWS))
-    sample = rows.where(draw < int(DRAWS * min(1.0, fit_rows / max(sizes["n"], 1))))
+    seen = rows
+    if fit_rows is not None:
+        draw = F.pmod(F.xxhash64(text_col, label_col, target_col, F.lit(seed)), F.lit(DRAWS))
+        seen = rows.where(draw < int(DRAWS * min(1.0, fit_rows / max(sizes["n"], 1))))
     feats = fit_text_features(rows, text_col, num_features)
     index = StringIndexer(inputCol=label_col, outputCol="_code", stringOrderType="alphabetAsc", handleInvalid="skip").fit(rows)
     coded = PipelineModel([index, OneHotEncoder(inputCol="_code", outputCol="_label", dropLast=False).fit(index.transform(rows)),
                            VectorAssembler(inputCols=["_features", "_label"], outputCol="_pair")])
-    x = coded.transform(text_features(feats, sample, text_col)).select("_pair", F.col(target_col).cast("double").alias("_y"))
+    x = coded.transform(text_features(feats, seen, text_col)).select("_pair", F.col(target_col).cast("double").alias("_y"))
     width = num_features + len(index.labels)
     fitted = Pipeline(stages=[MultilayerPerceptronClassifier(
         layers=[width] + [dense_size] * num_dense_layers + [2], featuresCol="_pair", labelCol="_y", maxIter=max_iter,
-        seed=seed, blockSize=128, predictionCol="_pred", probabilityCol="_prob", rawPredictionCol="_raw")]).fit(x)
+        seed=seed, blockSize=block_rows(sizes["n"], width + 2), predictionCol="_pred", probabilityCol="_prob", rawPredictionCol="_raw")]).fit(x)
     model = TwoTower(feats, PipelineModel([*coded.stages, *fitted.stages]), num_features, dense_size)
     if valid is not None:
         p = F.greatest(vector_to_array("_prob")[F.col(target_col).cast("int")], F.lit(1e-12))

@@ -137,3 +137,28 @@ def test_two_tower_embeds_few_texts_at_once(monkeypatch):
     out = pa.Table.from_batches(list(two_tower._embedder(types.SimpleNamespace(value=(weights, bias)), "doc_id")([batch])))
     assert max(held) <= two_tower.CHUNK_TEXTS and out.column("doc_id").to_pylist() == list(range(n))
     assert np.allclose(np.array(out.column("embedding").to_pylist()), np.array(dense) @ weights + bias, atol=1e-5)
+
+
+def test_two_tower_fit_sees_every_pair(spark, monkeypatch):
+    """The optimiser's rows were a hash sample of about 200,000; a lower bound shows it on a small table."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    monkeypatch.setattr(models, "FIT_ROWS", 20)
+    monkeypatch.setattr(two_tower, "FIT_ROWS", 20, raising=False)
+    defaults = two_tower.train_two_tower.__defaults__
+    monkeypatch.setattr(two_tower.train_two_tower, "__defaults__", tuple(20 if x == 200_000 else x for x in defaults))
+    pairs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("sentence"),
+                                    (F.col("id") % 3).cast("string").alias("label"), (F.col("id") % 2).cast("int").alias("is_positive"))
+    seen, fit = [], MultilayerPerceptronClassifier.fit
+
+    def counted(self, df, *a, **b):
+        seen.append(df.count())
+        return fit(self, df, *a, **b)
+    monkeypatch.setattr(MultilayerPerceptronClassifier, "fit", counted)
+    two_tower.train_two_tower(pairs, dense_size=2, num_features=16, max_iter=1)
+    assert seen == [300]
+
+
+def test_blocks_of_a_large_fit_stay_small():
+    assert two_tower.block_rows(2_000, 1_046) == 128             # a small fit is as it was
+    rows = two_tower.block_rows(500_000, 1_046)
+    assert 1 <= rows < 128 and rows * 1_046 * 8 <= two_tower.BLOCK_BYTES and two_tower.block_rows(500_000, 10**6) == 1
