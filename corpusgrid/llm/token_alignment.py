@@ -21,6 +21,7 @@ them up, and each block gets the sums for its pairs back.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import json
 import os
@@ -38,9 +39,13 @@ VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Steps of the merge in one piece.
 WORK = 64
 #: A worker forgets its stretches beyond so many, or so many bytes of them.
-KEEP_STRETCHES, KEEP_BYTES = 150_000, 16 << 20
+KEEP_STRETCHES, KEEP_BYTES = 60_000, 16 << 20
 #: Text of a block, and of the stretches that go to the tokenizers as one text.
-TEXT_BYTES, RUN_BYTES = 2 << 20, 256
+TEXT_BYTES, RUN_BYTES = 1 << 20, 256
+#: The writer holds blocks, and a reader takes them, by row groups of about so many bytes; it looks at its size every few rows.
+ROW_GROUPS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "2", "parquet.page.size.row.check.max": "8"}
+#: Texts that are taken out of an Arrow batch at a time.
+BATCH_TEXTS = 512
 #: Stretches that are learned at a time.
 LEARN = 10_000
 #: Fixed value: how byte-level vocabularies split a text before merging.
@@ -284,6 +289,22 @@ def stretches(path_a: str, path_b: str) -> Stretches:
     return _KNOWN[path_a, path_b]
 
 
+def trimmed() -> None:
+    """Give freed memory back to the system: a worker keeps the most that any block took otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):                      # another C library than glibc
+        pass
+
+
+def forget_all() -> None:
+    """Drop tokenizers and stretches: the worker goes on with a step that needs neither."""
+    if _KNOWN:
+        _KNOWN.clear()
+        trimmed()
+
+
 def expanded(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """first[0], first[0] + 1, ... (count[0] of them), then the same for the next."""
     end = np.cumsum(count)
@@ -340,14 +361,16 @@ def aligned_blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         known, task = stretches(path_a, path_b), TaskContext.get().partitionId()
-        for made, (ids, ends, body) in enumerate(gather(batches, TEXT_BYTES)):
+        few = (batch.slice(at, BATCH_TEXTS) for batch in batches for at in range(0, batch.num_rows, BATCH_TEXTS))
+        for made, (ids, ends, body) in enumerate(gather(few, TEXT_BYTES)):
             row = {"block": task << 32 | made} | aligned_block(known, ids, ends, body)
+            trimmed()
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x], pa.list_(pa.int64()) if k in ("pairs", "documents") else pa.int64() if k == "block" else pa.binary())
                  for k, x in row.items()], names=list(row))
 
     ready(docs.sparkSession)
-    return kept(id_text(docs, id_col, text_col).mapInArrow(run, BLOCKS), "aligned")
+    return kept(id_text(docs, id_col, text_col).mapInArrow(run, BLOCKS), "aligned", ROW_GROUPS)
 
 
 def pair_counts(blocks: DataFrame) -> DataFrame:
@@ -364,6 +387,7 @@ OUT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long
 
 
 def _documents(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+    forget_all()
     parts = []
     n, best = np.zeros(answers.num_rows, np.int64), np.zeros(answers.num_rows, np.int64)
     at = answers.column("pos").to_numpy()
