@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corpusgrid.operators.joins import broadcast_if_small
-from corpusgrid.session import materialize
+from corpusgrid.session import drop_folder, materialized_at, shuffles_released
 from corpusgrid.sources.archive import ARTICLE_COLUMNS, parse_archive
 from corpusgrid.sources.store import fingerprint
 
@@ -64,30 +64,36 @@ def upsert_batch(spark: SparkSession, raw: DataFrame, target: str, rejects: str
     batch = batch or uuid.uuid4().hex
     articles, bad = parse_archive(raw, keep=("path",))
     fresh = dedupe_articles(articles.select("path", *ARTICLE_COLUMNS))
-    fresh = materialize(fresh.withColumns({"year": F.year("pub_date"), "month": F.month("pub_date")}), "ingest_batch")
-    held = _target(spark, target)
-    if held is not None:
-        # probe the months with the batch's ids as the hash-table side (size checked); the ids found are at most the batch's
-        batch_ids = broadcast_if_small(fresh.select("id"))
-        seen = known_ids(held, fresh, batch, scope).join(batch_ids, "id", "left_semi").distinct()
-        fresh = fresh.join(broadcast_if_small(seen), "id", "left_anti")
-    # the rows of a month come together: each task writes its own months, not some of every month
-    (fresh.withColumn("batch", F.lit(batch)).hint("rebalance", *MONTH).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(*MONTH, "batch").parquet(target))
+    session = fresh.sparkSession                           # a stream's batches have a session of their own
+    with shuffles_released(session):
+        fresh, folder = materialized_at(fresh.withColumns({"year": F.year("pub_date"), "month": F.month("pub_date")}), "ingest_batch", "zstd")
+        held = _target(spark, target)
+        if held is not None:
+            # probe the months with the batch's ids as the hash-table side (size checked); the ids found are at most the batch's
+            batch_ids = broadcast_if_small(fresh.select("id"))
+            seen = known_ids(held, fresh, batch, scope).join(batch_ids, "id", "left_semi").distinct()
+            fresh = fresh.join(broadcast_if_small(seen), "id", "left_anti")
+        # the rows of a month come together: each task writes its own months, not some of every month
+        (fresh.withColumn("batch", F.lit(batch)).hint("rebalance", *MONTH).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .option("compression", "zstd").partitionBy(*MONTH, "batch").parquet(target))
+    drop_folder(session, folder)                           # the target holds its rows now; a repeated batch writes a copy of its own
     if rejects:                                            # a batch that is run again replaces its own rejects
         bad.write.mode("overwrite").parquet(f"{rejects.rstrip('/')}/batch_id={batch}")
 
 
 def start_ingest(spark: SparkSession, source_dir: str, target: str, checkpoint: str,
                  rejects: str | None = None, whole_files: bool = True, available_now: bool = True,
-                 max_files_per_trigger: int | None = None, scope: str = "month") -> StreamingQuery:
+                 max_files_per_trigger: int | None = None, scope: str = "month", drop_read: bool = False) -> StreamingQuery:
     """Start the stream.  ``whole_files``: one JSON document per file (as the
     archive delivers it); otherwise one JSON document per line.  Batches are
-    named after the checkpoint, so streams of their own never replace each other's."""
+    named after the checkpoint, so streams of their own never replace each other's.
+    ``drop_read`` deletes the files of a batch once it is committed."""
     stream = fingerprint({"checkpoint": checkpoint})
     reader = spark.readStream.format("text").option("wholetext", whole_files)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    if drop_read:
+        reader = reader.option("cleanSource", "delete")
     raw = reader.load(source_dir).select(F.col("_metadata.file_path").alias("path"), "value")
 
     def each(batch: DataFrame, batch_id: int) -> None:
